@@ -76,3 +76,9 @@ def batch_groups(sizes: np.ndarray, budget: int) -> list[tuple[int, int]]:
     if len(sizes) > start:
         ranges.append((start, len(sizes)))
     return ranges
+
+
+def small_side(df: DataFrame, most_rows: int) -> DataFrame:
+    """df, written and counted; hinted for broadcast only if it has most_rows at most, else joined by shuffle."""
+    kept = written(df, "side")
+    return F.broadcast(kept) if kept.count() <= most_rows else kept
