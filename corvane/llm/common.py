@@ -61,8 +61,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Sum of values[ends[i]:ends[i + 1]] for each i."""
-    total = np.concatenate((np.zeros(1, dtype=values.dtype), np.cumsum(values)))
-    return total[ends[1:]] - total[ends[:-1]]
+    out = np.zeros(len(ends) - 1, values.dtype)
+    full = ends[1:] > ends[:-1]
+    if full.any():
+        out[full] = np.add.reduceat(values, ends[:-1][full])
+    return out
 
 
 def batch_groups(sizes: np.ndarray, budget: int) -> list[tuple[int, int]]:
