@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import language_id, line_quality, maxent, mixing, near_duplicates, packing, token_counts, warc
+from corvane.llm import language_id, line_quality, maxent, mixing, near_duplicates, packing, pii, token_counts, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.clean_lines(table(spark, sf_dir, "documents"), with_text=False)
 
@@ -49,6 +53,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii_spans": op1_pii_spans,
     "op2_line_quality": op2_line_quality,
     "op3_warc_salvage": op3_warc_salvage,
     "op5_maxent_score": op5_maxent_score,
