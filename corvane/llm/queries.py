@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import language_id, line_quality, maxent, mixing, near_duplicates, packing, pii, token_counts, warc
+from corvane.llm import cover_tree, language_id, line_quality, maxent, mixing, near_duplicates, packing, pii, token_counts, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"), min_bytes=0)
 
 
+def op4_cover_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.top_k(table(spark, sf_dir, "embeddings"), k=5, scale=256.0, modulus=50)
+
+
 def op5_maxent_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.score_texts(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_spans": op1_pii_spans,
     "op2_line_quality": op2_line_quality,
     "op3_warc_salvage": op3_warc_salvage,
+    "op4_cover_tree_top_k": op4_cover_tree_top_k,
     "op5_maxent_score": op5_maxent_score,
     "op6_token_counts": op6_token_counts,
     "op7_source_mixing": op7_source_mixing,
