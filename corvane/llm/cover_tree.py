@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import written
 
-LEAF = 64
+#: Points of a leaf; a pair of leaves is one matrix product.
+LEAF = 256
 #: Products of whole numbers up to this size add up exactly in doubles.
 EXACT = 2.0**53
 
@@ -131,18 +132,19 @@ def _leaves(queries, own, query_ids, query_rows, data, points, ids, at, k, best,
         scores = queries.x[own] @ data.x[points].T
     else:
         scores = queries.x[own].astype(np.int64) @ data.x[points].T.astype(np.int64)
-    for i, q in enumerate(own.tolist()):
-        near = np.flatnonzero(scores[i] >= worst_point[q])
-        if not len(near):
-            continue
-        near = near[np.argsort(-scores[i][near], kind="stable")]
+    near = scores >= worst_point[own][:, None]
+    for i in np.flatnonzero(near.any(axis=1)).tolist():
+        q = own[i]
+        hits = np.flatnonzero(near[i])
+        hits = hits[np.argsort(-scores[i][hits], kind="stable")]
+        values, places = scores[i][hits].tolist(), points[hits].tolist()
         for row in query_rows[q].tolist():
             heap, me = best[row], int(query_ids[row])
-            for j in near.tolist():
-                score = int(scores[i, j])
+            for score, p in zip(values, places, strict=True):
+                score = int(score)
                 if len(heap) == k and score < heap[0][0]:
                     break
-                for x in ids[at[points[j]] : at[points[j] + 1]].tolist():
+                for x in ids[at[p] : at[p + 1]].tolist():
                     if x == me:
                         continue
                     if len(heap) < k:
