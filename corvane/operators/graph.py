@@ -30,3 +30,121 @@ def connected_components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         e = keep(large.join(small, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", "m")).distinct())
     raise RuntimeError("components did not settle")
+
+
+def nodes_of(t: DataFrame, types: DataFrame | None = None) -> DataFrame:
+    """(node, type): all ends of triples; a node without a known type is INFERRED."""
+    nodes = t.select(F.col("subject").alias("node")).union(t.select("object")).distinct()
+    if types is None:
+        return nodes.withColumn("type", F.lit("INFERRED"))
+    return nodes.join(types, "node", "left").withColumn("type", F.coalesce("type", F.lit("INFERRED")))
+
+
+def degrees(t: DataFrame) -> DataFrame:
+    """(node, in_degree, out_degree, degree); a loop counts twice."""
+    ends = t.select(F.col("subject").alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o")).union(t.select("object", F.lit(1), F.lit(0)))
+    return ends.groupBy("node").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"), F.count("*").alias("degree"))
+
+
+def metrics(t: DataFrame) -> DataFrame:
+    """nodes, edges, density of the directed graph, and average degree."""
+    d = degrees(t)
+    return d.agg(F.count("*").alias("nodes"), F.coalesce((F.sum("degree") / 2).cast("long"), F.lit(0)).alias("edges")).select("nodes", "edges", F.when(F.col("nodes") > 1, F.round(F.col("edges") / (F.col("nodes") * (F.col("nodes") - 1)), 9)).otherwise(0.0).alias("density"), F.when(F.col("nodes") > 0, F.round(2 * F.col("edges") / F.col("nodes"), 6)).otherwise(0.0).alias("average_degree"))
+
+
+def centrality(t: DataFrame, top: int = 20) -> DataFrame:
+    """The nodes of highest degree / (n - 1)."""
+    d = degrees(t)
+    n = d.agg(F.count("*").alias("n"))
+    return d.crossJoin(F.broadcast(n)).select("node", "degree", F.round(F.when(F.col("n") > 1, F.col("degree") / (F.col("n") - 1)).otherwise(0.0), 9).alias("centrality")).orderBy(F.desc("degree"), "node").limit(top)
+
+
+def statistics(t: DataFrame) -> DataFrame:
+    """Counts of triples, subjects, objects, predicates and entities (subjects and objects together)."""
+    entities = t.select(F.col("subject").alias("e")).union(t.select("object")).distinct().agg(F.count("*").alias("entities"))
+    own = t.agg(F.count("*").alias("triples"), F.countDistinct("subject").alias("subjects"), F.countDistinct("object").alias("objects"), F.countDistinct("predicate").alias("predicates"))
+    return own.crossJoin(F.broadcast(entities))
+
+
+def top_predicates(t: DataFrame, k: int = 10) -> DataFrame:
+    """The most frequent predicates, ties by first position."""
+    return t.groupBy("predicate").agg(F.count("*").alias("n"), F.min("pos").alias("first")).orderBy(F.desc("n"), "first").limit(k).select("predicate", "n")
+
+
+def page_rank(t: DataFrame, keep: Callable[[DataFrame], DataFrame], *, rounds: int = 10, damping: float = 0.85, every: int = 5) -> DataFrame:
+    """(node, rank) after a fixed number of rounds over distinct edges; the mass of nodes without edges out is dealt to all. Lineage is cut every few rounds."""
+    edges = t.select(F.col("subject").alias("src"), F.col("object").alias("dst")).distinct()
+    out = edges.groupBy("src").agg(F.count("*").alias("out"))
+    edges = keep(edges.join(out, "src"))
+    nodes = keep(nodes_of(t).select("node").join(out, F.col("node") == F.col("src"), "left").select("node", "out"))
+    n = nodes.count()
+    ranks = nodes.select("node", "out", F.lit(1.0 / max(1, n)).alias("rank"))
+    for k in range(rounds):
+        given = edges.join(ranks.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
+        loose = ranks.filter("out is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose"))
+        ranks = nodes.join(given, "node", "left").crossJoin(F.broadcast(loose)).select("node", "out", (F.lit((1 - damping) / max(1, n)) + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / max(1, n))).alias("rank"))
+        if k % every == every - 1:
+            ranks = keep(ranks)
+    return ranks.select("node", F.round("rank", 9).alias("rank"))
+
+
+def top_subgraph(t: DataFrame, ranks: DataFrame, top: int = 100) -> DataFrame:
+    """Triples whose ends both are among the best nodes."""
+    best = F.broadcast(ranks.orderBy(F.desc("rank"), "node").limit(top).select("node"))  # `top` rows
+    return t.join(best, t.subject == best.node, "left_semi").join(best, t.object == best.node, "left_semi")
+
+
+def communities(t: DataFrame, keep: Callable[[DataFrame], DataFrame], *, rounds: int = 5) -> DataFrame:
+    """(node, community) by label propagation: each round a node takes its neighbours' most frequent label, the smaller of equals. An approximation of modularity methods."""
+    e = t.select(F.col("subject").alias("a"), F.col("object").alias("b")).filter("a <> b").distinct()
+    e = keep(e.union(e.select("b", "a")).distinct())
+    labels = nodes_of(t).select("node", F.col("node").alias("label"))
+    for _ in range(rounds):
+        votes = e.join(labels, e.b == labels.node).groupBy("a", "label").agg(F.count("*").alias("n"))
+        best = votes.groupBy("a").agg(F.min(F.struct((-F.col("n")).alias("n"), "label"))["label"].alias("new"))
+        labels = keep(labels.join(best, labels.node == best.a, "left").select("node", F.coalesce("new", "label").alias("label")))
+    return labels.withColumnRenamed("label", "community")
+
+
+def pruned(nodes: DataFrame, edges: DataFrame, position: str) -> DataFrame:
+    """nodes without the first third (of their number) of those without an edge."""
+    ends = edges.select(F.col("subject").alias("node")).union(edges.select("object")).distinct()
+    lone = nodes.join(ends, "node", "left_anti")
+    third = lone.agg(F.floor(F.count("*") / 3).cast("int")).first()[0]
+    return nodes.join(lone.orderBy(position).limit(third).select("node"), "node", "left_anti")
+
+
+#: Colours by words in a node's label, in this order, and that of all others (fixed values).
+COLOURS = (("#3b82f6", ("research", "study", "paper")), ("#ef4444", ("person", "author", "researcher")), ("#10b981", ("technology", "ai", "machine learning")), ("#f59e0b", ("health", "longevity", "biohacking")), ("#8b5cf6", ("company", "organization")))
+OTHER_COLOUR = "#6b7280"
+
+
+def view_nodes(t: DataFrame) -> DataFrame:
+    """Nodes to draw: size three times the degree between 5 and 25, colour by words of the label."""
+    colour = F.lit(OTHER_COLOUR)
+    for c, words in reversed(COLOURS):
+        hit = F.lit(False)
+        for w in words:
+            hit = hit | F.contains(F.lower("node"), F.lit(w))
+        colour = F.when(hit, F.lit(c)).otherwise(colour)
+    return degrees(t).select("node", F.greatest(F.lit(5), F.least(F.lit(25), F.col("degree") * 3)).cast("long").alias("size"), colour.alias("colour"))
+
+
+def colour_histogram(t: DataFrame) -> DataFrame:
+    return view_nodes(t).groupBy("colour").agg(F.count("*").alias("n"))
+
+
+def search_nodes(nodes: DataFrame, text: str) -> DataFrame:
+    return nodes.filter(F.contains(F.lower("node"), F.lower(F.lit(text))))
+
+
+def clean_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges (pos, source, target, label, predicate) whose ends exist, with a key and a label: label, else predicate, else related_to."""
+    kept = edges.join(nodes.select(F.col("node").alias("source")), "source", "left_semi").join(nodes.select(F.col("node").alias("target")), "target", "left_semi")
+    return kept.select(F.concat(F.lit("edge-"), F.col("pos").cast("string")).alias("key"), "source", "target", F.coalesce(F.nullif("label", F.lit("")), F.nullif("predicate", F.lit("")), F.lit("related_to")).alias("label"))
+
+
+def roles(t: DataFrame) -> DataFrame:
+    """(node, role): subject, object or both."""
+    d = degrees(t)
+    return d.select("node", F.when((F.col("in_degree") > 0) & (F.col("out_degree") > 0), "both").when(F.col("out_degree") > 0, "subject").otherwise("object").alias("role"))
