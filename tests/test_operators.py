@@ -173,7 +173,7 @@ def test_files_round_trip(spark, tmp_path):
     files.save_store(t, str(tmp_path / "store"))
     assert files.load_store(spark, str(tmp_path / "store")).count() == 2
     assert files.datasets(spark, str(tmp_path / "kg.json")).first().length > 0
-    assert files.node_link(t, nodes).count() == 5
+    assert files.node_link(t, nodes).count() == 6
     assert files.graphml_lines(t, nodes).filter("value like '<edge%'").count() == 2
 
 
