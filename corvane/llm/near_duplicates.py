@@ -6,9 +6,9 @@ every register's, so long texts cost little more than one arrival a shingle. Reg
 similarity of the weighted sets. Bands of registers propose, and the Jaccard similarity of the shingle sets decides.
 
 No group is gathered or paired out. Texts with one shingle set are one node. In each band bucket every node is verified against
-the bucket's smallest node, so a bucket costs a row per member. A pair that misses each other there is looked for afterwards:
-where a bucket holds several components, pairs across them are verified unless the distances to the leader rule them out (1 -
-Jaccard is a metric). So every candidate pair is verified, already in one component, or proven apart.
+the bucket's leader, so a bucket costs a row per member. Pairs that miss each other there are looked for afterwards: where a
+bucket still holds several components, its members are compared in blocks inside the tasks, which return only links that join
+components. So every candidate pair is verified or already in one component.
 
 Defined results: a text without a word is in a class of its own; shorter texts are one shingle of all their words; rows without
 an id are left out; repeated rows fall into one class; other columns are ignored, so their names cannot clash.
@@ -159,32 +159,102 @@ def verified(pairs: DataFrame, sets: DataFrame, *, part_bytes: int = 8 << 20) ->
     return dealt.mapInArrow(compared, "a binary, b binary, similarity double")
 
 
+def joined_components(parts: list[int], codes: list[np.ndarray], threshold: float, chunk: int = 2048) -> list[tuple[int, int]]:
+    """Of some sets, each in a component: pairs of sets that join different components, one less than the components they join."""
+    n = np.array([len(c) for c in codes], np.float32)
+    owner, (_, shingle, freq) = np.repeat(np.arange(len(codes)), n.astype(np.int64)), np.unique(np.concatenate(codes), return_inverse=True, return_counts=True)
+    often = freq[shingle] > 1
+    owner, shingle = owner[often], (np.cumsum(freq > 1) - 1)[shingle[often]]
+    order = np.argsort(shingle, kind="stable")
+    owner, shingle = owner[order], shingle[order]
+    both = np.zeros((len(codes), len(codes)), np.float32)
+    for a in range(0, int(shingle[-1]) + 1 if len(shingle) else 0, chunk):
+        i, j = np.searchsorted(shingle, [a, a + chunk])
+        x = np.zeros((len(codes), chunk), np.float32)
+        x[owner[i:j], shingle[i:j] - a] = 1
+        both += x @ x.T
+    part = np.array(parts)
+    first, second = np.nonzero(np.triu(both >= threshold * (n[:, None] + n[None, :] - both) - 1e-3, 1) & (part[:, None] != part[None, :]))
+    root = {p: p for p in {*parts}}
+
+    def top(p: int) -> int:
+        while root[p] != p:
+            root[p] = root[root[p]]
+            p = root[p]
+        return p
+
+    _, once = np.unique(part[first] * (max(parts) + 1) + part[second], return_index=True)
+    out = []
+    for k in once.tolist():
+        a, b = top(parts[first[k]]), top(parts[second[k]])
+        if a != b:
+            root[a] = b
+            out.append((int(first[k]), int(second[k])))
+    return out
+
+
+def across(rest: DataFrame, sets: DataFrame, threshold: float, *, block_nodes: int = 1500, block_shingles: int = 1_000_000) -> DataFrame:
+    """rest: bucket, node, component. Links (src, dst) that join components of a bucket.
+
+    A bucket is cut into blocks by hash, and each pair of its blocks is compared inside a task as a matrix product, so neither
+    memory nor the rows that leave a task grow with the bucket: a task returns fewer links than it holds components.
+    """
+    sized = rest.join(sets.select("node", "n"), "node")
+    blocks = sized.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / block_nodes, F.sum("n") / block_shingles)).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = sized.join(blocks, "bucket").select("bucket", "node", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "component").join(sets.select("node", "codes"), "node")
+    ready = dealt.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high").select("bucket", "low", "high", "node", "component", "codes")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, nodes, parts, codes = None, [], [], []
+
+        def told() -> pa.RecordBatch:
+            place: dict[bytes, int] = {}
+            pairs = joined_components([place.setdefault(p, len(place)) for p in parts], codes, threshold) if len(nodes) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([nodes[p[k]] for p in pairs], pa.binary()) for k in (0, 1)], ["src", "dst"])
+
+        for b in batches:
+            keys = list(zip(*(b.column(k).to_pylist() for k in range(3)), strict=True))
+            for key, node, part, code in zip(keys, b.column(3), b.column(4), b.column(5), strict=True):
+                if key != at and nodes:
+                    yield told()
+                    nodes, parts, codes = [], [], []
+                at = key
+                nodes.append(node.as_py())
+                parts.append(part.as_py())
+                codes.append(np.frombuffer(code.as_buffer(), np.uint32).copy())
+        if nodes:
+            yield told()
+
+    return ready.mapInArrow(compared, "src binary, dst binary")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5, bands: int = 20, rows: int = 5) -> DataFrame:
     """doc_id, class_id (the smallest id of its class) and class_size, a row for each row with an id."""
     save = partial(written, name="near-duplicates")
     signs = save(signed(docs, id_col=id_col, text_col=text_col, width=width, bands=bands, rows=rows))
     nodes = save(signs.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.min(F.struct("key", "n", "bands")).alias("x")).select("node", "first_id", "copies", "x.key", "x.n", "x.bands"))
     spread = nodes.select("node", F.explode("bands").alias("bucket"))
-    leaders = spread.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("held")).filter("held > 1").select("bucket", "leader")
-    members = save(spread.join(leaders, "bucket"))
+    shared = spread.groupBy("bucket").agg(F.count("*").alias("held")).filter("held > 1")
+    members = save(spread.join(shared, "bucket"))
+    # the leader of a bucket is the node that meets others most often: of the copies of a text most likely the text itself
+    met = members.groupBy("node").agg(F.sum("held").alias("met"))
+    leaders = members.join(met, "node").groupBy("bucket").agg(F.max(F.struct("met", "node"))["node"].alias("leader"))
+    members = save(members.select("bucket", "node").join(leaders, "bucket"))
     pairs = save(members.filter("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
     wanted = small_side(nodes.select("node", "key", "n").join(members.select("node").distinct(), "node", "left_semi").select("key"), 1_000_000)
     sets = save(signs.select("key", "node", "n", "codes").join(wanted, "key", "left_semi").select("node", "n", "codes"))
     close = save(verified(pairs, sets))
     links = close.filter(F.col("similarity") >= threshold).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     found = save(connected_components(links, save))
-    # buckets that hold several components: pairs across them that the distances to the leader leave possible
+    # buckets that still hold several components: links between them
     placed = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("bucket")
-    rest = placed.join(mixed, "bucket").filter("node != leader").join(close.select(F.col("a").alias("leader"), F.col("b").alias("node"), "similarity"), ["leader", "node"]).select("bucket", "node", "component", "similarity")
-    rest = save(rest)
-    one, two = rest.select("bucket", *(F.col(c).alias(f"{c}1") for c in rest.columns[1:])), rest.select("bucket", *(F.col(c).alias(f"{c}2") for c in rest.columns[1:]))
-    across = one.join(two, (one.bucket == two.bucket) & (one.node1 < two.node2) & (one.component1 != two.component2) & (F.abs(one.similarity1 - two.similarity2) <= 1 - threshold + 1e-6))
-    more = save(across.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct())
-    if not more.isEmpty():
-        late = save(verified(more, sets).filter(F.col("similarity") >= threshold).select(F.col("a").alias("src"), F.col("b").alias("dst")))
-        if not late.isEmpty():
-            found = save(connected_components(links.union(late), save))
+    rest = save(placed.join(mixed, "bucket").filter("node != leader").select("bucket", "node", "component"))
+    late = save(across(rest, sets, threshold))
+    if not late.isEmpty():
+        found = save(connected_components(links.union(late), save))
     classes = nodes.select("node", "first_id", "copies").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = classes.groupBy("component").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"))
     named = classes.select("node", "component").join(named, "component").select("node", "class_id", "class_size")
