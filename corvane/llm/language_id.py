@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Families of languages by code (fixed values); a code that is not listed is a family of its own.
 FAMILIES = {
@@ -157,9 +158,9 @@ def fit(rows: DataFrame, *, max_train_rows: int = 2400) -> Model | None:
     return Model(list(members), roots, members, pairs)
 
 
-def predict(rows: DataFrame, model: Model | None) -> DataFrame:
-    """rows: any columns and `text`; adds lang_pred and score. The model is a few machines of BINS weights, whatever the data's size."""
-    kept = [c for c in rows.columns if c not in ("text", "lang_pred", "score")]
+def predict(rows: DataFrame, model: Model | None, *, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score"), keep_text: bool = False) -> DataFrame:
+    """Adds language and score under the given names (replacing such columns). The model is a few machines of BINS weights, whatever the data's size."""
+    kept = [c for c in rows.columns if c not in names and (keep_text or c != text_col)]
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,16 +170,18 @@ def predict(rows: DataFrame, model: Model | None) -> DataFrame:
             langs, scores = ["und"] * n, np.zeros(n)
             if m is not None:
                 at = 0
-                for x in features(b.column("text")):
+                for x in features(b.column(n_kept)):
                     langs[at : at + len(x)], scores[at : at + len(x)] = m.predict(x)
                     at += len(x)
-                for i in np.flatnonzero(~np.asarray(b.column("__letter"))).tolist():
+                for i in np.flatnonzero(~np.asarray(b.column(n_kept + 1))).tolist():
                     langs[i], scores[i] = "und", 0.0
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(langs, pa.string()), pa.array(scores)], [*kept, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:n_kept], pa.array(langs, pa.string()), pa.array(scores)], [*kept, *names])
 
-    ready = rows.select(*kept, F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__letter"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept).schema)
-    return ready.mapInArrow(told, f"{schema}{', ' if kept else ''}lang_pred string, score double")
+    n_kept = len(kept)
+    text = F.col(f"`{text_col}`")
+    ready = rows.select(*(F.col(f"`{c}`") for c in kept), F.coalesce(text, F.lit("")).alias("__text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("__letter"))
+    schema = T.StructType([*ready.schema.fields[:n_kept], T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    return ready.mapInArrow(told, schema)
 
 
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
@@ -190,3 +193,11 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     model = fit(rows.filter(~held_out(F.col("doc_id"), modulus, 0)).select(F.col("doc_id").alias("key"), "lang", "text"), max_train_rows=max_train_rows)
     return predict(rows.select("doc_id", held_out(F.col("doc_id"), modulus, 0).alias("held_out"), "text"), model)
+
+
+def keep_identified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 5, min_score: float = 0.3, max_train_rows: int = 2400) -> DataFrame:
+    """The rows, columns unchanged, whose language is told with a score of min_score or more; the others (no letter, no clear language) go."""
+    rows = docs.select(F.col(id_col).alias("key"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    model = fit(rows.filter(~held_out(F.col("key"), modulus, 0)), max_train_rows=max_train_rows)
+    told = predict(docs, model, text_col=text_col, names=("__lang", "__score"), keep_text=True)
+    return told.filter((F.col("__lang") != "und") & (F.col("__score") >= min_score)).select(*docs.columns)

@@ -260,3 +260,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     named = classes.select("node", "component").join(named, "component").select("node", "class_id", "class_size")
     out = signs.select("doc_id", "node").join(named, "node", "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
+
+
+def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows, columns unchanged, of which each class keeps the one with the smallest id. Rows without an id stay; of rows that repeat id and text one stays."""
+    found = written(near_duplicates(docs, id_col=id_col, text_col=text_col, **options), "classes")
+    gone = small_side(found.filter("doc_id != class_id").select(F.col("doc_id").alias("__id")).distinct(), 1_000_000)
+    out = docs.join(gone, docs[id_col].cast("long") == F.col("__id"), "left_anti")
+    twice = written(found.groupBy(F.col("doc_id").alias("__id")).count().filter("count > 1").select("__id"), "repeated")
+    if twice.isEmpty():
+        return out
+    match = out[id_col].cast("long") == F.col("__id")
+    return out.join(twice, match, "left_anti").unionByName(out.join(twice, match, "left_semi").dropDuplicates([id_col, text_col]))

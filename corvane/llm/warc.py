@@ -32,6 +32,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: A gzip member without content (fixed value: header, an empty final block, CRC and size of nothing).
 EMPTY_MEMBER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff\x03\x00\x00\x00\x00\x00\x00\x00\x00\x00"
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
+#: Fields that every record has.
+REQUIRED = {b"warc-type", b"warc-record-id", b"warc-date", b"content-length"}
 CHUNK = 1 << 14
 #: A record's uncompressed size at most; a member that claims more fails its check.
 MOST = 1 << 30
@@ -94,7 +96,9 @@ def parse(data: bytes | memoryview, pos: int) -> tuple[dict | None, int, str]:
         return None, pos, "header"
     h = _headers(bytes(data[pos : pos + head_end]))
     start = pos + head_end + 4
-    if not (h.get(b"content-length") or b"").isdigit():
+    if not h.keys() >= REQUIRED:
+        return None, pos, "header"
+    if not h[b"content-length"].isdigit():
         return None, pos, "length"
     stop = start + int(h[b"content-length"])
     if stop + 4 > len(data) or bytes(data[stop : stop + 4]) != b"\r\n\r\n":
