@@ -210,3 +210,12 @@ def valid_responses(df: DataFrame, json_col: str, required: list[str]) -> DataFr
 def prompts(df: DataFrame, *, title: str, text: str) -> Column:
     """One titled block of a prompt."""
     return F.concat(F.lit("=== "), F.col(title), F.lit(" ===\n"), F.col(text))
+
+
+def merged_by(t: DataFrame, by: str) -> DataFrame:
+    """Distinct triples of each group (a video, a channel) with how often and where first they stand."""
+    return t.groupBy(by, *SPO).agg(F.count("*").alias("frequency"), F.min("pos").alias("first_pos"))
+
+
+def extraction_stats(t: DataFrame, chunk: str) -> DataFrame:
+    return t.agg(F.countDistinct(chunk).alias("chunks"), F.count("*").alias("triples"), F.countDistinct("subject", "object").alias("entity_pairs"))

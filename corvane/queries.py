@@ -818,3 +818,49 @@ def batch_result_classes(s, d):
 def response_validation(s, d):
     x = s.createDataFrame([(0, '{"entities": 1, "relations": 2, "types": 3, "summary": 4}'), (1, '{"entities": 1}'), (2, "no json")], "i int, j string")
     return triples.valid_responses(x, "j", ["entities", "relations", "types", "summary"]).select("i", "valid")
+
+
+@query(KG + ", x AS (SELECT CASE WHEN predicate = 'supplies' THEN CAST(pos % 5 AS INTEGER) ELSE 0 END AS channel, * FROM kg) SELECT channel, subject, predicate, object, count(*) AS frequency, min(pos) AS first_pos FROM x GROUP BY ALL")
+def channel_graphs(s, d):
+    return triples.merged_by(kg(s, d).withColumn("channel", F.when(F.col("predicate") == "supplies", (F.col("pos") % 5).cast("int")).otherwise(0)), "channel")
+
+
+@query(KG + "SELECT count(DISTINCT pos % 97) AS chunks, count(*) AS triples, count(DISTINCT (subject, object)) AS entity_pairs FROM kg")
+def extraction_stats(s, d):
+    return triples.extraction_stats(kg(s, d).withColumn("chunk", F.col("pos") % 97), "chunk")
+
+
+@query("SELECT l_orderkey * 10 + l_linenumber AS pos, 'a ' || l_suppkey AS subject, 'sells to' AS predicate, 'b ' || l_partkey AS object FROM lineitem WHERE l_linenumber > 1")
+def cleaned_triples(s, d):
+    x = table(s, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.concat(F.lit("  a   "), F.col("l_suppkey").cast("string")).alias("subject"), F.when(F.col("l_linenumber") > 1, "sells \n to").otherwise("  ").alias("predicate"), F.concat(F.lit("b  "), F.col("l_partkey").cast("string"), F.lit(" ")).alias("object"))
+    return triples.cleaned(x).select("pos", "subject", "predicate", "object")
+
+
+@query("SELECT CAST(i AS VARCHAR) AS video_id, 'video ' || i AS title FROM range(120) r(i)")
+def paged_scan(s, d):
+    from corvane.sources.paged import PagedSource
+
+    s.dataSource.register(PagedSource)
+    raw = s.read.format("paged").option("pages", 5).option("size", 50).option("total", 120).load()
+    return normalize.normalized(normalize.parsed(raw, "json")).select("video_id", "title")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 2 = 0 THEN '{\"id\": ' || doc_id || '}' END AS json FROM documents")
+def batched_lookup(s, d):
+    from corvane.sources.paged import looked_up
+
+    return looked_up(table(s, d, "documents").select(F.col("doc_id").alias("id")), lambda ids: {i: f'{{"id": {i}}}' for i in ids if int(i) % 2 == 0})
+
+
+@query("SELECT source, count(*) AS n FROM documents WHERE text <> '' GROUP BY source")
+def streaming_ingest(s, d):
+    """All documents through a stream into the shared folder, then counted from there."""
+    import tempfile
+    import uuid
+
+    from corvane.streaming.ingest import ingest_stream, stream_table
+
+    base = f"{s.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='corvane-')}/stream-{uuid.uuid4().hex}"
+    stream = stream_table(s, f"{d}/documents.parquet*", table(s, d, "documents").schema)
+    ingest_stream(stream, lambda b: b.select("doc_id", "source", F.length("text").alias("n")), f"{base}/out", f"{base}/checkpoint", valid="text <> ''").awaitTermination()
+    return s.read.parquet(f"{base}/out").groupBy("source").agg(F.count("*").alias("n"))

@@ -79,3 +79,15 @@ def save_store(store: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def load_store(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+def sources(spark: SparkSession, database: str | None = None) -> DataFrame:
+    """(name, valid): tables of the catalog, by name, and whether each has the required columns."""
+    names = sorted(t.name for t in spark.catalog.listTables(database))
+    return spark.createDataFrame([(n, {*REQUIRED} <= {*spark.table(n).columns}) for n in names], "name string, valid boolean")
+
+
+def read_dataset(spark: SparkSession, path: str) -> DataFrame:
+    """(file, triple_count, size, modified) of graph files."""
+    schema = "triples array<struct<subject string, predicate string, object string>>"
+    return spark.read.schema(schema).json(path, multiLine=True).select(F.col("_metadata.file_path").alias("file"), F.size(F.coalesce("triples", F.array())).alias("triple_count"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_modification_time").alias("modified"))

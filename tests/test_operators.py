@@ -172,6 +172,9 @@ def test_files_round_trip(spark, tmp_path):
     files.write_triples(t, str(tmp_path / "out"))
     files.save_store(t, str(tmp_path / "store"))
     assert files.load_store(spark, str(tmp_path / "store")).count() == 2
+    assert files.read_dataset(spark, str(tmp_path / "kg.json")).first().triple_count == 2
+    t.createOrReplaceTempView("some_triples")
+    assert ("some_triples", False) in [tuple(r) for r in files.sources(spark).collect()]
     assert files.datasets(spark, str(tmp_path / "kg.json")).first().length > 0
     assert files.node_link(t, nodes).count() == 6
     assert files.graphml_lines(t, nodes).filter("value like '<edge%'").count() == 2
@@ -214,3 +217,11 @@ def test_registry_and_retry():
         retried(lambda: calls.append(1) or (_ for _ in ()).throw(OSError()), retries=2, sleep=lambda _: None)
     assert len(calls) == 3
     assert status_of(KeyError()) == 404 and status_of(RuntimeError()) == 500
+
+
+def test_config():
+    from corvane.plans.config import ExtractionConfig
+
+    assert ExtractionConfig.of({"primary_limit": 5}).describe()["primary_limit"] == 5
+    with pytest.raises(ValueError):
+        ExtractionConfig.of({"nothing": 1})
