@@ -23,12 +23,12 @@ def delete(store: DataFrame, ids: list[Any], key: str) -> DataFrame:
 def top_k(queries: DataFrame, store: DataFrame, *, k: int = 5, metric: str = "cosine", filters: dict | None = None, threshold: float = 0.0, query_key: str = "query_id", query_vector: str = "query_vector", key: str = "vec_id", vector: str = "embedding", digits: int = 6, keep: list[str] | None = None) -> DataFrame:
     """The k best stored rows of each query, filtered first, ties to the smaller key; a threshold above 0 drops lower scores afterwards.
 
-    Queries are a stated set, small beside the store: each stored row is scored against all of them where it lies, and ranking
-    keeps k rows per query and task before the shuffle.
+    Queries are a stated set. Spark broadcasts them while they are below its threshold, so that each stored row is scored where
+    it lies, and pairs blocks of both sides beyond it; ranking keeps k rows per query and task before the shuffle.
     """
     found = store.filter(matches(filters, store.columns)) if filters else store
     q = queries.select(F.col(query_key), F.col(query_vector).alias("__q"))
-    scored = found.crossJoin(F.broadcast(q)).select(query_key, key, *(keep or []), F.round(vx.similarity(F.col("__q"), F.col(vector), metric), digits).alias("score"))
+    scored = found.crossJoin(q).select(query_key, key, *(keep or []), F.round(vx.similarity(F.col("__q"), F.col(vector), metric), digits).alias("score"))
     rank = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), key))
     out = scored.withColumn("rank", rank).filter(F.col("rank") <= (k or 5))
     return out.filter(F.col("score") >= threshold) if threshold > 0 else out
@@ -53,7 +53,7 @@ def top_k_cells(queries: DataFrame, indexed: DataFrame, centroids: DataFrame, *,
     near = queries.crossJoin(F.broadcast(centroids)).withColumn("__s", vx.similarity(F.col(query_vector), F.col("centre"), "cosine"))
     probed = near.withColumn("__n", F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("__s"), "cell"))).filter(F.col("__n") <= probes)
     key, vector = options.get("key", "vec_id"), options.get("vector", "embedding")
-    scored = indexed.join(F.broadcast(probed.select(query_key, F.col(query_vector).alias("__q"), "cell")), "cell").select(query_key, key, F.round(vx.similarity(F.col("__q"), F.col(vector), options.get("metric", "cosine")), 6).alias("score"))
+    scored = indexed.join(probed.select(query_key, F.col(query_vector).alias("__q"), "cell"), "cell").select(query_key, key, F.round(vx.similarity(F.col("__q"), F.col(vector), options.get("metric", "cosine")), 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), key))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 
