@@ -129,6 +129,7 @@ def seeds(per_template: int = 12, seed: int = 7) -> list[tuple[str, int]]:
     ]
     bad = [
         lambda: f"{w()} 20{n(2)}-{r.randint(10, 12)}-{r.randint(10, 28)} {w()}", lambda: f"{w()} {r.randint(10, 28)}.{r.randint(10, 12)}.19{n(2)} {w()}", lambda: f"version {n(1)}.{n(2)}.{n(4)}.{n(3)}", lambda: f"pages {n(3)}-{n(4)} {w()}", lambda: f"isbn {n(3)}-{n(1)}-{n(3)}-{n(5)}-{n(1)}", lambda: f"order {n(8)} {w()}", lambda: f"{w()} {n(3)} {n(3)} {n(3)} {w()}",
+        lambda: f"{w()} 20{n(2)}-{r.randint(10, 12)}-{r.randint(10, 28)} {r.randint(10, 23)}:{n(2)} {w()}", lambda: f"{w()} {r.randint(10, 28)}.{r.randint(10, 12)}.20{n(2)} {r.randint(10, 23)}:{n(2)}", lambda: f"{w()} {r.randint(1, 99)} {n(3)} {n(3)} {n(3)} {w()}",
         lambda: f"{w()} {n(7)} {w()}", lambda: f"no {n(9)} {w()}", lambda: f"{w()} 19{n(2)} - 20{n(2)} {w()}", lambda: f"{w()} 20{n(2)}/20{n(2)} {w()}", lambda: f"{w()} {n(8)} {w()}",
         lambda: f"{w()}-{w()}-{w()}-{w()}-{n(1)}{w()} {w()}", lambda: f"the {w()}_{w()}_{w()}_{w()}_{n(2)} {w()}", lambda: f"{w()}{w()}{w()}{w()}{w()}{w()}2 {w()}",
         lambda: f"{w()} at {w()}.{w()} {w()}", lambda: f"the {w()} at {w()}. {w()}", lambda: f"{w()} at {w()} .{w()}", lambda: f"at {w()} at {w()}.{w().capitalize()}", lambda: f"{w()} {n(2)}:{n(2)}:{n(2)}:{n(2)}:{n(2)}:{n(2)}:{n(2)} {w()}",
