@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -81,6 +83,28 @@ def batch_groups(sizes: np.ndarray, budget: int) -> list[tuple[int, int]]:
     return ranges
 
 
+_LEAN: list[bool] = []
+
+
+def lean() -> None:
+    """Once per worker: freed memory goes back to the system, as workers stay alive between stages and share an executor's memory."""
+    if not _LEAN:
+        _LEAN.append(True)
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: blocks over 1 MB are mapped, and unmapped when freed
+        except OSError:  # another C library: its own rules hold
+            pass
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int, budget: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches, as many at a time as hold budget bytes of text; a longer text is a batch of its own. This bounds a worker's memory."""
+    lean()
+    for b in batches:
+        for i, j in batch_groups(np.asarray(pc.fill_null(pc.binary_length(b.column(column)), 0)), budget):
+            yield b.slice(i, j - i)
+
+
 def small_side(df: DataFrame, most_rows: int) -> DataFrame:
     """df, written and counted; hinted for broadcast only if it has most_rows at most, else joined by shuffle."""
     kept = written(df, "side")

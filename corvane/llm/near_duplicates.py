@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import batch_groups, small_side, split_words, written
+from corvane.llm.common import batch_groups, lean, slices, small_side, split_words, written
 from corvane.operators.graph import connected_components
 
 _GOLD, _P = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x100000001B3)
@@ -104,7 +104,7 @@ def signed(docs: DataFrame, *, id_col: str, text_col: str, width: int, bands: in
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for b in batches:
+        for b in slices(batches, 2):
             words, ends = split_words(b.column(2))
             hashes = word_hashes(words)
             for i, j in batch_groups(np.diff(ends), block_words):
@@ -140,6 +140,7 @@ def verified(pairs: DataFrame, sets: DataFrame, *, part_bytes: int = 8 << 20) ->
     dealt = rows.repartition("a", "part").sortWithinPartitions("a", "part", "side").select("a", "node", "side", "codes")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         held = np.zeros(0, np.uint32)
         for b in batches:
             first, second, found = [], [], []
@@ -207,6 +208,7 @@ def across(rest: DataFrame, sets: DataFrame, threshold: float, *, block_nodes: i
     ready = dealt.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high").select("bucket", "low", "high", "node", "component", "codes")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         at, nodes, parts, codes = None, [], [], []
 
         def told() -> pa.RecordBatch:

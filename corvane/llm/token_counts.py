@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import batch_groups, split_words, sums
+from corvane.llm.common import batch_groups, slices, split_words, sums
 
 _LOADED: dict[str, tuple] = {}
 #: Marks that may be cut from the end of a piece; quotes and angle brackets stay, which contractions and special strings need.
@@ -62,7 +62,7 @@ def count_tokens(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
     """doc_id, n_bytes, n_tokens, over_limit for each row. path: a tokenizers .json file that is present on every worker."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 1, 16 << 20):
             # ASCII case is the tokenizer's to drop, but special strings are matched before it drops it
             text = pc.if_else(pc.match_substring(b.column(1), "<|"), b.column(1), pc.ascii_lower(b.column(1)))
             flat, ends = split_words(text)
