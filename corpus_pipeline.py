@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import language_id, mixing, near_duplicates, packing, pii
-from corvane.llm.common import word_count, written
+from corvane.llm.common import marked, release, word_count, written
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,10 +47,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir, each written to the shared folder and read again."""
+    """All stages over the documents of sf_dir, each written to the shared folder and read again; what earlier stages wrote there is deleted."""
+    since = marked()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = written(docs, name)
+            release(spark, since, keep_last=True)
     return docs

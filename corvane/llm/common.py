@@ -49,8 +49,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths that this process has written to the shared folder and not released.
+_PATHS: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _PATHS.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _PATHS[-1]
+
+
+def marked() -> int:
+    """A place in the list of written paths, for release()."""
+    return len(_PATHS)
+
+
+def release(spark: SparkSession, since: int = 0, *, keep_last: bool = False) -> None:
+    """Delete what was written to the shared folder since a mark, except the last path if wanted. Results that still read there must have been used."""
+    stop = len(_PATHS) - keep_last
+    for path in _PATHS[since:stop]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    del _PATHS[since:stop]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
