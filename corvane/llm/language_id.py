@@ -81,7 +81,7 @@ def features(texts: pa.Array) -> Iterator[np.ndarray]:
         i = j
 
 
-def svm(x: np.ndarray, y: np.ndarray, *, rounds: int = 150, penalty: float = 1e-3) -> np.ndarray:
+def svm(x: np.ndarray, y: np.ndarray, *, rounds: int = 80, penalty: float = 1e-3) -> np.ndarray:
     """Weights (the last is the bias) of a linear machine with squared hinge loss; y is -1 or 1, both sides weigh the same."""
     x = np.hstack((x, np.ones((len(x), 1), np.float32)))
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
@@ -128,12 +128,16 @@ class Model:
 def fit(rows: DataFrame, *, max_train_rows: int = 2400) -> Model | None:
     """rows: key, lang, text of labelled rows. Ids are ranked first, so only the sample's texts are read to the end."""
     named = rows.filter(F.col("lang").isNotNull() & F.col("key").isNotNull())
-    langs = sorted(r[0] for r in named.select("lang").distinct().collect())
-    if not langs:
+    sizes = {r["lang"]: r["count"] for r in named.groupBy("lang").count().collect()}
+    if not sizes:
         return None
-    each = max(1, max_train_rows // len(langs))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")
-    chosen = named.select("key", "lang").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= each).select("key").distinct()
+    each = max(1, max_train_rows // len(sizes))
+    # only hashes low enough for about four times the sample are ranked, so a frequent language is no hot spot
+    draw = F.shiftrightunsigned(F.xxhash64("key"), 1)
+    low = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, (int(min(1.0, 4 * each / n) * 2**53) << 10) - 1)))
+    order = Window.partitionBy("lang").orderBy("draw", "key")
+    drawn = named.select("key", "lang", draw.alias("draw")).filter(F.col("draw") <= F.element_at(low, F.col("lang")))
+    chosen = drawn.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= each).select("key").distinct()
     # at most max_train_rows ids (more than one per language only below that), so this side is always small
     sample = named.join(F.broadcast(chosen), "key", "left_semi").filter(F.col("text").rlike(r"\p{L}"))
 
