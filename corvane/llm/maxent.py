@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import split_words, sums, written
+from corvane.llm.common import slices, split_words, sums, written
 
 #: The end token. A word never holds a space.
 END = " "
@@ -162,7 +162,7 @@ def count_words(texts: DataFrame) -> DataFrame:
     """(word, n) over all rows of one text column; each Arrow batch is counted before the shuffle."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 0, 16 << 20):
             flat, _ = split_words(pc.ascii_lower(b.column(0)))
             found = flat.value_counts()
             yield pa.RecordBatch.from_arrays([pa.concat_arrays([found.field(0), pa.array([END])]), pa.concat_arrays([found.field(1), pa.array([b.num_rows], pa.int64())])], ["word", "n"])
@@ -194,7 +194,7 @@ def fit(texts: DataFrame, words: Words, *, rounds: int = 3, rate: float = 0.15)
         def trained(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
             own, g2, seen, v = now.value.copy(), np.zeros_like(now.value), 0, vocabulary.value
             end = v.end_place()
-            for b in batches:
+            for b in slices(batches, 0):
                 _, tokens, ends, ids, _ = v.coded(b.column(0))
                 full, _, back = v.with_ends(ids[tokens], ends, end if 0 <= end < HEAD else HEAD)
                 train(own, g2, full, back, rate)
@@ -237,7 +237,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         v = vocabulary.value
         logs_of = np.append(np.log10(v.counts + 1.0), 0.0)  # at -1: left to the join
         end = v.end_place()
-        for b in batches:
+        for b in slices(batches, 3):
             distinct_words, tokens, ends, ids, place = v.coded(b.column(3))
             full, all_ends, back = v.with_ends(ids[tokens], ends, end if 0 <= end < HEAD else HEAD)
             spot, _, _ = v.with_ends(place[tokens], ends, end)
