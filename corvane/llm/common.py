@@ -111,7 +111,9 @@ def lean() -> None:
         _LEAN.append(True)
         pa.set_memory_pool(pa.system_memory_pool())
         try:
-            ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: blocks over 1 MB are mapped, and unmapped when freed
+            libc = ctypes.CDLL("libc.so.6")
+            libc.mallopt(-3, 16 << 20)  # M_MMAP_THRESHOLD: blocks over 16 MB are mapped, and unmapped when freed
+            libc.mallopt(-1, 64 << 20)  # M_TRIM_THRESHOLD: so much stays at hand for the smaller ones
         except OSError:  # another C library: its own rules hold
             pass
 
