@@ -1,9 +1,9 @@
 """Near duplicates by ProbMinHash, banding and verification.
 
-Each text becomes its set of 5-word shingles, weighted by 1 + ln(count). Every shingle emits a Poisson process whose rate is its
-weight; an arrival lands in a random register, which keeps its earliest. A shingle stops when its next arrival comes later than
-every register's, so long texts cost little more than one arrival a shingle. Registers agree with the probability Jaccard
-similarity of the weighted sets. Bands of registers propose, and the Jaccard similarity of the shingle sets decides.
+Each text becomes its set of 5-word shingles. Every shingle emits a Poisson process of its weight's rate; an arrival lands in a
+random register, which keeps its earliest. A shingle stops when its next arrival comes later than every register's, so long texts
+cost little more than one arrival a shingle. All weights are one, however often a shingle repeats, so two registers agree with the
+probability that is the Jaccard similarity of the shingle sets. Bands of registers propose by it, and the same similarity decides.
 
 No group is gathered or paired out. Texts with one shingle set are one node. In each band bucket every node is verified against
 the bucket's leader, so a bucket costs a row per member. Pairs that miss each other there are looked for afterwards: where a
@@ -109,8 +109,8 @@ def signed(docs: DataFrame, *, id_col: str, text_col: str, width: int, bands: in
             hashes = word_hashes(words)
             for i, j in batch_groups(np.diff(ends), block_words):
                 own = ends[i : j + 1] - ends[i]
-                row, code, count = shingles(hashes[ends[i] : ends[j]], own, width)
-                keys = band_keys(prob_minhash(row, code, 1 + np.log(count), j - i, bands * rows), bands)
+                row, code, _ = shingles(hashes[ends[i] : ends[j]], own, width)
+                keys = band_keys(prob_minhash(row, code, np.ones(len(code)), j - i, bands * rows), bands)
                 cuts = np.searchsorted(row, np.arange(j - i + 1))
                 nodes, codes, sizes = [], [], []
                 for k in range(j - i):
