@@ -6,7 +6,9 @@ payloads the one with the largest id is the response, the others revisit it; pay
 
 Reading: a gzip member must end and match its checksum, a record must have a version line, a length that fits and a matching
 block digest. After a failed check the reader searches on from the next byte for a member or version line that passes, goes on
-there, and logs the bytes between as a quarantined gap.
+there, and logs the bytes between as a quarantined gap. A member's content is searched by version lines in the same way; of a
+member that breaks off or fails its checksum, what came out before counts too, and the records whose own digests pass are kept.
+Records and gaps inside a member have the member's offset and length (up to its last kept record, if it is broken).
 
 Defined results: a null payload is empty; a null id or address is written without value and read as null; of repeated rows with
 the responding id each is a response; white space and control characters in an address are percent-encoded; other columns are
@@ -16,6 +18,7 @@ ignored, so their names cannot clash; an empty table gives no records.
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import re
 import zlib
@@ -32,6 +35,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: A gzip member without content (fixed value: header, an empty final block, CRC and size of nothing).
 EMPTY_MEMBER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff\x03\x00\x00\x00\x00\x00\x00\x00\x00\x00"
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
+VERSION_LINE, STARTS = re.compile(re.escape(VERSION)), re.compile(re.escape(MAGIC) + b"|" + re.escape(VERSION))
 #: Fields that every record has.
 REQUIRED = {b"warc-type", b"warc-record-id", b"warc-date", b"content-length"}
 CHUNK = 1 << 14
@@ -84,91 +88,147 @@ def _headers(head: bytes) -> dict[bytes, bytes]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in head.split(b"\r\n")[1:])}
 
 
-def parse(data: bytes | memoryview, pos: int) -> tuple[dict | None, int, str]:
-    """The record at pos, the place after it, and what failed."""
-    if bytes(data[pos : pos + 7]) != VERSION:
+class Heads:
+    """Where headers end in a buffer that is read forwards.
+
+    However many version lines lie before one header's end, it is searched once, and not read again while it must fail again.
+    """
+
+    def __init__(self, data: bytes) -> None:
+        self.data, self.end, self.fails_before = data, None, 0
+
+    def end_of(self, pos: int) -> int:
+        """The place of the blank line that ends a header at pos, -1 if there is none or if that header is known to fail."""
+        if pos < self.fails_before:
+            return -1
+        if self.end is None or 0 <= self.end < pos:
+            self.end = self.data.find(b"\r\n\r\n", pos)
+        return self.end
+
+
+def parse(data: bytes, pos: int, heads: Heads | None = None, digests: bool = False) -> tuple[dict | None, int, str]:
+    """The record at pos, the place after it, and what failed. With digests, a record without a block digest fails."""
+    if data[pos : pos + 7] != VERSION:
         return None, pos, "version"
-    head_end = -1
-    for size in (2048, 1 << 16):
-        if (head_end := bytes(data[pos : pos + size]).find(b"\r\n\r\n")) >= 0:
-            break
+    heads = heads or Heads(data)
+    head_end = heads.end_of(pos)
     if head_end < 0:
         return None, pos, "header"
-    h = _headers(bytes(data[pos : pos + head_end]))
-    start = pos + head_end + 4
+    head = data[pos:head_end]
+    h = _headers(head)
+    start = head_end + 4
+    # a later version line before the same end has fewer of these fields and the same length
     if not h.keys() >= REQUIRED:
+        heads.fails_before = head_end
         return None, pos, "header"
     if not h[b"content-length"].isdigit():
+        heads.fails_before = head_end
         return None, pos, "length"
     stop = start + int(h[b"content-length"])
-    if stop + 4 > len(data) or bytes(data[stop : stop + 4]) != b"\r\n\r\n":
+    if stop + 4 > len(data) or data[stop : stop + 4] != b"\r\n\r\n":
+        heads.fails_before = head_end
         return None, pos, "length"
-    block = bytes(data[start:stop])
-    if (d := h.get(b"warc-block-digest", b"")).startswith(b"sha1:") and d[5:].decode("latin-1") != sha1(block):
+    block, d = data[start:stop], h.get(b"warc-block-digest", b"")
+    if d.startswith(b"sha1:") and d[5:].decode("latin-1") != sha1(block):
+        # while the digest's line is part of the header
+        heads.fails_before = pos + max((m.start() for m in re.finditer(rb"\r\n\s*warc-block-digest\s*:", head, re.I)), default=0)
+        return None, pos, "digest"
+    if digests and not d.startswith(b"sha1:"):
         return None, pos, "digest"
     return h | {b"": block}, stop + 4, ""
 
 
-def inflate(data: memoryview, pos: int) -> tuple[bytes | None, int]:
-    """The content of the gzip member at pos and the place after it; None if it breaks off or its checksum fails."""
+def inflate(data: memoryview, pos: int) -> tuple[bytes, int, bool]:
+    """The content of the gzip member at pos, the place after it, and whether it is whole; else, what comes out before it breaks off or fails."""
     d, out, at, size = zlib.decompressobj(31), [], pos, 0
     try:
         while not d.eof:
             part = data[at : at + CHUNK]
             if not len(part):
-                return None, pos
+                return b"".join(out), at, False
             out.append(d.decompress(part))
             size += len(out[-1])
             if size > MOST:
-                return None, pos
+                return b"".join(out), at, False
             at += len(part)
     except zlib.error:
-        return None, pos
-    return b"".join(out), at - len(d.unused_data)
+        # the failing call gives nothing back: again up to it, then byte by byte
+        d = zlib.decompressobj(31)
+        for p in range(pos, at, CHUNK):
+            d.decompress(data[p : p + CHUNK])
+        with contextlib.suppress(zlib.error):
+            for p in range(at, min(at + CHUNK, len(data))):
+                out.append(d.decompress(data[p : p + 1]))
+        return b"".join(out), at, False
+    return b"".join(out), at - len(d.unused_data), True
+
+
+def place_of(data: memoryview, pos: int, size: int) -> int:
+    """The first place at which so many bytes have come out of the member at pos."""
+    d, at, out = zlib.decompressobj(31), pos, 0
+    while out < size:
+        before = d.copy()
+        try:
+            n = len(d.decompress(data[at : at + CHUNK]))
+        except zlib.error:
+            n = size
+        if out + n < size:
+            out, at = out + n, at + CHUNK
+            continue
+        while out < size:
+            out, at = out + len(before.decompress(data[at : at + 1])), at + 1
+    return at
 
 
-def found_next(buffer: bytes, pos: int) -> int:
+def found_next(buffer: bytes, pos: int, members: bool = True) -> int:
     """The next place where a member or a version line may begin."""
-    places = [p for p in (buffer.find(MAGIC, pos), buffer.find(VERSION, pos)) if p >= 0]
-    return min(places, default=len(buffer))
+    m = (STARTS if members else VERSION_LINE).search(buffer, pos)
+    return m.start() if m else len(buffer)
+
 
+def inside(content: bytes, whole: bool) -> tuple[list[tuple[dict | None, str]], int, str]:
+    """Records and gaps of a member's content, the place after the last record, and what failed first. Of a broken member, up to the last record."""
+    found = list(salvage(content, members=False, digests=not whole))
+    last = max((k for k, x in enumerate(found) if x[2]), default=-1)
+    bad = next((x[3] for x in found if x[2] is None), "")
+    kept = found if whole else found[: last + 1]
+    return [x[2:] for x in kept], sum(found[last][:2]) if last >= 0 else 0, bad
 
-def salvage(buffer: bytes) -> Iterator[tuple[int, int, dict | None, str]]:
+
+def salvage(buffer: bytes, *, members: bool = True, digests: bool = False) -> Iterator[tuple[int, int, dict | None, str]]:
     """(offset, length, record or None, fault) of all bytes of an archive but empty members and blank lines between records."""
-    data, pos, lost, fault = memoryview(buffer), 0, -1, ""
-
-    def step() -> tuple[list[dict], int, str]:
-        if data[pos : pos + 3] == MAGIC:
-            content, after = inflate(data, pos)
-            if content is None:
-                return [], pos, "member"
-            got, at = [], 0
-            while at < len(content):
-                r, at, bad = parse(content, at)
-                if r is None:
-                    return [], pos, bad
-                got.append(r)
-            return got, after, ""
-        r, after, bad = parse(data, pos)
-        return [] if r is None else [r], after, bad
+    data, heads, pos, lost, fault = memoryview(buffer), Heads(buffer), 0, -1, ""
+
+    def step() -> tuple[list[tuple[dict | None, str]], int, str]:
+        """What is found at pos, the place after it, and what failed there."""
+        if members and data[pos : pos + 3] == MAGIC:
+            content, after, whole = inflate(data, pos)
+            got, size, bad = inside(content, whole)
+            if not size and (bad or not whole):
+                return [], pos, bad if whole else "member"
+            return (got, after, "") if whole else (got, place_of(data, pos, size), "member")
+        r, after, bad = parse(buffer, pos, heads, digests)
+        return [] if r is None else [(r, "")], after, bad
 
     while pos < len(buffer):
         if data[pos] in b"\r\n" and lost < 0:
             pos += 1
             continue
         got, after, bad = step()
+        if lost >= 0 and (got or not bad):
+            if pos > lost:
+                yield lost, pos - lost, None, fault
+            lost = -1
+        for r, inner in got:
+            yield pos, after - pos, r, inner
         if bad:
             if lost < 0:
-                lost, fault = pos, bad
-            pos = found_next(buffer, pos + 1)
+                lost, fault = after, bad
+            # of a broken member with records, the next one may begin right after them
+            pos = found_next(buffer, after if got else pos + 1, members)
             continue
-        if lost >= 0:
-            yield lost, pos - lost, None, fault
-            lost = -1
-        for r in got:
-            yield pos, after - pos, r, ""
         pos = after
-    if lost >= 0:
+    if 0 <= lost < len(buffer):
         yield lost, len(buffer) - lost, None, fault
 
 
