@@ -509,7 +509,7 @@ def topk_filtered(s, d):
 def topk_cells(s, d):
     e = table(s, d, "embeddings")
     c = vs.centroids_of(e, 16)
-    return vs.top_k_cells(asked(s, d), vs.cells(e, c), c, probes=8)
+    return vs.top_k_cells(asked(s, d), vs.cells(e, c), c, probes=12)
 
 
 @query("SELECT vec_id, label FROM embeddings WHERE label = 4 AND vec_id > 100")
