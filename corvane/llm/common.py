@@ -41,9 +41,11 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset (tests) a folder of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset and all runs in one process (tests) a folder of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="corvane-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -126,7 +128,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, budget: int = 6 << 20
             yield b.slice(i, j - i)
 
 
-def small_side(df: DataFrame, most_rows: int) -> DataFrame:
-    """df, written and counted; hinted for broadcast only if it has most_rows at most, else joined by shuffle."""
-    kept = written(df, "side")
+def hinted(kept: DataFrame, most_rows: int) -> DataFrame:
+    """A written table, counted; hinted for broadcast only if it has most_rows at most, else joined by shuffle."""
     return F.broadcast(kept) if kept.count() <= most_rows else kept
+
+
+def small_side(df: DataFrame, most_rows: int) -> DataFrame:
+    """df, written and hinted."""
+    return hinted(written(df, "side"), most_rows)

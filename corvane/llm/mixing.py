@@ -1,12 +1,15 @@
 """Mixing overlapping sources to target weights by a min-cost flow.
 
-Documents are summed by membership pattern (the set of sources they belong to). A small graph routes each pattern's words to
-the sources' quotas; a pattern's first copy costs least and each further copy more (convex), so repetition is used only where
-quotas need it. A pattern's flow is then met by whole copies of all its documents and, for the rest, by documents taken in a
-seeded order: a histogram of the order's hash finds where to stop, and single documents of fitting size close the gap.
+Documents are summed by membership pattern (the set of sources they belong to). A flow routes each pattern's words to the
+sources' quotas; a pattern's first copy costs least and each further copy more (convex), so repetition is used only where quotas
+need it. A source that shares no document with another has a pattern of its own, whose flow is its quota; only patterns that
+link sources, and the sources they link, are solved as a graph. A pattern's flow is met by whole copies of all its documents
+and, for the rest, by documents taken in a seeded order: histograms by the leading bits of the order's hash, 256 bins at a time,
+find where to stop, and single documents of fitting size close the gap.
 
-Only sums by pattern, a histogram of fixed size by pattern, and a few documents by pattern reach the driver; patterns are
-limited by ``max_patterns`` (an error beyond). Documents are never ranked in one task.
+Sources, quotas, patterns and stops are tables throughout, of any number of rows. Only the linked part of the graph reaches the
+driver, a number a pattern; it is limited by ``max_linked`` patterns (an error beyond, never a cut). Documents are never ranked
+in one task.
 
 Defined results: a null text has size 0 and is never short of its target; a document without sources (null) forms a source of
 its own, the last; repeated rows are documents of their own; an empty table gives an empty mix; columns of the input with the
@@ -15,149 +18,222 @@ names of the output are replaced.
 
 from __future__ import annotations
 
-import heapq
-import json
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import word_count, written
+from corvane.llm.common import hinted, small_side, word_count, written
 
-BUCKETS = 1 << 16
+#: The order's hash has 63 bits; a histogram looks at BITS of them, and so many follow one another.
+ORDER_BITS, BITS, LEVELS = 63, 8, 3
+#: Rows of a table by pattern or source up to which it is broadcast.
+SMALL = 200_000
 
 
-def targets(sizes: list[int], weights: list[float], total: float, repeats: int) -> list[float]:
-    """Shares of the total by weight; none is above `repeats` times its source's size, and what is cut off is shared anew."""
-    out, free, left = [0.0] * len(sizes), list(range(len(sizes))), float(total)
-    while free:
-        unit = left / sum(weights[i] for i in free)
-        full = [i for i in free if weights[i] * unit > repeats * sizes[i]]
-        if not full:
-            for i in free:
-                out[i] = weights[i] * unit
+def key_of(source: Column) -> Column:
+    """A source's name as a key that is never null and sorts by code point, null last."""
+    return F.coalesce(F.concat(F.lit("s"), source), F.lit("~"))
+
+
+def name_of(key: Column) -> Column:
+    return F.when(key != "~", F.substring(key, 2, 1 << 30))
+
+
+def weighed(sources: DataFrame, weights: dict[str | None, float] | None, save) -> DataFrame:
+    """Adds the weight: the given one (else 0), or by place in the order of names 1, 2, 3, and so on anew.
+
+    Places come from ranges of names: a row's place is that in its range and the rows of the ranges before.
+    """
+    if weights is not None:
+        given = sources.sparkSession.createDataFrame([("~" if s is None else f"s{s}", float(w)) for s, w in weights.items()], "source string, weight double")
+        return sources.join(given, "source", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+    ranged = save(sources.repartitionByRange("source").withColumn("part", F.spark_partition_id()))
+    held, offset, before = {r.part: r["count"] for r in ranged.groupBy("part").count().collect()}, 0, []  # a row for each partition
+    for part in sorted(held):
+        before += [F.lit(part), F.lit(offset)]
+        offset += held[part]
+    if not before:
+        return ranged.select("source", "size", F.lit(0.0).alias("weight"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("source")) - 1 + F.element_at(F.create_map(*before), F.col("part"))
+    return ranged.select("source", "size", (1.0 + place % 3).alias("weight"))
+
+
+def targeted(sources: DataFrame, total: float, repeats: int) -> DataFrame:
+    """Adds the target: shares of the total by weight; none is above `repeats` times its source's size, and what is cut off is shared anew.
+
+    The water level rises until no further source is full; each rise is one aggregation.
+    """
+    most = F.col("size") * float(repeats)
+    level, full = None, -1
+    while True:
+        over = F.col("weight") * F.lit(level if level is not None else 0.0) > most
+        held, weight, n = sources.filter("weight > 0").agg(F.sum(F.when(over, most)), F.sum(F.when(~over, F.col("weight"))), F.count(F.when(over, 1))).first()
+        if n == full or not weight:
             break
-        for i in full:
-            out[i] = float(repeats * sizes[i])
-            left -= out[i]
-        free = [i for i in free if i not in full]
-    return out
+        level, full = (total - (held or 0.0)) / weight, n
+    share = F.lit(float("inf") if level is None or not weight else level) * F.col("weight")
+    return sources.withColumn("target", F.when(F.col("weight") > 0, F.least(share, most)).otherwise(0.0))
 
 
 def min_cost_flow(supplies: list[int], members: list[list[int]], quotas: list[int], repeats: int) -> list[int]:
-    """Words to take from each pattern. Successive cheapest paths (Dijkstra with potentials) over patterns and sources.
+    """Words to take from each pattern: as much as the quotas can hold, at the least cost where copy k costs k * k a word.
 
-    Copy k of a pattern costs k * k a word. Arcs: start - pattern (one per copy), pattern - source, source - end.
+    Only entering a pattern costs anything, so cheapest paths come copy by copy: a maximum flow with one copy of each pattern, then
+    raised with a second, and so on. Each is raised by blocking flows over shortest paths.
     """
-    n, m = len(supplies), len(quotas)
-    start, end = n + m, n + m + 1
-    arcs: list[list[int]] = []  # to, capacity left, cost; arc i ^ 1 is the way back
-    at: list[list[int]] = [[] for _ in range(n + m + 2)]
-
-    def arc(a: int, b: int, room: int, cost: int) -> None:
-        for x, y, r, c in ((a, b, room, cost), (b, a, 0, -cost)):
-            at[x].append(len(arcs))
-            arcs.append([y, r, c])
-
-    for p in range(n):
-        for k in range(repeats):
-            arc(start, p, supplies[p], k * k)
-        for s in members[p]:
-            arc(p, n + s, repeats * supplies[p], 0)
-    for s in range(m):
-        arc(n + s, end, quotas[s], 0)
-    height = [0] * (n + m + 2)
-    while True:
-        far, way, heap = {start: 0}, {}, [(0, start)]
-        while heap:
-            d, x = heapq.heappop(heap)
-            if d > far[x]:
+    users: list[list[int]] = [[] for _ in quotas]
+    for p, own in enumerate(members):
+        for s in own:
+            users[s].append(p)
+    sent = [dict.fromkeys(own, 0) for own in members]
+    room = list(quotas)
+    for _ in range(repeats):
+        spare = list(supplies)
+        while (depth := _depths(spare, members, users, sent, room)) is not None:
+            _block(spare, members, users, sent, room, *depth)
+    return [sum(x.values()) for x in sent]
+
+
+def _depths(spare, members, users, sent, room) -> tuple[dict[int, int], dict[int, int]] | None:
+    """Distances of patterns and sources from the patterns with words left, up to the nearest source with room; None if there is none."""
+    deep_p, deep_s = {p: 0 for p, n in enumerate(spare) if n > 0}, {}
+    front, d = list(deep_p), 0
+    while front:
+        reached = []
+        for p in front:
+            for s in members[p]:
+                if s not in deep_s:
+                    deep_s[s] = d + 1
+                    reached.append(s)
+        if any(room[s] > 0 for s in reached):
+            return deep_p, deep_s
+        d, front = d + 2, []
+        for s in reached:
+            for p in users[s]:
+                if p not in deep_p and sent[p][s] > 0:
+                    deep_p[p] = d
+                    front.append(p)
+    return None
+
+
+def _block(spare, members, users, sent, room, deep_p, deep_s) -> None:
+    """Sends all that shortest paths can carry. Each list of arcs is walked once."""
+    at_p, at_s = dict.fromkeys(deep_p, 0), dict.fromkeys(deep_s, 0)
+    for start in [p for p, d in deep_p.items() if d == 0]:
+        path = [start]  # pattern, source, pattern, source, ...
+        while path and spare[start] > 0:
+            if len(path) % 2:
+                p = path[-1]
+                own = members[p]
+                while at_p[p] < len(own) and deep_s.get(own[at_p[p]]) != deep_p[p] + 1:
+                    at_p[p] += 1
+                if at_p[p] == len(own):
+                    path.pop()
+                    if path:
+                        at_s[path[-1]] += 1
+                    continue
+                path.append(own[at_p[p]])
                 continue
-            for i in at[x]:
-                y, room, cost = arcs[i]
-                if room > 0 and (new := d + cost + height[x] - height[y]) < far.get(y, new + 1):
-                    far[y], way[y] = new, i
-                    heapq.heappush(heap, (new, y))
-        if end not in far:
-            break
-        top = far[end]
-        for x in range(len(height)):
-            height[x] += min(far.get(x, top), top)
-        path, x = [], end
-        while x != start:
-            path.append(way[x])
-            x = arcs[way[x] ^ 1][0]
-        flow = min(arcs[i][1] for i in path)
-        for i in path:
-            arcs[i][1] -= flow
-            arcs[i ^ 1][1] += flow
-    return [sum(arcs[i ^ 1][1] for i in at[p] if arcs[i][0] >= n and arcs[i][0] < n + m) for p in range(n)]
-
-
-def mix(rows: DataFrame, *, weights: dict[str | None, float] | None = None, repeats: int = 3, seed: int = 17, max_patterns: int = 20_000) -> tuple[DataFrame, dict[str | None, tuple[int, float]]]:
-    """rows: doc_id, sources (array of strings), size, and others. Returns the rows with `copies` (0 to repeats), and (size, target) by source.
+            s = path[-1]
+            if room[s] > 0:
+                x = min([spare[start], room[s], *(sent[path[i + 1]][path[i]] for i in range(1, len(path) - 1, 2))])
+                for i in range(0, len(path), 2):
+                    sent[path[i]][path[i + 1]] += x
+                    if i:
+                        sent[path[i]][path[i - 1]] -= x
+                spare[start] -= x
+                room[s] -= x
+                path = [start]
+                continue
+            while at_s[s] < len(users[s]) and not (deep_p.get(users[s][at_s[s]]) == deep_s[s] + 1 and sent[users[s][at_s[s]]][s] > 0):
+                at_s[s] += 1
+            if at_s[s] == len(users[s]):
+                path.pop()
+                at_p[path[-1]] += 1
+                continue
+            path.append(users[s][at_s[s]])
+
+
+def routed(patterns: DataFrame, sources: DataFrame, repeats: int, max_linked: int, save) -> DataFrame:
+    """(pattern, n, flow). A pattern alone with its source sends the source's quota; the others are solved together."""
+    quota = F.round("target").cast("long")
+    several = patterns.filter(F.size("pattern") > 1)
+    alone = patterns.filter(F.size("pattern") == 1).withColumn("source", F.col("pattern")[0])
+    if several.isEmpty():
+        return alone.join(small_side(sources.select("source", quota.alias("flow")), SMALL), "source").select("pattern", "n", F.least("flow", F.col("n") * repeats).alias("flow"))
+    links = save(several.select(F.explode("pattern").alias("source")).distinct())
+    linked = save(several.union(alone.join(links, "source", "left_semi").select("pattern", "n")))
+    found = linked.limit(max_linked + 1).collect()
+    if len(found) > max_linked:
+        raise ValueError(f"more than {max_linked} membership patterns link sources")
+    found.sort(key=lambda r: r.pattern)
+    goal = {r.source: r.flow for r in sources.join(links, "source", "left_semi").select("source", quota.alias("flow")).collect()}  # sources of those patterns
+    place = {s: i for i, s in enumerate(sorted(goal))}
+    flow = min_cost_flow([r.n for r in found], [[place[s] for s in r.pattern] for r in found], [goal[s] for s in place], repeats)
+    solved = patterns.sparkSession.createDataFrame([(r.pattern, r.n, f) for r, f in zip(found, flow, strict=True)], "pattern array<string>, n long, flow long")
+    rest = alone.join(links, "source", "left_anti").join(sources.select("source", quota.alias("flow")), "source").select("pattern", "n", F.least("flow", F.col("n") * repeats).alias("flow"))
+    return solved.union(rest)
+
+
+def stopped(docs: DataFrame, plan: DataFrame, save) -> DataFrame:
+    """(pattern, whole, cut, gap, fill): the last place that the seeded order takes, and the words still missing then."""
+    last = docs.schema["place"].dataType.simpleString()
+    state = save(plan.filter("rest > 0").select("pattern", "whole", "rest", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("before")))
+    full = docs.filter("size > 0")
+    for k in range(LEVELS):
+        inside = full.join(hinted(state, SMALL), "pattern").filter(F.shiftright("order", ORDER_BITS - BITS * k) == F.col("prefix"))
+        held = inside.groupBy("pattern", "whole", "rest", "before", F.shiftright("order", ORDER_BITS - BITS * (k + 1)).alias("bin")).agg(F.sum("size").alias("held"))
+        upto = held.withColumn("upto", F.col("before") + F.sum("held").over(Window.partitionBy("pattern").orderBy("bin")))  # 2 ** BITS bins a pattern at most
+        stop = upto.filter("upto > rest").groupBy("pattern", "whole", "rest").agg(F.min(F.struct("bin", (F.col("upto") - F.col("held")).alias("before"))).alias("x"))
+        state = save(stop.select("pattern", "whole", "rest", F.col("x.bin").alias("prefix"), "x.before"))
+    shift = ORDER_BITS - BITS * LEVELS
+    edge = full.join(hinted(state, SMALL), "pattern").filter(F.shiftright("order", shift) == F.col("prefix"))
+    edge = edge.withColumn("upto", F.col("before") + F.sum("size").over(Window.partitionBy("pattern").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)))
+    cut = edge.filter("upto <= rest").groupBy("pattern").agg(F.max("place").alias("cut"), F.max("upto").alias("upto"))
+    # nulls sort first, so a place of nulls takes no row of its own order
+    nothing = F.struct(F.shiftleft("prefix", shift).alias("order"), *(F.lit(None).alias(c) for c in ("doc_id", "size", "key"))).cast(last)
+    done = state.join(cut, "pattern", "left").select("pattern", "whole", F.coalesce("cut", nothing).alias("cut"), (F.col("rest") - F.coalesce("upto", "before")).alias("gap"), F.array().cast("array<bigint>").alias("fill"))
+    return done.union(plan.filter("rest = 0").select("pattern", "whole", F.lit(None).cast(last), F.lit(0).cast("long"), F.array().cast("array<bigint>")))
+
+
+def mix(rows: DataFrame, *, weights: dict[str | None, float] | None = None, repeats: int = 3, seed: int = 17, max_linked: int = SMALL) -> tuple[DataFrame, DataFrame]:
+    """rows: doc_id, sources (array of strings), size, and others. Returns the rows with `copies` (0 to repeats), and source, source_size and target.
 
     weights: by source; where absent, sources by code point, null last, weigh 1, 2, 3, and so on anew.
     """
     save = partial(written, name="mix")
-    order = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"))
-    extra = [c for c in rows.columns if c not in ("sources", "copies", "pattern", "bucket", "place")]
-    named = rows.withColumn("sources", F.when(F.size(F.coalesce("sources", F.array())) > 0, F.col("sources")).otherwise(F.array(F.lit(None).cast("string"))))
-    named = named.select(*extra, F.to_json(F.array_sort(F.array_distinct("sources")), {"ignoreNullFields": "false"}).alias("pattern"), F.monotonically_increasing_id().alias("__key"), order.alias("__order"))
-    docs = save(named.withColumn("bucket", F.shiftrightunsigned("__order", 48).cast("int")).withColumn("place", F.struct("bucket", "__order", "doc_id", "size", "__key")).drop("__order"))
-    spark = docs.sparkSession
-    found = docs.groupBy("pattern").agg(F.sum("size").alias("size")).limit(max_patterns + 1).collect()
-    if len(found) > max_patterns:
-        raise ValueError(f"more than {max_patterns} membership patterns")
-    patterns = sorted((r.pattern, int(r.size or 0)) for r in found)
-    sets = [json.loads(p) for p, _ in patterns]
-    sources = sorted({s for x in sets for s in x}, key=lambda s: (s is None, s or ""))
-    place = {s: i for i, s in enumerate(sources)}
-    own = [float(weights.get(s, 0)) if weights is not None else 1.0 + i % 3 for i, s in enumerate(sources)]
-    sizes = [sum(n for (_, n), x in zip(patterns, sets, strict=True) if s in x) for s in sources]
-    goal = targets(sizes, own, sum(n for _, n in patterns), repeats) if sum(own) else [0.0] * len(sources)
-    flow = min_cost_flow([n for _, n in patterns], [[place[s] for s in x] for x in sets], [round(t) for t in goal], repeats)
-    plan = {p: {"whole": f // n if n else 0, "rest": f % n if n else 0} for (p, n), f in zip(patterns, flow, strict=True)}
-
-    def table(column: str, kind: str, key: str) -> DataFrame:
-        """A value of the plan by pattern; max_patterns rows at most, so always small."""
-        return F.broadcast(spark.createDataFrame([(p, x[key]) for p, x in plan.items() if x.get(key) is not None], f"pattern string, {column} {kind}"))
-
-    # where the seeded order stops: first the bucket, then the row in it
-    counted = docs.filter("size > 0").groupBy("pattern", "bucket").agg(F.sum("size").alias("held"))
-    run = counted.withColumn("upto", F.sum("held").over(Window.partitionBy("pattern").orderBy("bucket"))).join(table("rest", "long", "rest"), "pattern")
-    stops = run.filter("upto > rest").groupBy("pattern").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("held")).alias("before"))).alias("stop")).collect()
-    for r in stops:
-        plan[r.pattern] |= {"stop": (r.stop.bucket, r.stop.before, plan[r.pattern]["rest"]), "gap": plan[r.pattern]["rest"] - r.stop.before, "cut": (r.stop.bucket,)}
-    edge = docs.filter("size > 0").join(table("stop", "struct<at: int, before: long, rest: long>", "stop"), "pattern").filter("bucket = stop.at")
-    edge = edge.withColumn("upto", F.col("stop.before") + F.sum("size").over(Window.partitionBy("pattern", "bucket").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)))
-    last = "struct<bucket: int, __order: bigint, doc_id: %s, size: bigint, __key: bigint>" % dict(docs.dtypes)["doc_id"]
-    for r in edge.filter("upto <= stop.rest").groupBy("pattern").agg(F.max("place").alias("cut"), F.max("upto").alias("upto")).collect():
-        plan[r.pattern] |= {"cut": tuple(r.cut), "gap": plan[r.pattern]["rest"] - r.upto}
-    for x in plan.values():
-        x |= {"cut": (x["cut"] + (None,) * 4)[:5] if "cut" in x else None, "fill": []}
+    row = F.struct(*(F.col(f"`{c}`") for c in rows.columns if c not in ("sources", "copies"))).alias("row")
+    some = F.when(F.size(F.coalesce("sources", F.array())) > 0, F.col("sources")).otherwise(F.array(F.lit(None).cast("string")))
+    order = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")), 64 - ORDER_BITS)
+    named = rows.select(row, "doc_id", "size", F.array_sort(F.array_distinct(F.transform(some, key_of))).alias("pattern"), order.alias("order"), F.monotonically_increasing_id().alias("__key"))
+    docs = save(named.withColumn("place", F.struct("order", "doc_id", "size", F.col("__key").alias("key"))))
+    lean = docs.select("pattern", "order", "place", "size")
+    patterns = save(lean.groupBy("pattern").agg(F.sum("size").alias("n")))
+    sources = weighed(patterns.select(F.explode("pattern").alias("source"), "n").groupBy("source").agg(F.sum("n").alias("size")), weights, save)
+    sources = save(targeted(save(sources), float(patterns.agg(F.sum("n")).first()[0] or 0), repeats))
+    flow = routed(patterns, sources, repeats, max_linked, save)
+    plan = save(flow.select("pattern", F.when(F.col("n") > 0, F.floor(F.col("flow") / F.col("n"))).otherwise(0).cast("int").alias("whole"), F.when(F.col("n") > 0, F.col("flow") % F.col("n")).otherwise(0).alias("rest")))
+    state = save(stopped(lean, plan, save))
 
     def taken() -> Column:
         """Whether the seeded order or a fill takes one more copy of a row."""
-        return F.coalesce((F.col("size") > 0) & (F.col("place") <= F.col("cut")), F.lit(False)) | F.coalesce(F.array_contains("fill", F.col("__key")), F.lit(False))
-
-    def planned() -> DataFrame:
-        return docs.join(table("cut", last, "cut"), "pattern", "left").join(table("fill", "array<bigint>", "fill"), "pattern", "left").join(table("whole", "int", "whole"), "pattern", "left")
+        return F.coalesce((F.col("size") > 0) & (F.col("place") <= F.col("cut")), F.lit(False)) | F.coalesce(F.array_contains("fill", F.col("place.key")), F.lit(False))
 
     for _ in range(3):  # the document whose size comes nearest to the gap, if that leaves less of a gap
-        if not any(x.get("gap", 0) > 0 for x in plan.values()):
+        if state.filter("gap > 0").isEmpty():
             break
-        open_ = planned().filter("size > 0").filter(~taken()).join(table("gap", "long", "gap"), "pattern").filter("gap > 0 and size < 2 * gap")
-        for r in open_.groupBy("pattern").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "place")).alias("x")).collect():
-            plan[r.pattern]["gap"] -= r.x.place["size"]
-            plan[r.pattern]["fill"].append(r.x.place["__key"])
-    out = planned().withColumn("copies", (F.coalesce("whole", F.lit(0)) + taken().cast("int")).cast("int"))
-    return out.withColumn("sources", F.from_json("pattern", "array<string>")).select(*extra, "sources", "copies"), {s: (n, t) for s, n, t in zip(sources, sizes, goal, strict=True)}
+        open_ = lean.join(small_side(state.filter("gap > 0"), SMALL), "pattern").filter("size > 0 and size < 2 * gap").filter(~taken())
+        best = open_.groupBy("pattern").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), "place")).alias("x"))
+        better = state.join(best, "pattern", "left")
+        state = save(better.select("pattern", "whole", "cut", F.coalesce(F.col("gap") - F.col("x.place.size"), F.lit(0)).alias("gap"), F.when(F.col("x").isNotNull(), F.array_append("fill", F.col("x.place.key"))).otherwise(F.col("fill")).alias("fill")))
+    out = docs.join(hinted(state, SMALL), "pattern", "left").withColumn("copies", (F.coalesce("whole", F.lit(0)) + taken().cast("int")).cast("int"))
+    return out.withColumn("sources", F.transform("pattern", name_of)).select("row.*", "sources", "copies"), sources.select(name_of(F.col("source")).alias("source"), F.col("size").alias("source_size"), "target")
 
 
 def mix_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", repeats: int = 3, seed: int = 17) -> DataFrame:
     """doc_id, size, source, source_size, target, copies and taken (size times copies) of documents with one source each."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.array(F.col(source_col).cast("string")).alias("sources"), word_count(F.col(text_col)).alias("size"))
     mixed, by_source = mix(rows, repeats=repeats, seed=seed)
-    known = docs.sparkSession.createDataFrame([(s, *x) for s, x in by_source.items()], "s string, source_size long, target double")  # a row per source, which mix() has limited
-    return mixed.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("s")), "left").select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    known = small_side(by_source.select(F.col("source").alias("s"), "source_size", "target"), SMALL)
+    return mixed.join(known, F.col("source").eqNullSafe(F.col("s")), "left").select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))

@@ -234,16 +234,6 @@ def test_mixing_targets(docs, rows, empty):
     assert mixing.mix_documents(empty).count() == 0
 
 
-def test_mixing_flow_and_caps(spark):
-    assert mixing.targets([10, 100, 100], [1, 2, 3], 210, 3) == [30.0, 72.0, 108.0]
-    # a pattern in both sources gives to either; no third copy is used while firsts are left
-    assert mixing.min_cost_flow([100, 50, 50], [[0], [1], [0, 1]], [120, 80], 3) in ([100, 50, 50],)
-    rows = spark.createDataFrame([(i, ["a", "b"] if i % 3 == 0 else ["a"] if i % 3 == 1 else ["b"], 10) for i in range(90)], "doc_id long, sources array<string>, size long")
-    mixed, by = mixing.mix(rows, weights={"a": 1, "b": 1})
-    out = mixed.collect()
-    assert by["a"][0] == by["b"][0] == 600 and all(r.copies == 1 for r in out)
-
-
 def test_near_duplicates_against_brute_force(docs, rows, empty):
     def grams(t):
         w = (t or "").encode().split()
