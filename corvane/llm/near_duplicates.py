@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import batch_groups, lean, slices, small_side, split_words, written
+from corvane.llm.common import batch_groups, hinted, lean, slices, small_side, split_words, written
 from corvane.operators.graph import connected_components
 
 _GOLD, _P = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x100000001B3)
@@ -133,8 +133,10 @@ def verified(pairs: DataFrame, sets: DataFrame, *, part_bytes: int = 8 << 20) ->
     then those of its partners. Memory is one set and one Arrow batch.
     """
     sized = pairs.join(sets.select(F.col("node").alias("b"), "n"), "b")
-    salts = sized.groupBy("a").agg(F.ceil(F.sum(F.col("n") * 4 + 64) / part_bytes).cast("int").alias("parts"))
-    right = sized.select("a", "b").join(salts, "a").select("a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), F.col("b").alias("node"), F.lit(1).alias("side"))
+    salts = written(sized.groupBy("a").agg(F.ceil(F.sum(F.col("n") * 4 + 64) / part_bytes).cast("int").alias("parts")), "salts")
+    # only an a of several parts is looked up: there are at most as many as part_bytes fit into all pairs' sets, and they are counted
+    several = hinted(salts.filter("parts > 1"), 200_000)
+    right = pairs.join(several, "a", "left").select("a", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), F.col("b").alias("node"), F.lit(1).alias("side"))
     left = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("node"), F.lit(0).alias("side"))
     rows = left.union(right).join(sets.select("node", "codes"), "node")
     dealt = rows.repartition("a", "part").sortWithinPartitions("a", "part", "side").select("a", "node", "side", "codes")
@@ -265,7 +267,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows, columns unchanged, of which each class keeps the one with the smallest id. Rows without an id stay; of rows that repeat id and text one stays."""
+    """The rows, columns unchanged, of which each class keeps the one with the smallest id. Rows without an id stay; of rows that repeat id and text the one that is first as JSON stays."""
     found = written(near_duplicates(docs, id_col=id_col, text_col=text_col, **options), "classes")
     gone = small_side(found.filter("doc_id != class_id").select(F.col("doc_id").alias("__id")).distinct(), 1_000_000)
     out = docs.join(gone, docs[id_col].cast("long") == F.col("__id"), "left_anti")
@@ -273,4 +275,6 @@ def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     if twice.isEmpty():
         return out
     match = out[id_col].cast("long") == F.col("__id")
-    return out.join(twice, match, "left_anti").unionByName(out.join(twice, match, "left_semi").dropDuplicates([id_col, text_col]))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    one = out.join(twice, match, "left_semi").groupBy(F.col(id_col).alias("__i"), F.col(text_col).alias("__t")).agg(F.min_by(row, F.to_json(row)).alias("__row"))
+    return out.join(twice, match, "left_anti").unionByName(one.select("__row.*"))

@@ -3,7 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from corvane.llm import near_duplicates as nd
 from corvane.llm.near_duplicates import near_duplicates
 
 
@@ -18,3 +20,21 @@ def test_near_copies_with_a_repeated_passage(spark, times):
     assert 200 / 234 > 0.85
     found = {x.doc_id: (x.class_id, x.class_size) for x in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found == {i: (i - i % 2, 2) for i in range(80)}
+
+
+def test_kept_row_does_not_depend_on_partitions(spark):
+    """Of rows that repeat id and text, the same one stays however they are dealt."""
+    rows = [(i % 5, f"text of number {i % 5} and some more words", i, None if i % 3 else "x") for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, other int, mark string")
+    got = [sorted(tuple(r) for r in nd.keep_first(d.repartition(k)).collect()) for k in (1, 3, 7)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 5
+
+
+def test_a_leader_with_many_partners_is_dealt_in_parts(spark):
+    d = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(300)) + f" e{i}") for i in range(200)], "doc_id long, text string")
+    signs = nd.signed(d, id_col="doc_id", text_col="text", width=5, bands=20, rows=5).cache()
+    sets = signs.select("node", "n", "codes")
+    a = signs.filter("doc_id = 0").first().node
+    pairs = signs.filter("doc_id > 0").select(F.lit(a).alias("a"), F.col("node").alias("b"))
+    got = nd.verified(pairs, sets, part_bytes=20_000).collect()
+    assert len(got) == 199 and all(abs(r.similarity - 296 / 298) < 1e-9 for r in got)
