@@ -5,7 +5,7 @@ normalised. The machines are fitted on a bounded sample of labelled rows (``max_
 chosen by the hash of the id, so reruns agree); every row is predicted.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; so is every row if there is nothing to learn from.
-Null languages and ids do not train. Repeated rows get equal answers; other columns are ignored, so their names cannot clash.
+Null languages and ids do not train; of equal hashes the smaller id trains. Repeated rows get equal answers; other columns are ignored, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -125,16 +125,21 @@ class Model:
         return lang, score
 
 
-def fit(rows: DataFrame, *, max_train_rows: int = 2400) -> Model | None:
-    """rows: key, lang, text of labelled rows. Ids are ranked first, so only the sample's texts are read to the end."""
+def fit(rows: DataFrame, *, max_train_rows: int = 2400, max_languages: int = 1000) -> Model | None:
+    """rows: key, lang, text of labelled rows. Ids are ranked first, so only the sample's texts are read to the end.
+
+    Each language has its share of the sample, and one row at least; more than max_languages are an error.
+    """
     named = rows.filter(F.col("lang").isNotNull() & F.col("key").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in named.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in named.groupBy("lang").count().limit(max_languages + 1).collect()}
+    if len(sizes) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
     if not sizes:
         return None
     each = max(1, max_train_rows // len(sizes))
-    # only hashes low enough for about four times the sample are ranked, so a frequent language is no hot spot
+    # only hashes low enough for about four times the sample (and 32 rows more) are ranked, so a frequent language is no hot spot and a rare one is not missed
     draw = F.shiftrightunsigned(F.xxhash64("key"), 1)
-    low = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, (int(min(1.0, 4 * each / n) * 2**53) << 10) - 1)))
+    low = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, (int(min(1.0, (4 * each + 32) / n) * 2**53) << 10) - 1)))
     order = Window.partitionBy("lang").orderBy("draw", "key")
     drawn = named.select("key", "lang", draw.alias("draw")).filter(F.col("draw") <= F.element_at(low, F.col("lang")))
     chosen = drawn.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= each).select("key").distinct()
