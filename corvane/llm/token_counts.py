@@ -3,7 +3,8 @@
 A text is cut at ASCII white space, where a lower-casing tokenizer with word ends can always be cut: its pre-tokenizer drops
 white space, no token and no special string holds any, and Unicode composition never crosses it. Marks that end a piece are cut
 off too, as the pre-tokenizer parts them from letters and digits. The distinct pieces of an Arrow batch are encoded in calls of
-about equal bytes, and each text's count is the sum over its pieces. Ids never leave the worker.
+about equal bytes, and each text's count is the sum over its pieces. Ids never leave the worker. A file of another kind is an
+error, as its texts could not be cut there.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; repeated rows are counted each; columns besides the id and the
 text are ignored, so their names cannot clash.
@@ -11,6 +12,7 @@ text are ignored, so their names cannot clash.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 
@@ -29,6 +31,19 @@ MARKS = ",.;:!?#$%&*"
 REMEMBERED = 300_000
 
 
+def check_kind(path: str) -> None:
+    """Raises unless the file's tokenizer lower-cases, drops white space, ends words, and has only special strings with a <| in them."""
+    with open(path, encoding="utf-8") as f:
+        t = json.load(f)
+    steps = lambda x, name: x.get(name) or [x] if x else []
+    lowers = any(x["type"] == "Lowercase" for x in steps(t["normalizer"], "normalizers"))
+    first = next(iter(steps(t["pre_tokenizer"], "pretokenizers")), {})
+    drops = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert")
+    strings = [x["content"] for x in t["added_tokens"]]
+    if not (lowers and drops and t["model"].get("end_of_word_suffix") and all("<|" in x and not any(c.isspace() for c in x) for x in strings)):
+        raise ValueError(f"{path}: texts can be cut at white space only for a lower-casing tokenizer with word ends")
+
+
 def tokenizer(path: str) -> tuple:
     """The tokenizer of a file and the remembered lengths, once per worker."""
     if path not in _LOADED:
@@ -59,7 +74,8 @@ def lengths(path: str, pieces: list[str], call_bytes: int) -> np.ndarray:
 
 
 def count_tokens(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, call_bytes: int = 1 << 18) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit for each row. path: a tokenizers .json file that is present on every worker."""
+    """doc_id, n_bytes, n_tokens, over_limit for each row. path: a tokenizers .json file (see check_kind) that is present on driver and workers."""
+    check_kind(path)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1, 16 << 20):
