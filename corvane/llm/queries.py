@@ -69,4 +69,63 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+WORDS = r"list_filter(string_split_regex({0}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+_LINES = (
+    r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, """
+    + WORDS.format("text")
+    + r""" AS w FROM d),
+g AS (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM (SELECT r, i, w[i + 1] AS a, w[i + 2] AS b, w[i + 3] AS c FROM (SELECT r, w, unnest(range(len(w) - 2)) AS i FROM w))),
+rw AS (SELECT r, count(DISTINCT i + k) AS repeats FROM g, range(3) k(k) WHERE n > 1 GROUP BY r),
+l0 AS (SELECT r, i, l[i + 1] AS line FROM (SELECT r, l, unnest(range(len(l))) AS i FROM (SELECT r, string_split(text, chr(10)) AS l FROM d)) WHERE regexp_matches(l[i + 1], '[^\x20\x09-\x0D]')),
+l AS (SELECT *, coalesce(lag(line) OVER o, '') AS before, coalesce(lead(line) OVER o, '') AS after, row_number() OVER (PARTITION BY r, line ORDER BY i) AS turn, """
+    + WORDS.format("line")
+    + r""" AS w FROM l0 WINDOW o AS (PARTITION BY r ORDER BY i)),
+rep AS (SELECT line FROM l WHERE strlen(line) <= 120 GROUP BY line HAVING count(DISTINCT (before, after)) >= 10 AND count(DISTINCT (before, after)) > (SELECT count(*) FROM l WHERE strlen(line) <= 120) // 50000),
+p AS (SELECT *, string_split_regex(line, '[ \t]+(?:[|>/]|»|›|•|·|->|::)[ \t]+') AS parts, len(w) AS n, length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) AS marks, regexp_replace(line, '[^A-Za-z]', '', 'g') AS letters FROM l),
+f AS (SELECT *, CASE WHEN turn > 1 THEN 'duplicate'
+WHEN len(parts) >= 3 AND 5 * len(list_filter(parts, lambda x: len("""
+    + WORDS.format("x").replace("lambda x: x <>", "lambda y: y <>")
+    + r""") BETWEEN 1 AND 4)) >= 4 * len(parts) THEN 'navigation'
+WHEN marks > 0.3::DOUBLE * n THEN 'symbols'
+WHEN n >= 3 AND length(regexp_replace(letters, '[a-z]', '', 'g')) > 0.6::DOUBLE * length(letters) THEN 'shouting'
+WHEN (n <= 15 AND regexp_matches(line, '"""
+    + line_quality.BOILERPLATE.pattern.replace("\u00c0-\u024f", r"\x{00c0}-\x{024f}")
+    + r"""')) OR line IN (SELECT line FROM rep) THEN 'boilerplate'
+WHEN n >= 10 AND len(list_distinct(w)) <= n // 5 THEN 'repetition'
+WHEN n BETWEEN 3 AND 29 AND NOT regexp_matches(line, '[.!?"'':);”…»][\x20\x09-\x0D]*$') THEN 'punctuation' END AS fault FROM p),
+a AS (SELECT r, coalesce(sum(length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g'))) FILTER (fault IS NULL), 0)::DOUBLE AS held, count(fault) AS n_removed, """
+    + ", ".join(f"CAST(count(*) FILTER (fault = '{x}') AS INTEGER) AS removed_{x}" for x in line_quality.RULES)
+    + r""" FROM f GROUP BY r),
+b AS (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(repeats, 0) AS n_repeat_words FROM d JOIN w USING (r) LEFT JOIN rw USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, CAST(coalesce(removed_duplicate, 0) AS BIGINT) AS n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND coalesce(held / nullif(word_chars, 0), 0) >= 0.5 AS kept, coalesce(held / nullif(word_chars, 0), 0) AS kept_share, coalesce(n_removed, 0) AS n_removed, """
+    + ", ".join(f"coalesce(removed_{x}, 0) AS removed_{x}" for x in line_quality.RULES)
+    + " FROM b LEFT JOIN a USING (r)"
+)
+
+# base32 of a SHA-1: eight groups of five hex digits, four letters each
+_WARC = """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), k AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS keeper, sha1(html) AS h FROM p)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, list_aggregate(list_transform(range(8), lambda i: list_aggregate(list_transform(range(4), lambda j: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substring(h, 5 * i + 1, 5) AS BIGINT) >> (15 - 5 * j)) & 31 AS INTEGER) + 1, 1)), 'string_agg', '')), 'string_agg', '') AS payload_digest,
+CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keeper THEN keeper END AS refers_to FROM k"""
+
+_TOP = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.x::DOUBLE[], c.x::DOUBLE[]) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s) SELECT * FROM r WHERE rank <= 5"""
+
+_NEAR = (
+    "WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, "
+    + WORDS.format("coalesce(text, '')")
+    + """ AS w FROM documents WHERE doc_id IS NOT NULL),
+g AS (SELECT DISTINCT r, CASE WHEN len(w) < 5 THEN w ELSE w[i + 1 : i + 5] END AS g FROM (SELECT r, w, unnest(range(greatest(1, len(w) - 4))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM g GROUP BY r),
+e AS (SELECT a.r AS a, b.r AS b FROM g a JOIN g b ON a.g = b.g AND a.r < b.r GROUP BY 1, 2 HAVING count(*) >= 0.8 * ((SELECT n FROM n WHERE n.r = a.r) + (SELECT n FROM n WHERE n.r = b.r) - count(*))),
+both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+c AS (SELECT r, r AS root FROM d UNION SELECT both_ways.b, c.root FROM c JOIN both_ways ON c.r = both_ways.a),
+m AS (SELECT r, min(root) AS root FROM c GROUP BY r)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY root) AS class_id, count(*) OVER (PARTITION BY root) AS class_size FROM d JOIN m USING (r)"""
+)
+
+#: The other operators have parts that SQL can't say (boosted trees, trained models, a tokenizer, a flow, dynamic programming); tests hold them.
+ORACLE_SQL: dict[str, str] = {"op2_line_quality": _LINES, "op3_warc_salvage": _WARC, "op4_cover_tree_top_k": _TOP, "op8_near_duplicates": _NEAR}

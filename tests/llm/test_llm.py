@@ -215,6 +215,8 @@ def test_token_counts(spark, docs, rows, empty):
         n = len(t.encode(x, add_special_tokens=False).ids)
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(x.encode()), n, n > 100), r.doc_id
     assert token_counts.count_tokens(empty, path).count() == 0
+    with pytest.raises(ValueError, match="word ends"):
+        token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_mixing_targets(docs, rows, empty):
