@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.llm import cover_tree, language_id, line_quality, maxent, mixing, near_duplicates, packing, pii, token_counts, warc
+from corvane.llm import cover_tree, language_id, line_quality, mixing, near_duplicates, packing, pii, token_counts, warc
 from tests.conftest import SF
 
 ODD = [(900_001, None), (900_002, ""), (900_003, "x"), (900_004, "word " * 30_000), (900_005, "y" * 60_000), (900_006, "  \n\t \n"), (900_006, "  \n\t \n")]
@@ -173,34 +173,6 @@ def test_top_k_exact(spark, block_rows):
     assert [x.vec_id for x in cover_tree.top_k(wide).orderBy("rank").collect()] == [1, 2]
 
 
-def test_maxent_base_and_model(docs, rows, empty):
-    found = maxent.score_texts(docs, top_words=300, rounds=2).collect()
-    low = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-    tokens = {i: [*(t or "").encode().translate(low).split(), None] for i, t in rows}
-    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}
-    counts = collections.Counter(w for i, _ in rows if not held[i] for w in tokens[i])
-    n, v = sum(counts.values()), len(counts)
-    assert len(found) == len(rows)
-    for r in found:
-        ws = tokens[r.doc_id]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(ws), sum(counts[w] > 0 for w in ws), n)
-        assert math.isclose(r.base_score, sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws), rel_tol=1e-9)
-        assert math.isfinite(r.score) and r.score < 0
-    assert sum(r.score for r in found if r.doc_id < 900_000) > sum(r.base_score for r in found if r.doc_id < 900_000)
-    assert maxent.score_texts(empty).count() == 0
-
-
-def test_maxent_probabilities_sum_to_one():
-    rng = np.random.default_rng(3)
-    w = maxent.fresh()
-    w += rng.normal(size=w.shape).astype(np.float32)
-    total = 0.0
-    for y in [*range(maxent.HEAD), maxent.HEAD]:
-        ids = np.array([5, 7, y])
-        total += 10 ** maxent.logs(w, ids, np.arange(3))[2]
-    assert abs(total - 1) < 1e-3
-
-
 def test_token_counts(spark, docs, rows, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
