@@ -1,8 +1,9 @@
 """WARC archives: a writer that turns repeated payloads into revisits, and a reader that salvages damaged archives.
 
 Writing: every record is a gzip member of its own. Spark's text writer puts the members down one after the other, with an empty
-gzip member (valid between members) as its separator, so archives land in any store that Spark writes to. Of pages with equal
-payloads the one with the largest id is the response, the others revisit it; payloads below ``min_bytes`` are all responses.
+gzip member (valid between members) as its separator, so archives land in any store that Spark writes to. A row of that writer holds
+records of some 4 MB together, and a larger record is followed by empty rows for its further bytes, so that a limit of rows per file
+is one of bytes. Of pages with equal payloads the one with the largest id is the response, the others revisit it; payloads below ``min_bytes`` are all responses.
 
 Reading: a gzip member must end and match its checksum, a record must have a version line, a length that fits and a matching
 block digest. After a failed check the reader searches on from the next byte for a member or version line that passes, goes on
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import new_path, small_side
+from corvane.llm.common import lean, new_path, small_side
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: A gzip member without content (fixed value: header, an empty final block, CRC and size of nothing).
@@ -39,8 +40,8 @@ VERSION_LINE, STARTS = re.compile(re.escape(VERSION)), re.compile(re.escape(MAGI
 #: Fields that every record has.
 REQUIRED = {b"warc-type", b"warc-record-id", b"warc-date", b"content-length"}
 CHUNK = 1 << 14
-#: A record's uncompressed size at most; a member that claims more fails its check.
-MOST = 1 << 30
+#: A record's uncompressed size at most, which no value of a row can pass; a member that claims more fails its check.
+MOST = 1 << 31
 
 
 def sha1(data: bytes) -> str:
@@ -64,7 +65,7 @@ def member(data: bytes, level: int) -> bytes:
     return c.compress(data) + c.flush()
 
 
-def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, date: str = "2000-01-01T00:00:00Z", compressed: bool = True, level: int = 5, records_per_file: int = 20_000) -> None:
+def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, date: str = "2000-01-01T00:00:00Z", compressed: bool = True, level: int = 5, file_bytes: int = 128 << 20, row_bytes: int = 4 << 20) -> None:
     """Write a record per row to archives under path. Only ids and digests are grouped; payloads are shuffled only if the repeated digests are too many to broadcast."""
     rows = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
     digest = F.sha1(F.encode("payload", "UTF-8"))
@@ -72,16 +73,28 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
     marked = rows.withColumn("digest", digest).join(small_side(groups, 500_000), "digest", "left").select("page", "url", "payload", F.when(~F.col("page").eqNullSafe(F.col("keeper")), F.col("keeper")).alias("refers_to"))
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        row = lambda values: pa.RecordBatch.from_arrays([pa.array(values, pa.binary())], ["value"])
+        held, size = [], 0
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
-                made = [record(p.as_py(), u.as_py(), x.as_buffer().to_pybytes(), r.as_py(), date) for p, u, x, r in zip(*part.columns, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([member(m, level) for m in made] if compressed else made, pa.binary())], ["value"])
+            for p, u, x, r in zip(*b.columns, strict=True):
+                made = record(p.as_py(), u.as_py(), x.as_buffer().to_pybytes(), r.as_py(), date)
+                made = member(made, level) if compressed else made
+                if held and size + len(made) > row_bytes:
+                    yield row([b"".join(held)])
+                    held, size = [], 0
+                held.append(made)
+                size += len(made)
+                if size > row_bytes:
+                    yield row([made] + [b""] * (size // row_bytes))
+                    held, size = [], 0
+        if held:
+            yield row([b"".join(held)])
 
     # with encoding ISO-8859-1 each character of the separator is a byte; rows are bytes already
     sep = EMPTY_MEMBER.decode("latin-1") if compressed else "\r\n"
     out = marked.mapInArrow(records, "value binary").select(F.col("value").cast("string").alias("value"))
-    out.write.option("encoding", "ISO-8859-1").option("lineSep", sep).option("maxRecordsPerFile", records_per_file).text(path)
+    out.write.option("encoding", "ISO-8859-1").option("lineSep", sep).option("maxRecordsPerFile", max(1, file_bytes // row_bytes)).text(path)
 
 
 def _headers(head: bytes) -> dict[bytes, bytes]:
@@ -138,6 +151,27 @@ def parse(data: bytes, pos: int, heads: Heads | None = None, digests: bool = Fal
     return h | {b"": block}, stop + 4, ""
 
 
+def _before_error(data: memoryview, pos: int, at: int) -> bytes:
+    """What comes out of the chunk at `at` of the member at pos before it fails.
+
+    A failing call gives nothing back, so the chunk is read up to ever nearer places before the fault, the last bytes one by one.
+    """
+    chunk, safe, out = data[at : at + CHUNK], 0, []
+    for step in (4096, 64, 0):
+        d = zlib.decompressobj(31)
+        for p in range(pos, at, CHUNK):
+            d.decompress(data[p : p + CHUNK])
+        out = [d.decompress(chunk[:safe])]
+        with contextlib.suppress(zlib.error):
+            for k in range(safe, len(chunk)) if not step else ():
+                out.append(d.decompress(chunk[k : k + 1]))
+            tail = chunk[safe:]
+            while step and d.decompress(tail, step):
+                tail = d.unconsumed_tail
+                safe = max(0, len(chunk) - len(tail) - 16)  # what was taken in may be ahead of what came out
+    return b"".join(out)
+
+
 def inflate(data: memoryview, pos: int) -> tuple[bytes, int, bool]:
     """The content of the gzip member at pos, the place after it, and whether it is whole; else, what comes out before it breaks off or fails."""
     d, out, at, size = zlib.decompressobj(31), [], pos, 0
@@ -152,14 +186,7 @@ def inflate(data: memoryview, pos: int) -> tuple[bytes, int, bool]:
                 return b"".join(out), at, False
             at += len(part)
     except zlib.error:
-        # the failing call gives nothing back: again up to it, then byte by byte
-        d = zlib.decompressobj(31)
-        for p in range(pos, at, CHUNK):
-            d.decompress(data[p : p + CHUNK])
-        with contextlib.suppress(zlib.error):
-            for p in range(at, min(at + CHUNK, len(data))):
-                out.append(d.decompress(data[p : p + 1]))
-        return b"".join(out), at, False
+        return b"".join([*out, _before_error(data, pos, at)]), at, False
     return b"".join(out), at - len(d.unused_data), True
 
 
@@ -254,7 +281,7 @@ FIELDS = [("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()),
 def read_archives(spark: SparkSession, path: str, *, with_payload: bool = True) -> DataFrame:
     """A row per record (kind `record`) and per quarantined gap (kind `gap`, with the check that failed) of the archives under path.
 
-    An archive is read by one task, which holds it whole: archives should be of some 100 MB (records_per_file when written).
+    An archive is read by one task, which holds it whole: archives should be of some 100 MB (file_bytes when written).
     """
     names = FIELDS if with_payload else FIELDS[:-1]
 
