@@ -159,15 +159,16 @@ def logs(shape: Shape, w: np.ndarray, ids: np.ndarray, back: np.ndarray) -> np.n
 
 
 def _step(w: np.ndarray, g2: np.ndarray, rows: list[np.ndarray], d: np.ndarray, rate: float) -> None:
-    """One adaptive gradient step of the rows that the tokens of a block use; d: gradient by token."""
+    """One adaptive gradient step of the rows that the tokens of a block use; d: gradient by token. Sums go column by column, in the tokens' order."""
     at = np.concatenate(rows)
-    order = np.argsort(at, kind="stable")
-    sorted_at = at[order]
-    first = np.flatnonzero(np.concatenate(([True], sorted_at[1:] != sorted_at[:-1])))
-    g = np.add.reduceat(d.take(order % len(d), axis=0), first, axis=0)
-    used = sorted_at[first]
-    g2[used] += g * g
-    w[used] -= rate * g / np.sqrt(g2[used] + 1e-6)
+    place = np.bincount(at, minlength=len(w))
+    used = np.flatnonzero(place)
+    place[used] = np.arange(len(used))
+    at, g = place[at], np.empty((len(used), d.shape[1]), np.float32)
+    for c, v in enumerate(np.ascontiguousarray(d.T, dtype=np.float64)):
+        g[:, c] = np.bincount(at, weights=np.tile(v, len(rows)), minlength=len(used))
+    g2[used] = new = g2.take(used, axis=0) + g * g
+    w[used] -= np.float32(rate) * g / np.sqrt(new + np.float32(1e-6))
 
 
 class Learner:
