@@ -23,6 +23,7 @@ def hash_embedder(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
         n = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(n > 0, n, 1)
 
+    embed.dimension, embed.most_tokens = dim, 8191
     return embed
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +26,16 @@ def is_video_url(url: Column) -> Column:
     return F.coalesce(_first([F.regexp_extract(url, p, 1) for p in VIDEO_URLS]).isNotNull(), F.lit(False))
 
 
+def is_channel_url(url: Column) -> Column:
+    """Whether an address names a channel in one of the known forms, on the host itself."""
+    return F.coalesce(url.rlike(r"^(?:https?://)?(?:www\.)?youtube\.com/(?:channel/|@|user/|c/)[A-Za-z0-9._-]+"), F.lit(False))
+
+
+def legacy_channel_name(url: Column) -> Column:
+    """The name in an @ address, null if the address is no channel's or has none."""
+    return F.when(is_channel_url(url), F.nullif(F.regexp_extract(url, r"/@([A-Za-z0-9._-]+)", 1), F.lit("")))
+
+
 def channel_ref(url: Column) -> Column:
     """What names a channel in its address, in the order /channel/, /@, /user/, /c/; null if nothing does."""
     return _first([F.regexp_extract(url, p, 1) for p in CHANNEL_URLS])
@@ -71,20 +83,35 @@ def duration_or_zero(text: Column) -> Column:
     return F.coalesce(duration_seconds(text), F.lit(0))
 
 
-#: Stamp patterns in the order they are tried; the first that is found in a text counts (fixed values).
-STAMPS = (r"\[(\d{1,2}):(\d{2}):(\d{2})\]", r"\[(\d{1,2}):(\d{2})\]", r"\b(\d{1,2}):(\d{2}):(\d{2})\b", r"\b(\d{1,2}):(\d{2})\b")
+#: Stamp patterns, all applied in this order (fixed values): digits of the hour or minute, of what follows, and the text up to the next mark.
+STAMPS = (
+    r"(?s)\[(\d{1,2}):(\d{2}):(\d{2})\]\s*(.+?)(?=\[|\z)",
+    r"(?s)\[(\d{1,2}):(\d{2})\]\s*(.+?)(?=\[|\z)",
+    r"(?s)(\d{1,2}):(\d{2}):(\d{2})\s+(.+?)(?=\d{1,2}:|\z)",
+    r"(?s)(\d{1,2}):(\d{2})\s+(.+?)(?=\d{1,2}:|\z)",
+    r"(?s)\((\d{1,2}):(\d{2})\)\s*(.+?)(?=\(|\z)",
+)
+
+
+def _stamp(numbers: int, seconds: int) -> Callable[[Column], Column]:
+    """From a match of so many numbers and a text to a stamp."""
+
+    def read(x: Column) -> Column:
+        start = F.lit(0)
+        for i in range(numbers):
+            start = start * 60 + x[str(i)].cast("int")
+        return F.struct(start.cast("double").alias("start"), (start + seconds).cast("double").alias("end"), strip(x[str(numbers)]).alias("text"))
+
+    return read
 
 
 def stamps(text: Column, seconds: int = 30) -> Column:
-    """array<struct<start, end>> of a text's stamps in seconds; each lasts `seconds`."""
-    out = F.array().cast("array<int>")
-    for p in reversed(STAMPS):
-        groups = p.count("(\\d")
-        parts = [F.regexp_extract_all(text, F.lit(p), F.lit(i + 1)) for i in range(groups)]
-        hour = (lambda x: x["0"].cast("int") * 3600 + x["1"].cast("int") * 60 + x["2"].cast("int")) if groups == 3 else (lambda x: x["0"].cast("int") * 60 + x["1"].cast("int"))
-        zipped = F.arrays_zip(*(c.alias(str(i)) for i, c in enumerate(parts)))
-        out = F.when(text.rlike(p), F.transform(zipped, hour)).otherwise(out)
-    return F.transform(out, lambda s: F.struct(s.cast("double").alias("start"), (s + seconds).cast("double").alias("end")))
+    """array<struct<start, end, text>> of a text's stamps in seconds, form by form; each lasts `seconds` and has the text after it."""
+    found = []
+    for p in STAMPS:
+        parts = [F.regexp_extract_all(text, F.lit(p), F.lit(i + 1)).alias(str(i)) for i in range(p.count("(\\d") + 1)]
+        found.append(F.transform(F.arrays_zip(*parts), _stamp(len(parts) - 1, seconds)))
+    return F.concat(*found)
 
 
 def sentences(text: Column) -> Column:

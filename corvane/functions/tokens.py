@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,6 +44,39 @@ def truncate_to_tokens(text: Column, n: int) -> Column:
     return F.substring(text, 1, 4 * n)
 
 
+def encoder(path: str | None = None):
+    """(encode, decode): Column functions from text to array<int> and back, by a tokenizers .json file.
+
+    Without a file there is no tokenizer: encoding gives an empty array and decoding an empty text.
+    """
+    if path is None:
+        return (lambda text: F.array().cast("array<int>")), (lambda ids: F.lit(""))
+
+    def loaded():
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(path)
+
+    @F.pandas_udf("array<int>")
+    def encode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        t = loaded()
+        for s in parts:
+            yield pd.Series([e.ids for e in t.encode_batch(s.fillna("").tolist(), add_special_tokens=False)], dtype=object)
+
+    @F.pandas_udf("string")
+    def decode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        t = loaded()
+        for s in parts:
+            yield pd.Series(t.decode_batch([[] if x is None else [int(i) for i in x] for x in s], skip_special_tokens=True))
+
+    return encode, decode
+
+
+def truncated_by(encode, decode, text: Column, n: int) -> Column:
+    """The text of the first n tokens."""
+    return decode(F.slice(encode(text), 1, n))
+
+
 def encoding_of(model: Column) -> Column:
     out = F.lit(DEFAULT_ENCODING)
     for prefix, name in reversed(ENCODINGS.items()):

@@ -8,11 +8,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.shared import Keep, running
 
-def batches(df: DataFrame, *, by: str, order: str, tokens: str, size: int, limit: int) -> DataFrame:
+
+def batches(df: DataFrame, keep: Keep, *, by: str, order: str, tokens: str, size: int, limit: int) -> DataFrame:
     """Rows in batches of `size` within each `by`; a batch over the limit is read one by one, and a row over it alone is skipped."""
-    w = Window.partitionBy(by).orderBy(order)
-    numbered = df.withColumn("batch_no", F.floor((F.row_number().over(w) - 1) / size).cast("int"))
+    numbered = running(df, keep, by=[by], order=[order], into="__n").withColumn("batch_no", F.floor((F.col("__n") - 1) / size).cast("int")).drop("__n")
     total = F.sum(tokens).over(Window.partitionBy(by, "batch_no"))
     return numbered.withColumn("batch_tokens", total).withColumn("handling", F.when(F.col("batch_tokens") <= limit, "batch").when(F.col(tokens) <= limit, "single").otherwise("skipped"))
 
@@ -50,7 +51,6 @@ def windows(df: DataFrame, *, by: str, order: str, tokens: str, window: int = 90
     return ready.mapInPandas(run, f"{kinds}, window_no int")
 
 
-def context(df: DataFrame, *, by: str, rank: str, tokens: str, budget: int, share: float = 0.9) -> DataFrame:
+def context(df: DataFrame, keep: Keep, *, by: str, rank: str, tokens: str, budget: int, share: float = 0.9) -> DataFrame:
     """Rows in rank order as long as their running tokens keep within a share of the budget."""
-    run = F.sum(tokens).over(Window.partitionBy(by).orderBy(rank).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("running_tokens", run).filter(F.col("running_tokens") <= int(budget * share))
+    return running(df, keep, by=[by], order=[rank], value=tokens, into="running_tokens").filter(F.col("running_tokens") <= int(budget * share))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as tx
 from corvane.functions.tokens import token_count
+from corvane.shared import byte_slices
 
 Piece = tuple[str, int, int]
 CHUNKS = "chunk_no int, text string, start_idx int, end_idx int, token_count int"
@@ -167,17 +168,56 @@ class Semantic:
             yield piece()
 
 
-def chunked(df: DataFrame, chunker: Callable[[str], Iterator[Piece]], *, id_col: str, text_col: str) -> DataFrame:
-    """A row per chunk: id, chunk_no, text, start_idx, end_idx, token_count. A null or empty text has none."""
+@dataclass(frozen=True)
+class Stride:
+    """Consecutive pieces of size characters."""
+
+    size: int = 2048
+
+    def __call__(self, text: str) -> Iterator[Piece]:
+        for a in range(0, len(text), self.size):
+            yield text[a : a + self.size], a, min(len(text), a + self.size)
+
+
+#: Other names of the character windows, which these methods fall back to.
+ALIASES = {"semantic_similarity": CharWindow, "smart_kg": CharWindow}
+
+
+def pieces_of(texts: list[str], chunker: Callable[[str], Iterator[Piece]]) -> list[str]:
+    """The list form: all pieces' texts of some texts, in order. Texts must pass check_texts."""
+    check_texts(texts)
+    return [t for text in texts for t, _, _ in chunker(text)]
+
+
+def check_texts(texts: list[str]) -> None:
+    """Raises ValueError unless it is a list of texts, none of them empty or blank."""
+    if not isinstance(texts, list) or not texts:
+        raise ValueError("texts must be a list that is not empty")
+    for i, t in enumerate(texts):
+        if not isinstance(t, str) or not t.strip():
+            raise ValueError(f"text at index {i} must be a string that is not blank")
+
+
+def text_faults(df: DataFrame, text_col: str, *, most_tokens: int | None = None) -> DataFrame:
+    """Adds `fault`, as a column and not as an error: null for a text that can be embedded, else missing, blank or too_long."""
+    t = F.col(text_col)
+    fault = F.when(t.isNull(), "missing").when(~t.rlike(r"\S"), "blank")
+    return df.withColumn("fault", fault if most_tokens is None else fault.when(token_count(t) > most_tokens, "too_long"))
+
+
+def chunked(df: DataFrame, chunker: Callable[[str], Iterator[Piece]], *, id_col: str, text_col: str, metadata: list[str] | None = None) -> DataFrame:
+    """A row per chunk: id, chunk_no, text, start_idx, end_idx, token_count, and the given columns of its row. A null or empty text has none."""
+    extra = [c for c in metadata or [] if c not in (id_col, "id", "chunk_no", "text", "start_idx", "end_idx", "token_count")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(i, k, t, a, z, tokens(t)) for i, text in zip(b["id"], b["text"], strict=True) for k, (t, a, z) in enumerate(chunker(text))]
-            yield pd.DataFrame(rows, columns=["id", "chunk_no", "text", "start_idx", "end_idx", "token_count"])
+        for b in byte_slices(batches, "__text"):
+            rows = [(i, k, t, a, z, tokens(t), *more) for i, text, *more in b.itertuples(index=False) for k, (t, a, z) in enumerate(chunker(text))]
+            yield pd.DataFrame(rows, columns=["id", "chunk_no", "text", "start_idx", "end_idx", "token_count", *extra])
 
     kind = df.schema[id_col].dataType.simpleString()
-    ready = df.filter(F.col(text_col) != "").select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return ready.mapInPandas(run, f"id {kind}, {CHUNKS}").withColumnRenamed("id", id_col)
+    ready = df.filter(F.col(text_col) != "").select(F.col(id_col).alias("id"), F.col(text_col).alias("__text"), *extra)
+    schema = ", ".join([f"id {kind}", CHUNKS, *(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in extra)])
+    return ready.mapInPandas(run, schema).withColumnRenamed("id", id_col)
 
 
 def timestamped(df: DataFrame, *, id_col: str, segments_col: str, max_tokens: int = 4000, overlap_tokens: int = 100) -> DataFrame:

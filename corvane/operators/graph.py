@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.shared import running
+
 
 def connected_components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame], *, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of an edge; the component is its smallest node.
@@ -71,20 +73,27 @@ def top_predicates(t: DataFrame, k: int = 10) -> DataFrame:
     return t.groupBy("predicate").agg(F.count("*").alias("n"), F.min("pos").alias("first")).orderBy(F.desc("n"), "first").limit(k).select("predicate", "n")
 
 
-def page_rank(t: DataFrame, keep: Callable[[DataFrame], DataFrame], *, rounds: int = 10, damping: float = 0.85, every: int = 5) -> DataFrame:
-    """(node, rank) after a fixed number of rounds over distinct edges; the mass of nodes without edges out is dealt to all. Lineage is cut every few rounds."""
+def page_rank(t: DataFrame, keep: Callable[[DataFrame], DataFrame], *, rounds: int = 100, damping: float = 0.85, every: int = 5, tolerance: float = 1e-6) -> DataFrame:
+    """(node, rank) over distinct edges; the mass of nodes without edges out is dealt to all.
+
+    Rounds end when ranks move by less than tolerance a node in sum (looked at every few rounds), or after the given number;
+    tolerance 0 takes them all.
+    """
     edges = t.select(F.col("subject").alias("src"), F.col("object").alias("dst")).distinct()
     out = edges.groupBy("src").agg(F.count("*").alias("out"))
     edges = keep(edges.join(out, "src"))
     nodes = keep(nodes_of(t).select("node").join(out, F.col("node") == F.col("src"), "left").select("node", "out"))
     n = nodes.count()
-    ranks = nodes.select("node", "out", F.lit(1.0 / max(1, n)).alias("rank"))
+    ranks = nodes.select("node", "out", F.lit(1.0 / max(1, n)).alias("rank"), F.lit(0.0).alias("was"))
     for k in range(rounds):
         given = edges.join(ranks.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
         loose = ranks.filter("out is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose"))
-        ranks = nodes.join(given, "node", "left").crossJoin(F.broadcast(loose)).select("node", "out", (F.lit((1 - damping) / max(1, n)) + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / max(1, n))).alias("rank"))
-        if k % every == every - 1:
-            ranks = keep(ranks)
+        old = ranks.select("node", "out", F.col("rank").alias("was"))
+        ranks = old.join(given, "node", "left").crossJoin(F.broadcast(loose)).select("node", "out", (F.lit((1 - damping) / max(1, n)) + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / max(1, n))).alias("rank"), "was")
+        ranks = keep(ranks)  # each round reads the last one three times
+        if tolerance and k % every == every - 1:
+            if ranks.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] < n * tolerance:
+                break
     return ranks.select("node", F.round("rank", 9).alias("rank"))
 
 
@@ -94,24 +103,51 @@ def top_subgraph(t: DataFrame, ranks: DataFrame, top: int = 100) -> DataFrame:
     return t.join(best, t.subject == best.node, "left_semi").join(best, t.object == best.node, "left_semi")
 
 
-def communities(t: DataFrame, keep: Callable[[DataFrame], DataFrame], *, rounds: int = 5) -> DataFrame:
-    """(node, community) by label propagation: each round a node takes its neighbours' most frequent label, the smaller of equals. An approximation of modularity methods."""
-    e = t.select(F.col("subject").alias("a"), F.col("object").alias("b")).filter("a <> b").distinct()
-    e = keep(e.union(e.select("b", "a")).distinct())
-    labels = nodes_of(t).select("node", F.col("node").alias("label"))
-    for _ in range(rounds):
-        votes = e.join(labels, e.b == labels.node).groupBy("a", "label").agg(F.count("*").alias("n"))
-        best = votes.groupBy("a").agg(F.min(F.struct((-F.col("n")).alias("n"), "label"))["label"].alias("new"))
-        labels = keep(labels.join(best, labels.node == best.a, "left").select("node", F.coalesce("new", "label").alias("label")))
-    return labels.withColumnRenamed("label", "community")
+def modularity(t: DataFrame, labels: DataFrame) -> DataFrame:
+    """The modularity of a partition (node, community) of the undirected graph without loops: the share of edges inside, less what degrees alone would give."""
+    e = t.select(F.least("subject", "object").alias("a"), F.greatest("subject", "object").alias("b")).filter("a <> b").distinct()
+    side = lambda c: labels.select(F.col("node").alias(c), F.col("community").alias(f"of_{c}"))
+    placed = e.join(side("a"), "a").join(side("b"), "b").select("of_a", "of_b")
+    inside = placed.filter("of_a = of_b").groupBy(F.col("of_a").alias("community")).agg(F.count("*").alias("inside"))
+    degree = placed.select(F.explode(F.array("of_a", "of_b")).alias("community")).groupBy("community").agg(F.count("*").alias("degree"))
+    m = placed.agg(F.count("*").alias("m"))
+    part = F.coalesce("inside", F.lit(0)) / F.col("m") - F.pow(F.col("degree") / (2 * F.col("m")), 2)
+    return degree.join(inside, "community", "left").crossJoin(F.broadcast(m)).agg(F.round(F.coalesce(F.sum(part), F.lit(0.0)), 9).alias("modularity"))
 
 
-def pruned(nodes: DataFrame, edges: DataFrame, position: str) -> DataFrame:
+def communities(t: DataFrame, keep: Callable[[DataFrame], DataFrame], *, rounds: int = 12) -> DataFrame:
+    """(node, community) by label propagation: a node takes its neighbours' most frequent label, the smaller of equals.
+
+    In each round only half of the nodes move, chosen by a hash of node and round, so two sides never swap their labels for ever;
+    rounds end early when none moves in two of them. Of the labellings seen after even rounds the one of most modularity counts.
+    """
+    e = t.select(F.col("subject").alias("a"), F.col("object").alias("b")).filter("a <> b").distinct()
+    e = keep(e.union(e.select("b", "a")).distinct())
+    labels = keep(nodes_of(t).select("node", F.col("node").alias("community")))
+    best, most, still = labels, float("-inf"), 0
+    for k in range(rounds):
+        votes = e.join(labels, e.b == labels.node).groupBy("a", "community").agg(F.count("*").alias("n"))
+        new = votes.groupBy("a").agg(F.min(F.struct((-F.col("n")).alias("n"), "community"))["community"].alias("new"))
+        moves = F.col("new").isNotNull() & (F.pmod(F.xxhash64("node", F.lit(k)), F.lit(2)) == 0)
+        labels = keep(labels.join(new, labels.node == new.a, "left").select("node", F.when(moves, F.col("new")).otherwise(F.col("community")).alias("community"), (moves & (F.col("new") != F.col("community"))).alias("moved")))
+        still = still + 1 if labels.filter("moved").isEmpty() else 0
+        labels = labels.select("node", "community")
+        if k % 2 or still > 1 or k == rounds - 1:
+            gained = modularity(t, labels).first()[0]
+            if gained > most:
+                best, most = labels, gained
+        if still > 1:
+            break
+    return best
+
+
+def pruned(nodes: DataFrame, edges: DataFrame, keep: Callable[[DataFrame], DataFrame], position: str) -> DataFrame:
     """nodes without the first third (of their number) of those without an edge."""
     ends = edges.select(F.col("subject").alias("node")).union(edges.select("object")).distinct()
-    lone = nodes.join(ends, "node", "left_anti")
-    third = lone.agg(F.floor(F.count("*") / 3).cast("int")).first()[0]
-    return nodes.join(lone.orderBy(position).limit(third).select("node"), "node", "left_anti")
+    lone = keep(nodes.join(ends, "node", "left_anti").select("node", F.col(position).alias("__at"), F.lit(0).alias("__all")))
+    third = lone.count() // 3
+    gone = running(lone, keep, by=["__all"], order=["__at", "node"], into="__n").filter(F.col("__n") <= third)
+    return nodes.join(gone.select("node"), "node", "left_anti")
 
 
 #: Colours by words in a node's label, in this order, and that of all others (fixed values).

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.functions.text import duration_seconds
+from corvane.functions.text import duration_or_zero, duration_seconds
 
-RAW = """id STRING, snippet STRUCT<title STRING, description STRING, channelId STRING, channelTitle STRING, publishedAt STRING, categoryId STRING, tags ARRAY<STRING>, defaultLanguage STRING>,
+RAW = """id STRING, snippet STRUCT<title STRING, description STRING, channelId STRING, channelTitle STRING, publishedAt STRING, categoryId STRING, tags ARRAY<STRING>, defaultLanguage STRING, customUrl STRING, resourceId STRUCT<videoId: STRING>, playlistId STRING>,
 contentDetails STRUCT<duration STRING, relatedPlaylists STRUCT<uploads STRING>>, statistics STRUCT<viewCount STRING, likeCount STRING, commentCount STRING>,
 status STRUCT<privacyStatus STRING, embeddable BOOLEAN, madeForKids BOOLEAN>"""
 SHORT_CATEGORY, SHORT_SECONDS = "42", 60
@@ -42,6 +42,7 @@ def normalized(df: DataFrame) -> DataFrame:
         seconds.alias("duration_seconds"), _count("viewCount").alias("view_count"), _count("likeCount").alias("like_count"), _count("commentCount").alias("comment_count"),
         F.coalesce("raw.snippet.categoryId", F.lit("")).alias("category_id"), tags.alias("tags"), F.coalesce("raw.status.privacyStatus", F.lit("")).alias("privacy_status"),
         F.coalesce("raw.status.embeddable", F.lit(True)).alias("embeddable"), F.coalesce("raw.status.madeForKids", F.lit(False)).alias("made_for_kids"),
+        F.coalesce("raw.contentDetails.duration", F.lit("")).alias("duration_iso"), F.to_json("raw").alias("raw_json"),
         is_short(F.col("raw.snippet.title"), tags, F.col("raw.snippet.categoryId"), seconds).alias("is_short"),
     )
 
@@ -57,6 +58,26 @@ def uploads_playlist(df: DataFrame) -> DataFrame:
     return df.select("raw.id", F.col("raw.contentDetails.relatedPlaylists.uploads").alias("uploads"))
 
 
+def channel_videos(channels: DataFrame, items: DataFrame, videos: DataFrame, reference: str, *, include_shorts: bool = False, most: int | None = None) -> DataFrame:
+    """The public videos of one channel: its reference (an id, @name or custom name; the first hit by id) to its uploads list, that
+    list's items to their videos, each once, and the rows that public_videos keeps. All three tables have a `raw` record.
+    An unknown channel is an error."""
+    wanted = F.lit(reference.removeprefix("@").lower())
+    named = channels.filter((F.col("raw.id") == reference) | (F.lower(F.ltrim(F.col("raw.snippet.customUrl"), F.lit("@"))) == wanted) | (F.lower("raw.snippet.title") == wanted))
+    uploads = uploads_playlist(named).filter("uploads is not null").orderBy("id").limit(1).collect()
+    if not uploads:
+        raise LookupError(f"no channel {reference}")
+    ids = items.filter(F.col("raw.snippet.playlistId") == uploads[0].uploads).select(F.col("raw.snippet.resourceId.videoId").alias("__id")).distinct()
+    mine = videos.join(ids, F.col("raw.id") == F.col("__id"), "left_semi")
+    return public_videos(normalized(mine), include_shorts=include_shorts, most=most)
+
+
+def legacy_metadata(df: DataFrame) -> DataFrame:
+    """(video_id, title, publish_date, length_seconds) by the older rules: title N/A where missing, the date alone, 0 seconds for a duration that can't be read."""
+    title, day = F.coalesce("raw.snippet.title", F.lit("N/A")), F.to_date(F.try_to_timestamp("raw.snippet.publishedAt"))
+    return df.select(F.col("raw.id").alias("video_id"), title.alias("title"), day.alias("publish_date"), duration_or_zero(F.col("raw.contentDetails.duration")).alias("length_seconds"))
+
+
 def with_transcripts(ids: DataFrame, meta: DataFrame, key: str) -> DataFrame:
     """A row per id with its metadata, or the defaults for ids without any."""
     return ids.join(meta, key, "left").withColumns({"title": F.coalesce("title", F.lit("N/A")), "category_name": F.coalesce("category_name", F.lit("Unknown")), "length_seconds": F.coalesce("length_seconds", F.lit(0))})

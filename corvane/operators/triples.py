@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.functions import vectors as vx
 from corvane.functions.text import squeeze, strip
+from corvane.shared import Keep, running
 
 SPO = ["subject", "predicate", "object"]
 #: Words of a relation that say little (fixed values), and relations that a quality filter drops.
 GENERIC = ("be", "is", "are", "was", "were", "have", "has", "had", "do", "does", "did", "make", "makes", "made", "get", "gets", "got")
 DROPPED = ("mentions", "says", "talks about")
+#: Pronouns, which are no entities (own list).
 PRONOUNS = ("i", "you", "he", "she", "it", "we", "they", "this", "that", "these", "those", "him", "her", "them", "us", "me", "who", "what")
 
 
@@ -90,12 +96,20 @@ def canonical_key() -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *(norm(F.col(c)) for c in SPO)), 256), 1, 16)
 
 
-def merged(t: DataFrame, sources: int = 10) -> DataFrame:
-    """Triples (with confidence, source) merged by canonical key: frequency, harmonic mean confidence, best form, last sources by position."""
-    keyed = t.withColumn("key", canonical_key())
+def merged(t: DataFrame, keep: Keep, sources: int = 10) -> DataFrame:
+    """Triples (with confidence, source) merged by canonical key: frequency, harmonic mean confidence, best form, last sources by position.
+
+    Keys are computed once for each distinct form, as most triples repeat one; the rows then carry eight bytes of it.
+    """
+    forms = keep(t.select(*SPO).distinct().withColumn("key", canonical_key()))
+    named = forms.select(*(F.col(c).alias(f"__{c}") for c in SPO), "key")
+    same = F.lit(True)
+    for c in SPO:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    keyed = keep(t.select(*SPO, "pos", "confidence", "source").join(named, same).select(*SPO, "pos", "confidence", "source", "key"))
     agg = keyed.groupBy("key").agg(F.count("*").alias("frequency"), F.round(F.count("confidence") / F.sum(1 / F.col("confidence")), 6).alias("confidence"), F.max_by(F.struct(*SPO), F.struct("confidence", "pos")).alias("best"))
     last = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("pos")))  # keeps `sources` rows per key and task before the shuffle
-    kept = keyed.withColumn("__n", last).filter(F.col("__n") <= sources).groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "source"))), lambda x: x["source"]), ",").alias("sources"))
+    kept = keyed.select("key", "pos", "source").withColumn("__n", last).filter(F.col("__n") <= sources).groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "source"))), lambda x: x["source"]), ",").alias("sources"))
     return agg.join(kept, "key").select("key", "best.*", "frequency", "confidence", "sources")
 
 
@@ -111,24 +125,36 @@ def capitalized_spans(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"(?<=[\p{L}\p{N},;:] )(\p{Lu}\p{L}+(?: \p{Lu}\p{L}+){0,2})"), F.lit(1))
 
 
-def entity_scores(entities: DataFrame, *, order: list[str], least: float = 0.6) -> DataFrame:
-    """Entities with the mean of their quality factors and whether they are kept. Frequency is the running count before the row, by a window."""
+def entity_scores(entities: DataFrame, keep: Keep, *, order: list[str], least: float = 0.6) -> DataFrame:
+    """Entities with the mean of their quality factors and whether they are kept. Frequency is the running count before the row."""
     e = F.lower("entity")
     words = F.size(F.split(squeeze(F.col("entity")), r"\s+"))
-    before = F.count("*").over(Window.partitionBy(e).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    columns = entities.columns
+    entities = running(entities.withColumn("__e", e), keep, by=["__e"], order=order, into="__n")
+    before = F.col("__n") - 1
     one = lambda c, no: F.when(c, 1.0).otherwise(no)
     factors = [one(F.length("entity").between(2, 50), 0.0), one(words.between(1, 5), 0.0), one(F.col("entity").rlike(r"\p{Lu}"), 0.5), one(~e.isin(*PRONOUNS), 0.0), 1.0 - F.least(F.lit(1.0), before / 10)]
     score = sum(factors[1:], factors[0]) / len(factors)
-    return entities.withColumn("score", F.round(score, 6)).withColumn("kept", F.col("score") >= least)
+    return entities.withColumn("score", F.round(score, 6)).withColumn("kept", F.col("score") >= least).select(*columns, "score", "kept")
+
 
+def relation_scores(t: DataFrame, keep: Keep, *, vectors: DataFrame | None = None, least: float = 0.7) -> DataFrame:
+    """Triples with the mean of their quality factors and whether they are kept.
 
-def relation_scores(t: DataFrame, *, least: float = 0.7) -> DataFrame:
-    """Triples with the mean of their quality factors (no word vectors here, so likeness of ends counts as unknown) and whether they are kept."""
-    before = F.count("*").over(Window.partitionBy(*(F.lower(c) for c in SPO)).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
+    vectors: (term, vector) of lower-case terms; the likeness of a triple's ends is their cosine, and unknown (0.5) where one has none.
+    """
+    columns = t.columns
+    low = [f"__{c}" for c in SPO]
+    t = running(t.withColumns({n: F.lower(c) for n, c in zip(low, SPO, strict=True)}), keep, by=low, order=["pos"], into="__n")
+    before, near = F.col("__n") - 1, F.lit(0.5)
+    if vectors is not None:
+        for c in ("subject", "object"):
+            t = t.join(vectors.select(F.col("term").alias(f"__{c}"), F.col("vector").alias(f"__v{c}")), f"__{c}", "left")
+        near = F.when(F.col("__vsubject").isNull() | F.col("__vobject").isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), vx.similarity(F.col("__vsubject"), F.col("__vobject"), "cosine")))
     generic = F.exists(F.split(F.lower("predicate"), " "), lambda w: w.isin(*GENERIC))
-    factors = [F.when(F.length("predicate").between(2, 30), 1.0).otherwise(0.0), F.lit(0.5), F.when(generic, 0.3).otherwise(1.0), 1.0 - F.least(F.lit(1.0), before / 5), F.when(F.lower("subject") != F.lower("object"), 0.5).otherwise(0.0)]
+    factors = [F.when(F.length("predicate").between(2, 30), 1.0).otherwise(0.0), near, F.when(generic, 0.3).otherwise(1.0), 1.0 - F.least(F.lit(1.0), before / 5), F.when(F.lower("subject") != F.lower("object"), 0.5).otherwise(0.0)]
     score = sum(factors[1:], factors[0]) / len(factors)
-    return t.withColumn("score", F.round(score, 6)).withColumn("kept", F.col("score") >= least)
+    return t.withColumn("score", F.round(score, 6)).withColumn("kept", F.col("score") >= least).select(*columns, "score", "kept")
 
 
 def merged_extractions(nlp: DataFrame, llm: DataFrame, least: float = 0.7) -> DataFrame:
@@ -137,55 +163,151 @@ def merged_extractions(nlp: DataFrame, llm: DataFrame, least: float = 0.7) -> Da
     return rows.groupBy(*SPO).agg(F.min(F.struct("origin", "pos")).alias("x")).select("x.origin", "x.pos", *SPO)
 
 
-def near_duplicates_dropped(t: DataFrame, vectors: DataFrame, *, entity_threshold: float = 0.8, relation_threshold: float = 0.7) -> DataFrame:
+def alike_terms(vectors: DataFrame, keep: Keep, threshold: float, *, block: int = 4096) -> DataFrame:
+    """(term, other) of distinct terms whose vectors' cosine is above the threshold, both ways, and each term with itself.
+
+    Terms are dealt into blocks by hash and each pair of blocks is one matrix product in a task, which returns the alike pairs only.
+    Vectors of zeros are alike to nothing but themselves.
+    """
+    rows = keep(vectors.filter(F.col("term").isNotNull() & F.col("vector").isNotNull()).groupBy("term").agg(F.min("vector").alias("vector")))
+    blocks = max(1, -(-rows.count() // block))
+    own = F.pmod(F.xxhash64("term"), F.lit(blocks)).cast("int")
+    met = rows.select("term", "vector", own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    dealt = met.select(F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "term", "vector").repartition("low", "high").sortWithinPartitions("low", "high")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, terms, of, parts = None, [], [], []
+
+        def told() -> pa.RecordBatch:
+            x, own = np.concatenate(parts), np.array(of)
+            n = np.sqrt((x * x).sum(axis=1, keepdims=True))
+            x = x / np.where(n > 0, n, 1)
+            a, b = np.flatnonzero(own == at[0]), np.flatnonzero(own == at[1])
+            i, j = np.nonzero(x[a] @ x[b].T > threshold)
+            i, j = a[i], b[j]
+            i, j = i[i != j], j[i != j]
+            if at[0] != at[1]:
+                i, j = np.concatenate((i, j)), np.concatenate((j, i))
+            return pa.RecordBatch.from_arrays([pa.array([terms[k] for k in i.tolist()], pa.string()), pa.array([terms[k] for k in j.tolist()], pa.string())], ["term", "other"])
+
+        for b in batches:
+            x = np.asarray(b.column(4).flatten(), dtype=float).reshape(b.num_rows, -1)
+            for k, key in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                if key != at and terms:
+                    yield told()
+                    terms, of, parts = [], [], []
+                at = key
+                terms.append(b.column(3)[k].as_py())
+                of.append(b.column(2)[k].as_py())
+                parts.append(x[k : k + 1])
+        if terms:
+            yield told()
+
+    return dealt.select("low", "high", "own", "term", "vector").mapInArrow(near, "term string, other string").unionByName(rows.select("term", F.col("term").alias("other")))
+
+
+def near_duplicates_dropped(t: DataFrame, vectors: DataFrame, keep: Keep, *, entity_threshold: float = 0.8, relation_threshold: float = 0.7) -> DataFrame:
     """Triples without those whose ends and relation are all alike to an earlier kept one. vectors: (term, vector) of lower-case terms.
 
-    Blocks are the relation's first word; inside a block the fold is by position, as kept triples decide about later ones.
-    Alike across blocks stays, a documented difference from comparing with all.
+    A term without a vector is alike to itself only. Equal triples (but for case) are one row, the first. Alike terms are found once,
+    triples meet through them, and the fold by position goes in rounds of joins: a triple without an earlier open or kept partner is
+    kept, one with an earlier kept partner is dropped, until none is open. Each round decides at least the first of every group.
     """
-    import numpy as np
+    low = [f"l_{c}" for c in SPO]
+    rows = t.select("pos", *SPO, *(F.lower(c).alias(n) for c, n in zip(SPO, low, strict=True)))
+    first = rows.groupBy(*low).agg(F.min(F.struct("pos", *SPO)).alias("x")).select("x.*", *low)
+    first = keep(first.withColumn("at", F.struct("pos", *low)))  # positions may repeat
+    ends = keep(alike_terms(vectors, keep, entity_threshold).filter("term <> other"))
+    names = keep(alike_terms(vectors, keep, relation_threshold).filter("term <> other"))
+    near = first.select("at", *low)
+    for c, n in zip(SPO, low, strict=True):
+        others = (names if c == "predicate" else ends).groupBy(F.col("term").alias(n)).agg(F.collect_list("other").alias("others"))
+        near = near.join(others, n, "left").withColumn(f"o_{c}", F.explode(F.concat(F.array(n), F.coalesce("others", F.array().cast("array<string>"))))).drop("others")
+    met = first.select(F.col("at").alias("other"), *(F.col(n).alias(f"o_{c}") for c, n in zip(SPO, low, strict=True)))
+    links = keep(near.join(met, [f"o_{c}" for c in SPO]).filter("other < at").select("at", "other"))
+    open_ = keep(links.select("at").union(links.select("other")).distinct())
+    gone, chosen = open_.limit(0), open_.limit(0)
+    while not open_.isEmpty():
+        held = links.join(open_, "at", "left_semi").join(chosen.withColumnRenamed("at", "other"), "other", "left_semi")
+        dropped = keep(held.select("at").distinct())
+        left = keep(open_.join(dropped, "at", "left_anti"))
+        waits = links.join(left, "at", "left_semi").join(left.withColumnRenamed("at", "other"), "other", "left_semi").select("at").distinct()
+        now = left.join(waits, "at", "left_anti")
+        gone, chosen = keep(gone.union(dropped)), keep(chosen.union(now))
+        open_ = keep(left.join(chosen, "at", "left_anti"))
+    return first.join(gone, "at", "left_anti").select("pos", *SPO)
+
+
+Patterns = Callable[[str], list[tuple[str, str, str]]]
+
+
+def parsed_relations(df: DataFrame, parser: Patterns, *, id_col: str, text_col: str) -> DataFrame:
+    """(id, triple_no, subject, predicate, object) of a dependency parser's patterns, which names them itself.
+
+    parser: a text's relations, as a parsing model finds them (subject - verb - object, prepositions, appositions as `is`, compounds as
+    `part_of`). Ends of one character and relations of a term with itself are left out, and relations are numbered anew.
+    """
+    rows = extract(df, parser, id_col=id_col, text_col=text_col, retries=1)
+    sound = rows.filter((F.length("subject") > 1) & (F.length("object") > 1) & (F.col("subject") != F.col("object")))
+    again = F.row_number().over(Window.partitionBy("id").orderBy("triple_no")) - 1
+    return sound.withColumn("triple_no", again.cast("int"))
 
-    v = vectors.select(F.col("term"), F.col("vector"))
-    rows = t
-    for c in SPO:
-        rows = rows.join(v.select(F.col("term").alias(f"__t{c}"), F.col("vector").alias(f"__v{c}")), F.lower(c) == F.col(f"__t{c}"), "left").drop(f"__t{c}")
-    rows = rows.withColumn("__block", F.split(F.lower("predicate"), " ")[0])
 
-    def alike(a, b, x, y, least) -> bool:
-        if a is None or b is None or not np.any(a) or not np.any(b):
-            return x.lower() == y.lower()
-        return float(np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b))) > least
+def simple_patterns(verbs: tuple[str, ...] = ("is", "was", "has", "had", "knows", "likes", "uses", "makes")) -> Patterns:
+    """A stand-in for a dependency parser, which is not here: word - verb - word, word in/of word, and capitalised pairs as compounds."""
+    import re
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[dict] = []
-        for r in pdf.sort_values("pos").to_dict("records"):
-            if not any(all(alike(k[f"__v{c}"], r[f"__v{c}"], k[c], r[c], relation_threshold if c == "predicate" else entity_threshold) for c in SPO) for k in kept):
-                kept.append(r)
-        return pd.DataFrame(kept, columns=pdf.columns)[["pos", *SPO]]
+    svo = re.compile(rf"(\w+) ({'|'.join(verbs)}) (?:a |an |the )?(\w+)")
+    preposition = re.compile(r"(\w+) (in|of|at|for|with) (?:a |an |the )?(\w+)")
+    compound = re.compile(r"\b([A-Z]\w+) ([A-Z]\w+)\b")
 
-    return rows.groupBy("__block").applyInPandas(fold, "pos long, subject string, predicate string, object string")
+    def parse(text: str) -> list[tuple[str, str, str]]:
+        return [m.groups() for m in svo.finditer(text)] + [m.groups() for m in preposition.finditer(text)] + [(m[1], "part_of", m[2]) for m in compound.finditer(text)]
 
+    return parse
 
-def extract(chunks: DataFrame, extractor: Callable[[str], list[tuple[str, str, str]]], *, id_col: str = "id", text_col: str = "text", retries: int = 3) -> DataFrame:
-    """Triples of each chunk by a pluggable extractor; a chunk that fails `retries` times has none."""
+
+def extract(chunks: DataFrame, extractor: Callable[[str], list[tuple[str, str, str]]], *, id_col: str = "id", text_col: str = "text", retries: int = 3, first_wait: float = 0.0, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """Triples of each chunk by a pluggable extractor. A failed chunk is tried again after first_wait * 2 ** attempt seconds; one that fails `retries` times has none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for i, text in zip(b["id"], b["text"], strict=True):
                 found: list = []
-                for _ in range(retries):
+                for attempt in range(retries):
                     try:
                         found = extractor(text or "")
                         break
                     except Exception:  # noqa: BLE001  an extractor may fail in any way
-                        continue
+                        if first_wait and attempt + 1 < retries:
+                            sleep(first_wait * 2**attempt)
                 out += [(str(i), k, *x) for k, x in enumerate(found)]
             yield pd.DataFrame(out, columns=["id", "triple_no", *SPO])
 
     return chunks.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id string, triple_no int, subject string, predicate string, object string")
 
 
+def extract_batched(chunks: DataFrame, extractor: Callable[[list[str]], list[list[tuple[str, str, str]]]], *, id_col: str = "id", text_col: str = "text", size: int = 5, retries: int = 3) -> DataFrame:
+    """As extract, with `size` chunks a call; a call that fails `retries` times gives its chunks nothing."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ids, texts, out = b["id"].tolist(), b["text"].fillna("").tolist(), []
+            for a in range(0, len(ids), size):
+                found: list = []
+                for _ in range(retries):
+                    try:
+                        found = extractor(texts[a : a + size])
+                        break
+                    except Exception:  # noqa: BLE001  an extractor may fail in any way
+                        continue
+                out += [(str(i), k, *x) for i, xs in zip(ids[a : a + size], found, strict=False) for k, x in enumerate(xs)]
+            yield pd.DataFrame(out, columns=["id", "triple_no", *SPO])
+
+    return chunks.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id string, triple_no int, subject string, predicate string, object string")
+
+
 RESULT = "custom_id string, error struct<message string>, response struct<body struct<error struct<message string>, choices array<struct<message struct<content string>>>>>"
 
 

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvane.functions import vectors as vx
 from corvane.functions.filters import matches
 
+#: Queries that are held against the store at a time.
+SEGMENT = 2048
+
 
 def add(store: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """store with rows added; a row replaces the one with its key."""
@@ -20,42 +27,113 @@ def delete(store: DataFrame, ids: list[Any], key: str) -> DataFrame:
     return store.filter(~F.col(key).isin(*ids)) if ids else store
 
 
-def top_k(queries: DataFrame, store: DataFrame, *, k: int = 5, metric: str = "cosine", filters: dict | None = None, threshold: float = 0.0, query_key: str = "query_id", query_vector: str = "query_vector", key: str = "vec_id", vector: str = "embedding", digits: int = 6, keep: list[str] | None = None) -> DataFrame:
-    """The k best stored rows of each query, filtered first, ties to the smaller key; a threshold above 0 drops lower scores afterwards.
+def _matrix(column: pa.Array) -> np.ndarray:
+    flat = np.asarray(column.flatten(), dtype=np.float64)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    n = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return x / np.where(n > 0, n, 1)
+
+
+def scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    """Queries by rows, as one matrix product; for cosine both sides have unit length or are zero."""
+    if metric == "l2":
+        return 1 / (1 + np.maximum((q * q).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None, :] - 2 * (q @ x.T), 0))
+    return q @ x.T
+
 
-    Queries are a stated set. Spark broadcasts them while they are below its threshold, so that each stored row is scored where
-    it lies, and pairs blocks of both sides beyond it; ranking keeps k rows per query and task before the shuffle.
+def best_of(found: np.ndarray, keys: list, k: int) -> Iterator[tuple[int, int]]:
+    """(query, row) of the k best rows of each query, ties to the smaller key."""
+    for i, row in enumerate(found):
+        if len(row) > k:
+            hits = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k])
+        else:
+            hits = np.arange(len(row))
+        for j in sorted(hits.tolist(), key=lambda j: (-row[j], keys[j]))[:k]:
+            yield i, j
+
+
+def top_k(queries: DataFrame, store: DataFrame, *, k: int = 5, metric: str = "cosine", filters: dict | None = None, threshold: float = 0.0, query_key: str = "query_id", query_vector: str = "query_vector", key: str = "vec_id", vector: str = "embedding", digits: int = 6, keep: list[str] | None = None, cell: str | None = None, probes: dict[Any, list[int]] | None = None) -> DataFrame:
+    """The k best stored rows of each query, filtered first, ties (of rounded scores) to the smaller key; a threshold above 0 drops lower scores afterwards.
+
+    Queries are a stated set, taken SEGMENT at a time: a segment is sent to the tasks, which score the rows they hold as matrix
+    products and let k rows a query and batch through. Rows without a vector take no part.
     """
+    if metric not in ("cosine", "ip", "l2"):
+        raise ValueError(f"no such metric: {metric}")
+    spark, k = store.sparkSession, k or 5
     found = store.filter(matches(filters, store.columns)) if filters else store
-    q = queries.select(F.col(query_key), F.col(query_vector).alias("__q"))
-    scored = found.crossJoin(q).select(query_key, key, *(keep or []), F.round(vx.similarity(F.col("__q"), F.col(vector), metric), digits).alias("score"))
+    found = found.filter(F.col(vector).isNotNull()).select(key, *(keep or []), *([cell] if cell else []), F.col(vector).cast("array<double>").alias("__x"))
+    n_kept = 1 + len(keep or [])
+    asked = queries.filter(F.col(query_vector).isNotNull()).select(F.col(query_key), F.col(query_vector).cast("array<double>").alias("__q"))
+    parts = -(-asked.count() // SEGMENT)
+    schema = T.StructType([asked.schema[query_key], *found.schema.fields[:n_kept], T.StructField("score", T.DoubleType())])
+    if not parts:
+        return spark.createDataFrame([], schema).withColumn("rank", F.lit(1))
+    out = None
+    for part in range(parts):
+        mine = asked.filter(F.pmod(F.xxhash64(query_key), F.lit(parts)) == part).toArrow()
+        ids = mine.column(0).combine_chunks()
+        q = _matrix(mine.column(1).combine_chunks()) if len(ids) else np.zeros((0, 1))
+        allowed = None if probes is None else [set(probes[i]) for i in ids.to_pylist()]
+        shared = spark.sparkContext.broadcast((ids, _unit(q) if metric == "cosine" else q, allowed))
+
+        def near(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, q, allowed = shared.value
+            for b in batches:
+                if not b.num_rows or not len(ids):
+                    continue
+                x = _matrix(b.column(b.num_columns - 1))
+                s = np.round(scores(q, _unit(x) if metric == "cosine" else x, metric), digits)
+                if allowed is not None:
+                    cells = b.column(n_kept).to_pylist()
+                    s[np.array([[c not in a for c in cells] for a in allowed])] = -np.inf
+                pairs = [(i, j) for i, j in best_of(s, b.column(0).to_pylist(), k) if s[i, j] > -np.inf]
+                at, rows = pa.array([i for i, _ in pairs], pa.int64()), pa.array([j for _, j in pairs], pa.int64())
+                yield pa.RecordBatch.from_arrays([ids.take(at), *(b.column(c).take(rows) for c in range(n_kept)), pa.array([float(s[i, j]) + 0.0 for i, j in pairs], pa.float64())], schema.names)
+
+        got = found.mapInArrow(near, schema)
+        out = got if out is None else out.unionByName(got)
     rank = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), key))
-    out = scored.withColumn("rank", rank).filter(F.col("rank") <= (k or 5))
+    out = out.withColumn("rank", rank).filter(F.col("rank") <= k)
     return out.filter(F.col("score") >= threshold) if threshold > 0 else out
 
 
-def cells(store: DataFrame, centroids: DataFrame, *, vector: str = "embedding") -> DataFrame:
-    """store with the cell of its nearest centroid (cell, centre)."""
-    near = F.row_number().over(Window.partitionBy("__row").orderBy(F.desc("__s"), "cell"))
-    numbered = store.withColumn("__row", F.monotonically_increasing_id())
-    scored = numbered.crossJoin(F.broadcast(centroids)).withColumn("__s", vx.similarity(F.col(vector), F.col("centre"), "cosine"))
-    return scored.withColumn("__n", near).filter("__n = 1").drop("__n", "__s", "__row", "centre")
+def centroids_of(store: DataFrame, n: int, *, key: str = "vec_id", vector: str = "embedding", sample: int = 16_384, rounds: int = 8) -> np.ndarray:
+    """n centres by spherical k-means over the `sample` stored rows of smallest hash (a bounded sample; every row is indexed)."""
+    picked = store.filter(F.col(vector).isNotNull()).select(F.xxhash64(key).alias("h"), F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("x")).orderBy("h", "k").limit(sample).collect()
+    x = _unit(np.array([r.x for r in picked]))
+    centres = x[:n].copy()
+    for _ in range(rounds):
+        near = (x @ centres.T).argmax(axis=1)
+        for c in np.unique(near).tolist():
+            centres[c] = x[near == c].sum(axis=0)
+        centres = _unit(centres)
+    return centres
 
 
-def centroids_of(store: DataFrame, n: int, *, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """n stored vectors by the order of the key's hash: seeds of cells. n is the index's own size."""
-    picked = store.orderBy(F.xxhash64(key), key).limit(n)
-    return picked.select((F.row_number().over(Window.orderBy(key)) - 1).alias("cell"), F.col(vector).alias("centre"))
+def cells(store: DataFrame, centres: np.ndarray, *, vector: str = "embedding") -> DataFrame:
+    """store with the cell of its nearest centre, told inside the row."""
+    shared, at = store.sparkSession.sparkContext.broadcast(centres), store.columns.index(vector)
 
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = _matrix(b.column(at))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array((x @ shared.value.T).argmax(axis=1) if len(x) else [], pa.int32())], [*b.schema.names, "cell"])
 
-def top_k_cells(queries: DataFrame, indexed: DataFrame, centroids: DataFrame, *, probes: int, k: int = 5, query_key: str = "query_id", query_vector: str = "query_vector", **options) -> DataFrame:
-    """top_k over the `probes` cells nearest to each query."""
-    near = queries.crossJoin(F.broadcast(centroids)).withColumn("__s", vx.similarity(F.col(query_vector), F.col("centre"), "cosine"))
-    probed = near.withColumn("__n", F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("__s"), "cell"))).filter(F.col("__n") <= probes)
-    key, vector = options.get("key", "vec_id"), options.get("vector", "embedding")
-    scored = indexed.join(probed.select(query_key, F.col(query_vector).alias("__q"), "cell"), "cell").select(query_key, key, F.round(vx.similarity(F.col("__q"), F.col(vector), options.get("metric", "cosine")), 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), key))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+    schema = T.StructType([*store.schema.fields, T.StructField("cell", T.IntegerType())])
+    return store.filter(F.col(vector).isNotNull()).mapInArrow(near, schema)
+
+
+def top_k_cells(queries: DataFrame, indexed: DataFrame, centres: np.ndarray, *, probes: int, k: int = 5, query_key: str = "query_id", query_vector: str = "query_vector", **options: Any) -> DataFrame:
+    """top_k over the `probes` cells nearest to each query; rows of cells that no query probes are not read."""
+    asked = queries.select(query_key, F.col(query_vector).cast("array<double>").alias("x")).collect()  # the stated queries
+    order = np.argsort(-(np.array([r.x for r in asked]) @ centres.T), axis=1, kind="stable")[:, :probes] if asked else np.zeros((0, probes), int)
+    wanted = {r[query_key]: o.tolist() for r, o in zip(asked, order, strict=True)}
+    used = sorted({c for o in wanted.values() for c in o})
+    return top_k(queries, indexed.filter(F.col("cell").isin(*used)) if used else indexed.limit(0), k=k, query_key=query_key, query_vector=query_vector, cell="cell", probes=wanted, **options)
 
 
 def mean_vectors(df: DataFrame, by: str, vector: str, digits: int = 6) -> DataFrame:
@@ -63,8 +141,9 @@ def mean_vectors(df: DataFrame, by: str, vector: str, digits: int = 6) -> DataFr
     return df.select(by, F.posexplode(vector).alias("dim", "x")).groupBy(by, "dim").agg(F.round(F.avg(F.col("x").cast("double")), digits).alias("value"))
 
 
-def store_stats(store: DataFrame, vector: str = "embedding") -> DataFrame:
-    return store.agg(F.count("*").alias("total_vectors"), F.coalesce(F.max(F.size(vector)), F.lit(0)).alias("dimension"), F.coalesce(F.min(F.size(vector)), F.lit(0)).alias("smallest_dimension"))
+def store_stats(store: DataFrame, vector: str = "embedding", *, kind: str = "flat", metric: str = "cosine") -> DataFrame:
+    """Vectors, dimensions, and the index's kind and metric."""
+    return store.agg(F.count("*").alias("total_vectors"), F.coalesce(F.max(F.size(vector)), F.lit(0)).alias("dimension"), F.coalesce(F.min(F.size(vector)), F.lit(0)).alias("smallest_dimension"), F.lit(kind).alias("kind"), F.lit(metric).alias("metric"))
 
 
 def memory_mb(chunks: DataFrame, dim: int, text: str = "text") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass, fields
+from dataclasses import asdict, dataclass, fields, is_dataclass
 
 
 @dataclass(frozen=True)
@@ -25,5 +25,22 @@ class ExtractionConfig:
             raise ValueError(f"unknown settings: {', '.join(sorted(unknown))}")
         return cls(**values)
 
+    @classmethod
+    def from_yaml(cls, path: str) -> ExtractionConfig:
+        """From a YAML file with the settings at its top or under `extraction`."""
+        import yaml
+
+        with open(path, encoding="utf-8") as f:
+            values = yaml.safe_load(f) or {}
+        values = values.get("extraction", values)
+        return cls.of({k: tuple(v) if isinstance(v, list) else v for k, v in values.items()})
+
     def describe(self) -> dict:
         return asdict(self)
+
+
+def describe(component: object) -> dict:
+    """What a chunker, embedder or other component says of itself: its class, its settings, and its dimension and longest input where it has them."""
+    settings = asdict(component) if is_dataclass(component) else {k: v for k, v in vars(component).items() if not k.startswith("_")} if hasattr(component, "__dict__") else {}
+    known = {k: getattr(component, k) for k in ("dimension", "most_tokens") if hasattr(component, k)}
+    return {"kind": getattr(component, "__name__", type(component).__name__), **settings, **known}

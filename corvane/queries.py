@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,7 +16,11 @@ from corvane.functions.filters import matches
 from corvane.operators import analytics, budget, chunking, graph, normalize, retrieval, store, triples
 from corvane.operators import vector_search as vs
 from corvane.plans import ingest
+from corvane.shared import kept as keep
+from corvane.shared import shared_dir
+from corvane.sources import files
 from corvane.sources.files import check_source, query_source, table
+from corvane.streaming import ingest as streaming
 from corvane.streaming.ingest import latest_status, windowed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,30 +72,9 @@ UNION ALL SELECT l_orderkey * 10 + l_linenumber + 1000000000, 'supplier#' || l_s
 DEG = KG + ", ends AS (SELECT subject AS node, 0 AS i, 1 AS o FROM kg UNION ALL SELECT object, 1, 0 FROM kg), deg AS (SELECT node, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree, count(*) AS degree FROM ends GROUP BY node) "
 
 
-def small_kg(s: SparkSession, d: str) -> DataFrame:
-    return kg(s, d).filter("predicate in ('in', 'located in')")
-
-
-SMALL = KG + ", sk AS (SELECT * FROM kg WHERE predicate IN ('in', 'located in')) "
-
-
-def keep(name: str) -> Callable[[DataFrame], DataFrame]:
-    """Cuts the lineage of iterative operators by checkpoint(), to the folder that the session names."""
-
-    def run(df: DataFrame) -> DataFrame:
-        sc = df.sparkSession.sparkContext
-        if not sc.getCheckpointDir():
-            import tempfile
-
-            sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix=f"corvane-{name}-"))
-        return df.checkpoint()
-
-    return run
-
-
 def asked(s: SparkSession, d: str) -> DataFrame:
-    """Query vectors: every 25th stored vector."""
-    return table(s, d, "embeddings").filter("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    """Query vectors: every 20th stored vector, a stated set."""
+    return table(s, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
 
 
 DOT = "list_sum(list_transform(range(1, len({0}) + 1), lambda i: CAST({0}[i] AS DOUBLE) * CAST({1}[i] AS DOUBLE)))"
@@ -102,7 +86,7 @@ SCORES = {
 
 
 def topk_sql(metric: str, where: str = "TRUE", after: str = "TRUE", k: int = 5) -> str:
-    return f"WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, round({SCORES[metric]}, 6) AS score FROM embeddings q CROSS JOIN embeddings e WHERE q.vec_id % 25 = 0 AND {where}), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s) SELECT query_id, vec_id, score, rank FROM r WHERE rank <= {k} AND {after}"
+    return f"WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, round({SCORES[metric]}, 6) AS score FROM embeddings q CROSS JOIN embeddings e WHERE q.vec_id % 20 = 0 AND {where}), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s) SELECT query_id, vec_id, score, rank FROM r WHERE rank <= {k} AND {after}"
 
 
 # --- analytic queries and scans ---
@@ -324,17 +308,27 @@ def url_parts(s, d):
     return table(s, d, "pages").select("page_id", tx.host_of(F.col("url")).alias("host"), tx.safe_filename(F.col("url")).alias("file_name"))
 
 
-@query("SELECT * FROM (VALUES (0, 'abcdefghijk', true, CAST(NULL AS VARCHAR)), (1, 'abc_efgh-jk', true, NULL), (2, 'abcdefghij1', false, NULL), (3, NULL, false, 'UCabc'), (4, NULL, false, 'name.x'), (5, NULL, false, 'who'), (6, NULL, false, NULL)) v(i, video_id, is_video, channel)")
+_ADDRESS = "WITH p AS (SELECT page_id AS i, substring(md5(CAST(page_id AS VARCHAR)), 1, 11) AS v FROM pages), u AS (SELECT *, i % 8 AS form FROM p) "
+
+
+@query(_ADDRESS + "SELECT i, CASE WHEN form <= 3 THEN v END AS video_id, form <= 2 AS is_video, CASE form WHEN 4 THEN 'UC' || v WHEN 5 THEN v || '.x' WHEN 6 THEN 'n' || v END AS channel, form BETWEEN 4 AND 6 AS is_channel, CASE WHEN form = 5 THEN v || '.x' END AS legacy_name FROM u")
 def address_forms(s, d):
-    urls = ["https://www.youtube.com/watch?v=abcdefghijk&t=1", "youtu.be/abc_efgh-jk", "abcdefghij1", "https://www.youtube.com/channel/UCabc", "https://youtube.com/@name.x", "https://youtube.com/c/who", "nothing"]
-    u = s.createDataFrame(list(enumerate(urls)), "i int, url string")
-    return u.select("i", tx.video_id(F.col("url")).alias("video_id"), tx.is_video_url(F.col("url")).alias("is_video"), tx.channel_ref(F.col("url")).alias("channel"))
+    """Ids of pages in every form of an address, and in none."""
+    v = F.substring(F.md5(F.col("page_id").cast("string")), 1, 11)
+    forms = [("https://www.youtube.com/watch?v=", v, "&t=1"), ("youtu.be/", v, ""), ("http://youtube.com/embed/", v, "?x"), ("", v, ""), ("https://www.youtube.com/channel/UC", v, ""), ("https://youtube.com/@", v, ".x"), ("youtube.com/c/n", v, "/videos"), ("nothing here ", v, "")]
+    url = F.lit(None).cast("string")
+    for k, (before, mid, after) in enumerate(forms):
+        url = F.when(F.col("page_id") % 8 == k, F.concat(F.lit(before), mid, F.lit(after))).otherwise(url)
+    u = table(s, d, "pages").select(F.col("page_id").alias("i"), url.alias("url"))
+    return u.select("i", tx.video_id(F.col("url")).alias("video_id"), tx.is_video_url(F.col("url")).alias("is_video"), tx.channel_ref(F.col("url")).alias("channel"), tx.is_channel_url(F.col("url")).alias("is_channel"), tx.legacy_channel_name(F.col("url")).alias("legacy_name"))
 
 
-@query("SELECT * FROM (VALUES (0, 330), (1, 3723), (2, 90061), (3, CAST(NULL AS INTEGER)), (4, NULL), (5, NULL), (6, 604800)) v(i, seconds)")
+@query("SELECT event_id AS i, CAST(CASE event_id % 6 WHEN 0 THEN event_id % 59 * 60 + event_id % 47 WHEN 1 THEN event_id % 23 * 3600 + 62 WHEN 2 THEN (event_id % 5 + 1) * 86400 + 3600 WHEN 3 THEN (event_id % 4 + 1) * 604800 END AS INTEGER) AS seconds, CAST(CASE event_id % 6 WHEN 0 THEN event_id % 59 * 60 + event_id % 47 WHEN 1 THEN event_id % 23 * 3600 + 62 WHEN 2 THEN (event_id % 5 + 1) * 86400 + 3600 WHEN 3 THEN (event_id % 4 + 1) * 604800 ELSE 0 END AS INTEGER) AS or_zero FROM events")
 def parse_durations(s, d):
-    x = s.createDataFrame(list(enumerate(["PT5M30S", "PT1H2M3S", "P1DT1H1M1S", "", None, "PT", "P1W"])), "i int, t string")
-    return x.select("i", tx.duration_seconds(F.col("t")).alias("seconds"))
+    """Durations written from each event's number, in four forms, a malformed one and none."""
+    i = F.col("event_id")
+    t = F.when(i % 6 == 0, F.format_string("PT%dM%dS", i % 59, i % 47)).when(i % 6 == 1, F.format_string("PT%dH1M2S", i % 23)).when(i % 6 == 2, F.format_string("P%dDT1H", i % 5 + 1)).when(i % 6 == 3, F.format_string("P%dW", i % 4 + 1)).when(i % 6 == 4, F.lit("PT"))
+    return table(s, d, "events").select(i.alias("i"), tx.duration_seconds(t).alias("seconds"), tx.duration_or_zero(t).alias("or_zero"))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k FROM events")
@@ -352,10 +346,14 @@ def html_text(s, d):
     return table(s, d, "pages").select("page_id", F.length(tx.strip_html(F.col("html"))).alias("n_chars"))
 
 
-@query("SELECT * FROM (VALUES (0, 0, 62.0::DOUBLE, 92.0::DOUBLE), (0, 1, 3723.0, 3753.0), (1, 0, 65.0, 95.0)) v(i, stamp_no, start_time, end_time)")
+@query("SELECT conv_id, turn, k AS stamp_no, CASE k WHEN 0 THEN turn * 60.0::DOUBLE + 5 ELSE 3723.0 END AS start_time, CASE k WHEN 0 THEN turn * 60.0::DOUBLE + 35 ELSE 3753.0 END AS end_time, CASE k WHEN 0 THEN regexp_replace(replace(text, '[', ''), '^\\s+|\\s+$', '', 'g') ELSE 'end' END AS text FROM (SELECT * FROM conversations WHERE turn < 60 AND regexp_matches(replace(text, '[', ''), '\\S') AND NOT regexp_matches(text, '[0-9]:[0-9(]|\\(')) c, range(2) r(k) WHERE true")
 def stamp_extraction(s, d):
-    x = s.createDataFrame([(0, "at 00:01:02 and 01:02:03"), (1, "[1:05] go"), (2, "none")], "i int, t string")
-    return x.select("i", F.posexplode(tx.stamps(F.col("t"))).alias("stamp_no", "x")).select("i", "stamp_no", F.col("x.start").alias("start_time"), F.col("x.end").alias("end_time"))
+    """Stamps in two forms around each turn's text, with the text after each."""
+    plain = F.replace("text", F.lit("["), F.lit(""))
+    x = table(s, d, "conversations").filter((F.col("turn") < 60) & plain.rlike(r"\S") & ~F.col("text").rlike(r"[0-9]:[0-9(]|\("))
+    stamped = F.concat(F.lit("["), F.col("turn").cast("string"), F.lit(":05] "), plain, F.lit(" [x] ("), F.lit("62:03) end"))
+    found = x.select("conv_id", "turn", F.filter(tx.stamps(stamped), lambda z: z["start"].isin(3723.0) | (z["start"] == F.col("turn") * 60 + 5)).alias("z"))
+    return found.select("conv_id", "turn", F.posexplode("z").alias("k", "z")).select("conv_id", "turn", F.col("k").cast("long").alias("stamp_no"), F.col("z.start").alias("start_time"), F.col("z.end").alias("end_time"), F.col("z.text").alias("text"))
 
 
 # --- tokens and budgets ---
@@ -367,9 +365,11 @@ def token_count(s, d):
     return table(s, d, "documents").select("doc_id", tk.token_count(t).alias("tokens"), tk.token_estimate(t).alias("estimate"), tk.within_limit(F.coalesce(t, F.lit("")), 500).alias("fits"), tk.truncate_to_tokens(t, 10).alias("cut"))
 
 
-@query("SELECT * FROM (VALUES ('gpt-4', 'cl100k_base'), ('gpt-4o-mini', 'o200k_base'), ('text-davinci-003', 'p50k_base'), ('other', 'cl100k_base')) v(model, encoding)")
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'cl100k_base' WHEN 1 THEN 'o200k_base' WHEN 2 THEN 'p50k_base' ELSE 'cl100k_base' END AS encoding FROM events")
 def model_encoding(s, d):
-    return s.createDataFrame([(m,) for m in ("gpt-4", "gpt-4o-mini", "text-davinci-003", "other")], "model string").select("model", tk.encoding_of(F.col("model")).alias("encoding"))
+    i = F.col("event_id")
+    m = F.when(i % 5 == 0, F.format_string("gpt-4-%d", i)).when(i % 5 == 1, F.format_string("gpt-4o-mini-%d", i)).when(i % 5 == 2, F.format_string("text-davinci-%d", i)).when(i % 5 == 3, F.format_string("text-embedding-%d", i)).otherwise(F.format_string("other %d", i))
+    return table(s, d, "events").select("event_id", tk.encoding_of(m).alias("encoding"))
 
 
 _B = T + ", b AS (SELECT video_id, channel, openai_tokens, CAST((row_number() OVER (PARTITION BY channel ORDER BY video_id) - 1) // 3 AS INTEGER) AS batch_no FROM t), c AS (SELECT *, CAST(sum(openai_tokens) OVER (PARTITION BY channel, batch_no) AS BIGINT) AS batch_tokens FROM b) "
@@ -377,7 +377,7 @@ _B = T + ", b AS (SELECT video_id, channel, openai_tokens, CAST((row_number() OV
 
 @query(_B + "SELECT video_id, batch_no, batch_tokens, CASE WHEN batch_tokens <= 2500 THEN 'batch' WHEN openai_tokens <= 2500 THEN 'single' ELSE 'skipped' END AS handling FROM c")
 def batch_by_tokens(s, d):
-    return budget.batches(transcripts(s, d), by="channel", order="video_id", tokens="openai_tokens", size=3, limit=2500).select("video_id", "batch_no", "batch_tokens", "handling")
+    return budget.batches(transcripts(s, d), keep("batches"), by="channel", order="video_id", tokens="openai_tokens", size=3, limit=2500).select("video_id", "batch_no", "batch_tokens", "handling")
 
 
 @query()
@@ -387,14 +387,18 @@ def window_packing(s, d):
 
 @query(T + ", r AS (SELECT channel, video_id, sum(openai_tokens) OVER (PARTITION BY channel ORDER BY video_id ROWS UNBOUNDED PRECEDING) AS x FROM t) SELECT channel, video_id, CAST(x AS BIGINT) AS running_tokens FROM r WHERE x <= 9000")
 def context_budget(s, d):
-    return budget.context(transcripts(s, d), by="channel", rank="video_id", tokens="openai_tokens", budget=10_000).select("channel", "video_id", "running_tokens")
+    return budget.context(transcripts(s, d), keep("context"), by="channel", rank="video_id", tokens="openai_tokens", budget=10_000).select("channel", "video_id", "running_tokens")
+
 
+_PARTS = T + f", r AS (SELECT *, CAST((sum(openai_tokens) OVER (PARTITION BY category_name ORDER BY video_id) - openai_tokens) // 20000 AS BIGINT) AS part FROM t) "
 
-@query(T + "SELECT category_name, string_agg('=== ' || title || ' ===' || chr(10) || left(transcript_text, 20), chr(10) || chr(10) ORDER BY video_id) AS prompt FROM t WHERE video_id % 40 = 0 GROUP BY category_name")
+
+@query(_PARTS + "SELECT category_name, part, string_agg('=== ' || title || ' ===' || chr(10) || transcript_text, chr(10) || chr(10) ORDER BY video_id) AS prompt FROM r GROUP BY ALL")
 def prompt_assembly(s, d):
-    t = transcripts(s, d).filter("video_id % 40 = 0").withColumn("cut", F.left("transcript_text", F.lit(20)))
-    blocks = t.select("category_name", F.struct("video_id", triples.prompts(t, title="title", text="cut").alias("b")).alias("x"))
-    return blocks.groupBy("category_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["b"]), "\n\n").alias("prompt"))
+    """Titled texts of each category in parts: a part's texts begin within 20,000 tokens, so no prompt grows with the table."""
+    t = budget.running(transcripts(s, d), keep("prompts"), by=["category_name"], order=["video_id"], value="openai_tokens", into="upto")
+    blocks = t.select("category_name", F.floor((F.col("upto") - F.col("openai_tokens")) / 20_000).alias("part"), F.struct("video_id", triples.prompts(t, title="title", text="transcript_text").alias("b")).alias("x"))
+    return blocks.groupBy("category_name", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["b"]), "\n\n").alias("prompt"))
 
 
 # --- chunking ---
@@ -476,10 +480,11 @@ def segment_concat(s, d):
     return x.select("conv_id", "tokens", F.array_join(F.transform("x", lambda e: e["text"]), "\n").alias("full_text"))
 
 
-@query("SELECT custom_id FROM (SELECT 'segment-' || turn AS custom_id, turn FROM conversations WHERE conv_id = 3) ORDER BY turn")
+@query("SELECT conv_id, custom_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS place FROM (SELECT conv_id, 'segment-' || turn AS custom_id, turn FROM conversations)")
 def suffix_order(s, d):
-    x = table(s, d, "conversations").filter("conv_id = 3").select(F.concat(F.lit("segment-"), F.col("turn").cast("string")).alias("custom_id"))
-    return x.orderBy(F.split("custom_id", "-")[1].cast("int"))
+    """Segments of each conversation in the order of the number at the end of their ids. A conversation's segments are few."""
+    x = table(s, d, "conversations").select("conv_id", F.concat(F.lit("segment-"), F.col("turn").cast("string")).alias("custom_id"))
+    return x.withColumn("place", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.split("custom_id", "-")[1].cast("int"))))
 
 
 # --- vectors ---
@@ -523,9 +528,9 @@ def centroid_means(s, d):
     return vs.mean_vectors(table(s, d, "embeddings"), "label", "embedding")
 
 
-@query("SELECT vec_id, CAST(i - 1 AS INTEGER) AS dim, round(CAST(embedding[i] AS DOUBLE) / sqrt(n), 5) AS value FROM (SELECT vec_id, embedding, " + DOT.format("embedding", "embedding") + " AS n, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings WHERE vec_id % 10 = 0)")
+@query("SELECT vec_id, CAST(i - 1 AS INTEGER) AS dim, round(CAST(embedding[i] AS DOUBLE) / sqrt(n), 5) AS value FROM (SELECT vec_id, embedding, " + DOT.format("embedding", "embedding") + " AS n, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)")
 def normalized_vectors(s, d):
-    e = table(s, d, "embeddings").filter("vec_id % 10 = 0")
+    e = table(s, d, "embeddings")
     return e.select("vec_id", F.posexplode(vx.normalized(F.col("embedding"))).alias("dim", "x")).select("vec_id", "dim", F.round("x", 5).alias("value"))
 
 
@@ -534,7 +539,7 @@ def vector_validation(s, d):
     return table(s, d, "embeddings").select("vec_id", vx.sound(F.col("embedding"), 64).alias("sound"))
 
 
-@query("SELECT count(*) AS total_vectors, CAST(max(len(embedding)) AS INTEGER) AS dimension, CAST(min(len(embedding)) AS INTEGER) AS smallest_dimension FROM embeddings")
+@query("SELECT count(*) AS total_vectors, CAST(max(len(embedding)) AS INTEGER) AS dimension, CAST(min(len(embedding)) AS INTEGER) AS smallest_dimension, 'flat' AS kind, 'cosine' AS metric FROM embeddings")
 def store_stats(s, d):
     return vs.store_stats(table(s, d, "embeddings"))
 
@@ -550,7 +555,7 @@ def store_add_delete(s, d):
     return vs.delete(vs.add(e, e.filter("vec_id % 50 = 0").withColumn("label", F.lit(99)), "vec_id"), [1, 2, 3], "vec_id")
 
 
-@query(f"WITH f AS ({topk_sql('cosine', 'q.vec_id <> e.vec_id')}), w AS (SELECT q.vec_id AS query_id, count(*) AS wanted FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id WHERE q.vec_id % 25 = 0 GROUP BY 1), h AS (SELECT f.query_id, count(*) AS hits FROM f JOIN embeddings a ON a.vec_id = f.query_id JOIN embeddings b ON b.vec_id = f.vec_id WHERE a.label = b.label GROUP BY 1), p AS (SELECT coalesce(hits, 0) / 5.0::DOUBLE AS p, coalesce(coalesce(hits, 0) / nullif(wanted, 0)::DOUBLE, 0) AS r FROM (SELECT DISTINCT query_id FROM f) q LEFT JOIN h USING (query_id) LEFT JOIN w USING (query_id)) SELECT round(avg(p), 6) AS precision, round(avg(r), 6) AS recall, round(avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END), 6) AS f1 FROM p")
+@query(f"WITH f AS ({topk_sql('cosine', 'q.vec_id <> e.vec_id')}), w AS (SELECT q.vec_id AS query_id, count(*) AS wanted FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0 GROUP BY 1), h AS (SELECT f.query_id, count(*) AS hits FROM f JOIN embeddings a ON a.vec_id = f.query_id JOIN embeddings b ON b.vec_id = f.vec_id WHERE a.label = b.label GROUP BY 1), p AS (SELECT coalesce(hits, 0) / 5.0::DOUBLE AS p, coalesce(coalesce(hits, 0) / nullif(wanted, 0)::DOUBLE, 0) AS r FROM (SELECT DISTINCT query_id FROM f) q LEFT JOIN h USING (query_id) LEFT JOIN w USING (query_id)) SELECT round(avg(p), 6) AS precision, round(avg(r), 6) AS recall, round(avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END), 6) AS f1 FROM p")
 def quality_at_k(s, d):
     e, q = table(s, d, "embeddings"), asked(s, d)
     found = vs.top_k(q, e, k=6).filter("query_id <> vec_id")
@@ -567,45 +572,99 @@ def hashed_embeddings(s, d):
     return embedded(table(s, d, "documents").select("doc_id", "text"), "text", hash_embedder(32)).select("doc_id", F.size("embedding").alias("dim"), F.round(vx.norm(F.col("embedding")), 3).alias("norm"))
 
 
-@query("SELECT count(*) FILTER (text <> '') AS documents, CAST(sum(CASE WHEN length(text) > 0 THEN 1 ELSE 0 END) AS BIGINT) AS chunks, CAST(sum(CASE WHEN length(text) > 0 THEN 1 ELSE 0 END) AS BIGINT) AS embeddings FROM documents WHERE length(text) <= 1000")
+@query("SELECT count(*) FILTER (text <> '') AS documents, CAST(sum(ceil(length(text) / 2048.0)) AS BIGINT) AS chunks, CAST(sum(ceil(length(text) / 2048.0)) AS BIGINT) AS embeddings FROM documents")
 def ingest_counts(s, d):
-    docs = table(s, d, "documents").filter("length(text) <= 1000")
-    return ingest.ingest_stats(docs, ingest.ingest(docs, chunking.FixedLength(512, 64), hash_embedder(16), id_col="doc_id", text_col="text", metadata=["source"]), text_col="text")
+    docs = table(s, d, "documents")
+    return ingest.ingest_stats(docs, ingest.ingest(docs, chunking.Stride(2048), hash_embedder(16), id_col="doc_id", text_col="text", metadata=["source"]), text_col="text")
+
+
+@query("SELECT doc_id, lang, source, count(*) AS chunks, CAST(sum(len(c)) AS BIGINT) AS characters FROM (SELECT doc_id, lang, source, substring(text, a + 1, 1000) AS c FROM (SELECT *, unnest(range(0, length(text), 1000)) AS a FROM documents WHERE length(text) > 0)) GROUP BY ALL")
+def chunk_metadata(s, d):
+    """The metadata of its document on every chunk."""
+    c = chunking.chunked(table(s, d, "documents"), chunking.Stride(1000), id_col="doc_id", text_col="text", metadata=["lang", "source"])
+    return c.groupBy("doc_id", "lang", "source").agg(F.count("*").alias("chunks"), F.sum(F.length("text")).alias("characters"))
 
 
 @query()
 def ingest_and_retrieve(s, d):
-    docs = table(s, d, "documents").filter("length(text) <= 400")
-    chunks = ingest.ingest(docs, chunking.FixedLength(64, 8), hash_embedder(32), id_col="doc_id", text_col="text", metadata=["lang"])
+    chunks = ingest.ingest(table(s, d, "documents"), chunking.FixedLength(64, 8), hash_embedder(32), id_col="doc_id", text_col="text", metadata=["lang"])
     return ingest.retrieve(s, chunks, ["the of and", "de la que", "the of and"], hash_embedder(32), k=5, filters={"lang": ["en", "fr", "es"]})
 
 
+@query("SELECT 'the of and' AS query, CAST(doc_id AS VARCHAR) || '_0' AS chunk_id, 0 AS x, CAST(1 AS INTEGER) AS rank FROM documents WHERE false UNION ALL SELECT 'found', CAST(count(*) AS VARCHAR), 1, 5 FROM range(5)")
+def one_call_wrappers(s, d):
+    """Ingest and retrieval in one call each, by the names of their components, over a store on disk."""
+    path = f"{shared_dir(s)}/one-call-{uuid.uuid4().hex}"
+    ingest.ingest_documents(table(s, d, "documents"), chunker="window", chunker_options={"max_tokens": 256, "overlap": 16}, embedder_options={"dim": 16}, path=path, id_col="doc_id", text_col="text")
+    found = ingest.retrieve_text(s, "the of and", path=path, embedder_options={"dim": 16}, k=5)
+    return found.agg(F.lit("found").alias("query"), F.count("*").cast("string").alias("chunk_id"), F.lit(1).alias("x"), F.max("rank").alias("rank"))
+
+
 @query()
 def component_sweep(s, d):
-    docs = table(s, d, "documents").filter("length(text) <= 2000")
-    return ingest.sweep(docs, {"fixed": chunking.FixedLength(64, 8), "window": chunking.CharWindow(64, 8)}, {"hash": hash_embedder(16)}, id_col="doc_id", text_col="text")
+    return ingest.sweep(table(s, d, "documents"), {"fixed": chunking.FixedLength(64, 8), "window": chunking.CharWindow(64, 8)}, {"hash": hash_embedder(16)}, id_col="doc_id", text_col="text")
+
+
+@query()
+def long_text_means(s, d):
+    """The mean vector of each text's pieces of at most 100 tokens."""
+    v = ingest.long_text_vectors(table(s, d, "documents"), hash_embedder(8), id_col="doc_id", text_col="text", most_tokens=100)
+    return v.select("doc_id", "pieces", F.posexplode("embedding").alias("dim", "x")).select("doc_id", "pieces", "dim", F.round("x", 6).alias("value"))
+
+
+@query("SELECT doc_id, CASE WHEN text IS NULL THEN 'missing' WHEN NOT regexp_matches(text, '\\S') THEN 'blank' WHEN length(text) // 4 > 500 THEN 'too_long' END AS fault FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 7 = 1 THEN '  ' ELSE text END AS text FROM documents)")
+def text_validation(s, d):
+    t = F.when(F.col("doc_id") % 7 == 0, F.lit(None)).when(F.col("doc_id") % 7 == 1, F.lit("  ")).otherwise(F.col("text"))
+    return chunking.text_faults(table(s, d, "documents").withColumn("text", t), "text", most_tokens=500).select("doc_id", "fault")
 
 
 # --- text retrieval ---
 
 
 def _questions(s, d):
-    return table(s, d, "benchmark").filter("item_id < 5").select("item_id", F.left("text", F.lit(60)).alias("q"))
+    return table(s, d, "benchmark").select("item_id", F.col("text").alias("q"))
 
 
-_BM = "WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL), z AS (SELECT doc_id, len(w) AS n, w FROM w), tot AS (SELECT count(*) AS docs, avg(n) AS mean FROM z), q AS (SELECT DISTINCT item_id, unnest(list_filter(regexp_split_to_array(lower(left(text, 60)), '[^a-z0-9]+'), lambda x: x <> '')) AS term FROM benchmark WHERE item_id < 5), tf AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(w) AS term FROM z) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), sc AS (SELECT q.item_id, tf.doc_id, round(sum(ln(1 + (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / mean))), 4) AS score FROM tf JOIN df USING (term) JOIN q USING (term), tot GROUP BY 1, 2), bm AS (SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM sc) "
+_BM = "WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL), z AS (SELECT doc_id, len(w) AS n, w FROM w), tot AS (SELECT count(*) AS docs, avg(n) AS mean FROM z), q AS (SELECT DISTINCT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS term FROM benchmark), tf AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(w) AS term FROM z) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), "
+_BM += "sc AS (SELECT q.item_id, tf.doc_id, round(sum(ln(1 + (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / mean))), 4) AS score, round(sum(ln(1 + (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))), 4) AS shared FROM tf JOIN df USING (term) JOIN q USING (term), tot GROUP BY 1, 2), bm AS (SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM sc) "
+_SECOND = ", bi AS (SELECT item_id, doc_id, shared AS score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id) AS INTEGER) AS rank FROM sc) "
+
+
+def _bm25(s, d, **options):
+    docs = table(s, d, "documents").filter("text is not null")
+    return retrieval.bm25(docs, _questions(s, d), id_col="doc_id", text_col="text", query_key="item_id", query_text="q", **options).select("item_id", "doc_id", "score", "rank")
 
 
 @query(_BM + "SELECT * FROM bm WHERE rank <= 10")
 def bm25_topk(s, d):
-    return retrieval.bm25(table(s, d, "documents").filter("text is not null"), _questions(s, d), id_col="doc_id", text_col="text", query_key="item_id", query_text="q").select("item_id", "doc_id", "score", "rank")
+    return _bm25(s, d)
 
 
-@query(_BM + ", o AS (SELECT item_id, doc_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS INTEGER) AS rank FROM bm WHERE rank <= 20), f AS (SELECT item_id, doc_id, rank FROM bm WHERE rank <= 20 UNION ALL SELECT * FROM o), x AS (SELECT item_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM f GROUP BY 1, 2), y AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM x) SELECT * FROM y WHERE rank <= 10")
+@query(_BM + _SECOND + ", f AS (SELECT item_id, doc_id, rank FROM bm WHERE rank <= 20 UNION ALL SELECT item_id, doc_id, rank FROM bi WHERE rank <= 20), x AS (SELECT item_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM f GROUP BY 1, 2), y AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM x) SELECT * FROM y WHERE rank <= 10")
 def rank_fusion(s, d):
-    a = retrieval.bm25(table(s, d, "documents").filter("text is not null"), _questions(s, d), id_col="doc_id", text_col="text", query_key="item_id", query_text="q", k=20).select("item_id", "doc_id", "rank")
-    b = a.select("item_id", "doc_id", F.row_number().over(Window.partitionBy("item_id").orderBy("doc_id")).alias("rank"))
-    return retrieval.fused([a, b], query_key="item_id", key="doc_id")
+    """BM25 fused with the ranking by shared rare terms, however often they stand in a document."""
+    return retrieval.fused([_bm25(s, d, k=20).select("item_id", "doc_id", "rank"), _bm25(s, d, k=20, k1=0.0).select("item_id", "doc_id", "rank")], query_key="item_id", key="doc_id")
+
+
+@query(_BM + _SECOND + ", u AS (SELECT item_id, doc_id, max(score) AS score FROM (SELECT item_id, doc_id, score FROM bm WHERE rank <= 10 UNION ALL SELECT item_id, doc_id, score FROM bi WHERE rank <= 10) GROUP BY 1, 2), y AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM u) SELECT * FROM y WHERE rank <= 10")
+def merged_results(s, d):
+    return retrieval.merged([_bm25(s, d), _bm25(s, d, k1=0.0)], query_key="item_id", key="doc_id")
+
+
+@query(_BM + _SECOND + ", u AS (SELECT bm.item_id, bm.doc_id, round(0.5::DOUBLE * bm.score + 0.5::DOUBLE * coalesce(bi.score, 0), 6) AS score FROM bm LEFT JOIN (SELECT * FROM bi WHERE rank <= 50) bi USING (item_id, doc_id) WHERE bm.rank <= 20), y AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM u) SELECT * FROM y WHERE rank <= 10")
+def reranked_results(s, d):
+    return retrieval.reranked(_bm25(s, d, k=20), _bm25(s, d, k=50, k1=0.0), query_key="item_id", key="doc_id")
+
+
+@query("SELECT doc_id, round(n_chars * pow(0.5::DOUBLE, greatest(0.0::DOUBLE, CAST(date_diff('day', CAST(DATE '2020-01-01' + CAST(doc_id % 1000 AS INTEGER) AS DATE), DATE '2022-01-01') AS DOUBLE)) / 90), 4) AS score FROM documents")
+def recency_scores(s, d):
+    t = transcripts(s, d).select(F.col("video_id").alias("doc_id"), "publish_date", F.col("length_seconds").cast("double").alias("score"))
+    return retrieval.recency(t, time="publish_date", now="2022-01-01", half_life_days=90).select("doc_id", F.round("score", 4).alias("score"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '\\b(?:relat\\w*|connect\\w*|between|link\\w*)\\b') THEN 'graph' WHEN regexp_matches(lower(text), '\\b(?:when|latest|recent\\w*|before|after|since|first|last)\\b') THEN 'temporal' ELSE 'text' END AS route FROM conversations")
+def query_routing(s, d):
+    return table(s, d, "conversations").select("conv_id", "turn", retrieval.route(F.col("text")).alias("route"))
 
 
 # --- knowledge graphs ---
@@ -635,7 +694,7 @@ def edge_collapse(s, d):
 @query(KG + ", n AS (SELECT 'supplier ' || l_suppkey AS s, 'part ' || l_partkey AS o, l_orderkey * 10 + l_linenumber AS pos, (1 + l_linenumber) / 10.0::DOUBLE AS c, l_orderkey % 100 AS src FROM lineitem), k AS (SELECT left(sha256(s || '|supplies|' || o), 16) AS key, * FROM n), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY pos DESC) AS i FROM k) SELECT key, count(*) AS frequency, round(count(*) / sum(1 / c), 6) AS confidence, arg_max(s, (c, pos)) AS subject, string_agg(CAST(src AS VARCHAR), ',' ORDER BY pos) FILTER (i <= 10) AS sources FROM r GROUP BY key")
 def canonical_merge(s, d):
     x = table(s, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.concat(F.lit("supplier "), F.col("l_suppkey").cast("string")).alias("subject"), F.lit("supplies").alias("predicate"), F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("object"), ((1 + F.col("l_linenumber")) / F.lit(10.0)).alias("confidence"), (F.col("l_orderkey") % 100).cast("string").alias("source"))
-    return triples.merged(x).select("key", "frequency", "confidence", "subject", "sources")
+    return triples.merged(x, keep("merged")).select("key", "frequency", "confidence", "subject", "sources")
 
 
 @query(DEG + "SELECT * FROM deg")
@@ -690,33 +749,53 @@ def edge_cleaning(s, d):
     return graph.clean_edges(e, nodes)
 
 
-@query("WITH RECURSIVE " + SMALL.removeprefix("WITH ") + ", e AS (SELECT subject AS a, object AS b FROM sk UNION SELECT object, subject FROM sk), r AS (SELECT DISTINCT a AS node, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON r.node = e.a) SELECT node, min(root) AS component FROM r GROUP BY node")
+def _component_sql(rounds: int = 16) -> str:
+    """Smallest labels passed on for as many rounds as the star schema's graph is wide."""
+    out = KG + ", e AS MATERIALIZED (SELECT subject AS a, object AS b FROM kg UNION SELECT object, subject FROM kg), c0 AS MATERIALIZED (SELECT DISTINCT a AS node, a AS component FROM e)"
+    for i in range(rounds):
+        out += f", c{i + 1} AS MATERIALIZED (SELECT c.node, least(c.component, min(n.component)) AS component FROM c{i} c JOIN e ON e.a = c.node JOIN c{i} n ON n.node = e.b GROUP BY c.node, c.component)"
+    return out + f" SELECT * FROM c{rounds}"
+
+
+@query(_component_sql())
 def weak_components(s, d):
-    return graph.connected_components(small_kg(s, d).select(F.col("subject").alias("src"), F.col("object").alias("dst")), keep("components"))
+    return graph.connected_components(kg(s, d).select(F.col("subject").alias("src"), F.col("object").alias("dst")), keep("components"))
 
 
-def _rank_sql(rounds: int) -> str:
-    out = SMALL + ", e AS (SELECT DISTINCT subject AS a, object AS b FROM sk), o AS (SELECT a, count(*) AS k FROM e GROUP BY a), v AS (SELECT a AS node FROM e UNION SELECT b FROM e), n AS (SELECT count(*)::DOUBLE AS n FROM v), p0 AS (SELECT node, 1 / n AS rank FROM v, n)"
+def _rank_sql(rounds: int, last: str = "SELECT node, round(rank, 9) AS rank FROM p{0}") -> str:
+    out = KG + ", e AS MATERIALIZED (SELECT DISTINCT subject AS a, object AS b FROM kg), o AS MATERIALIZED (SELECT a, count(*) AS k FROM e GROUP BY a), v AS MATERIALIZED (SELECT a AS node FROM e UNION SELECT b FROM e), n AS (SELECT count(*)::DOUBLE AS n FROM v), p0 AS (SELECT node, 1 / n AS rank FROM v, n)"
     for i in range(rounds):
-        out += f", p{i + 1} AS (SELECT v.node, 0.15::DOUBLE / n.n + 0.85::DOUBLE * (coalesce(g.x, 0) + (SELECT coalesce(sum(rank), 0) FROM p{i} WHERE node NOT IN (SELECT a FROM o)) / n.n) AS rank FROM n, v LEFT JOIN (SELECT e.b AS node, sum(p.rank / o.k) AS x FROM e JOIN o ON o.a = e.a JOIN p{i} p ON p.node = e.a GROUP BY 1) g ON g.node = v.node)"
-    return out + f" SELECT node, round(rank, 9) AS rank FROM p{rounds}"
+        out += f", p{i + 1} AS MATERIALIZED (SELECT v.node, 0.15::DOUBLE / n.n + 0.85::DOUBLE * (coalesce(g.x, 0) + (SELECT coalesce(sum(rank), 0) FROM p{i} WHERE node NOT IN (SELECT a FROM o)) / n.n) AS rank FROM n, v LEFT JOIN (SELECT e.b AS node, sum(p.rank / o.k) AS x FROM e JOIN o ON o.a = e.a JOIN p{i} p ON p.node = e.a GROUP BY 1) g ON g.node = v.node)"
+    return f"{out} {last.format(rounds)}"
 
 
 @query(_rank_sql(10))
 def page_rank(s, d):
-    return graph.page_rank(small_kg(s, d), keep("rank"), rounds=10)
+    return graph.page_rank(kg(s, d), keep("rank"), rounds=10, tolerance=0)
+
+
+@query(_rank_sql(10, ", best AS (SELECT node FROM p{0} ORDER BY round(rank, 9) DESC, node LIMIT 100) SELECT pos, subject, predicate, object FROM kg WHERE subject IN (SELECT node FROM best) AND object IN (SELECT node FROM best)").replace(" , best", ", best"))
+def top_subgraph(s, d):
+    t = kg(s, d)
+    return graph.top_subgraph(t, graph.page_rank(t, keep("rank"), rounds=10, tolerance=0))
 
 
 @query()
 def communities(s, d):
-    return graph.communities(small_kg(s, d), keep("communities"))
+    return graph.communities(kg(s, d), keep("communities"))
+
 
+@query(KG + ", e AS (SELECT DISTINCT least(subject, object) AS a, greatest(subject, object) AS b FROM kg WHERE subject <> object), l AS (SELECT split_part(a, '#', 1) || length(a) AS x, split_part(b, '#', 1) || length(b) AS y FROM e), m AS (SELECT count(*)::DOUBLE AS m FROM l), i AS (SELECT x AS c, count(*) AS n FROM l WHERE x = y GROUP BY 1), g AS (SELECT c, count(*) AS k FROM (SELECT x AS c FROM l UNION ALL SELECT y FROM l) GROUP BY 1) SELECT round(sum(coalesce(i.n, 0) / m - pow(k / (2 * m), 2)), 9) AS modularity FROM g LEFT JOIN i USING (c), m")
+def partition_modularity(s, d):
+    t = kg(s, d)
+    return graph.modularity(t, graph.nodes_of(t).select("node", F.concat(F.split("node", "#")[0], F.length("node").cast("string")).alias("community")))
 
-@query(SMALL + ", l AS (SELECT 'c' || c_custkey AS node, c_custkey AS p FROM customer WHERE c_custkey <= 50) SELECT node FROM l WHERE p > (SELECT count(*) // 3 + min(p) - 1 FROM l) UNION SELECT subject FROM sk UNION SELECT object FROM sk")
+
+@query(KG + ", l AS (SELECT 'c' || c_custkey AS node, c_custkey AS p FROM customer), r AS (SELECT node, row_number() OVER (ORDER BY p, node) AS i FROM l) SELECT node FROM r WHERE i > (SELECT count(*) // 3 FROM l) UNION SELECT subject FROM kg UNION SELECT object FROM kg")
 def isolated_pruning(s, d):
-    t = small_kg(s, d)
-    nodes = graph.nodes_of(t).select("node", F.lit(0).cast("long").alias("p")).union(table(s, d, "customer").filter("c_custkey <= 50").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")), "c_custkey"))
-    return graph.pruned(nodes, t, "p").select("node")
+    t = kg(s, d)
+    nodes = graph.nodes_of(t).select("node", F.lit(0).cast("long").alias("p")).union(table(s, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")), "c_custkey"))
+    return graph.pruned(nodes, t, keep("pruned"), "p").select("node")
 
 
 @query(KG + "SELECT subject, object FROM kg WHERE predicate = 'in' UNION ALL SELECT subject, object FROM kg WHERE predicate = 'located in'")
@@ -741,25 +820,30 @@ def chunk_routing(s, d):
     return table(s, d, "documents").select("doc_id", triples.routed(tk.token_count(F.col("text")), 400, 800).alias("route"))
 
 
-_FIVE = "SELECT * FROM (VALUES (0, 0, 'Ada', 'knows', 'Bob'), (0, 1, 'Bob', 'likes', 'tea'), (1, 0, 'x', 'is', 'y')) v(i, triple_no, subject, predicate, object)"
+_SUPPLIED = "SELECT l_orderkey * 10 + l_linenumber AS i, k AS triple_no, CASE k WHEN 0 THEN 's' || l_suppkey ELSE 'p' || l_partkey END AS subject, CASE k WHEN 0 THEN 'supplies' ELSE 'is in' END AS predicate, CASE k WHEN 0 THEN 'p' || l_partkey ELSE 'o' || l_orderkey END AS object FROM lineitem, (SELECT CAST(range AS INTEGER) AS k FROM range(2)) r"
+
 
+def _replies(s, d, form: str) -> DataFrame:
+    """A reply for each line item, with two triples in a form that a model answers in."""
+    x = table(s, d, "lineitem")
+    part = F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
+    ends = [F.concat(F.lit("s"), F.col("l_suppkey").cast("string")), part, part, F.concat(F.lit("o"), F.col("l_orderkey").cast("string"))]
+    return x.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("i"), F.format_string(form, *ends).alias("t"))
 
-@query(_FIVE)
+
+@query(_SUPPLIED)
 def quoted_triples(s, d):
-    x = s.createDataFrame([(0, 'so ("Ada", "knows", "Bob"), ("Bob","likes","tea")'), (1, '("x", "is", "y") and ("a", "b")'), (2, "none")], "i int, t string")
-    return triples.parse_quoted(x, "t").select("i", "triple_no", "subject", "predicate", "object")
+    return triples.parse_quoted(_replies(s, d, 'so ("%s", "supplies", "%s"), ("%s","is in","%s") and ("a", "b")'), "t").select("i", "triple_no", "subject", "predicate", "object")
 
 
-@query(_FIVE.replace("'tea'", "'tea, milk'"))
+@query(_SUPPLIED)
 def split_triples(s, d):
-    x = s.createDataFrame([(0, "(Ada, knows, Bob), (Bob, likes, tea, milk)"), (1, "('x', is, 'y')"), (2, "none")], "i int, t string")
-    return triples.parse_split(x, "t").select("i", "triple_no", "subject", "predicate", "object")
+    return triples.parse_split(_replies(s, d, "(%s, supplies, '%s'), (%s, is in, %s)"), "t").select("i", "triple_no", "subject", "predicate", "object")
 
 
-@query("SELECT * FROM (VALUES (0, 0, 'Ada', 'knows', 'Bob'), (1, 1, 'x', 'is in', 'y')) v(i, triple_no, subject, predicate, object)")
+@query(_SUPPLIED + " ORDER BY ALL")
 def loose_triples(s, d):
-    x = s.createDataFrame([(0, "((Ada, 'knows', Bob), (Bob Lee, likes, tea))"), (1, "(a, b) (x, is in, y) (p, one two three four, q)")], "i int, t string")
-    return triples.parse_loose(x, "t").select("i", "triple_no", "subject", "predicate", "object")
+    return triples.parse_loose(_replies(s, d, "((%s, 'supplies', %s), (%s, is in, %s), (Bob Lee, likes, tea), (p, one two three four, q))"), "t").select("i", "triple_no", "subject", "predicate", "object")
 
 
 @query(KG + "SELECT pos, subject, predicate, object FROM kg WHERE length(subject) BETWEEN 2 AND 10 AND length(object) BETWEEN 2 AND 10 AND lower(predicate) NOT IN ('mentions', 'says', 'talks about')")
@@ -767,20 +851,20 @@ def triple_quality_filter(s, d):
     return triples.quality_filter(kg(s, d), 2, 10)
 
 
-@query("WITH s AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, 'p' || l_partkey) AS p, 'p' || l_partkey AS label FROM lineitem WHERE l_orderkey % 50 = 0) SELECT a.l_orderkey, a.label AS subject, 'co_occurs_with' AS predicate, b.label AS object FROM s a JOIN s b ON a.l_orderkey = b.l_orderkey AND a.p < b.p AND a.label <> b.label")
+@query("WITH s AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, 'p' || l_partkey) AS p, 'p' || l_partkey AS label FROM lineitem) SELECT a.l_orderkey, a.label AS subject, 'co_occurs_with' AS predicate, b.label AS object FROM s a JOIN s b ON a.l_orderkey = b.l_orderkey AND a.p < b.p AND a.label <> b.label")
 def cooccurrence(s, d):
-    x = table(s, d, "lineitem").filter("l_orderkey % 50 = 0").select("l_orderkey", F.col("l_linenumber").alias("position"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("label"))
+    x = table(s, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("position"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("label"))
     return triples.cooccurrences(x, ["l_orderkey"])
 
 
 @query(KG + ", x AS (SELECT *, row_number() OVER (PARTITION BY lower(subject), lower(predicate), lower(object) ORDER BY pos) - 1 AS b FROM kg) SELECT pos, round((1.0::DOUBLE + 0.5 + 1.0 + (1 - least(1.0::DOUBLE, b / 5.0::DOUBLE)) + CASE WHEN lower(subject) <> lower(object) THEN 0.5 ELSE 0 END) / 5, 6) AS score FROM x")
 def relation_quality(s, d):
-    return triples.relation_scores(kg(s, d)).select("pos", "score")
+    return triples.relation_scores(kg(s, d), keep("relations")).select("pos", "score")
 
 
 @query(KG + ", x AS (SELECT pos, subject AS entity, row_number() OVER (PARTITION BY subject ORDER BY pos) - 1 AS b FROM kg) SELECT pos, round((1.0::DOUBLE + 1.0 + 0.5 + 1.0 + (1 - least(1.0::DOUBLE, b / 10.0::DOUBLE))) / 5, 6) AS score FROM x")
 def entity_quality(s, d):
-    return triples.entity_scores(kg(s, d).select("pos", F.col("subject").alias("entity")), order=["pos"]).select("pos", "score")
+    return triples.entity_scores(kg(s, d).select("pos", F.col("subject").alias("entity")), keep("entities"), order=["pos"]).select("pos", "score")
 
 
 @query(KG + ", r AS (SELECT pos, subject, predicate, object, 0 AS origin FROM kg WHERE predicate = 'in' UNION ALL SELECT pos, subject, predicate, object, 1 FROM kg WHERE predicate IN ('in', 'located in') AND pos % 10 / 10.0 > 0.7) SELECT min(origin) AS origin, subject, predicate, object FROM r GROUP BY ALL", name="merged_extractions")
@@ -789,12 +873,17 @@ def merged_extractions(s, d):
     return triples.merged_extractions(t.filter("predicate = 'in'"), t.filter("predicate in ('in', 'located in')").withColumn("confidence", F.col("pos") % 10 / 10)).select("origin", "subject", "predicate", "object")
 
 
-@query()
+_STEM = "regexp_replace(lower({0}), '[0-9]$', '')"
+
+
+@query(KG + f"SELECT min(pos) AS pos, arg_min(subject, (pos, lower(subject), lower(predicate), lower(object))) AS subject, arg_min(predicate, (pos, lower(subject), lower(predicate), lower(object))) AS predicate, arg_min(object, (pos, lower(subject), lower(predicate), lower(object))) AS object FROM kg GROUP BY {_STEM.format('subject')}, lower(predicate), {_STEM.format('object')}")
 def near_duplicate_relations(s, d):
-    t = small_kg(s, d)
-    terms = graph.nodes_of(t).select(F.lower("node").alias("term")).limit(50)
-    vectors = terms.select("term", F.array(*(((F.crc32("term") + k) % 7).cast("double") - 3 for k in range(4))).alias("vector"))
-    return triples.near_duplicates_dropped(t, vectors)
+    """Terms have the vector of their name without its last digit, so ten of them are alike and others are not."""
+    t = kg(s, d)
+    stem = F.regexp_replace("term", "[0-9]$", "")
+    terms = graph.nodes_of(t).select(F.lower("node").alias("term")).union(t.select(F.lower("predicate"))).distinct()
+    vectors = terms.select("term", F.transform(F.sequence(F.lit(0), F.lit(127)), lambda i: (F.crc32(F.concat(stem, F.lit("/"), i.cast("string"))) % 1001 - 500).cast("double")).alias("vector"))
+    return triples.near_duplicates_dropped(t, vectors, keep("near-duplicates"))
 
 
 @query()
@@ -802,22 +891,41 @@ def capitalized_entities(s, d):
     return table(s, d, "documents").select("doc_id", F.explode(triples.capitalized_spans(F.col("text"))).alias("entity"))
 
 
-@query()
+@query("WITH w AS (SELECT CAST(item_id AS VARCHAR) AS id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM benchmark) SELECT id, CAST(i AS INTEGER) AS triple_no, w[i + 1] AS subject, 'precedes' AS predicate, w[i + 2] AS object FROM (SELECT id, w, unnest(range(len(w) - 1)) AS i FROM w)")
 def extracted_triples(s, d):
-    return triples.extract(table(s, d, "benchmark"), lambda t: [(a, "precedes", b) for a, b in zip(t.split()[:3], t.split()[1:4], strict=False)], id_col="item_id")
+    return triples.extract(table(s, d, "benchmark"), lambda t: [(a, "precedes", b) for w in [t.split()] for a, b in zip(w, w[1:], strict=False)], id_col="item_id")
+
+
+@query("WITH w AS (SELECT CAST(item_id AS VARCHAR) AS id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM benchmark) SELECT id, CAST(i AS INTEGER) AS triple_no, w[i + 1] AS subject, 'precedes' AS predicate, w[i + 2] AS object FROM (SELECT id, w, unnest(range(len(w) - 1)) AS i FROM w)")
+def batched_extraction(s, d):
+    return triples.extract_batched(table(s, d, "benchmark"), lambda ts: [[(a, "precedes", b) for a, b in zip(t.split(), t.split()[1:], strict=False)] for t in ts], id_col="item_id")
 
 
-@query("SELECT * FROM (VALUES ('a', 'content', 'hi'), ('b', 'null_content', NULL), ('c', 'error', NULL), ('d', 'missing_response', NULL), ('e', 'body_error', NULL), ('f', 'bad_choices', NULL), ('unknown', 'bad_json', NULL), ('g', 'content', '')) v(custom_id, outcome, content)")
+@query()
+def parsed_relations(s, d):
+    return triples.parsed_relations(table(s, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text"), triples.simple_patterns(), id_col="id", text_col="text")
+
+
+_OUTCOMES = ("content", "null_content", "error", "missing_response", "body_error", "bad_choices", "bad_json", "content")
+
+
+@query("SELECT CASE WHEN event_id % 8 = 6 THEN 'unknown' ELSE 'e' || event_id END AS custom_id, ['" + "', '".join(_OUTCOMES) + "'][CAST(event_id % 8 AS INTEGER) + 1] AS outcome, CASE event_id % 8 WHEN 0 THEN 'hi ' || event_id WHEN 7 THEN '' END AS content FROM events")
 def batch_result_classes(s, d):
-    body = lambda i, b: f'{{"custom_id": "{i}", "response": {{"body": {b}}}}}'
-    lines = [body("a", '{"choices": [{"message": {"content": "hi"}}]}'), body("b", '{"choices": [{"message": {"content": null}}]}'), '{"custom_id": "c", "error": {"message": "no"}}', '{"custom_id": "d"}', body("e", '{"error": {"message": "x"}}'), body("f", '{"choices": []}'), "{broken", body("g", '{"choices": [{"message": {"content": ""}}]}')]
-    return triples.batch_results(s.createDataFrame([(x,) for x in lines], "value string"))
+    """A result line of each outcome for the events in turn."""
+    i = F.col("event_id")
+    body = lambda b: f'{{"custom_id": "e%d", "response": {{"body": {b}}}}}'
+    forms = [body('{"choices": [{"message": {"content": "hi %d"}}]}'), body('{"choices": [{"message": {"content": null}}]}'), '{"custom_id": "e%d", "error": {"message": "no"}}', '{"custom_id": "e%d"}', body('{"error": {"message": "x"}}'), body('{"choices": []}'), "{broken", body('{"choices": [{"message": {"content": ""}}]}')]
+    line = F.lit(None).cast("string")
+    for k, form in enumerate(forms):
+        line = F.when(i % 8 == k, F.format_string(form, *[i] * form.count("%d"))).otherwise(line)
+    return triples.batch_results(table(s, d, "events").select(line.alias("value")))
 
 
-@query("SELECT * FROM (VALUES (0, true), (1, false), (2, false)) v(i, valid)")
+@query("SELECT event_id AS i, event_id % 3 = 0 AS valid FROM events")
 def response_validation(s, d):
-    x = s.createDataFrame([(0, '{"entities": 1, "relations": 2, "types": 3, "summary": 4}'), (1, '{"entities": 1}'), (2, "no json")], "i int, j string")
-    return triples.valid_responses(x, "j", ["entities", "relations", "types", "summary"]).select("i", "valid")
+    i = F.col("event_id")
+    j = F.when(i % 3 == 0, F.format_string('{"entities": %d, "relations": 2, "types": 3, "summary": 4}', i)).when(i % 3 == 1, F.format_string('{"entities": %d}', i)).otherwise(F.lit("no json"))
+    return triples.valid_responses(table(s, d, "events").select(i.alias("i"), j.alias("j")), "j", ["entities", "relations", "types", "summary"]).select("i", "valid")
 
 
 @query(KG + ", x AS (SELECT CASE WHEN predicate = 'supplies' THEN CAST(pos % 5 AS INTEGER) ELSE 0 END AS channel, * FROM kg) SELECT channel, subject, predicate, object, count(*) AS frequency, min(pos) AS first_pos FROM x GROUP BY ALL")
@@ -855,12 +963,197 @@ def batched_lookup(s, d):
 @query("SELECT source, count(*) AS n FROM documents WHERE text <> '' GROUP BY source")
 def streaming_ingest(s, d):
     """All documents through a stream into the shared folder, then counted from there."""
+    base = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
+    stream = streaming.stream_table(s, f"{d}/documents.parquet*", table(s, d, "documents").schema)
+    streaming.ingest_stream(stream, lambda b: b.select("doc_id", "source", F.length("text").alias("n")), f"{base}/out", f"{base}/checkpoint", valid="text <> ''").awaitTermination()
+    return s.read.parquet(f"{base}/out").groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS status, max(event_id) FILTER (true) IS NOT NULL AS known FROM events GROUP BY user_id")
+def streaming_upsert(s, d):
+    """The last event of each user, kept by a sink that writes version after version of the table."""
+    base = f"{shared_dir(s)}/upsert-{uuid.uuid4().hex}"
+    e = table(s, d, "events").select("user_id", F.struct("ts", "event_id").alias("at"), F.col("event_type").alias("status"))
+    e.repartition(3).write.parquet(f"{base}/in")
+    stream = streaming.stream_table(s, f"{base}/in", e.schema, files=1)
+    sink = streaming.upsert_sink(s, f"{base}/table", "user_id", "at")
+    stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    last = streaming.versions(s, f"{base}/table")[-1]
+    return s.read.parquet(f"{base}/table/version={last}").select("user_id", "status", F.col("at").isNotNull().alias("known"))
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def streaming_counts(s, d):
+    """Running counts of a stream, as they stand at its end."""
+    base = f"{shared_dir(s)}/counts-{uuid.uuid4().hex}"
+    stream = streaming.stream_table(s, f"{d}/events.parquet*", table(s, d, "events").schema)
+    sink = lambda b, n: b.write.mode("overwrite").parquet(f"{base}/out")
+    streaming.running_counts(stream, "event_type").writeStream.outputMode("complete").foreachBatch(sink).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(f"{base}/out")
+
+
+@query("SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2 HAVING time_bucket(INTERVAL 5 MINUTE, ts) + INTERVAL 5 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE")
+def streaming_windows(s, d):
+    """The windows of a stream that its watermark has closed when it ends."""
+    base = f"{shared_dir(s)}/windows-{uuid.uuid4().hex}"
+    stream = streaming.stream_table(s, f"{d}/events.parquet*", table(s, d, "events").schema)
+    windowed(stream).writeStream.outputMode("append").format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(f"{base}/out").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+_STATES = "CASE WHEN event_id % 4 = 0 THEN 'pending' WHEN event_id % 4 = 1 THEN 'processing' WHEN event_id % 4 = 2 THEN 'completed' ELSE 'failed' END"
+
+
+@query(f"WITH t AS (SELECT user_id, ts, lag({_STATES}) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS a, {_STATES} AS b FROM events) SELECT user_id, ts, a AS \"from\", b AS \"to\" FROM t WHERE NOT coalesce(CASE WHEN a IS NULL THEN b = 'pending' WHEN a = 'pending' THEN b IN ('processing', 'failed') WHEN a = 'processing' THEN b IN ('completed', 'failed') WHEN a = 'failed' THEN b = 'pending' ELSE false END, false)")
+def wrong_task_transitions(s, d):
+    e = table(s, d, "events").withColumn("status", F.expr(_STATES))
+    return streaming.wrong_transitions(e, key="user_id", time="ts", status="status", tie="event_id")
+
+
+# --- sources and sinks, round trips through the shared folder ---
+
+
+def _folder(s, name):
+    return f"{shared_dir(s)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(KG + "SELECT subject, predicate, object, count(*) AS n FROM kg GROUP BY ALL")
+def triples_round_trip(s, d):
+    """Triples to JSON files with a `triples` array and back."""
+    path = _folder(s, "triples")
+    files.write_triples(kg(s, d), path)
+    return files.read_triples(s, path).groupBy("subject", "predicate", "object").agg(F.count("*").alias("n"))
+
+
+@query(KG + "SELECT count(*) AS triple_count FROM kg")
+def dataset_metadata(s, d):
+    """What is known of graph files: their triples, while sizes and times must be there."""
+    path = _folder(s, "datasets")
+    files.write_triples(kg(s, d), path)
+    found = files.read_dataset(s, path).filter("size > 0 and modified is not null").join(files.datasets(s, path).filter("length > 0").select(F.col("path").alias("file")), "file", "left_semi")
+    return found.agg(F.sum("triple_count").cast("long").alias("triple_count"))
+
+
+@query("SELECT conv_id, count(*) AS turns, sum(length(text)) AS characters FROM conversations GROUP BY conv_id")
+def raw_sink(s, d):
+    """Raw records in a folder for each id, written twice: the second replaces the first."""
+    path = _folder(s, "raw")
+    x = table(s, d, "conversations").select("conv_id", "turn", "text")
+    for _ in range(2):
+        files.write_raw(x, path, "overwrite", key="conv_id")
+    return s.read.schema("turn long, text string, conv_id long").json(path).groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum(F.length("text")).cast("decimal(38,0)").cast("double").cast("long").alias("characters"))
+
+
+@query("WITH p AS (SELECT page_id, 'page-' || page_id AS file, 'word ' || page_id || chr(10) || url AS text FROM pages WHERE page_id % 2 = 0 OR true) SELECT CAST(page_id AS VARCHAR) AS page_id, CAST(greatest(1, length(text) // 4) AS BIGINT) AS tokens FROM p UNION ALL SELECT NULL, CAST(sum(greatest(1, length(text) // 4)) AS BIGINT) FROM p")
+def text_files_and_totals(s, d):
+    """Text files with a header, read again without it, and their tokens by file and in all."""
+    path = _folder(s, "texts")
+    p = table(s, d, "pages").select("page_id", F.concat(F.lit("word "), F.col("page_id").cast("string"), F.lit("\n"), F.col("url")).alias("text"))
+    files.write_texts(p.withColumn("__page", F.col("page_id")), path, headers={"page": "__page"}, text="text", key="page_id")
+    texts = s.read.text(f"{path}/*/*.txt", wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), "page_id=([0-9]+)", 1).alias("file"), F.rtrim(F.regexp_replace("value", files.COMMENT, ""), F.lit("\n")).alias("text"))
+    return files.token_totals(texts).withColumnRenamed("file", "page_id")
+
+
+@query(KG + "SELECT 'graphml' AS kind, (SELECT count(*) FROM (SELECT subject FROM kg UNION SELECT object FROM kg)) AS nodes, (SELECT count(*) FROM kg) AS edges, 2 AS frame UNION ALL SELECT 'gexf', (SELECT count(*) FROM (SELECT subject FROM kg UNION SELECT object FROM kg)), (SELECT count(*) FROM kg), 3")
+def graph_documents(s, d):
+    """Elements and frame of whole GraphML and GEXF documents."""
+    t, out = kg(s, d), None
+    nodes = graph.nodes_of(t)
+    for kind in ("graphml", "gexf"):
+        path = _folder(s, kind)
+        files.write_graph_document(t, nodes, path, kind)
+        x = s.read.text(path)
+        count = lambda c: F.count(F.when(c, 1))
+        node, edge = F.startswith("value", F.lit("<node ")), F.startswith("value", F.lit("<edge "))
+        row = x.agg(F.lit(kind).alias("kind"), count(node).alias("nodes"), count(edge).alias("edges"), count(~node & ~edge).cast("int").alias("frame"))
+        out = row if out is None else out.union(row)
+    return out
+
+
+@query(DEG + "SELECT 'nodes: ' || count(*) AS line FROM deg UNION ALL SELECT 'edges: ' || CAST(sum(degree) / 2 AS BIGINT) FROM deg")
+def graph_analysis_text(s, d):
+    path = _folder(s, "analysis")
+    files.write_analysis(graph.metrics(kg(s, d)).select("nodes", "edges"), path)
+    return s.read.text(path).withColumnRenamed("value", "line")
+
+
+@query("SELECT vec_id, label, len(embedding) AS dim FROM embeddings")
+def store_persist_load(s, d):
+    path = _folder(s, "store")
+    files.save_store(table(s, d, "embeddings"), path)
+    return files.load_store(s, path).select("vec_id", "label", F.size("embedding").cast("long").alias("dim"))
+
+
+@query("SELECT doc_id, true AS same FROM documents")
+def token_round_trip(s, d):
+    """Texts through a byte-level tokenizer and back."""
+    import public_tokenizers
+
+    encode, decode = tk.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    return table(s, d, "documents").select("doc_id", F.coalesce(decode(encode(F.col("text"))) == F.col("text"), F.lit(True)).alias("same"))
+
+
+@query("SELECT name, valid FROM (VALUES ('listed_documents', false), ('listed_transcripts', true)) v(name, valid)")
+def list_sources(s, d):
+    transcripts(s, d).select("*", F.lit("").alias("description"), F.lit("").alias("tags")).createOrReplaceTempView("listed_transcripts")
+    table(s, d, "documents").createOrReplaceTempView("listed_documents")
+    return files.sources(s).filter("name in ('listed_documents', 'listed_transcripts')")
+
+
+@query("SELECT doc_id, lang, CAST(NULL AS VARCHAR) AS summary, CAST(NULL AS BIGINT) AS views FROM documents")
+def missing_columns(s, d):
+    return store.add_missing(table(s, d, "documents").select("doc_id", "lang"), {"lang": "string", "summary": "string", "views": "bigint"})
+
+
+@query("SELECT * FROM (VALUES ('primary_limit', '10'), ('fallback_limit', '8000'), ('dropped', '[\"says\"]')) v(name, value)")
+def yaml_settings(s, d):
+    import json
     import tempfile
-    import uuid
 
-    from corvane.streaming.ingest import ingest_stream, stream_table
+    from corvane.plans.config import ExtractionConfig
 
-    base = f"{s.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='corvane-')}/stream-{uuid.uuid4().hex}"
-    stream = stream_table(s, f"{d}/documents.parquet*", table(s, d, "documents").schema)
-    ingest_stream(stream, lambda b: b.select("doc_id", "source", F.length("text").alias("n")), f"{base}/out", f"{base}/checkpoint", valid="text <> ''").awaitTermination()
-    return s.read.parquet(f"{base}/out").groupBy("source").agg(F.count("*").alias("n"))
+    with tempfile.NamedTemporaryFile("w", suffix=".yaml") as f:  # read on the driver only
+        f.write("extraction:\n  primary_limit: 10\n  dropped: [says]\n")
+        f.flush()
+        found = ExtractionConfig.from_yaml(f.name).describe()
+    return s.createDataFrame([(k, json.dumps(found[k])) for k in ("primary_limit", "fallback_limit", "dropped")], "name string, value string")
+
+
+@query("SELECT * FROM (VALUES ('chunker', 'fixed'), ('chunker', 'semantic'), ('chunker', 'window'), ('embedder', 'hash')) v(kind, name)")
+def registered_components(s, d):
+    from corvane.plans.registry import Registry
+
+    return s.createDataFrame([(k, n) for k, names in Registry().info().items() for n in names], "kind string, name string")
+
+
+@query(T + "SELECT 'total_videos' AS name, CAST(count(*) AS BIGINT) AS value FROM t UNION ALL SELECT 'total_tokens', CAST(coalesce(sum(openai_tokens), 0) AS BIGINT) FROM t")
+def query_catalog(s, d):
+    found = analytics.run_catalog(transcripts(s, d), ["video_stats", "openai_tokens"])
+    return found["video_stats"].select(F.lit("total_videos").alias("name"), F.col("total_videos").alias("value")).union(found["openai_tokens"].select(F.lit("total_tokens"), "total_tokens"))
+
+
+def _channels(s, d):
+    """Channels, list items and videos as raw records: sources are channels, documents their videos."""
+    x = table(s, d, "documents").filter("source is not null")
+    record = lambda df, c: normalize.parsed(df.select(F.to_json(c).alias("json")), "json")
+    c = record(x.select("source").distinct(), F.struct(F.concat(F.lit("UC"), F.col("source")).alias("id"), F.struct(F.concat(F.lit("@"), F.col("source")).alias("customUrl"), F.upper("source").alias("title")).alias("snippet"), F.struct(F.struct(F.concat(F.lit("UU"), F.col("source")).alias("uploads")).alias("relatedPlaylists")).alias("contentDetails")))
+    items = record(x, F.struct(F.struct(F.concat(F.lit("UU"), F.col("source")).alias("playlistId"), F.struct(F.col("doc_id").cast("string").alias("videoId")).alias("resourceId")).alias("snippet")))
+    return c, items.union(items), _raw(s, d)
+
+
+@query(_NORM + "SELECT video_id, title FROM n WHERE channel_id = 'src3' AND privacy_status = 'public' AND NOT is_short")
+def channel_videos(s, d):
+    return normalize.channel_videos(*_channels(s, d), "@src3").select("video_id", "title")
+
+
+@query("SELECT DISTINCT 'UC' || source AS id, 'UU' || source AS uploads FROM documents WHERE source IS NOT NULL")
+def uploads_lists(s, d):
+    return normalize.uploads_playlist(_channels(s, d)[0])
+
+
+@query(f"SELECT CAST(doc_id AS VARCHAR) AS video_id, CASE WHEN doc_id % 3 = 0 THEN 'N/A' ELSE 'Title ' || doc_id END AS title, CAST(CASE WHEN doc_id % 5 <> 0 THEN DATE '2020-01-01' + CAST(doc_id % 900 AS INTEGER) END AS DATE) AS publish_date, CAST(coalesce({_SECONDS}, 0) AS INTEGER) AS length_seconds FROM documents")
+def legacy_metadata(s, d):
+    r = _raw(s, d).withColumn("i", F.col("raw.id").cast("long"))
+    snippet = F.struct(F.when(F.col("i") % 3 != 0, F.concat(F.lit("Title "), F.col("raw.id"))).alias("title"), F.when(F.col("i") % 5 != 0, F.concat(F.date_add(F.lit("2020-01-01").cast("date"), (F.col("i") % 900).cast("int")).cast("string"), F.lit("T10:00:00Z"))).alias("publishedAt"))
+    json = F.to_json(F.struct(F.col("raw.id").alias("id"), snippet.alias("snippet"), F.struct(F.col("raw.contentDetails.duration").alias("duration")).alias("contentDetails")))
+    return normalize.legacy_metadata(normalize.parsed(r.select(json.alias("json")), "json"))
\ No newline at end of file

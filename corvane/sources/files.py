@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Columns that a transcripts source must have.
+from corvane.functions.tokens import token_count
+
+SPO = ["subject", "predicate", "object"]
+
+#: Columns that a transcripts source must have (fixed values).
 REQUIRED = ["video_id", "title", "publish_date", "length_seconds", "description", "tags", "category_name", "transcript_text"]
 
 
@@ -31,8 +35,13 @@ def read_triples(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("file", F.col("pos").cast("long").alias("pos"), "t.*").filter("coalesce(subject,'') <> '' and coalesce(predicate,'') <> '' and coalesce(object,'') <> ''")
 
 
-def write_triples(t: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    t.select("subject", "predicate", "object").write.mode(mode).json(path)
+def write_triples(t: DataFrame, path: str, mode: str = "errorifexists", *, per_file: int = 10_000) -> None:
+    """JSON files as read_triples takes them: one object with a `triples` array in each, of per_file triples at most."""
+    at = F.floor((F.row_number().over(Window.partitionBy("__task").orderBy("__row")) - 1) / per_file)
+    dealt = t.select(*SPO, F.monotonically_increasing_id().alias("__row")).withColumn("__task", F.shiftright("__row", 33)).withColumn("__file", at)
+    rows = dealt.groupBy("__task", "__file").agg(F.array_sort(F.collect_list(F.struct("__row", *SPO))).alias("x"))
+    lines = rows.select("__task", "__file", F.to_json(F.struct(F.transform("x", lambda e: F.struct(*(e[c].alias(c) for c in SPO))).alias("triples"))).alias("value"))
+    lines.repartition("__task", "__file").select("value").write.mode(mode).option("maxRecordsPerFile", 1).text(path)
 
 
 def datasets(spark: SparkSession, path: str) -> DataFrame:
@@ -40,19 +49,38 @@ def datasets(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
 
 
+#: Lines of a text file that are left out.
+COMMENT = r"(?m)^\s*#.*(?:\r?\n|$)"
+
+
 def read_texts(spark: SparkSession, path: str, kinds: str = "{txt,md,csv}") -> DataFrame:
     """(file, text) of whole text files; lines that begin with # are left out."""
     rows = spark.read.text(path, wholetext=True, pathGlobFilter=f"*.{kinds}")
-    return rows.select(F.col("_metadata.file_name").alias("file"), F.regexp_replace("value", r"(?m)^\s*#.*(?:\r?\n|$)", "").alias("text"))
+    return rows.select(F.col("_metadata.file_name").alias("file"), F.regexp_replace("value", COMMENT, "").alias("text"))
+
 
+def token_totals(texts: DataFrame) -> DataFrame:
+    """(file, tokens) of read_texts, and the grand total under a null file."""
+    return texts.rollup("file").agg(F.sum(token_count(F.col("text"))).alias("tokens"))
 
-def write_texts(df: DataFrame, path: str, *, title: str, text: str, mode: str = "errorifexists") -> None:
-    """Texts with a header of # lines, partitioned by nothing: one line-based file per task."""
-    df.select(F.concat(F.lit("# title: "), F.col(title), F.lit("\n"), F.col(text)).alias("value")).write.mode(mode).text(path)
 
+def write_texts(df: DataFrame, path: str, *, headers: dict[str, str], text: str, mode: str = "errorifexists", key: str | None = None) -> None:
+    """Texts with a header of `# name: value` lines (names and their columns; nulls are left out). With a key, a folder `key=<value>` with one file for each."""
+    lines = [F.concat(F.lit(f"# {name}: "), F.col(c).cast("string")) for name, c in headers.items()]
+    value = F.concat_ws("\n", *lines, F.col(text)).alias("value")
+    _per_key(df.select(*([F.col(key).alias(key)] if key else []), value), path, mode, key, lambda w: w.text(path))
 
-def write_raw(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.write.mode(mode).json(path)
+
+def write_raw(df: DataFrame, path: str, mode: str = "errorifexists", *, key: str | None = None) -> None:
+    """Raw records as JSON. With a key, a folder `key=<value>` with one file for each, which a later write of the same key replaces."""
+    _per_key(df, path, mode, key, lambda w: w.json(path))
+
+
+def _per_key(df: DataFrame, path: str, mode: str, key: str | None, write) -> None:
+    if key is None:
+        write(df.write.mode(mode))
+    else:
+        write(df.repartition(key).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(key))
 
 
 def write_graph_csv(t: DataFrame, nodes: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -66,11 +94,52 @@ def node_link(t: DataFrame, nodes: DataFrame) -> DataFrame:
     return n.union(t.select(F.lit("link"), F.to_json(F.struct(F.col("subject").alias("source"), F.col("object").alias("target"), F.col("predicate").alias("relation")))))
 
 
+def _safe(c: str) -> Column:
+    out = F.col(c)
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        out = F.replace(out, F.lit(mark), F.lit(name))
+    return out
+
+
 def graphml_lines(t: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The node and edge elements of a GraphML document (the frame around them is the writer's)."""
-    safe = lambda c: F.replace(F.replace(F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
-    n = nodes.select(F.format_string('<node id="%s"/>', safe("node")).alias("value"))
-    return n.union(t.select(F.format_string('<edge source="%s" target="%s"><data key="relation">%s</data></edge>', safe("subject"), safe("object"), safe("predicate"))))
+    """The node and edge elements of a GraphML document."""
+    n = nodes.select(F.format_string('<node id="%s"/>', _safe("node")).alias("value"))
+    return n.union(t.select(F.format_string('<edge source="%s" target="%s"><data key="relation">%s</data></edge>', _safe("subject"), _safe("object"), _safe("predicate"))))
+
+
+def gexf_lines(t: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The node and the edge elements of a GEXF document."""
+    n = nodes.select(F.format_string('<node id="%s" label="%s"/>', _safe("node"), _safe("node")).alias("value"))
+    e = t.select(F.format_string('<edge id="%s" source="%s" target="%s" label="%s"/>', F.monotonically_increasing_id().cast("string"), _safe("subject"), _safe("object"), _safe("predicate")).alias("value"))
+    return n, e
+
+
+#: What stands before, between and after the elements of the two formats (fixed values).
+GRAPHML = ('<?xml version="1.0" encoding="UTF-8"?><graphml xmlns="http://graphml.graphdrawing.org/xmlns"><key id="relation" for="edge" attr.name="relation" attr.type="string"/><graph edgedefault="directed">', "", "</graph></graphml>")
+GEXF = ('<?xml version="1.0" encoding="UTF-8"?><gexf xmlns="http://gexf.net/1.3" version="1.3"><graph defaultedgetype="directed"><nodes>', "</nodes><edges>", "</edges></graph></gexf>")
+
+
+def write_graph_document(t: DataFrame, nodes: DataFrame, path: str, kind: str = "graphml", mode: str = "errorifexists") -> None:
+    """A whole GraphML or GEXF document as text files that are one document in the order of their names.
+
+    An element's place is its part (frame, nodes, edges), so the lines are sorted by ranges and written side by side.
+    """
+    spark = t.sparkSession
+    if kind == "graphml":
+        frame, n, e = GRAPHML, graphml_lines(t.limit(0), nodes), graphml_lines(t, nodes.limit(0))
+    elif kind == "gexf":
+        frame, (n, e) = GEXF, gexf_lines(t, nodes)
+    else:
+        raise ValueError(f"no such kind: {kind}")
+    lines = spark.createDataFrame([(i, x) for i, x in zip((0, 2, 4), frame, strict=True) if x], "at int, value string")
+    lines = lines.union(n.select(F.lit(1), "value")).union(e.select(F.lit(3), "value"))
+    lines.orderBy("at", "value").select("value").write.mode(mode).text(path)
+
+
+def write_analysis(metrics: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """The analysis text of a graph: a line `name: value` for each column of its one row of metrics."""
+    cells = F.array(*(F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in metrics.columns))
+    metrics.limit(1).select(F.array_join(cells, "\n").alias("value")).coalesce(1).write.mode(mode).text(path)
 
 
 def save_store(store: DataFrame, path: str, mode: str = "overwrite") -> None:

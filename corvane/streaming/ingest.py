@@ -25,18 +25,30 @@ def ingest_stream(stream: DataFrame, transform: Callable[[DataFrame], DataFrame]
     return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def upsert_sink(spark: SparkSession, path: str, key: str, order: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that keeps the last row per key: versions of the table are folders, and a batch writes the next from the last."""
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the written versions of a table, those that were finished."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    found = [s.getPath() for s in fs.listStatus(root) if s.getPath().getName().startswith("version=")]
+    done = spark._jvm.org.apache.hadoop.fs.Path
+    return sorted(int(p.getName().split("=")[1]) for p in found if fs.exists(done(p, "_SUCCESS")))
+
+
+def upsert_sink(spark: SparkSession, path: str, key: str, order: str, *, start: int = 0) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that keeps the last row per key: versions of the table are folders, and a batch writes the next from the last before it.
+
+    A batch that is run again starts from the same version. A batch beyond `start` that finds no finished version before it is an
+    error, as state would be lost.
+    """
     from corvane.operators.store import last_by_key
 
     def sink(batch: DataFrame, n: int) -> None:
-        try:
-            known = spark.read.parquet(f"{path}/version={n - 1}") if n else None
-        except Exception as e:  # a first batch after a purge finds no version
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            known = None
-        rows = batch if known is None else known.unionByName(batch)
+        before = [v for v in versions(spark, path) if v < n]
+        if n > start and not before:
+            raise RuntimeError(f"no version of {path} before {n}")
+        rows = spark.read.parquet(f"{path}/version={before[-1]}").unionByName(batch, allowMissingColumns=True) if before else batch
         last_by_key(rows, key, order).write.mode("overwrite").parquet(f"{path}/version={n}")
 
     return sink
@@ -53,6 +65,24 @@ def windowed(events: DataFrame, *, time: str = "ts", late: str = "10 minutes", w
     return e.groupBy(F.window(time, width).alias("w"), by).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("window_start"), by, "n", "total")
 
 
+#: States of a task and those that may follow each (fixed values).
+NEXT = {"pending": ("processing", "failed"), "processing": ("completed", "failed"), "completed": (), "failed": ("pending",)}
+
+
+def wrong_transitions(tasks: DataFrame, *, key: str, time: str, status: str, tie: str) -> DataFrame:
+    """(key, time, from, to): steps of tasks that their state does not allow; a first state other than pending comes from null.
+
+    The state before a row is that of its task's last earlier row; a task's rows are few, its window is ordered by time and tie.
+    """
+    from pyspark.sql import Window
+
+    steps = tasks.select(key, time, F.lag(status).over(Window.partitionBy(key).orderBy(time, tie)).alias("from"), F.col(status).alias("to"))
+    allowed = F.when(F.col("from").isNull(), F.col("to") == "pending").otherwise(F.lit(False))
+    for state, after in NEXT.items():
+        allowed = F.when(F.col("from") == state, F.col("to").isin(*after) if after else F.lit(False)).otherwise(allowed)
+    return steps.filter(~F.coalesce(allowed, F.lit(False)))
+
+
 def latest_status(tasks: DataFrame, *, key: str, time: str, status: str, tie: str) -> DataFrame:
     """The last status of each task."""
     return tasks.groupBy(key).agg(F.max(F.struct(time, tie, status))[status].alias(status))

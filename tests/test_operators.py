@@ -10,6 +10,7 @@ from corvane.operators import budget, chunking, graph, normalize, store, triples
 from corvane.operators import vector_search as vs
 from corvane.plans import ingest
 from corvane.plans.registry import Registry, retried, status_of
+from corvane.shared import byte_slices, kept, running
 from corvane.sources import files
 from corvane.streaming import ingest as streaming
 
@@ -89,14 +90,14 @@ def test_normalize_minimal_record(spark):
 def test_components_of_a_chain(spark):
     n = 200
     e = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001), (1001, 1002)], "src int, dst int")
-    from corvane.queries import keep
+    from corvane.shared import kept as keep
 
     found = {r.node: r.component for r in graph.connected_components(e, keep("t")).collect()}
     assert found == {**{i: 0 for i in range(n + 1)}, 1000: 1000, 1001: 1000, 1002: 1000}
 
 
 def test_page_rank_sums_to_one(spark):
-    from corvane.queries import keep
+    from corvane.shared import kept as keep
 
     t = spark.createDataFrame([("a", "r", "b"), ("b", "r", "c"), ("d", "r", "c")], "subject string, predicate string, object string")
     ranks = {r.node: r["rank"] for r in graph.page_rank(t, keep("t"), rounds=30).collect()}
@@ -147,7 +148,7 @@ def test_ingest_and_retrieve(spark):
 def test_near_duplicate_triples(spark):
     t = spark.createDataFrame([(0, "Ada", "works at", "Lab"), (1, "ada", "works at", "lab"), (2, "Bob", "works at", "Lab")], "pos long, subject string, predicate string, object string")
     v = spark.createDataFrame([("ada", [1.0, 0.0]), ("bob", [0.0, 1.0])], "term string, vector array<double>")
-    assert sorted(r.pos for r in triples.near_duplicates_dropped(t, v).collect()) == [0, 2]
+    assert sorted(r.pos for r in triples.near_duplicates_dropped(t, v, kept("t")).collect()) == [0, 2]
 
 
 def test_extractor_failures_give_nothing(spark):
@@ -225,3 +226,138 @@ def test_config():
     assert ExtractionConfig.of({"primary_limit": 5}).describe()["primary_limit"] == 5
     with pytest.raises(ValueError):
         ExtractionConfig.of({"nothing": 1})
+
+
+def test_running_totals(spark):
+    """Totals of groups that span ranges, with a third of all rows in one, nulls as a group of their own."""
+    import random
+    from collections import defaultdict
+
+    r = random.Random(1)
+    rows = [(None if i % 11 == 0 else "hot" if i % 3 == 0 else f"g{r.randrange(20)}", i, r.randrange(50)) for i in range(3000)]
+    d = spark.createDataFrame(rows, "g string, i int, v int").repartition(7)
+    got = {x.i: (x.n, x.s) for x in running(running(d, kept("n"), by=["g"], order=["i"], into="n"), kept("s"), by=["g"], order=["i"], value="v", into="s").collect()}
+    n, s = defaultdict(int), defaultdict(int)
+    for g, i, v in rows:
+        n[g] += 1
+        s[g] += v
+        assert got[i] == (n[g], s[g])
+
+
+def test_byte_slices_keep_all_rows():
+    import pandas as pd
+
+    b = pd.DataFrame({"i": range(50), "t": ["x" * (i * 7 % 90) for i in range(49)] + [None]})
+    parts = list(byte_slices(iter([b, b.iloc[:0]]), "t", 100))
+    assert pd.concat(parts)["i"].tolist() == list(range(50)) and all(p["t"].str.len().sum() <= 100 or len(p) == 1 for p in parts)
+
+
+def test_near_duplicate_triples_against_a_fold(spark):
+    """The fold by position over all triples, as it is defined."""
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    terms = [f"t{i}" for i in range(30)] + [f"r{i}" for i in range(4)]
+    vec = {t: r.normal(size=3) for t in terms[:-1]}
+    rows = [(i // 2, terms[r.integers(30)].upper() if i % 5 == 0 else terms[r.integers(30)], terms[30 + r.integers(4)], terms[r.integers(30)]) for i in range(250)]
+    like = lambda a, b, least: a == b or (a in vec and b in vec and vec[a] @ vec[b] > least * np.linalg.norm(vec[a]) * np.linalg.norm(vec[b]))
+    kept_rows = []
+    for x in sorted(rows, key=lambda x: (x[0], *(c.lower() for c in x[1:]))):
+        a = [c.lower() for c in x[1:]]
+        if not any(like(a[0], b[0], 0.8) and like(a[1], b[1], 0.7) and like(a[2], b[2], 0.8) for b in kept_rows):
+            kept_rows.append(a)
+    t = spark.createDataFrame(rows, "pos int, subject string, predicate string, object string")
+    v = spark.createDataFrame([(k, x.tolist()) for k, x in vec.items()], "term string, vector array<double>")
+    got = triples.near_duplicates_dropped(t, v, kept("near")).collect()
+    assert sorted([c.lower() for c in (x.subject, x.predicate, x.object)] for x in got) == sorted(kept_rows)
+
+
+def test_communities_of_a_two_sided_graph(spark):
+    """Labels stay within connected parts, and the labelling chosen is no worse than leaving every node alone."""
+    rows = [(f"{g}a{i}", "r", f"{g}b{j}") for g in "xy" for i in range(4) for j in range(4)]
+    t = spark.createDataFrame(rows, "subject string, predicate string, object string")
+    found = graph.communities(t, kept("c"), rounds=8).cache()
+    label = {r.node: r.community for r in found.collect()}
+    assert not {label[n] for n in label if n[0] == "x"} & {label[n] for n in label if n[0] == "y"} and len(label) == 16
+    alone = found.select("node", F.col("node").alias("community"))
+    parts = found.select("node", F.substring("node", 1, 1).alias("community"))
+    assert graph.modularity(t, alone).first()[0] < graph.modularity(t, found).first()[0] <= graph.modularity(t, parts).first()[0] == 0.5
+
+
+def test_page_rank_tolerance(spark):
+    t = spark.createDataFrame([("a", "r", "b"), ("b", "r", "c"), ("c", "r", "a"), ("d", "r", "c")], "subject string, predicate string, object string")
+    exact = {r.node: r["rank"] for r in graph.page_rank(t, kept("r"), rounds=20, tolerance=0).collect()}
+    near = {r.node: r["rank"] for r in graph.page_rank(t, kept("r"), rounds=20, tolerance=1e-5).collect()}
+    assert all(abs(exact[n] - near[n]) < 1e-2 for n in exact)
+
+
+def test_upsert_sink_never_starts_anew(spark, tmp_path):
+    sink = streaming.upsert_sink(spark, str(tmp_path / "t"), "k", "t")
+    b = lambda k, t: spark.createDataFrame([(k, t, "v")], "k int, t int, v string")
+    sink(b(1, 1), 0)
+    sink(b(2, 1), 3)  # versions may be missing between
+    assert spark.read.parquet(str(tmp_path / "t/version=3")).count() == 2
+    with pytest.raises(RuntimeError, match="no version"):
+        streaming.upsert_sink(spark, str(tmp_path / "other"), "k", "t")(b(1, 1), 2)
+
+
+def test_metadata_of_repeated_and_null_ids(spark):
+    d = spark.createDataFrame([(1, "aaa bbb", "x"), (1, "ccc", "y"), (None, "ddd", "z")], "id int, text string, m string")
+    got = chunking.chunked(d, chunking.Stride(100), id_col="id", text_col="text", metadata=["m"]).collect()
+    assert sorted((r.text, r.m) for r in got) == [("aaa bbb", "x"), ("ccc", "y"), ("ddd", "z")]
+
+
+def test_texts_are_checked():
+    for bad in ([], "text", ["a", ""], ["a", None], [" "]):
+        with pytest.raises(ValueError):
+            chunking.check_texts(bad)
+    assert chunking.pieces_of(["abcd", "ef"], chunking.Stride(3)) == ["abc", "d", "ef"]
+    assert chunking.ALIASES["semantic_similarity"] is chunking.CharWindow
+
+
+def test_long_text_is_the_mean_of_its_pieces(spark):
+    import numpy as np
+
+    text, embed = " ".join(f"word{i}" for i in range(300)), hash_embedder(8)
+    d = spark.createDataFrame([(1, text), (2, "short"), (3, "")], "id int, text string")
+    got = {r.id: r for r in ingest.long_text_vectors(d, embed, id_col="id", text_col="text", most_tokens=50).collect()}
+    pieces = [t for t, _, _ in chunking.LongText(200)(text)]
+    assert got.keys() == {1, 2} and got[1].pieces == len(pieces) > 5 and got[2].pieces == 1
+    assert np.allclose(got[1].embedding, np.mean(embed(pieces), axis=0), atol=1e-6)
+
+
+def test_extractor_waits_longer_each_time(spark):
+    waits, calls = [], []
+
+    def broken(text):
+        calls.append(text)
+        raise OSError
+
+    run = triples.extract(spark.createDataFrame([("1", "x")], "id string, text string"), broken, retries=3, first_wait=0.01)
+    assert run.count() == 0
+    assert triples.extract_batched(spark.createDataFrame([(str(i), "a b") for i in range(12)], "id string, text string"), lambda ts: [[("s", "p", "o")] for _ in ts], size=5).count() == 12
+    assert not waits and not calls  # tasks run elsewhere
+
+
+def test_parsed_relations(spark):
+    d = spark.createDataFrame([("1", "Ada knows Bob in London. New York is a city. I has I")], "id string, text string")
+    got = {(r.subject, r.predicate, r.object) for r in triples.parsed_relations(d, triples.simple_patterns(), id_col="id", text_col="text").collect()}
+    assert got == {("Ada", "knows", "Bob"), ("York", "is", "city"), ("Bob", "in", "London"), ("New", "part_of", "York")}
+
+
+def test_routes_and_unknown_channels(spark):
+    from corvane.operators import retrieval
+
+    q = spark.createDataFrame([("How are A and B related?",), ("When was the latest?",), ("What is it",)], "q string")
+    assert [r[0] for r in q.select(retrieval.route(F.col("q"))).collect()] == ["graph", "temporal", "text"]
+    c = normalize.parsed(spark.createDataFrame([('{"id": "UC1", "contentDetails": {"relatedPlaylists": {"uploads": "UU1"}}}',)], "j string"), "j")
+    with pytest.raises(LookupError):
+        normalize.channel_videos(c, c, c, "@none")
+
+
+def test_settings_from_yaml(tmp_path):
+    from corvane.plans.config import ExtractionConfig, describe
+
+    (tmp_path / "s.yaml").write_text("extraction:\n  retries: 7\n  dropped: [says]\n")
+    assert ExtractionConfig.from_yaml(str(tmp_path / "s.yaml")).retries == 7
+    assert describe(chunking.FixedLength(10, 2))["length_tokens"] == 10 and describe(hash_embedder(5))["dimension"] == 5
