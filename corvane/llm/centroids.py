@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -67,11 +68,8 @@ class Centroids:
         self.longs = self.values.astype(np.int64) if self.most < LONG else None
 
     def reach(self, limit: int) -> int:
-        """The largest component of a row for which dim * (|x| + |c|)^2 stays below the limit; negative if there is none."""
-        root = int(np.sqrt(float(limit) / self.dim))
-        while self.dim * root * root >= limit:
-            root -= 1
-        return root - self.most
+        """The largest component of a row for which dim * (|x| + |c|)^2 stays below the limit; -1 if there is none."""
+        return max(-1, math.isqrt((limit - 1) // self.dim) - self.most)
 
     def nearest(self, x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number of the nearest centroid and squared distance, all of x's and c's type; the smaller number wins a tie."""
