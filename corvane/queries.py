@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,7 +16,7 @@ from corvane.operators import analytics, budget, chunking, graph, normalize, ret
 from corvane.operators import vector_search as vs
 from corvane.plans import ingest
 from corvane.shared import kept as keep
-from corvane.shared import shared_dir
+from corvane.shared import new_path
 from corvane.sources import files
 from corvane.sources.files import check_source, query_source, table
 from corvane.streaming import ingest as streaming
@@ -594,7 +593,7 @@ def ingest_and_retrieve(s, d):
 @query("SELECT CAST(5 AS BIGINT) AS found, 5 AS last_rank")
 def one_call_wrappers(s, d):
     """Ingest and retrieval in one call each, by the names of their components, over a store on disk."""
-    path = f"{shared_dir(s)}/one-call-{uuid.uuid4().hex}"
+    path = new_path(s, "one-call")
     ingest.ingest_documents(table(s, d, "documents"), chunker="window", chunker_options={"max_tokens": 256, "overlap": 16}, embedder_options={"dim": 16}, path=path, id_col="doc_id", text_col="text")
     found = ingest.retrieve_text(s, "the of and", path=path, embedder_options={"dim": 16}, k=5)
     return found.agg(F.count("*").alias("found"), F.max("rank").alias("last_rank"))
@@ -963,7 +962,7 @@ def batched_lookup(s, d):
 @query("SELECT source, count(*) AS n FROM documents WHERE text <> '' GROUP BY source")
 def streaming_ingest(s, d):
     """All documents through a stream into the shared folder, then counted from there."""
-    base = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
+    base = new_path(s, "stream")
     stream = streaming.stream_table(s, f"{d}/documents.parquet*", table(s, d, "documents").schema)
     streaming.ingest_stream(stream, lambda b: b.select("doc_id", "source", F.length("text").alias("n")), f"{base}/out", f"{base}/checkpoint", valid="text <> ''").awaitTermination()
     return s.read.parquet(f"{base}/out").groupBy("source").agg(F.count("*").alias("n"))
@@ -972,7 +971,7 @@ def streaming_ingest(s, d):
 @query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS status FROM events GROUP BY user_id")
 def streaming_upsert(s, d):
     """The last event of each user, kept by a sink that writes version after version of the table."""
-    base = f"{shared_dir(s)}/upsert-{uuid.uuid4().hex}"
+    base = new_path(s, "upsert")
     e = table(s, d, "events").select("user_id", F.struct("ts", "event_id").alias("at"), F.col("event_type").alias("status"))
     e.repartition(3).write.parquet(f"{base}/in")
     stream = streaming.stream_table(s, f"{base}/in", e.schema, files=1)
@@ -985,7 +984,7 @@ def streaming_upsert(s, d):
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def streaming_counts(s, d):
     """Running counts of a stream, as they stand at its end."""
-    base = f"{shared_dir(s)}/counts-{uuid.uuid4().hex}"
+    base = new_path(s, "counts")
     stream = streaming.stream_table(s, f"{d}/events.parquet*", table(s, d, "events").schema)
     sink = lambda b, n: b.write.mode("overwrite").parquet(f"{base}/out")
     streaming.running_counts(stream, "event_type").writeStream.outputMode("complete").foreachBatch(sink).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
@@ -995,7 +994,7 @@ def streaming_counts(s, d):
 @query("SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2 HAVING time_bucket(INTERVAL 5 MINUTE, ts) + INTERVAL 5 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE")
 def streaming_windows(s, d):
     """The windows of a stream that its watermark has closed when it ends."""
-    base = f"{shared_dir(s)}/windows-{uuid.uuid4().hex}"
+    base = new_path(s, "windows")
     stream = streaming.stream_table(s, f"{d}/events.parquet*", table(s, d, "events").schema)
     windowed(stream).writeStream.outputMode("append").format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return s.read.parquet(f"{base}/out").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
@@ -1014,7 +1013,7 @@ def wrong_task_transitions(s, d):
 
 
 def _folder(s, name):
-    return f"{shared_dir(s)}/{name}-{uuid.uuid4().hex}"
+    return new_path(s, name)
 
 
 @query(KG + "SELECT subject, predicate, object, count(*) AS n FROM kg GROUP BY ALL")

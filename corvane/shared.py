@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,26 +14,54 @@ from pyspark.sql import functions as F
 Keep = Callable[[DataFrame], DataFrame]
 
 
+#: Paths that this process has written to the shared folder and not released, and its own folder by application.
+_PATHS: list[str] = []
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir. Only where it is unset and all runs in one process (tests), a folder of our own."""
+    """spark.checkpoint.dir. Where it is unset: a folder of our own if all runs in one process (tests), else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="corvane-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = tempfile.mkdtemp(prefix="corvane-")
+        found = _OWN[app]
     return found.rstrip("/")
 
 
-def kept(name: str) -> Keep:
-    """Writes a table to the shared folder and reads it again, which cuts its lineage and computes it once."""
+def new_path(spark: SparkSession, name: str) -> str:
+    _PATHS.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _PATHS[-1]
+
+
+def marked() -> int:
+    """A place in the list of written paths, for release()."""
+    return len(_PATHS)
 
-    def run(df: DataFrame) -> DataFrame:
-        path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    return run
+def release(spark: SparkSession, since: int = 0, *, keep_last: bool = False) -> None:
+    """Delete what was written to the shared folder since a mark, except the last path if wanted. Results that still read there must have been used."""
+    stop = len(_PATHS) - keep_last
+    for path in _PATHS[since:stop]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    del _PATHS[since:stop]
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it again: the lineage is cut, it is computed once, and lost executors cost no recomputation."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def kept(name: str) -> Keep:
+    """written() under a name."""
+    return lambda df: written(df, name)
 
 
 def running(df: DataFrame, keep: Keep, *, by: list[str], order: list[str], value: str | None = None, into: str) -> DataFrame:
