@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.shared import marked, new_path, release, shared_dir, written  # noqa: F401  handed on to the operators
+
 #: A word is a run of characters other than space, \t, \n, \v, \f and \r.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -40,48 +40,6 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat, ends
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset and all runs in one process (tests) a folder of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="corvane-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-#: Paths that this process has written to the shared folder and not released.
-_PATHS: list[str] = []
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    _PATHS.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
-    return _PATHS[-1]
-
-
-def marked() -> int:
-    """A place in the list of written paths, for release()."""
-    return len(_PATHS)
-
-
-def release(spark: SparkSession, since: int = 0, *, keep_last: bool = False) -> None:
-    """Delete what was written to the shared folder since a mark, except the last path if wanted. Results that still read there must have been used."""
-    stop = len(_PATHS) - keep_last
-    for path in _PATHS[since:stop]:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    del _PATHS[since:stop]
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: the lineage is cut, and lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Sum of values[ends[i]:ends[i + 1]] for each i."""
     out = np.zeros(len(ends) - 1, values.dtype)

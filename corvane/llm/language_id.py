@@ -2,10 +2,10 @@
 
 Features are hashed byte bigrams and trigrams of the whole text (ASCII lower-cased, other ASCII as one separator), damped and
 normalised. The machines are fitted on a bounded sample of labelled rows (``max_train_rows``, spread evenly over the languages,
-chosen by the hash of the id, so reruns agree); every row is predicted.
+chosen by the hash of id and text, so reruns agree); every row is predicted.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; so is every row if there is nothing to learn from.
-Null languages and ids do not train; of equal hashes the smaller id trains. Repeated rows get equal answers; other columns are ignored, so their names cannot clash.
+Null languages and ids and texts without a letter do not train; of equal hashes the smaller id trains. Repeated rows get equal answers; other columns are ignored, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import slices
+from corvane.llm.common import slices, written
 
 #: Families of languages by code (fixed values); a code that is not listed is a family of its own.
 FAMILIES = {
@@ -126,25 +126,28 @@ class Model:
 
 
 def fit(rows: DataFrame, *, max_train_rows: int = 2400, max_languages: int = 1000) -> Model | None:
-    """rows: key, lang, text of labelled rows. Ids are ranked first, so only the sample's texts are read to the end.
+    """rows: key, lang, text of labelled rows, of which those with a letter train. Each language has its share of the sample, and one row at
+    least; more than max_languages are an error.
 
-    Each language has its share of the sample, and one row at least; more than max_languages are an error.
+    Rows are told apart by key, language and text (rows that repeat all three train once), so at most max_train_rows of them are chosen,
+    or one for each language if that is more. Texts are hashed, and only those of the sample are read again.
     """
-    named = rows.filter(F.col("lang").isNotNull() & F.col("key").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in named.groupBy("lang").count().limit(max_languages + 1).collect()}
+    named = rows.filter(F.col("lang").isNotNull() & F.col("key").isNotNull() & F.col("text").rlike(r"\p{L}")).select("key", "lang", "text", F.xxhash64("text").alias("hash"))
+    different = written(named.select("key", "lang", "hash").distinct(), "labelled")
+    sizes = {r["lang"]: r["count"] for r in different.groupBy("lang").count().limit(max_languages + 1).collect()}
     if len(sizes) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
     if not sizes:
         return None
     each = max(1, max_train_rows // len(sizes))
     # only hashes low enough for about four times the sample (and 32 rows more) are ranked, so a frequent language is no hot spot and a rare one is not missed
-    draw = F.shiftrightunsigned(F.xxhash64("key"), 1)
+    draw = F.shiftrightunsigned(F.xxhash64("key", "hash"), 1)
     low = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, (int(min(1.0, (4 * each + 32) / n) * 2**53) << 10) - 1)))
-    order = Window.partitionBy("lang").orderBy("draw", "key")
-    drawn = named.select("key", "lang", draw.alias("draw")).filter(F.col("draw") <= F.element_at(low, F.col("lang")))
-    chosen = drawn.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= each).select("key").distinct()
-    # at most max_train_rows ids (more than one per language only below that), so this side is always small
-    sample = named.join(F.broadcast(chosen), "key", "left_semi").filter(F.col("text").rlike(r"\p{L}"))
+    order = Window.partitionBy("lang").orderBy("draw", "key", "hash")
+    drawn = different.withColumn("draw", draw).filter(F.col("draw") <= F.element_at(low, F.col("lang")))
+    chosen = drawn.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= each).select("key", "lang", "hash")
+    # at most max_train_rows rows (more than one per language only below that), so this side is always small
+    sample = named.join(F.broadcast(chosen), ["key", "lang", "hash"], "left_semi").dropDuplicates(["key", "lang", "hash"])
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1):

@@ -10,8 +10,11 @@ the bucket's leader, so a bucket costs a row per member. Pairs that miss each ot
 bucket still holds several components, its members are compared in blocks inside the tasks, which return only links that join
 components. So every candidate pair is verified or already in one component.
 
+The sets are compared by 32 bits of their shingles' codes: two texts of m and n shingles share m * n / 2^32 of them by chance on average,
+which moves a similarity by n / 2^33 for equal lengths, so by 0.0001 at a million words and by less below.
+
 Defined results: a text without a word is in a class of its own; shorter texts are one shingle of all their words; rows without
-an id are left out; repeated rows fall into one class; other columns are ignored, so their names cannot clash.
+an id are left out (`keep_first` compares them too); repeated rows fall into one class; other columns are ignored, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.common import batch_groups, hinted, lean, slices, small_side, split_words, written
@@ -98,14 +101,19 @@ def band_keys(sign: np.ndarray, bands: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def digest_of(text_col: str) -> Column:
+    """A text's digest; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
+
+
 def signed(docs: DataFrame, *, id_col: str, text_col: str, width: int, bands: int, rows: int, block_words: int = 150_000) -> DataFrame:
-    """key, doc_id, node (digest of the shingle set; null without a word), n (shingles), bands, codes (sorted 32-bit shingles)."""
+    """key, doc_id, digest (of the text), node (digest of the shingle set; null without a word), n (shingles), bands, codes (sorted 32-bit shingles)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for b in slices(batches, 2):
-            words, ends = split_words(b.column(2))
+        for b in slices(batches, 3):
+            words, ends = split_words(b.column(3))
             hashes = word_hashes(words)
             for i, j in batch_groups(np.diff(ends), block_words):
                 own = ends[i : j + 1] - ends[i]
@@ -120,10 +128,10 @@ def signed(docs: DataFrame, *, id_col: str, text_col: str, width: int, bands: in
                     codes.append(short.tobytes())
                     sizes.append(len(short))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * bands, bands), pa.int32()), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), lists, pa.array(codes, pa.binary())], ["key", "doc_id", "node", "n", "bands", "codes"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in range(3)), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), lists, pa.array(codes, pa.binary())], ["key", "doc_id", "digest", "node", "n", "bands", "codes"])
 
-    ready = docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("doc_id is not null")
-    return ready.mapInArrow(sign, "key long, doc_id long, node binary, n int, bands array<bigint>, codes binary")
+    ready = docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).cast("long").alias("doc_id"), digest_of(text_col).alias("digest"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    return ready.mapInArrow(sign, "key long, doc_id long, digest binary, node binary, n int, bands array<bigint>, codes binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, *, part_bytes: int = 8 << 20) -> DataFrame:
@@ -234,11 +242,12 @@ def across(rest: DataFrame, sets: DataFrame, threshold: float, *, block_nodes: i
     return ready.mapInArrow(compared, "src binary, dst binary")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5, bands: int = 20, rows: int = 5) -> DataFrame:
-    """doc_id, class_id (the smallest id of its class) and class_size, a row for each row with an id."""
+def classified(docs: DataFrame, *, id_col: str, text_col: str, threshold: float, width: int, bands: int, rows: int) -> DataFrame:
+    """doc_id, digest, first (the smallest (no id, doc_id, digest) of the class; null without a word) and class_size, for each row."""
     save = partial(written, name="near-duplicates")
     signs = save(signed(docs, id_col=id_col, text_col=text_col, width=width, bands=bands, rows=rows))
-    nodes = save(signs.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.min(F.struct("key", "n", "bands")).alias("x")).select("node", "first_id", "copies", "x.key", "x.n", "x.bands"))
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
+    nodes = save(signs.filter("node is not null").groupBy("node").agg(F.min(own).alias("first"), F.count("*").alias("copies"), F.min(F.struct("key", "n", "bands")).alias("x")).select("node", "first", "copies", "x.key", "x.n", "x.bands"))
     spread = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.count("*").alias("held")).filter("held > 1")
     members = save(spread.join(shared, "bucket"))
@@ -259,22 +268,35 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     late = save(across(rest, sets, threshold))
     if not late.isEmpty():
         found = save(connected_components(links.union(late), save))
-    classes = nodes.select("node", "first_id", "copies").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = classes.groupBy("component").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    named = classes.select("node", "component").join(named, "component").select("node", "class_id", "class_size")
-    out = signs.select("doc_id", "node").join(named, "node", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
-
-
-def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows, columns unchanged, of which each class keeps the one with the smallest id. Rows without an id stay; of rows that repeat id and text the one that is first as JSON stays."""
-    found = written(near_duplicates(docs, id_col=id_col, text_col=text_col, **options), "classes")
-    gone = small_side(found.filter("doc_id != class_id").select(F.col("doc_id").alias("__id")).distinct(), 1_000_000)
-    out = docs.join(gone, docs[id_col].cast("long") == F.col("__id"), "left_anti")
-    twice = written(found.groupBy(F.col("doc_id").alias("__id")).count().filter("count > 1").select("__id"), "repeated")
+    classes = nodes.select("node", "first", "copies").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = classes.groupBy("component").agg(F.min("first").alias("first"), F.sum("copies").alias("class_size"))
+    named = classes.select("node", "component").join(named, "component").select("node", "first", "class_size")
+    return signs.select("doc_id", "digest", "node").join(named, "node", "left").select("doc_id", "digest", "first", "class_size")
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5, bands: int = 20, rows: int = 5) -> DataFrame:
+    """doc_id, class_id (the smallest id of its class) and class_size, a row for each row with an id."""
+    out = classified(docs.filter(F.col(id_col).cast("long").isNotNull()), id_col=id_col, text_col=text_col, threshold=threshold, width=width, bands=bands, rows=rows)
+    return out.select("doc_id", F.coalesce("first.doc_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
+
+
+def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5, bands: int = 20, rows: int = 5) -> DataFrame:
+    """The rows, columns unchanged, of which each class keeps one: that with the smallest id (rows without one come last), then the smallest digest of its text.
+
+    Rows are told apart by id and text, so texts that share an id are classed each on its own. Of rows that repeat id and text the
+    one that is first as JSON stays. Texts without a word stay, one for each id.
+    """
+    found = written(classified(docs, id_col=id_col, text_col=text_col, threshold=threshold, width=width, bands=bands, rows=rows), "classes")
+    named = found.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), "first")
+    other = ~(F.col("__id").eqNullSafe(F.col("first.doc_id")) & (F.col("__digest") == F.col("first.digest")))
+    gone = small_side(named.filter(F.col("first").isNotNull() & other).select("__id", "__digest").distinct(), 1_000_000)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")
+    own = docs.select(row, F.col(id_col).cast("long").alias("__i"), digest_of(text_col).alias("__d"))
+    match = lambda side: F.col("__i").eqNullSafe(side["__id"]) & (F.col("__d") == side["__digest"])
+    out = own.join(gone, match(gone), "left_anti")
+    twice = written(named.groupBy("__id", "__digest").count().filter("count > 1").select("__id", "__digest"), "repeated")
     if twice.isEmpty():
-        return out
-    match = out[id_col].cast("long") == F.col("__id")
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    one = out.join(twice, match, "left_semi").groupBy(F.col(id_col).alias("__i"), F.col(text_col).alias("__t")).agg(F.min_by(row, F.to_json(row)).alias("__row"))
-    return out.join(twice, match, "left_anti").unionByName(one.select("__row.*"))
+        return out.select("__row.*")
+    # the group is that of the id itself, which need not be a number
+    one = out.join(twice, match(twice), "left_semi").groupBy(F.col(f"__row.`{id_col}`").alias("__key"), "__d").agg(F.min_by("__row", F.to_json("__row")).alias("__row"))
+    return out.join(twice, match(twice), "left_anti").select("__row").unionByName(one.select("__row")).select("__row.*")

@@ -323,6 +323,23 @@ def test_language_id(spark, docs, empty):
     assert kept.columns == docs.columns and kept.filter("doc_id in (900001, 900002, 900006)").count() == 0
 
 
+def test_languages_with_few_lettered_rows_are_learnt(spark):
+    words = [f"l{i:02}" for i in range(60)]
+    word = lambda n: "".join(chr(97 + int(c)) for c in str(n))
+    rows = [(3 * i + k, " ".join(word(n) for n in range(i * 1000 + k, i * 1000 + k + 40)), lang) for i, lang in enumerate(words) for k in range(3)]
+    rows += [(1000 + i, "123 456 " * (i % 7), "zz") for i in range(300)] + [(2000, "zuzu zaza zozo " * 20, "zz")]
+    model = language_id.fit(spark.createDataFrame(rows, "key long, text string, lang string"))
+    assert {x for langs in model.members.values() for x in langs} == {*words, "zz"}
+
+
+def test_the_sample_is_bounded_by_rows(spark, monkeypatch):
+    rows = [(7, f"text number {language_id.np.base_repr(i, 36)} of one id", "de") for i in range(5000)] + [(8, "the very same words", "en")] * 3000 + [(100 + i, "more words of english here", "en") for i in range(10)]
+    seen = []
+    monkeypatch.setattr(language_id, "svm", lambda x, y: seen.append(len(x)) or np.zeros(language_id.BINS + 1, np.float32))
+    language_id.fit(spark.createDataFrame(rows, "key long, text string, lang string"), max_train_rows=2400)
+    assert max(seen) == 1200 + 11  # of `de` its share, of `en` its different rows
+
+
 def test_pipeline_stages(spark, docs, empty):
     import corpus_pipeline
     from corvane.llm.common import written

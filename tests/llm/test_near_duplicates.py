@@ -38,3 +38,46 @@ def test_a_leader_with_many_partners_is_dealt_in_parts(spark):
     pairs = signs.filter("doc_id > 0").select(F.lit(a).alias("a"), F.col("node").alias("b"))
     got = nd.verified(pairs, sets, part_bytes=20_000).collect()
     assert len(got) == 199 and all(abs(r.similarity - 296 / 298) < 1e-9 for r in got)
+
+
+def kept_by_brute_force(rows):
+    """Rows that stay: one of each class of near copies, one of each repeated row; a class goes by its smallest (no id, id, digest)."""
+    import hashlib
+
+    digest = lambda t: hashlib.md5((t or "").encode()).digest()
+    key = lambda r: (r[0] is None, r[0] or 0, digest(r[1]))
+    distinct = {key(r): r for r in sorted(rows, key=str, reverse=True)}
+    sets = {k: frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for k, r in distinct.items() if (w := (r[1] or "").split())}
+    root = {k: k for k in distinct}
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                low, high = sorted((top(a), top(b)))
+                root[high] = low
+    return sorted((distinct[k][:2] for k in distinct if top(k) == k), key=str)
+
+
+def test_one_id_with_two_texts(spark):
+    t, u = "this text is about one thing and has copies", "quite another text that has no copy in the table at all"
+    d = spark.createDataFrame([(3, t), (5, t), (5, u)], "doc_id long, text string")
+    assert sorted(map(tuple, nd.keep_first(d).collect())) == [(3, t), (5, u)]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_keep_first_against_brute_force(spark, seed):
+    r = random.Random(seed)
+    texts = [" ".join(r.choice("abcdefghijklmnop") * 2 for _ in range(r.randrange(30, 60))) for _ in range(12)]
+    texts += [t + " xx" for t in texts] + [None, "", " \n", "one two", "one two"]
+    rows = [(r.choice([None, *range(15)]), r.choice(texts)) for _ in range(120)]
+    d = spark.createDataFrame([(i, t, "clash", "clash") for i, t in rows], "doc_id long, text string, digest string, first string")
+    want = kept_by_brute_force(rows)
+    for parts in (1, 6):
+        out = nd.keep_first(d.repartition(parts))
+        assert out.columns == d.columns
+        assert sorted(((x.doc_id, x.text if (x.text or "").split() else None) for x in out.collect()), key=str) == sorted(((i, t if (t or "").split() else None) for i, t in want), key=str)
