@@ -67,28 +67,33 @@ def _pack(numbers: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.n
     own[-1] = len(numbers) - (blocks - 1) * block
     x[:, :block][np.arange(block) < own[:, None]] = numbers
     chosen = selectors(widths(x[:, :block].ravel()).reshape(blocks, block))
-    # all blocks take their next word together
-    at, live, row, place = np.zeros(blocks, np.int64), np.arange(blocks), [], []
-    while len(live):
-        row.append(live)
-        place.append(at[live])
-        at[live] += COUNTS[chosen[live, at[live]]]
-        live = live[at[live] < own[live]]
-    row, place = np.concatenate(row), np.concatenate(place)
-    order = np.lexsort((place, row))
-    row, place = row[order], place[order]
-    chosen = chosen[row, place].astype(np.int64)
+    # all blocks take their next word together; marks of where words begin leave them in order
+    wide = x.shape[1]
+    at, begins = np.arange(blocks) * wide, np.zeros(x.size, bool)
+    stop, step = at + own, np.zeros((blocks, wide), np.uint8)
+    step[:, :block] = COUNTS[chosen]
+    step = step.ravel()
+    while len(at):
+        begins[at] = True
+        at = at + step[at]
+        on = at < stop
+        at, stop = at[on], stop[on]
+    flat, begins = x.ravel(), np.flatnonzero(begins)
+    row = begins // wide
+    chosen = chosen.ravel()[begins - row * (wide - block)].astype(np.int64)
     words = chosen.astype(np.uint64) << np.uint64(60)
     for s in range(1, ZEROS):
         mine = np.flatnonzero(chosen == s)
         if len(mine):
-            n, bits = int(COUNTS[s]), int(BITS[s])
-            for j in range(n):
-                words[mine] |= x[row[mine], place[mine] + j] << np.uint64(j * bits)
+            n, bits, from_ = int(COUNTS[s]), int(BITS[s]), begins[mine]
+            packed = flat[from_]
+            for j in range(1, n):
+                packed |= flat[from_ + j] << np.uint64(j * bits)
+            words[mine] |= packed
     large = np.flatnonzero(chosen == ESCAPE)
     first = np.searchsorted(row[large], np.arange(blocks))
     words[large] = (np.arange(len(large)) - first[row[large]]).astype(np.uint64)
-    return words, np.searchsorted(row, np.arange(blocks)), x[row[large], place[large]], first
+    return words, np.searchsorted(row, np.arange(blocks)), flat[begins[large]], first
 
 
 def unpack(words: np.ndarray, starts: np.ndarray, escapes: np.ndarray, first: np.ndarray, total: int, block: int = BLOCK) -> np.ndarray:

@@ -40,9 +40,9 @@ from corvane.llm.simple8b import BLOCK, pack, unpack
 MAGIC, END = int.from_bytes(b"CVTOKEN1", "little"), b"\nSEGEND\n"
 HEAD, NULL = 9, 1 << 63
 #: Pieces whose ids a worker remembers at most, none longer than so many bytes.
-REMEMBERED, SHORT = 400_000, 64
+REMEMBERED, SHORT = 600_000, 64
 
-_LOADED: dict[str, tuple] = {}
+_LOADED: dict[str, Pieces] = {}
 
 
 def check_kind(path: str) -> None:
@@ -56,20 +56,76 @@ def check_kind(path: str) -> None:
         raise ValueError(f"{path}: texts can be cut at white space only for byte-level BPE with the usual pattern")
 
 
-def tokenizer(path: str) -> tuple:
-    """The tokenizer of a file and the remembered ids, once per worker."""
-    if path not in _LOADED:
+class Pieces:
+    """The ids of pieces: in one array, found by the piece's number. Short pieces stay from batch to batch."""
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
-        t.no_truncation()
-        t.no_padding()
-        _LOADED[path] = (t, {})
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        special = {i: len(x.content.encode()) for i, x in self.tokenizer.get_added_tokens_decoder().items()}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.bytes = np.zeros(max([*vocabulary.values(), *special]) + 1, np.int64)  # a byte-level token has a character for each byte
+        for token, i in vocabulary.items():
+            self.bytes[i] = len(token)
+        for i, n in special.items():
+            self.bytes[i] = n
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ids, self.bounds = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def add(self, ids: list[np.ndarray], sizes: np.ndarray) -> None:
+        self.ids = np.concatenate([self.ids, *ids])
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
+
+    def encode(self, pieces: list[str], call_bytes: int) -> None:
+        """Adds some pieces. Those that begin with white space and end otherwise are encoded one after the other as one text, which
+        is cut between them all the same: where each ends is told by the bytes of its tokens."""
+        chained = [p[0] in " \n\t\r\x0b\x0c" and not p[-1].isspace() for p in pieces]
+        first = len(self.bounds) - 1
+        order = [p for p, c in zip(pieces, chained, strict=True) if c] + [p for p, c in zip(pieces, chained, strict=True) if not c]
+        self.number.update(zip(order, range(first, first + len(order)), strict=True))
+        n = sum(chained)
+        size = np.fromiter((len(p.encode()) for p in order), np.int64, len(order))
+        for i, j in batch_groups(size[:n], call_bytes):
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(order[i:j])], add_special_tokens=False)[0].ids, np.uint32)
+            stops = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum(size[i:j])) + 1
+            self.add([ids], np.diff(stops, prepend=0))
+        for i, j in batch_groups(size[n:], call_bytes):
+            found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(order[n + i : n + j], add_special_tokens=False)]
+            self.add(found, np.fromiter(map(len, found), np.int64, len(found)))
+
+    def of(self, pieces: list[str], call_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start, number) by which the ids of each piece are found; valid until the next call."""
+        if len(self.number) > REMEMBERED:
+            self.clear()
+        new = [p for p in pieces if p not in self.number]
+        self.encode([p for p in new if len(p) <= SHORT], call_bytes)
+        keep, long = len(self.bounds), [p for p in new if len(p) > SHORT]
+        self.encode(long, call_bytes)
+        at = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
+        told = self.ids, self.bounds[at], self.bounds[at + 1] - self.bounds[at]
+        for p in long:
+            del self.number[p]
+        self.bounds = self.bounds[:keep]
+        self.ids = self.ids[: self.bounds[-1]]
+        return told
+
+
+def pieces_of(path: str) -> Pieces:
+    """The tokenizer of a file with what it remembers, once per worker."""
+    if path not in _LOADED:
+        _LOADED[path] = Pieces(path)
     return _LOADED[path]
 
 
-MARKS = ",.;:!?"
+#: Marks before which a text is cut if they follow an ASCII letter or digit (no quote, which contractions need, and none of the special strings').
+MARKS = ",.;:!?$%&*#)(/"
 _SPACE, _MARK, _WORD = (np.zeros(256, bool) for _ in range(3))
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _MARK[list(MARKS.encode())] = True
@@ -109,23 +165,16 @@ def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 def encode(path: str, texts: pa.Array, end_id: int | None = 0, call_bytes: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """Ids (unsigned 32-bit) of a batch of texts, one after the other, with the end id after each; where each text ends."""
-    t, known = tokenizer(path)
-    if len(known) > REMEMBERED:
-        known.clear()
     pieces, first = cut(texts)
     coded = pieces.dictionary_encode()
-    distinct, which = coded.dictionary.to_pylist(), np.asarray(coded.indices, dtype=np.int64)
-    here: dict[str, list[int]] = {}
-    new = sorted((p for p in distinct if p not in known), key=len)
-    for i, j in batch_groups(np.fromiter((len(p) for p in new), np.int64, len(new)), call_bytes):
-        for p, e in zip(new[i:j], t.encode_batch_fast(new[i:j], add_special_tokens=False), strict=True):
-            (known if len(p) <= SHORT else here)[p] = e.ids
-    each = [known.get(p) or here.get(p) or [] for p in distinct]
-    n = np.fromiter(map(len, each), np.int64, len(each))
-    table = np.fromiter((x for ids in each for x in ids), np.uint32, int(n.sum()))
-    at, size = (np.cumsum(n) - n)[which], n[which]
+    which = np.asarray(coded.indices, dtype=np.int64)
+    table, start, n = pieces_of(path).of(coded.dictionary.to_pylist(), call_bytes)
+    at, size = start[which], n[which]
     ends = np.concatenate(([0], np.cumsum(size)))
-    ids = table[np.repeat(at - ends[:-1], size) + np.arange(ends[-1])]
+    narrow = np.int32 if max(ends[-1], len(table)) < 1 << 31 else np.int64
+    where = np.arange(ends[-1], dtype=narrow)
+    where += np.repeat((at - ends[:-1]).astype(narrow), size)
+    ids = table[where]
     stops = ends[first[1:]]
     if end_id is None:
         return ids, stops
@@ -172,7 +221,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str
             data = segment(shard, [i for h in held for i in h[0]], np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held]))
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["segment"])
 
-        for b in slices(batches, 1):
+        for b in slices(batches, 1, 10 << 20):
             ids, ends = encode(tokenizer_path, b.column(1), end_id)
             held.append((b.column(0).to_pylist(), np.diff(ends, prepend=0), ids))
             n += len(ids)
