@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import written
 
-#: A run of ASCII letters and of all characters beyond ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: What parts terms: a term is a longest run of other characters, that is of ASCII letters and of all characters beyond ASCII.
+BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ONE = 1_000_000_000
 
@@ -38,15 +38,16 @@ def parted(p: str, q: str) -> Column:
 
 
 def term_counts(docs: DataFrame, *, text_col: str, lang_col: str, source_col: str) -> DataFrame:
-    """lang, source, term, n (occurrences), docs (documents that hold it); term is null for a group's documents without any."""
+    """lang, source, term, n (occurrences), docs (documents that hold it); every group has a row of the empty term or one of a term."""
     text = F.translate(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), UPPER, LOWER)
-    terms = F.sort_array(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))
-    # equal terms of a document stand side by side, so the first of each run counts the document
-    marked = F.transform("terms", lambda x, i: F.struct(x.alias("term"), ((i == 0) | (F.get("terms", i - 1) != x)).alias("new")))
+    # the matches are what lies between the runs of other characters (and the empty string before, after or instead of them)
+    terms = F.sort_array(F.split(text, BETWEEN))
     named = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
     rows = docs.select(named(lang_col).alias("lang"), named(source_col).alias("source"), terms.alias("terms"))
-    each = rows.select("lang", "source", F.explode_outer(marked).alias("x")).select("lang", "source", "x.term", "x.new")
-    return each.groupBy("lang", "source", "term").agg(F.count("term").alias("n"), F.count_if("new").alias("docs"))
+    # equal terms of a document stand side by side: the first of them, unlike the one before, counts the document
+    beside = F.arrays_zip(F.col("terms").alias("term"), F.concat(F.array(F.lit(None).cast("string")), "terms").alias("before"))
+    each = rows.select("lang", "source", F.inline(beside).alias("term", "before")).filter("term is not null")
+    return each.groupBy("lang", "source", "term").agg(F.count("*").alias("n"), F.count_if(~F.col("term").eqNullSafe(F.col("before"))).alias("docs"))
 
 
 def audit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_docs: int = 10, top: int = 10, slice_terms: int = 20_000) -> DataFrame:
@@ -55,7 +56,7 @@ def audit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", so
     slice_terms: kept terms of a language that a task crosses with that language's sources, about.
     """
     counts = written(term_counts(docs, text_col=text_col, lang_col=lang_col, source_col=source_col), "term-counts")
-    vocabulary = written(counts.filter("term is not null").groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs).select("lang", "term", "total"), "vocabulary")
+    vocabulary = written(counts.filter("term <> ''").groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs).select("lang", "term", "total"), "vocabulary")
     sizes = vocabulary.groupBy("lang").agg(F.count("*").alias("v"), F.sum("total").alias("lang_n"))
     held = counts.join(vocabulary, ["lang", "term"]).select("lang", "source", "term", "n")
     totals = held.groupBy("lang", "source").agg(F.sum("n").alias("source_n"))
