@@ -12,8 +12,9 @@ training texts once, in rounds; a round's texts are dealt by hash into shards of
 the round's first weights, and the shards' steps are averaged in that order, by slices of the tables, on the executors. So the
 model is that of the rows, however they are partitioned and wherever tasks run. Scoring gathers the rows in numpy batches.
 
-Counts cover all training tokens. The most frequent words (``top_words`` at most, none longer than ``top_bytes``) are broadcast with
-their counts; tokens of all other words meet their counts in a shuffle join, so nothing is left out and nothing broadcast grows.
+Counts cover all training tokens. The most frequent words (``top_words`` at most) are broadcast with their counts, those longer than
+``top_bytes`` by a digest, so no word is too long to be among them; tokens of all other words meet their counts in a shuffle join, so
+nothing is left out, no frequent word is a hot key there, and nothing broadcast grows.
 
 Defined results: a null or empty text is one end token; repeated rows are scored each; a null id trains and is not held out;
 without training texts every count is 0 and the score is the untrained model's; other columns are ignored, so names cannot clash.
@@ -21,6 +22,7 @@ without training texts every count is 0 and the score is the untrained model's;
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 from collections.abc import Iterator
@@ -222,8 +224,8 @@ class Learner:
 class Words:
     """The most frequent words and their counts. Codes: a head word's place, else a bucket of the rare class."""
 
-    def __init__(self, words: pa.Array, counts: np.ndarray, cut: int):
-        self.words, self.counts, self.cut, self.place = words, counts, cut, None
+    def __init__(self, words: pa.Array, counts: np.ndarray, cut: int, top_bytes: int):
+        self.words, self.counts, self.cut, self.top_bytes, self.place = words, counts, cut, top_bytes, None
 
     def places(self) -> dict[str, int]:
         if self.place is None:
@@ -237,6 +239,8 @@ class Words:
         coded = flat.dictionary_encode()
         words = coded.dictionary.to_pylist()
         place = np.fromiter((known.get(x, -1) for x in words), np.int64, len(words))
+        for i in np.flatnonzero(np.asarray(pc.binary_length(coded.dictionary)) > self.top_bytes).tolist():
+            place[i] = known.get(f"{END}{hashlib.md5(words[i].encode(), usedforsecurity=False).hexdigest()}", -1)
         ids = np.where((place >= 0) & (place < head), place, 0)
         for i in np.flatnonzero((place < 0) | (place >= head)).tolist():
             ids[i] = head + zlib.crc32(words[i].encode()) % BUCKETS
@@ -266,16 +270,19 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 
 def frequent(counts: DataFrame, top_words: int, top_bytes: int) -> Words:
-    """The words that are found at least `cut` times, the least cut that leaves top_words at most, found from a histogram of the counts; and the end token."""
-    short = counts.filter((F.octet_length("word") <= top_bytes) & (F.col("word") != END))
+    """The words that are found at least `cut` times, the least cut that leaves top_words at most, found from a histogram of the counts; and the end token.
+
+    A word of more than top_bytes is held as a space and its digest.
+    """
     upto, cut = 0, 1 << 62
-    for r in short.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count("*").alias("words")).orderBy(F.desc("n")).collect():
+    for r in counts.filter(F.col("word") != END).groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count("*").alias("words")).orderBy(F.desc("n")).collect():
         upto += r.words
         if upto > top_words:
             break
         cut = r.n
-    top = counts.filter(((F.col("n") >= cut) & (F.octet_length("word") <= top_bytes)) | (F.col("word") == END)).select("word", "n").toArrow().sort_by([("n", "descending"), ("word", "ascending")])
-    return Words(top.column("word").combine_chunks() if top.num_rows else pa.array([], pa.string()), top.column("n").to_numpy(), cut)
+    held = F.when(F.octet_length("word") > top_bytes, F.concat(F.lit(END), F.md5("word"))).otherwise(F.col("word"))
+    top = counts.filter((F.col("n") >= cut) | (F.col("word") == END)).select(held.alias("word"), "n").toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+    return Words(top.column("word").combine_chunks() if top.num_rows else pa.array([], pa.string()), top.column("n").to_numpy(), cut, top_bytes)
 
 
 def coded_rows(rows: DataFrame, words: Words, shape: Shape) -> DataFrame:
@@ -377,7 +384,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sums(logs(shape, weights.value, ids, backs(ends)), ends))], [*figures, "model"])
 
     # a word without a count adds log10(0 + 1) = 0, so only words with one need to be found
-    others = counts.filter(((F.col("n") < words.cut) | (F.octet_length("word") > top_bytes)) & (F.col("word") != END))
+    others = counts.filter((F.col("n") < words.cut) & (F.col("word") != END))
     met = first.select("key", F.explode("tail").alias("word")).join(others, "word").groupBy("key").agg(F.sum(F.log10(F.col("n") + 1.0)).alias("far_seen"), F.count("*").alias("far"))
     model = first.select(*figures, "codes").mapInArrow(scored, first.select(*figures).schema.add("model", "double"))
     top, top_sum = min(shape.head, len(words.counts)), int(words.counts[: shape.head].sum())

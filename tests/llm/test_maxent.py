@@ -38,6 +38,24 @@ def test_end_token_is_counted_though_words_are_more_frequent(spark):
         assert r.n_known == 21 and math.isclose(r.base_score, 20 * math.log10((5 * n + 1) / (21 * n + 6)) + math.log10((n + 1) / (21 * n + 6)), rel_tol=1e-9)
 
 
+def test_frequent_long_words_are_no_hot_keys(spark):
+    """A separator line that every text holds is broadcast by its digest; the join is left with the rare words, and counts are exact."""
+    line, other = "=" * 200, "é" * 40
+    d = spark.createDataFrame([(i, f"a {line} b {other} w{i} {'x' * 100}{i}") for i in range(60)], "doc_id long, text string")
+    counts = maxent.count_words(d.select("text"))
+    words = maxent.frequent(counts, 4, 64)
+    assert words.cut == 60 and len(words.counts) == 5 and all(len(w) <= 64 for w in words.words.to_pylist())
+    left = maxent.coded_rows(d.selectExpr("doc_id as key", "doc_id", "false as held_out", "text"), words, TWO).select("tail", "near").collect()
+    assert all(len(r.tail) == 2 and r.near == 5 for r in left) and not any(w in (line, other) for r in left for w in r.tail)
+    tokens = {i: [*f"a {line} b {other} w{i} {'x' * 100}{i}".split(), None] for i in range(60)}
+    seen = collections.Counter(w for i, ws in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in ws)
+    n, v = sum(seen.values()), len(seen)
+    for top_words in (2, 4, 1000):
+        for r in maxent.score_texts(d, top_words=top_words).collect():
+            assert r.n_known == sum(seen[w] > 0 for w in tokens[r.doc_id])
+            assert math.isclose(r.base_score, sum(math.log10((seen[w] + 1) / (n + v + 1)) for w in tokens[r.doc_id]), rel_tol=1e-9)
+
+
 @pytest.mark.parametrize("shape", [TWO, THREE], ids=["two levels", "three levels"])
 def test_probabilities_sum_to_one(shape):
     w = shape.fresh()
