@@ -7,8 +7,8 @@ link sources, and the sources they link, are solved as a graph. A pattern's flow
 and, for the rest, by documents taken in a seeded order: histograms by the leading bits of the order's hash, 256 bins at a time,
 find where to stop, and single documents of fitting size close the gap.
 
-Sources, quotas, patterns and stops are tables throughout, of any number of rows. Only the linked part of the graph reaches the
-driver, a number a pattern; it is limited by ``max_linked`` patterns (an error beyond, never a cut). Documents are never ranked
+Sources, quotas, patterns and stops are tables throughout, of any number of rows. Only the graph reaches the driver, a number a
+pattern; its linked part is limited by ``max_linked`` patterns (an error beyond, never a cut). Documents are never ranked
 in one task.
 
 Defined results: a null text has size 0 and is never short of its target; a document without sources (null) forms a source of
@@ -156,24 +156,25 @@ def _block(spare, members, users, sent, room, deep_p, deep_s) -> None:
 
 
 def routed(patterns: DataFrame, sources: DataFrame, repeats: int, max_linked: int, save) -> DataFrame:
-    """(pattern, n, flow). A pattern alone with its source sends the source's quota; the others are solved together."""
+    """(pattern, n, flow) by the min-cost flow over all patterns, or over those of sources that others share where there are too many."""
     quota = F.round("target").cast("long")
-    several = patterns.filter(F.size("pattern") > 1)
-    alone = patterns.filter(F.size("pattern") == 1).withColumn("source", F.col("pattern")[0])
-    if several.isEmpty():
-        return alone.join(small_side(sources.select("source", quota.alias("flow")), SMALL), "source").select("pattern", "n", F.least("flow", F.col("n") * repeats).alias("flow"))
-    links = save(several.select(F.explode("pattern").alias("source")).distinct())
-    linked = save(several.union(alone.join(links, "source", "left_semi").select("pattern", "n")))
-    found = linked.limit(max_linked + 1).collect()
+    goals = sources.select("source", quota.alias("flow"))
+    found, rest = patterns.limit(max_linked + 1).collect(), None
     if len(found) > max_linked:
-        raise ValueError(f"more than {max_linked} membership patterns link sources")
+        several = patterns.filter(F.size("pattern") > 1)
+        alone = patterns.filter(F.size("pattern") == 1).withColumn("source", F.col("pattern")[0])
+        links = save(several.select(F.explode("pattern").alias("source")).distinct())
+        found = save(several.union(alone.join(links, "source", "left_semi").select("pattern", "n"))).limit(max_linked + 1).collect()
+        if len(found) > max_linked:
+            raise ValueError(f"more than {max_linked} membership patterns link sources")
+        rest = alone.join(links, "source", "left_anti").join(goals, "source").select("pattern", "n", F.least("flow", F.col("n") * repeats).alias("flow"))
+        goals = goals.join(links, "source", "left_semi")
     found.sort(key=lambda r: r.pattern)
-    goal = {r.source: r.flow for r in sources.join(links, "source", "left_semi").select("source", quota.alias("flow")).collect()}  # sources of those patterns
+    goal = {r.source: r.flow for r in goals.collect()}  # sources of those patterns
     place = {s: i for i, s in enumerate(sorted(goal))}
     flow = min_cost_flow([r.n for r in found], [[place[s] for s in r.pattern] for r in found], [goal[s] for s in place], repeats)
     solved = patterns.sparkSession.createDataFrame([(r.pattern, r.n, f) for r, f in zip(found, flow, strict=True)], "pattern array<string>, n long, flow long")
-    rest = alone.join(links, "source", "left_anti").join(sources.select("source", quota.alias("flow")), "source").select("pattern", "n", F.least("flow", F.col("n") * repeats).alias("flow"))
-    return solved.union(rest)
+    return solved if rest is None else solved.union(rest)
 
 
 def stopped(docs: DataFrame, plan: DataFrame, save) -> DataFrame:
@@ -205,7 +206,9 @@ def mix(rows: DataFrame, *, weights: dict[str | None, float] | None = None, repe
     save = partial(written, name="mix")
     row = F.struct(*(F.col(f"`{c}`") for c in rows.columns if c not in ("sources", "copies"))).alias("row")
     some = F.when(F.size(F.coalesce("sources", F.array())) > 0, F.col("sources")).otherwise(F.array(F.lit(None).cast("string")))
-    order = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")), 64 - ORDER_BITS)
+    # the whole row is hashed, so rows that share an id (or have none) do not share a place
+    hashed = [F.col(f"`{f.name}`") for f in rows.schema.fields if f.name not in ("sources", "copies") and "map<" not in f.dataType.simpleString()]
+    order = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *hashed), 64 - ORDER_BITS)
     named = rows.select(row, "doc_id", "size", F.array_sort(F.array_distinct(F.transform(some, key_of))).alias("pattern"), order.alias("order"), F.monotonically_increasing_id().alias("__key"))
     docs = save(named.withColumn("place", F.struct("order", "doc_id", "size", F.col("__key").alias("key"))))
     lean = docs.select("pattern", "order", "place", "size")
@@ -233,7 +236,7 @@ def mix(rows: DataFrame, *, weights: dict[str | None, float] | None = None, repe
 
 def mix_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", repeats: int = 3, seed: int = 17) -> DataFrame:
     """doc_id, size, source, source_size, target, copies and taken (size times copies) of documents with one source each."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.array(F.col(source_col).cast("string")).alias("sources"), word_count(F.col(text_col)).alias("size"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.array(F.col(source_col).cast("string")).alias("sources"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("__text"))
     mixed, by_source = mix(rows, repeats=repeats, seed=seed)
     known = small_side(by_source.select(F.col("source").alias("s"), "source_size", "target"), SMALL)
     return mixed.join(known, F.col("source").eqNullSafe(F.col("s")), "left").select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))

@@ -360,12 +360,13 @@ def test_pipeline_stages(spark, docs, empty):
 
 def test_pipeline_run(spark):
     import corpus_pipeline
+    from corvane import shared
     from corvane.llm import common
 
     before = common.marked()
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "length", "bucket", "bucket_length", "batch_id", "slot"] and out.count() > 0
-    left = common._PATHS[before:]
+    left = shared._PATHS[before:]
     assert len(left) <= 3 and all(os.path.isdir(p) for p in left)
     common.release(spark, before)
     assert not any(os.path.exists(p) for p in left)

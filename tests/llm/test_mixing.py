@@ -80,3 +80,26 @@ def test_fifty_thousand_sources(spark):
     docs = written(spark.range(120_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("host"), (F.col("id") % 50_000).cast("string")).alias("source"), F.concat_ws(" ", F.array_repeat(F.lit("w"), (F.col("id") % 7 + 1).cast("int"))).alias("text")), "sources")
     found = mixing.mix_documents(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max("size").alias("most")).collect()
     assert len(found) == 50_000 and all(abs(r.taken - r.target) <= r.most for r in found)
+
+
+def test_rows_without_ids_are_dealt_apart(spark):
+    """A third of all rows has no id: their places in the seeded order differ, so no task ranks them all, and targets are met closely."""
+    docs = spark.createDataFrame([(None if i % 3 else i, f"s{i % 2}", "w " * (i % 11 + 1) + str(i)) for i in range(3000)], "doc_id long, source string, text string")
+    rows = docs.selectExpr("doc_id", "array(source) as sources", "10L as size", "text")
+    places = mixing.mix(rows)[0]
+    assert places.filter("copies > 1").count() > 0
+    found = mixing.mix_documents(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert all(abs(r.taken - r.target) <= 12 for r in found)
+    again = mixing.mix_documents(docs.repartition(7)).groupBy("source", "size", "copies").count()
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, mixing.mix_documents(docs).groupBy("source", "size", "copies").count().collect()))
+
+
+def test_lone_sources_beyond_the_graph_get_the_same_flow(spark):
+    """With more patterns than max_linked, sources that share nothing are left out of the graph: the flow stays that of the whole graph."""
+    rng = np.random.default_rng(3)
+    pairs = [(["sa", "sb"], 40), (["sa"], 25), (["sb"], 70)] + [([f"sx{i}"], int(rng.integers(0, 90))) for i in range(12)]
+    patterns = spark.createDataFrame(pairs, "pattern array<string>, n long")
+    sources = spark.createDataFrame([(s, float(rng.integers(0, 200))) for s in sorted({s for p, _ in pairs for s in p})], "source string, target double")
+    keep = lambda df: written(df, "flow")
+    whole, parts = (sorted(map(str, mixing.routed(patterns, sources, 3, most, keep).collect())) for most in (200, 4))
+    assert whole == parts and len(whole) == 15
