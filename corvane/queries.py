@@ -12,7 +12,7 @@ from corvane.functions import tokens as tk
 from corvane.functions import vectors as vx
 from corvane.functions.embedding import hash_embedder
 from corvane.functions.filters import matches
-from corvane.operators import analytics, budget, chunking, graph, normalize, retrieval, store, triples
+from corvane.operators import analytics, budget, chunking, graph, graph_index, normalize, retrieval, store, triples
 from corvane.operators import vector_search as vs
 from corvane.plans import ingest
 from corvane.shared import kept as keep
@@ -516,6 +516,18 @@ def topk_cells(s, d):
     return vs.top_k_cells(asked(s, d), vs.cells(e, c), c, probes=12)
 
 
+@query()
+def topk_graph_index(s, d):
+    """Top-k by walks through layered graphs; recall against the exact way is held by tests."""
+    return graph_index.search(asked(s, d), keep("graph-index")(graph_index.build(table(s, d, "embeddings"))))
+
+
+@query("SELECT vec_id FROM embeddings WHERE len(embedding) > 0")
+def graph_index_keys(s, d):
+    """Every stored vector stands in one graph."""
+    return graph_index.keys_of(keep("graph-index")(graph_index.build(table(s, d, "embeddings"), shard_rows=4096))).select("vec_id")
+
+
 @query("SELECT vec_id, label FROM embeddings WHERE label = 4 AND vec_id > 100")
 def metadata_filter(s, d):
     e = table(s, d, "embeddings")
