@@ -15,13 +15,13 @@ from pyspark.sql import types as T
 from corvane.operators.vector_search import best_of
 
 
-def terms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, term, tf) of lower-case runs of ASCII letters and digits."""
-    return df.select(id_col, F.explode(_words(text_col)).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+def words_of(text_col: str) -> Column:
+    """Lower-case runs of ASCII letters and digits; an empty string may stand at either end."""
+    return F.split(F.lower(text_col), "[^a-z0-9]+")
 
 
-def _words(text_col: str):
-    return F.filter(F.split(F.lower(text_col), "[^a-z0-9]+"), lambda w: w != "")
+def _words(text_col: str) -> Column:
+    return F.filter(words_of(text_col), lambda w: w != "")
 
 
 def _among(terms: list[str], w: Column) -> Column:

@@ -12,7 +12,7 @@ from corvane.functions import tokens as tk
 from corvane.functions import vectors as vx
 from corvane.functions.embedding import hash_embedder
 from corvane.functions.filters import matches
-from corvane.operators import analytics, budget, chunking, graph, graph_index, normalize, retrieval, store, triples
+from corvane.operators import analytics, budget, chunking, graph, graph_index, normalize, retrieval, store, text_index, triples
 from corvane.operators import vector_search as vs
 from corvane.plans import ingest
 from corvane.shared import kept as keep
@@ -641,30 +641,52 @@ _BM += "sc AS (SELECT q.item_id, tf.doc_id, round(sum(ln(1 + (docs - df + 0.5::D
 _SECOND = ", bi AS (SELECT item_id, doc_id, shared AS score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id) AS INTEGER) AS rank FROM sc) "
 
 
-def _bm25(s, d, **options):
+def _index(s, d):
+    """The texts' inverted index, written once for all rankings of a query."""
+    path = new_path(s, "text-index")
+    text_index.write(table(s, d, "documents"), path, id_col="doc_id", text_col="text")
+    return text_index.read(s, path)
+
+
+def _bm25(s, d, index, **options):
+    return text_index.search(_questions(s, d), index, query_key="item_id", query_text="q", key="doc_id", **options).select("item_id", "doc_id", "score", "rank")
+
+
+@query(_BM + "SELECT * FROM bm WHERE rank <= 10")
+def bm25_by_texts(s, d):
+    """The same ranking without an index, by going through the texts."""
     docs = table(s, d, "documents").filter("text is not null")
-    return retrieval.bm25(docs, _questions(s, d), id_col="doc_id", text_col="text", query_key="item_id", query_text="q", **options).select("item_id", "doc_id", "score", "rank")
+    return retrieval.bm25(docs, _questions(s, d), id_col="doc_id", text_col="text", query_key="item_id", query_text="q").select("item_id", "doc_id", "score", "rank")
+
+
+@query("SELECT term, count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS term FROM documents) WHERE term <> '' GROUP BY 1, 2) GROUP BY term")
+def index_terms(s, d):
+    """Each term of the index with its documents and occurrences."""
+    return _index(s, d).filter("term <> ''").groupBy("term").agg(F.sum("docs").alias("docs"), F.sum("words").alias("words"))
 
 
 @query(_BM + "SELECT * FROM bm WHERE rank <= 10")
 def bm25_topk(s, d):
-    return _bm25(s, d)
+    return _bm25(s, d, _index(s, d))
 
 
 @query(_BM + _SECOND + ", f AS (SELECT item_id, doc_id, rank FROM bm WHERE rank <= 20 UNION ALL SELECT item_id, doc_id, rank FROM bi WHERE rank <= 20), x AS (SELECT item_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM f GROUP BY 1, 2), y AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM x) SELECT * FROM y WHERE rank <= 10")
 def rank_fusion(s, d):
     """BM25 fused with the ranking by shared rare terms, however often they stand in a document."""
-    return retrieval.fused([_bm25(s, d, k=20).select("item_id", "doc_id", "rank"), _bm25(s, d, k=20, k1=0.0).select("item_id", "doc_id", "rank")], query_key="item_id", key="doc_id")
+    index = _index(s, d)
+    return retrieval.fused([_bm25(s, d, index, k=20).select("item_id", "doc_id", "rank"), _bm25(s, d, index, k=20, k1=0.0).select("item_id", "doc_id", "rank")], query_key="item_id", key="doc_id")
 
 
 @query(_BM + _SECOND + ", u AS (SELECT item_id, doc_id, max(score) AS score FROM (SELECT item_id, doc_id, score FROM bm WHERE rank <= 10 UNION ALL SELECT item_id, doc_id, score FROM bi WHERE rank <= 10) GROUP BY 1, 2), y AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM u) SELECT * FROM y WHERE rank <= 10")
 def merged_results(s, d):
-    return retrieval.merged([_bm25(s, d), _bm25(s, d, k1=0.0)], query_key="item_id", key="doc_id")
+    index = _index(s, d)
+    return retrieval.merged([_bm25(s, d, index), _bm25(s, d, index, k1=0.0)], query_key="item_id", key="doc_id")
 
 
 @query(_BM + _SECOND + ", u AS (SELECT bm.item_id, bm.doc_id, round(0.5::DOUBLE * bm.score + 0.5::DOUBLE * coalesce(bi.score, 0), 6) AS score FROM bm LEFT JOIN (SELECT * FROM bi WHERE rank <= 50) bi USING (item_id, doc_id) WHERE bm.rank <= 20), y AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM u) SELECT * FROM y WHERE rank <= 10")
 def reranked_results(s, d):
-    return retrieval.reranked(_bm25(s, d, k=20), _bm25(s, d, k=50, k1=0.0), query_key="item_id", key="doc_id")
+    index = _index(s, d)
+    return retrieval.reranked(_bm25(s, d, index, k=20), _bm25(s, d, index, k=50, k1=0.0), query_key="item_id", key="doc_id")
 
 
 @query("SELECT doc_id, round(n_chars * pow(0.5::DOUBLE, greatest(0.0::DOUBLE, CAST(date_diff('day', CAST(DATE '2020-01-01' + CAST(doc_id % 1000 AS INTEGER) AS DATE), DATE '2022-01-01') AS DOUBLE)) / 90), 4) AS score FROM documents")
@@ -796,6 +818,12 @@ def communities(s, d):
     return graph.communities(kg(s, d), keep("communities"))
 
 
+@query()
+def louvain_communities(s, d):
+    """Communities by modularity; tests hold it against label propagation and planted blocks."""
+    return graph.louvain(kg(s, d), keep("louvain"))
+
+
 @query(KG + ", e AS (SELECT DISTINCT least(subject, object) AS a, greatest(subject, object) AS b FROM kg WHERE subject <> object), l AS (SELECT split_part(a, '#', 1) || length(a) AS x, split_part(b, '#', 1) || length(b) AS y FROM e), m AS (SELECT count(*)::DOUBLE AS m FROM l), i AS (SELECT x AS c, count(*) AS n FROM l WHERE x = y GROUP BY 1), g AS (SELECT c, count(*) AS k FROM (SELECT x AS c FROM l UNION ALL SELECT y FROM l) GROUP BY 1) SELECT round(sum(coalesce(i.n, 0) / m - pow(k / (2 * m), 2)), 9) AS modularity FROM g LEFT JOIN i USING (c), m")
 def partition_modularity(s, d):
     t = kg(s, d)
