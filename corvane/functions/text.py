@@ -106,10 +106,14 @@ def _stamp(numbers: int, seconds: int) -> Callable[[Column], Column]:
 
 
 def stamps(text: Column, seconds: int = 30) -> Column:
-    """array<struct<start, end, text>> of a text's stamps in seconds, form by form; each lasts `seconds` and has the text after it."""
+    """array<struct<start, end, text>> of a text's stamps in seconds, form by form; each lasts `seconds` and has the text after it.
+
+    A bare stamp of hours, minutes and seconds is one stamp: for the bare form of minutes and seconds it is no stamp, but still ends a text.
+    """
+    hours = F.regexp_replace(text, r"(\d{1,2}):\d{2}:\d{2}(?=\s)", "$1:x")
     found = []
-    for p in STAMPS:
-        parts = [F.regexp_extract_all(text, F.lit(p), F.lit(i + 1)).alias(str(i)) for i in range(p.count("(\\d") + 1)]
+    for k, p in enumerate(STAMPS):
+        parts = [F.regexp_extract_all(hours if k == 3 else text, F.lit(p), F.lit(i + 1)).alias(str(i)) for i in range(p.count("(\\d") + 1)]
         found.append(F.transform(F.arrays_zip(*parts), _stamp(len(parts) - 1, seconds)))
     return F.concat(*found)
 

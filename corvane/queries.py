@@ -215,10 +215,10 @@ def incremental_skip_known(s, d):
     return store.without_keys(table(s, d, "documents").select("doc_id"), table(s, d, "labels"), "doc_id")
 
 
-@query("WITH p AS (SELECT doc_id, -doc_id AS pos FROM documents) SELECT doc_id FROM p WHERE pos < (SELECT min(p.pos) FROM p WHERE doc_id IN (SELECT doc_id FROM labels))")
+@query("SELECT doc_id FROM documents WHERE doc_id < (SELECT min(doc_id) FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1))")
 def incremental_until_known(s, d):
-    stream = table(s, d, "documents").select("doc_id", (-F.col("doc_id")).alias("pos"))
-    return store.until_known(stream, table(s, d, "labels"), "doc_id", "pos").select("doc_id")
+    stream = table(s, d, "documents").select("doc_id", F.col("doc_id").alias("pos"))
+    return store.until_known(stream, table(s, d, "labels").filter("toxic = 1"), "doc_id", "pos").select("doc_id")
 
 
 @query("SELECT CAST(sum(CASE WHEN l.doc_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS created, CAST(sum(CASE WHEN l.quality = 1 THEN 1 ELSE 0 END) AS BIGINT) AS updated, CAST(sum(CASE WHEN l.quality = 0 THEN 1 ELSE 0 END) AS BIGINT) AS skipped FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
@@ -345,17 +345,13 @@ def html_text(s, d):
     return table(s, d, "pages").select("page_id", F.length(tx.strip_html(F.col("html"))).alias("n_chars"))
 
 
-@query("SELECT conv_id, turn, k AS stamp_no, CASE k WHEN 0 THEN turn * 60.0::DOUBLE + 5 ELSE 3723.0 END AS start_time, CASE k WHEN 0 THEN turn * 60.0::DOUBLE + 35 ELSE 3753.0 END AS end_time, CASE k WHEN 0 THEN regexp_replace(replace(text, '[', ''), '^\\s+|\\s+$', '', 'g') ELSE 'end' END AS text FROM (SELECT * FROM conversations WHERE turn < 60 AND regexp_matches(replace(text, '[', ''), '\\S') AND NOT regexp_matches(text, '[0-9]:[0-9(]|\\(')) c, range(2) r(k)")
+@query("SELECT conv_id, turn, k AS stamp_no, CASE k WHEN 0 THEN 3723.0 ELSE turn % 24 * 3600.0::DOUBLE + turn % 60 * 60 + 5 END AS start_time, CASE k WHEN 0 THEN 3753.0 ELSE turn % 24 * 3600.0::DOUBLE + turn % 60 * 60 + 35 END AS end_time, CASE k WHEN 0 THEN 'end' ELSE regexp_replace(translate(text, '[(:', '') || ' [', '^\\s+|\\s+$', '', 'g') END AS text FROM (SELECT * FROM conversations WHERE text IS NOT NULL) c, range(2) r(k)")
 def stamp_extraction(s, d):
-    """Stamps in two forms around each turn's text, with the text after each."""
-    plain = F.replace("text", F.lit("["), F.lit(""))
-    x = table(s, d, "conversations").filter((F.col("turn") < 60) & plain.rlike(r"\S") & ~F.col("text").rlike(r"[0-9]:[0-9(]|\("))
-    stamped = F.concat(F.lit("["), F.col("turn").cast("string"), F.lit(":05] "), plain, F.lit(" [x] ("), F.lit("62:03) end"))
-    found = x.select("conv_id", "turn", F.filter(tx.stamps(stamped), lambda z: z["start"].isin(3723.0) | (z["start"] == F.col("turn") * 60 + 5)).alias("z"))
-    return found.select("conv_id", "turn", F.posexplode("z").alias("k", "z")).select("conv_id", "turn", F.col("k").cast("long").alias("stamp_no"), F.col("z.start").alias("start_time"), F.col("z.end").alias("end_time"), F.col("z.text").alias("text"))
-
-
-# --- tokens and budgets ---
+    """All stamps of every turn: a bare one of hours before its text, one in brackets after it."""
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    stamped = F.concat(two(F.col("turn") % 24), F.lit(":"), two(F.col("turn") % 60), F.lit(":05 "), F.translate("text", "[(:", ""), F.lit(" [62:03] end"))
+    found = table(s, d, "conversations").select("conv_id", "turn", F.posexplode(tx.stamps(stamped)).alias("k", "z"))
+    return found.select("conv_id", "turn", F.col("k").cast("long").alias("stamp_no"), F.col("z.start").alias("start_time"), F.col("z.end").alias("end_time"), F.col("z.text").alias("text"))
 
 
 @query(f"SELECT doc_id, CAST({TOKENS.format('text')} AS INTEGER) AS tokens, CAST(length(coalesce(text, '')) // 4 AS INTEGER) AS estimate, length(coalesce(text, '')) // 4 <= 500 AS fits, substring(text, 1, 40) AS cut FROM documents")
@@ -843,9 +839,9 @@ def union_all(s, d):
     return t.filter("predicate = 'in'").select("subject", "object").unionByName(t.filter("predicate = 'located in'").select("subject", "object"))
 
 
-@query("SELECT n_nationkey FROM nation EXCEPT SELECT c_nationkey FROM customer WHERE c_custkey < 30")
+@query("SELECT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 45")
 def set_difference(s, d):
-    return table(s, d, "nation").select("n_nationkey").exceptAll(table(s, d, "customer").filter("c_custkey < 30").select(F.col("c_nationkey").alias("n_nationkey")).distinct())
+    return table(s, d, "part").select("p_partkey").exceptAll(table(s, d, "lineitem").filter("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey")).distinct())
 
 
 @query("SELECT l_orderkey * 10 + l_linenumber AS pos, 'supplier ' || l_suppkey AS subject, lower(replace(CASE WHEN l_linenumber % 2 = 0 THEN 'WORKS_AT' ELSE 'Supplies' END, '_', ' ')) AS predicate, 'part ' || l_partkey AS object FROM lineitem")
@@ -906,10 +902,10 @@ def entity_quality(s, d):
     return triples.entity_scores(kg(s, d).select("pos", F.col("subject").alias("entity")), keep("entities"), order=["pos"]).select("pos", "score")
 
 
-@query(KG + ", r AS (SELECT pos, subject, predicate, object, 0 AS origin FROM kg WHERE predicate = 'in' UNION ALL SELECT pos, subject, predicate, object, 1 FROM kg WHERE predicate IN ('in', 'located in') AND pos % 10 / 10.0 > 0.7) SELECT min(origin) AS origin, subject, predicate, object FROM r GROUP BY ALL", name="merged_extractions")
+@query(KG + ", r AS (SELECT pos, subject, predicate, object, 0 AS origin FROM kg WHERE predicate IN ('in', 'lives in') UNION ALL SELECT pos, subject, predicate, object, 1 FROM kg WHERE pos % 10 / 10.0 > 0.7) SELECT min(origin) AS origin, subject, predicate, object FROM r GROUP BY ALL", name="merged_extractions")
 def merged_extractions(s, d):
     t = kg(s, d)
-    return triples.merged_extractions(t.filter("predicate = 'in'"), t.filter("predicate in ('in', 'located in')").withColumn("confidence", F.col("pos") % 10 / 10)).select("origin", "subject", "predicate", "object")
+    return triples.merged_extractions(t.filter("predicate in ('in', 'lives in')"), t.withColumn("confidence", F.col("pos") % 10 / 10)).select("origin", "subject", "predicate", "object")
 
 
 _STEM = "regexp_replace(lower({0}), '[0-9]$', '')"
