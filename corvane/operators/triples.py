@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import vectors as vx
 from corvane.functions.text import squeeze, strip
+from corvane.operators.graph import connected_components
 from corvane.shared import Keep, running
 
 SPO = ["subject", "predicate", "object"]
@@ -206,12 +207,52 @@ def alike_terms(vectors: DataFrame, keep: Keep, threshold: float, *, block: int
     return dealt.select("low", "high", "own", "term", "vector").mapInArrow(near, "term string, other string").unionByName(rows.select("term", F.col("term").alias("other")))
 
 
+def first_of_links(links: DataFrame, keep: Keep, *, local: int = 100_000) -> DataFrame:
+    """(at) of the rows that go when rows are taken in order and one with an earlier kept partner goes. links: (at, other), other < at, each once.
+
+    Components of up to `local` links are decided each by one pass in order inside a task, so a long chain costs no rounds of its own. Larger ones go in
+    rounds of joins: without an earlier open or kept partner a row is kept, with an earlier kept one it goes, until none is open.
+    """
+    parts = keep(connected_components(links.select(F.col("at").alias("src"), F.col("other").alias("dst")), keep))
+    placed = keep(links.join(parts, links["at"] == parts["node"]).select("at", "other", "component"))
+    sizes = placed.groupBy("component").count()
+    small = placed.join(sizes.filter(F.col("count") <= local), "component", "left_semi")
+    name = lambda c: F.to_json(F.struct(F.col(c).alias("x")))
+    dealt = small.repartition("component").sortWithinPartitions("component", "at", "other").select(name("component"), name("at"), name("other"), "at")
+
+    def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        component, dropped = None, set()
+        for b in batches:
+            rows = []
+            for i, (c, at, other) in enumerate(zip(*(b.column(k).to_pylist() for k in range(3)), strict=True)):
+                if c != component:
+                    component, dropped = c, set()
+                # all earlier rows are decided: one goes with its first kept partner
+                if at not in dropped and other not in dropped:
+                    dropped.add(at)
+                    rows.append(i)
+            yield pa.RecordBatch.from_arrays([b.column(3).take(pa.array(rows, pa.int64()))], ["at"])
+
+    gone = keep(dealt.mapInArrow(decided, links.select("at").schema))
+    rest = keep(placed.join(sizes.filter(F.col("count") > local), "component", "left_semi").select("at", "other"))
+    open_ = keep(rest.select("at").union(rest.select("other")).distinct())
+    chosen = open_.limit(0)
+    while not open_.isEmpty():
+        held = rest.join(open_, "at", "left_semi").join(chosen.withColumnRenamed("at", "other"), "other", "left_semi")
+        dropped = keep(held.select("at").distinct())
+        left = keep(open_.join(dropped, "at", "left_anti"))
+        waits = rest.join(left, "at", "left_semi").join(left.withColumnRenamed("at", "other"), "other", "left_semi").select("at").distinct()
+        now = left.join(waits, "at", "left_anti")
+        gone, chosen = keep(gone.union(dropped)), keep(chosen.union(now))
+        open_ = keep(left.join(chosen, "at", "left_anti"))
+    return gone
+
+
 def near_duplicates_dropped(t: DataFrame, vectors: DataFrame, keep: Keep, *, entity_threshold: float = 0.8, relation_threshold: float = 0.7) -> DataFrame:
     """Triples without those whose ends and relation are all alike to an earlier kept one. vectors: (term, vector) of lower-case terms.
 
     A term without a vector is alike to itself only. Equal triples (but for case) are one row, the first. Alike terms are found once,
-    triples meet through them, and the fold by position goes in rounds of joins: a triple without an earlier open or kept partner is
-    kept, one with an earlier kept partner is dropped, until none is open. Each round decides at least the first of every group.
+    triples meet through them, and `first_of_links` folds by position.
     """
     low = [f"l_{c}" for c in SPO]
     rows = t.select("pos", *SPO, *(F.lower(c).alias(n) for c, n in zip(SPO, low, strict=True)))
@@ -225,16 +266,7 @@ def near_duplicates_dropped(t: DataFrame, vectors: DataFrame, keep: Keep, *, ent
         near = near.join(others, n, "left").withColumn(f"o_{c}", F.explode(F.concat(F.array(n), F.coalesce("others", F.array().cast("array<string>"))))).drop("others")
     met = first.select(F.col("at").alias("other"), *(F.col(n).alias(f"o_{c}") for c, n in zip(SPO, low, strict=True)))
     links = keep(near.join(met, [f"o_{c}" for c in SPO]).filter("other < at").select("at", "other"))
-    open_ = keep(links.select("at").union(links.select("other")).distinct())
-    gone, chosen = open_.limit(0), open_.limit(0)
-    while not open_.isEmpty():
-        held = links.join(open_, "at", "left_semi").join(chosen.withColumnRenamed("at", "other"), "other", "left_semi")
-        dropped = keep(held.select("at").distinct())
-        left = keep(open_.join(dropped, "at", "left_anti"))
-        waits = links.join(left, "at", "left_semi").join(left.withColumnRenamed("at", "other"), "other", "left_semi").select("at").distinct()
-        now = left.join(waits, "at", "left_anti")
-        gone, chosen = keep(gone.union(dropped)), keep(chosen.union(now))
-        open_ = keep(left.join(chosen, "at", "left_anti"))
+    gone = first_of_links(links, keep)
     return first.join(gone, "at", "left_anti").select("pos", *SPO)
 
 

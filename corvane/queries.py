@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +17,8 @@ from corvane.functions.embedding import hash_embedder
 from corvane.functions.filters import matches
 from corvane.operators import analytics, budget, chunking, graph, graph_index, normalize, retrieval, store, text_index, triples
 from corvane.operators import vector_search as vs
+from corvane.operators.buckets import BucketTable
+from corvane.operators.triple_index import TripleIndex
 from corvane.plans import ingest
 from corvane.shared import kept as keep
 from corvane.shared import new_path
@@ -726,6 +731,23 @@ def canonical_merge(s, d):
     return triples.merged(x, keep("merged")).select("key", "frequency", "confidence", "subject", "sources")
 
 
+def _by_stem(texts):
+    """A vector for each text without its last digit, so ten forms have one vector; those of others are unrelated."""
+    seed = lambda t: int.from_bytes(hashlib.md5(re.sub(r"[0-9]$", "", t).encode(), usedforsecurity=False).digest()[:8], "little")
+    return np.stack([np.random.default_rng(seed(t)).normal(size=64) for t in texts]) if texts else np.zeros((0, 64))
+
+
+@query("WITH n AS (SELECT 'supplier ' || l_suppkey AS s, 'part ' || l_partkey AS o, l_orderkey * 10 + l_linenumber AS pos, (1 + l_linenumber) / 10.0::DOUBLE AS c, l_orderkey % 100 AS src FROM lineitem), k AS (SELECT *, regexp_replace(s || ' supplies ' || o, '[0-9]$', '') AS stem, left(sha256(s || '|supplies|' || o), 16) AS form FROM n), r AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY pos DESC) AS i FROM k) SELECT arg_min(form, pos) AS key, count(*) AS frequency, round(count(*) / sum(1 / c) + 1e-9, 4) AS confidence, arg_max(o, (c, pos)) AS object, string_agg(CAST(src AS VARCHAR), ',' ORDER BY pos) FILTER (i <= 10) AS sources FROM r GROUP BY stem")
+def incremental_merge(s, d):
+    """The line items' triples, merged in two batches against a stored signature index."""
+    x = table(s, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.concat(F.lit("supplier "), F.col("l_suppkey").cast("string")).alias("subject"), F.lit("supplies").alias("predicate"), F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("object"), ((1 + F.col("l_linenumber")) / F.lit(10.0)).alias("confidence"), (F.col("l_orderkey") % 100).cast("string").alias("source"))
+    middle = x.agg(F.max("pos")).first()[0] // 2
+    index = TripleIndex(s, new_path(s, "triples"), _by_stem, keep("triple-index"), buckets=16)
+    index.merge(x.filter(F.col("pos") <= middle), 0)
+    index.merge(x.filter(F.col("pos") > middle), 1)
+    return index.read(digits=12).select("key", "frequency", F.round(F.col("confidence") + 1e-9, 4).alias("confidence"), "object", "sources")
+
+
 @query(DEG + "SELECT * FROM deg")
 def node_degrees(s, d):
     return graph.degrees(kg(s, d))
@@ -1006,15 +1028,14 @@ def streaming_ingest(s, d):
 
 @query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS status FROM events GROUP BY user_id")
 def streaming_upsert(s, d):
-    """The last event of each user, kept by a sink that writes version after version of the table."""
+    """The last event of each user, kept by a sink that rewrites the buckets of each batch."""
     base = new_path(s, "upsert")
     e = table(s, d, "events").select("user_id", F.struct("ts", "event_id").alias("at"), F.col("event_type").alias("status"))
     e.repartition(3).write.parquet(f"{base}/in")
     stream = streaming.stream_table(s, f"{base}/in", e.schema, files=1)
-    sink = streaming.upsert_sink(s, f"{base}/table", "user_id", "at")
-    stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    last = streaming.versions(s, f"{base}/table")[-1]
-    return s.read.parquet(f"{base}/table/version={last}").select("user_id", "status")
+    kept = BucketTable(s, f"{base}/table", ["user_id"], e.schema, buckets=16)
+    stream.writeStream.foreachBatch(streaming.bucket_sink(kept, "at")).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return kept.read().select("user_id", "status")
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")

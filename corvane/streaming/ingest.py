@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from corvane.operators.buckets import BucketTable
+
 
 def stream_table(spark: SparkSession, path: str, schema, files: int = 8) -> DataFrame:
     """A folder of Parquet files as a stream, `files` of them a batch at most."""
@@ -54,6 +56,22 @@ def upsert_sink(spark: SparkSession, path: str, key: str, order: str, *, start:
     return sink
 
 
+def bucket_sink(table: BucketTable, order: str, *, start: int = 0) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that keeps the last row per key of a bucket table: a batch rewrites its own buckets, and a replay changes nothing.
+
+    A batch beyond `start` that finds an empty table is an error, as state would be lost.
+    """
+    from corvane.operators.buckets import last_wins
+    from corvane.operators.store import last_by_key
+
+    def sink(batch: DataFrame, n: int) -> None:
+        if n > start and not table.versions():
+            raise RuntimeError(f"no version of {table.path} before {n}")
+        table.merge(last_by_key(batch, table.key[0], order), last_wins(table.key, order), n)
+
+    return sink
+
+
 def running_counts(stream: DataFrame, key: str) -> DataFrame:
     return stream.groupBy(key).agg(F.count("*").alias("n"))
 
