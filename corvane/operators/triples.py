@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable, Iterator
 
@@ -164,17 +165,30 @@ def merged_extractions(nlp: DataFrame, llm: DataFrame, least: float = 0.7) -> Da
     return rows.groupBy(*SPO).agg(F.min(F.struct("origin", "pos")).alias("x")).select("x.origin", "x.pos", *SPO)
 
 
-def alike_terms(vectors: DataFrame, keep: Keep, threshold: float, *, block: int = 4096) -> DataFrame:
+def alike_terms(vectors: DataFrame, keep: Keep, threshold: float, *, recall: float | None = None, block: int = 4096, held: int = 64, seed: int = 7) -> DataFrame:
     """(term, other) of distinct terms whose vectors' cosine is above the threshold, both ways, and each term with itself.
 
-    Terms are dealt into blocks by hash and each pair of blocks is one matrix product in a task, which returns the alike pairs only.
-    Vectors of zeros are alike to nothing but themselves.
+    Without `recall` all pairs are found: terms are dealt into blocks by hash and each pair of blocks is one matrix product in a task. With it,
+    only terms that share a bucket are compared: random planes cut the space, and in each of several bands the sides of some planes are a bucket.
+    There are so many planes that an unrelated term meets about `held` others in a band, and so many bands that a pair at the threshold is found
+    with the probability `recall`, pairs above it with a higher one. Buckets larger than a block are compared block by block. Either way tasks
+    return alike pairs only, verified by the cosine itself. Vectors of zeros are alike to nothing but themselves.
     """
     rows = keep(vectors.filter(F.col("term").isNotNull() & F.col("vector").isNotNull()).groupBy("term").agg(F.min("vector").alias("vector")))
-    blocks = max(1, -(-rows.count() // block))
-    own = F.pmod(F.xxhash64("term"), F.lit(blocks)).cast("int")
-    met = rows.select("term", "vector", own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
-    dealt = met.select(F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "term", "vector").repartition("low", "high").sortWithinPartitions("low", "high")
+    itself = rows.select("term", F.col("term").alias("other"))
+    n = rows.count()
+    if recall is None:
+        met = rows.select(F.lit(0).cast("long").alias("bucket"), "term", "vector", F.lit(max(1, -(-n // block))).alias("blocks"))
+    else:
+        bits = min(30, max(4, math.ceil(math.log2(max(2, n) / held))))
+        same = (1 - math.acos(min(1.0, threshold)) / math.pi) ** bits
+        bands = 1 if same >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - same))
+        told = keep(banded(rows, bits, bands, seed))
+        sizes = told.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+        met = told.join(sizes, "bucket").join(rows, "term").select("bucket", "term", "vector", "blocks")
+    own = F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int")
+    met = met.select("bucket", "term", "vector", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = met.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "term", "vector").repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, terms, of, parts = None, [], [], []
@@ -183,28 +197,46 @@ def alike_terms(vectors: DataFrame, keep: Keep, threshold: float, *, block: int
             x, own = np.concatenate(parts), np.array(of)
             n = np.sqrt((x * x).sum(axis=1, keepdims=True))
             x = x / np.where(n > 0, n, 1)
-            a, b = np.flatnonzero(own == at[0]), np.flatnonzero(own == at[1])
+            a, b = np.flatnonzero(own == at[1]), np.flatnonzero(own == at[2])
             i, j = np.nonzero(x[a] @ x[b].T > threshold)
             i, j = a[i], b[j]
             i, j = i[i != j], j[i != j]
-            if at[0] != at[1]:
+            if at[1] != at[2]:
                 i, j = np.concatenate((i, j)), np.concatenate((j, i))
             return pa.RecordBatch.from_arrays([pa.array([terms[k] for k in i.tolist()], pa.string()), pa.array([terms[k] for k in j.tolist()], pa.string())], ["term", "other"])
 
         for b in batches:
-            x = np.asarray(b.column(4).flatten(), dtype=float).reshape(b.num_rows, -1)
-            for k, key in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+            x = np.asarray(b.column(5).flatten(), dtype=float).reshape(b.num_rows, -1)
+            for k, key in enumerate(zip(*(b.column(c).to_pylist() for c in range(3)), strict=True)):
                 if key != at and terms:
                     yield told()
                     terms, of, parts = [], [], []
                 at = key
-                terms.append(b.column(3)[k].as_py())
-                of.append(b.column(2)[k].as_py())
+                terms.append(b.column(4)[k].as_py())
+                of.append(b.column(3)[k].as_py())
                 parts.append(x[k : k + 1])
         if terms:
             yield told()
 
-    return dealt.select("low", "high", "own", "term", "vector").mapInArrow(near, "term string, other string").unionByName(rows.select("term", F.col("term").alias("other")))
+    found = dealt.mapInArrow(near, "term string, other string")
+    return (found if recall is None else found.distinct()).unionByName(itself)
+
+
+def banded(rows: DataFrame, bits: int, bands: int, seed: int) -> DataFrame:
+    """(term, bucket) of each band: the sides of `bits` random planes on which a term's vector lies. Vectors of zeros have none."""
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes = None
+        for b in batches:
+            x = np.asarray(b.column(1).flatten(), dtype=float).reshape(b.num_rows, -1)
+            if planes is None:
+                planes = np.random.default_rng(seed).normal(size=(x.shape[1], bits * bands))
+            full = np.flatnonzero((x != 0).any(axis=1))
+            side = (x[full] @ planes > 0).reshape(len(full), bands, bits)
+            key = (side << np.arange(bits)).sum(axis=2) + (np.arange(bands) << bits)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(full, bands))), pa.array(key.ravel())], ["term", "bucket"])
+
+    return rows.select("term", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(told, "term string, bucket long")
 
 
 def first_of_links(links: DataFrame, keep: Keep, *, local: int = 100_000) -> DataFrame:
@@ -248,7 +280,7 @@ def first_of_links(links: DataFrame, keep: Keep, *, local: int = 100_000) -> Dat
     return gone
 
 
-def near_duplicates_dropped(t: DataFrame, vectors: DataFrame, keep: Keep, *, entity_threshold: float = 0.8, relation_threshold: float = 0.7) -> DataFrame:
+def near_duplicates_dropped(t: DataFrame, vectors: DataFrame, keep: Keep, *, entity_threshold: float = 0.8, relation_threshold: float = 0.7, recall: float | None = None) -> DataFrame:
     """Triples without those whose ends and relation are all alike to an earlier kept one. vectors: (term, vector) of lower-case terms.
 
     A term without a vector is alike to itself only. Equal triples (but for case) are one row, the first. Alike terms are found once,
@@ -258,8 +290,8 @@ def near_duplicates_dropped(t: DataFrame, vectors: DataFrame, keep: Keep, *, ent
     rows = t.select("pos", *SPO, *(F.lower(c).alias(n) for c, n in zip(SPO, low, strict=True)))
     first = rows.groupBy(*low).agg(F.min(F.struct("pos", *SPO)).alias("x")).select("x.*", *low)
     first = keep(first.withColumn("at", F.struct("pos", *low)))  # positions may repeat
-    ends = keep(alike_terms(vectors, keep, entity_threshold).filter("term <> other"))
-    names = keep(alike_terms(vectors, keep, relation_threshold).filter("term <> other"))
+    ends = keep(alike_terms(vectors, keep, entity_threshold, recall=recall).filter("term <> other"))
+    names = keep(alike_terms(vectors, keep, relation_threshold, recall=recall).filter("term <> other"))
     near = first.select("at", *low)
     for c, n in zip(SPO, low, strict=True):
         others = (names if c == "predicate" else ends).groupBy(F.col("term").alias(n)).agg(F.collect_list("other").alias("others"))

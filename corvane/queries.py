@@ -933,14 +933,23 @@ def merged_extractions(s, d):
 _STEM = "regexp_replace(lower({0}), '[0-9]$', '')"
 
 
-@query(KG + f"SELECT min(pos) AS pos, arg_min(subject, (pos, lower(subject), lower(predicate), lower(object))) AS subject, arg_min(predicate, (pos, lower(subject), lower(predicate), lower(object))) AS predicate, arg_min(object, (pos, lower(subject), lower(predicate), lower(object))) AS object FROM kg GROUP BY {_STEM.format('subject')}, lower(predicate), {_STEM.format('object')}")
-def near_duplicate_relations(s, d):
+_ALIKE = KG + f"SELECT min(pos) AS pos, arg_min(subject, (pos, lower(subject), lower(predicate), lower(object))) AS subject, arg_min(predicate, (pos, lower(subject), lower(predicate), lower(object))) AS predicate, arg_min(object, (pos, lower(subject), lower(predicate), lower(object))) AS object FROM kg GROUP BY {_STEM.format('subject')}, lower(predicate), {_STEM.format('object')}"
+
+
+@query(_ALIKE)
+def near_duplicate_relations(s, d, recall=None):
     """Terms have the vector of their name without its last digit, so ten of them are alike and others are not."""
     t = kg(s, d)
     stem = F.regexp_replace("term", "[0-9]$", "")
     terms = graph.nodes_of(t).select(F.lower("node").alias("term")).union(t.select(F.lower("predicate"))).distinct()
     vectors = terms.select("term", F.transform(F.sequence(F.lit(0), F.lit(127)), lambda i: (F.crc32(F.concat(stem, F.lit("/"), i.cast("string"))) % 1001 - 500).cast("double")).alias("vector"))
-    return triples.near_duplicates_dropped(t, vectors, keep("near-duplicates"))
+    return triples.near_duplicates_dropped(t, vectors, keep("near-duplicates"), recall=recall)
+
+
+@query(_ALIKE)
+def banded_relations(s, d):
+    """The same by bands of random planes: terms that are alike here have one vector, so every pair shares its buckets."""
+    return near_duplicate_relations(s, d, recall=0.95)
 
 
 @query()

@@ -171,3 +171,19 @@ def test_bucket_table(spark, tmp_path):
     named = {f for v in table.versions() for f in table.manifest(v)[2].values()}
     assert {p.name for p in (tmp_path / "t" / "data").iterdir() if p.is_dir()} == named
     assert table.merge(spark.createDataFrame([], "k long, v string, at long"), buckets.last_wins(["k"], "at"), 9) and table.read().count() == 201
+
+
+@pytest.mark.parametrize("threshold", [0.7, 0.8, 0.95])
+def test_bands_find_alike_terms(spark, threshold):
+    """Recall of pairs and of the fold against the exact way; nothing is found that is not alike."""
+    rng = np.random.default_rng(3)
+    centres = np.repeat(rng.normal(size=(300, 24)), 5, axis=0)
+    x = np.concatenate([centres + rng.normal(size=centres.shape) * rng.uniform(0.1, 0.8, (len(centres), 1)), np.zeros((3, 24))])
+    v = written(spark.createDataFrame([(f"t{i}", [float(y) for y in row]) for i, row in enumerate(x)] + [(None, [1.0] * 24)], "term string, vector array<double>"), "vectors")
+    pairs = lambda **options: {tuple(r) for r in triples.alike_terms(v, kept("alike"), threshold, **options).collect()}
+    exact, found = pairs(), pairs(recall=0.95)
+    assert found <= exact and {(f"t{i}", f"t{i}") for i in range(1503)} <= found and ("t1500", "t1501") not in exact
+    assert len(found) >= 0.9 * len(exact) and pairs(recall=0.95, block=7) == found and pairs(block=100) == exact
+    t = spark.createDataFrame([(i, f"t{i}", "p", f"t{(i * 7) % 1500}") for i in range(1500)], "pos long, subject string, predicate string, object string")
+    one, two = ({r.pos for r in triples.near_duplicates_dropped(t, v, kept("fold"), entity_threshold=threshold, recall=recall).collect()} for recall in (None, 0.95))
+    assert len(one & two) >= 0.9 * len(one | two)
