@@ -25,6 +25,7 @@ from corvane.shared import new_path
 from corvane.sources import files
 from corvane.sources.files import check_source, query_source, table
 from corvane.streaming import ingest as streaming
+from corvane.streaming import keyed_state
 from corvane.streaming.ingest import latest_status, windowed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1047,6 +1048,30 @@ def streaming_upsert(s, d):
     return kept.read().select("user_id", "status")
 
 
+@query("WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS first FROM events), g AS (SELECT user_id, ts, sum(first) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS period FROM e) SELECT user_id, min(ts) AS start, max(ts) AS last, count(*) AS n FROM g GROUP BY user_id, period HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")
+def streaming_idle_periods(s, d):
+    """Users' periods of activity by keyed state and timers: four starts of one query, the second with a late copy of early events, the last with nothing new."""
+    base = new_path(s, "periods")
+    e = table(s, d, "events").select("user_id", "ts")
+    low, high = e.agg(F.min("ts"), F.max("ts")).first()
+    cuts = [low + (high - low) * k / 3 for k in (1, 2)]
+    parts = [e.filter(F.col("ts") < cuts[0]), e.filter((F.col("ts") >= cuts[0]) & (F.col("ts") < cuts[1])).union(e.filter(F.col("ts") < low + (high - low) / 6)), e.filter(F.col("ts") >= cuts[1]), None]
+    before = {k: s.conf.get(k, None) for k in keyed_state.STORE}
+    try:
+        for k, v in keyed_state.STORE.items():
+            s.conf.set(k, v)
+        for part in parts:
+            if part is not None:
+                part.write.mode("append").parquet(f"{base}/in")
+            found = keyed_state.activity(streaming.stream_table(s, f"{base}/in", e.schema, files=1000), key="user_id", time="ts", idle_seconds=6 * 3600, late="1 hour")
+            found.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        for k, v in before.items():
+            s.conf.unset(k) if v is None else s.conf.set(k, v)
+    zone = lambda c: F.col(c).cast("timestamp_ntz")
+    return s.read.parquet(f"{base}/out").select(F.col("key").cast("long").alias("user_id"), zone("start").alias("start"), zone("last").alias("last"), "n")
+
+
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def streaming_counts(s, d):
     """Running counts of a stream, as they stand at its end."""
