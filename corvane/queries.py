@@ -20,6 +20,8 @@ from corvane.operators import vector_search as vs
 from corvane.operators.buckets import BucketTable
 from corvane.operators.triple_index import TripleIndex
 from corvane.plans import ingest
+from corvane.plans.registry import Registry
+from corvane.plans.sql_functions import register_chunkers
 from corvane.shared import kept as keep
 from corvane.shared import new_path
 from corvane.sources import files
@@ -410,6 +412,16 @@ def stride_chunks(s, d):
     return chunking.exploded_windows(table(s, d, "documents"), id_col="doc_id", text_col="text", size=2048)
 
 
+@query("SELECT doc_id, CAST(a // 2048 AS INTEGER) AS chunk_no, substring(text, a + 1, 2048) AS chunk_text, CAST(a AS INTEGER) AS start_idx FROM (SELECT doc_id, unnest(range(0, length(text), 2048)) AS a, text FROM documents WHERE length(text) > 0)")
+def sql_chunks(s, d):
+    """A chunker called from SQL as a table function of its registered name."""
+    chunkers = Registry()
+    chunkers.register("chunker", "stride", chunking.Stride)
+    register_chunkers(s, chunkers)
+    table(s, d, "documents").createOrReplaceTempView("sql_chunks_documents")
+    return s.sql("SELECT d.doc_id, c.chunk_no, c.text AS chunk_text, c.start_idx FROM sql_chunks_documents d, LATERAL chunk_stride(d.text, '{\"size\": 2048}') c")
+
+
 _SENT = "WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \\t\\n\\r\\f\\v]+', '\\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^[ \\t\\n\\r\\f\\v]+|[ \\t\\n\\r\\f\\v]+$', '', 'g')), lambda x: x <> '') AS x FROM documents) "
 
 
