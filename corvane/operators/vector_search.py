@@ -155,10 +155,27 @@ def quality_at_k(found: DataFrame, relevant: DataFrame, k: int, *, query_key: st
     hits = found.filter(F.col("rank") <= k).join(relevant, [query_key, key], "left_semi").groupBy(query_key).agg(F.count("*").alias("hits"))
     wanted = relevant.groupBy(query_key).agg(F.count("*").alias("wanted"))
     each = found.select(query_key).distinct().join(hits, query_key, "left").join(wanted, query_key, "left").na.fill(0, ["hits", "wanted"])
+    return _means(each, k)
+
+
+def _means(each: DataFrame, k: int) -> DataFrame:
+    """Mean precision, recall and F1 of (hits, wanted) of each query."""
     p, r = F.col("hits") / k, F.coalesce(F.col("hits") / F.nullif("wanted", F.lit(0)), F.lit(0.0))
     f1 = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
     return each.agg(F.round(F.avg(p), 6).alias("precision"), F.round(F.avg(r), 6).alias("recall"), F.round(F.avg(f1), 6).alias("f1"))
 
 
+def quality_by_label(found: DataFrame, labels: DataFrame, k: int, *, query_key: str = "query_id", key: str = "vec_id", label: str = "label") -> DataFrame:
+    """As quality_at_k, where a query's relevant rows are the others of its own label. labels: (key, label) of all rows, the queries among them.
+
+    What is wanted is counted once a label and hits are told by the found rows' labels, so relevant pairs are never listed.
+    """
+    own = labels.select(F.col(key).alias(query_key), F.col(label).alias("__own"))
+    told = found.filter(F.col("rank") <= k).select(query_key, key).join(labels.select(key, label), key, "left").join(own, query_key, "left")
+    hits = told.groupBy(query_key, "__own").agg(F.count_if(F.col(label) == F.col("__own")).alias("hits"))
+    sizes = labels.groupBy(F.col(label).alias("__own")).agg((F.count("*") - 1).alias("wanted"))
+    return _means(hits.join(sizes, "__own", "left").na.fill(0, ["hits", "wanted"]), k)
+
+
 def valid(df: DataFrame, vector: str, dim: int) -> Column:
     return vx.sound(F.col(vector), dim)

@@ -585,9 +585,7 @@ def quality_at_k(s, d):
     e, q = table(s, d, "embeddings"), asked(s, d)
     found = vs.top_k(q, e, k=6).filter("query_id <> vec_id")
     found = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).filter("rank <= 5")
-    labels = e.select(F.col("vec_id").alias("query_id"), F.col("label").alias("l"))
-    relevant = q.select("query_id").join(labels, "query_id").join(e.select("vec_id", "label"), (F.col("l") == F.col("label")) & (F.col("query_id") != F.col("vec_id"))).select("query_id", "vec_id")
-    return vs.quality_at_k(found, relevant, 5)
+    return vs.quality_by_label(found, e.select("vec_id", "label"), 5)
 
 
 @query()

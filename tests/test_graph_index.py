@@ -85,3 +85,12 @@ def test_added_rows_are_found(spark):
     both = written(gi.build(old).unionByName(gi.build(new)), "index")
     q = asked(old.union(new), 10)
     assert recall(gi.search(q, both), vs.top_k(q, old.union(new))) >= 0.95
+
+
+def test_quality_by_label_counts_what_pairs_list(spark):
+    rng = np.random.default_rng(4)
+    labels = spark.createDataFrame([(i, int(x) if i % 9 else None) for i, x in enumerate(rng.integers(0, 5, 90))], "vec_id long, label int")
+    found = spark.createDataFrame([(q, int(v), r + 1) for q in range(0, 90, 7) for r, v in enumerate(rng.choice([i for i in range(90) if i != q], 6, replace=False))], "query_id long, vec_id long, rank int")
+    a, b = labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("own")), labels
+    pairs = a.join(b, (F.col("own") == F.col("label")) & (F.col("query_id") != F.col("vec_id"))).select("query_id", "vec_id")
+    assert vs.quality_by_label(found, labels, 5).collect() == vs.quality_at_k(found, pairs, 5).collect()
