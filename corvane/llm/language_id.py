@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import slices, written
+from corvane.llm.common import slices, trimmed, written
 
 #: Families of languages by code (fixed values); a code that is not listed is a family of its own.
 FAMILIES = {
@@ -150,7 +150,7 @@ def fit(rows: DataFrame, *, max_train_rows: int = 2400, max_languages: int = 100
     sample = named.join(F.broadcast(chosen), ["key", "lang", "hash"], "left_semi").dropDuplicates(["key", "lang", "hash"])
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 1):
+        for b in trimmed(slices(batches, 1)):
             at = 0
             for x in features(b.column(1)):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(x)), pa.array([v.astype(np.float16).tobytes() for v in x], pa.binary())], ["lang", "x"])
@@ -179,7 +179,7 @@ def predict(rows: DataFrame, model: Model | None, *, text_col: str = "text", nam
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in slices(batches, n_kept):
+        for b in trimmed(slices(batches, n_kept)):
             n = b.num_rows
             langs, scores = ["und"] * n, np.zeros(n)
             if m is not None:
