@@ -146,7 +146,7 @@ def louvain(t: DataFrame, keep: Callable[[DataFrame], DataFrame], *, rounds: int
 
     A move takes a node to the neighbouring community that gains most, where w * 2m - k * total is compared in full (w: weight between
     the node and the community, k: the node's weight, total: the community's, without the node). Nodes move at the same time, a half of
-    them in a round, chosen by a hash of node and round; of a level's rounds the one of most modularity counts, and a level ends after two
+    them in a round, chosen by a hash of node and round; of a level's rounds the one of most modularity counts, and a level ends after three
     rounds in a row without gain. All weights are whole numbers and modularity is compared as a whole number, so the result does not depend on partitions. A community
     is named by its smallest node; nodes without an edge (but loops) stay alone. Neighbours are never gathered: votes are sums per
     node and community, combined before the shuffle.
@@ -204,7 +204,7 @@ def _moved(nodes: DataFrame, edges: DataFrame, twice: int, most: int | None, rou
         still = 0 if better else still + 1
         if better:
             best, most = labels, gained
-        if not moves or still > 1:  # nobody wishes to move, of either half
+        if not moves or still > 2:  # nobody wishes to move, of either half
             break
         labels, squares = after.select("node", "community", "k", "inner"), then
     return best, most
