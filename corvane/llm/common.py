@@ -78,15 +78,6 @@ def lean() -> None:
             pass
 
 
-def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches of a task; after the last, what the worker has freed between live blocks goes back to the system too."""
-    yield from batches
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
-        pass
-
-
 def slices(batches: Iterator[pa.RecordBatch], column: int, budget: int = 6 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of Arrow batches, as many at a time as hold budget bytes of text; a longer text is a batch of its own. This bounds a worker's memory."""
     lean()

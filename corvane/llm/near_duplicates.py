@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import batch_groups, hinted, lean, slices, small_side, split_words, trimmed, written
+from corvane.llm.common import batch_groups, hinted, lean, slices, small_side, split_words, written
 from corvane.operators.graph import connected_components
 
 _GOLD, _P = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x100000001B3)
@@ -112,7 +112,7 @@ def signed(docs: DataFrame, *, id_col: str, text_col: str, width: int, bands: in
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for b in trimmed(slices(batches, 3)):
+        for b in slices(batches, 3):
             words, ends = split_words(b.column(3))
             hashes = word_hashes(words)
             for i, j in batch_groups(np.diff(ends), block_words):
@@ -152,7 +152,7 @@ def verified(pairs: DataFrame, sets: DataFrame, *, part_bytes: int = 8 << 20) ->
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
         held = np.zeros(0, np.uint32)
-        for b in trimmed(batches):
+        for b in batches:
             first, second, found = [], [], []
             for a, node, side, codes in zip(*(b.column(k) for k in range(4)), strict=True):
                 own = np.frombuffer(codes.as_buffer(), np.uint32)
@@ -226,7 +226,7 @@ def across(rest: DataFrame, sets: DataFrame, threshold: float, *, block_nodes: i
             pairs = joined_components([place.setdefault(p, len(place)) for p in parts], codes, threshold) if len(nodes) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([nodes[p[k]] for p in pairs], pa.binary()) for k in (0, 1)], ["src", "dst"])
 
-        for b in trimmed(batches):
+        for b in batches:
             keys = list(zip(*(b.column(k).to_pylist() for k in range(3)), strict=True))
             for key, node, part, code in zip(keys, b.column(3), b.column(4), b.column(5), strict=True):
                 if key != at and nodes:
