@@ -165,17 +165,39 @@ def merged_extractions(nlp: DataFrame, llm: DataFrame, least: float = 0.7) -> Da
     return rows.groupBy(*SPO).agg(F.min(F.struct("origin", "pos")).alias("x")).select("x.origin", "x.pos", *SPO)
 
 
-def alike_terms(vectors: DataFrame, keep: Keep, threshold: float, *, recall: float | None = None, block: int = 4096, held: int = 64, seed: int = 7) -> DataFrame:
+def vector_heads(vectors: DataFrame, keep: Keep, threshold: float) -> DataFrame:
+    """(term, vector, head) of distinct terms. Terms of one vector are alike to the same terms and to each other, so the smallest of them, their head,
+    stands for all. A vector without a finite length above 0 is alike to nothing, and no vector is to its equal from a threshold of 1 on: such terms are their own heads.
+    """
+    rows = vectors.filter(F.col("term").isNotNull() & F.col("vector").isNotNull()).groupBy("term").agg(F.min("vector").alias("vector"))
+    size = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    stands = (size > 0) & (size < float("inf")) if threshold < 1 - 1e-9 else F.lit(False)
+    rows = keep(rows.withColumn("digest", F.when(stands, F.sha2(F.array_join("vector", ","), 256))))
+    heads = rows.filter("digest is not null").groupBy("digest").agg(F.min("term").alias("head"))
+    return keep(rows.join(heads, "digest", "left").select("term", "vector", F.coalesce("head", "term").alias("head")))
+
+
+def alike_terms(vectors: DataFrame, keep: Keep, threshold: float, *, recall: float | None = None, block: int = 16384, held: int = 64, seed: int = 7) -> DataFrame:
     """(term, other) of distinct terms whose vectors' cosine is above the threshold, both ways, and each term with itself.
 
+    Heads (`vector_heads`) are compared as in `alike_heads`, and their alike pairs are told for all terms that they stand for.
+    """
+    rows = vector_heads(vectors, keep, threshold)
+    near = alike_heads(rows.filter("term = head").select("term", "vector"), keep, threshold, recall=recall, block=block, held=held, seed=seed)
+    both = near.unionByName(rows.filter("term = head").select("term", F.col("term").alias("other")))
+    side = lambda c: rows.select(F.col("term").alias(f"__{c}"), F.col("head").alias(c))
+    return both.join(side("term"), "term").join(side("other"), "other").select(F.col("__term").alias("term"), F.col("__other").alias("other"))
+
+
+def alike_heads(rows: DataFrame, keep: Keep, threshold: float, *, recall: float | None = None, block: int = 16384, held: int = 64, seed: int = 7) -> DataFrame:
+    """(term, other) of terms, each once with its vector, whose cosine is above the threshold, both ways; none with itself.
+
     Without `recall` all pairs are found: terms are dealt into blocks by hash and each pair of blocks is one matrix product in a task. With it,
     only terms that share a bucket are compared: random planes cut the space, and in each of several bands the sides of some planes are a bucket.
     There are so many planes that an unrelated term meets about `held` others in a band, and so many bands that a pair at the threshold is found
     with the probability `recall`, pairs above it with a higher one. Buckets larger than a block are compared block by block. Either way tasks
     return alike pairs only, verified by the cosine itself. Vectors of zeros are alike to nothing but themselves.
     """
-    rows = keep(vectors.filter(F.col("term").isNotNull() & F.col("vector").isNotNull()).groupBy("term").agg(F.min("vector").alias("vector")))
-    itself = rows.select("term", F.col("term").alias("other"))
     n = rows.count()
     if recall is None:
         met = rows.select(F.lit(0).cast("long").alias("bucket"), "term", "vector", F.lit(max(1, -(-n // block))).alias("blocks"))
@@ -198,8 +220,11 @@ def alike_terms(vectors: DataFrame, keep: Keep, threshold: float, *, recall: flo
             n = np.sqrt((x * x).sum(axis=1, keepdims=True))
             x = x / np.where(n > 0, n, 1)
             a, b = np.flatnonzero(own == at[1]), np.flatnonzero(own == at[2])
-            i, j = np.nonzero(x[a] @ x[b].T > threshold)
-            i, j = a[i], b[j]
+            other = x[b].T
+            # some rows at a time, so the product of two full blocks is never held
+            hits = [np.nonzero(x[a[k : k + 256]] @ other > threshold) for k in range(0, len(a), 256)]
+            i = np.concatenate([a[256 * k + h[0]] for k, h in enumerate(hits)]) if hits else np.zeros(0, int)
+            j = np.concatenate([b[h[1]] for h in hits]) if hits else np.zeros(0, int)
             i, j = i[i != j], j[i != j]
             if at[1] != at[2]:
                 i, j = np.concatenate((i, j)), np.concatenate((j, i))
@@ -219,7 +244,7 @@ def alike_terms(vectors: DataFrame, keep: Keep, threshold: float, *, recall: flo
             yield told()
 
     found = dealt.mapInArrow(near, "term string, other string")
-    return (found if recall is None else found.distinct()).unionByName(itself)
+    return found if recall is None else found.distinct()
 
 
 def banded(rows: DataFrame, bits: int, bands: int, seed: int) -> DataFrame:
@@ -283,23 +308,37 @@ def first_of_links(links: DataFrame, keep: Keep, *, local: int = 100_000) -> Dat
 def near_duplicates_dropped(t: DataFrame, vectors: DataFrame, keep: Keep, *, entity_threshold: float = 0.8, relation_threshold: float = 0.7, recall: float | None = None) -> DataFrame:
     """Triples without those whose ends and relation are all alike to an earlier kept one. vectors: (term, vector) of lower-case terms.
 
-    A term without a vector is alike to itself only. Equal triples (but for case) are one row, the first. Alike terms are found once,
-    triples meet through them, and `first_of_links` folds by position.
+    A term without a vector is alike to itself only. Equal triples (but for case) are one row, the first; so are triples whose ends and relation have
+    the same heads (`vector_heads`): they are alike to each other and to the same others, so only the first of them can be kept. Alike heads are found
+    once, among the terms that stand as ends and as relations, triples meet through them, and `first_of_links` folds by position.
     """
     low = [f"l_{c}" for c in SPO]
+    heads = [f"h_{c}" for c in SPO]
     rows = t.select("pos", *SPO, *(F.lower(c).alias(n) for c, n in zip(SPO, low, strict=True)))
     first = rows.groupBy(*low).agg(F.min(F.struct("pos", *SPO)).alias("x")).select("x.*", *low)
     first = keep(first.withColumn("at", F.struct("pos", *low)))  # positions may repeat
-    ends = keep(alike_terms(vectors, keep, entity_threshold, recall=recall).filter("term <> other"))
-    names = keep(alike_terms(vectors, keep, relation_threshold, recall=recall).filter("term <> other"))
-    near = first.select("at", *low)
-    for c, n in zip(SPO, low, strict=True):
-        others = (names if c == "predicate" else ends).groupBy(F.col("term").alias(n)).agg(F.collect_list("other").alias("others"))
-        near = near.join(others, n, "left").withColumn(f"o_{c}", F.explode(F.concat(F.array(n), F.coalesce("others", F.array().cast("array<string>"))))).drop("others")
-    met = first.select(F.col("at").alias("other"), *(F.col(n).alias(f"o_{c}") for c, n in zip(SPO, low, strict=True)))
-    links = keep(near.join(met, [f"o_{c}" for c in SPO]).filter("other < at").select("at", "other"))
+    ends = first.select(F.col("l_subject").alias("term")).union(first.select("l_object"))
+    vectors = keep(vectors)  # computed once a term: behind a plain select Spark would drop a distinct that made the terms
+    near = {}
+    for kind, used, threshold in (("end", ends, entity_threshold), ("name", first.select(F.col("l_predicate").alias("term")), relation_threshold)):
+        told = vector_heads(vectors.join(used.distinct(), "term", "left_semi"), keep, threshold)
+        near[kind] = told.select("term", "head"), keep(alike_heads(told.filter("term = head").select("term", "vector"), keep, threshold, recall=recall))
+    of = lambda c: near["name" if c == "predicate" else "end"]
+    headed = first
+    for c, n, h in zip(SPO, low, heads, strict=True):
+        headed = headed.join(of(c)[0].select(F.col("term").alias(n), F.col("head").alias(h)), n, "left").withColumn(h, F.coalesce(h, n))
+    lead = keep(headed.groupBy(*heads).agg(F.min(F.struct("at", *SPO)).alias("x")).select("x.*", *heads))
+    met, any_ = lead.select("at", *heads), F.lit(False)
+    for c, h in zip(SPO, heads, strict=True):
+        others = of(c)[1].groupBy(F.col("term").alias(h)).agg(F.collect_list("other").alias(f"m_{c}"))
+        met, any_ = met.join(others, h, "left"), any_ | F.col(f"m_{c}").isNotNull()
+    near_ = keep(met.filter(any_))  # a triple without alike ends or relations has no link
+    other = near_.select(F.col("at").alias("other"), *(F.col(h).alias(f"o_{c}") for c, h in zip(SPO, heads, strict=True)))
+    for c, h in zip(SPO, heads, strict=True):
+        near_ = near_.withColumn(f"o_{c}", F.explode(F.concat(F.array(h), F.coalesce(f"m_{c}", F.array().cast("array<string>")))))
+    links = keep(near_.select("at", *(f"o_{c}" for c in SPO)).join(other, [f"o_{c}" for c in SPO]).filter("other < at").select("at", "other"))
     gone = first_of_links(links, keep)
-    return first.join(gone, "at", "left_anti").select("pos", *SPO)
+    return lead.join(gone, "at", "left_anti").select("at.pos", *SPO)
 
 
 Patterns = Callable[[str], list[tuple[str, str, str]]]

@@ -187,3 +187,25 @@ def test_bands_find_alike_terms(spark, threshold):
     t = spark.createDataFrame([(i, f"t{i}", "p", f"t{(i * 7) % 1500}") for i in range(1500)], "pos long, subject string, predicate string, object string")
     one, two = ({r.pos for r in triples.near_duplicates_dropped(t, v, kept("fold"), entity_threshold=threshold, recall=recall).collect()} for recall in (None, 0.95))
     assert len(one & two) >= 0.9 * len(one | two)
+
+
+@pytest.mark.parametrize("recall", [None, 0.95])
+def test_triples_of_equal_vectors_make_no_links(spark, recall):
+    """Ten terms of one vector at each end: a hundred triples are alike, which one head for each vector tells without a pair of them."""
+    vec = np.random.default_rng(5).normal(size=(40, 24))
+    t = spark.createDataFrame([(i, f"t{(i * 7) % 400}", "p", f"t{(i * 13 + i // 400) % 400}") for i in range(3000)], "pos long, subject string, predicate string, object string")
+    v = spark.createDataFrame([(f"t{i}", vec[i // 10].tolist()) for i in range(400)], "term string, vector array<double>")
+    sizes = []
+
+    def counting(df):
+        out = written(df, "counted")
+        sizes.append((out.columns, out.count()))
+        return out
+
+    got = sorted(tuple(r)[:2] for r in triples.near_duplicates_dropped(t, v, counting, recall=recall).select("pos", "subject").collect())
+    seen = {}
+    for r in sorted(t.collect(), key=lambda r: r.pos):
+        seen.setdefault((int(r.subject[1:]) // 10, int(r.object[1:]) // 10), (r.pos, r.subject))
+    assert got == sorted(seen.values())
+    assert {n for columns, n in sizes if columns == ["at", "other"]} == {0}
+    assert len(triples.alike_terms(v, kept("alike"), 0.8, recall=recall).collect()) == 40 * 100
