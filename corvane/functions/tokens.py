@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ MODEL_PRICE = {"gpt-4.1": 2.00, "gpt-4.1-mini": 0.40, "gpt-4.1-nano": 0.10}
 #: Encodings by prefix of the model's name (fixed values), longest prefixes first; others have the default.
 ENCODINGS = {"gpt-4o": "o200k_base", "gpt-4": "cl100k_base", "gpt-3.5-turbo": "cl100k_base", "text-embedding": "cl100k_base", "text-davinci": "p50k_base"}
 DEFAULT_ENCODING = "cl100k_base"
+#: Bytes of text that a call of a tokenizer gets.
+CALL_BYTES = 1 << 20
 
 
 def token_count(text: Column) -> Column:
@@ -44,6 +48,18 @@ def truncate_to_tokens(text: Column, n: int) -> Column:
     return F.substring(text, 1, 4 * n)
 
 
+def spans(sizes: np.ndarray, budget: int) -> Iterator[tuple[int, int]]:
+    """(start, stop) of consecutive rows that hold budget together; a larger row comes alone."""
+    start, held = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > start and held + n > budget:
+            yield start, i
+            start, held = i, 0
+        held += n
+    if len(sizes) > start:
+        yield start, len(sizes)
+
+
 def encoder(path: str | None = None):
     """(encode, decode): Column functions from text to array<int> and back, by a tokenizers .json file.
 
@@ -57,17 +73,24 @@ def encoder(path: str | None = None):
 
         return Tokenizer.from_file(path)
 
-    @F.pandas_udf("array<int>")
-    def encode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    # a call's encodings hold many times its text, so calls get a few MB and only ids are kept, in Arrow
+    @F.arrow_udf("array<int>")
+    def encode(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         t = loaded()
         for s in parts:
-            yield pd.Series([e.ids for e in t.encode_batch(s.fillna("").tolist(), add_special_tokens=False)], dtype=object)
+            lists = [pa.array([], pa.list_(pa.int32()))]
+            for a, b in spans(pc.fill_null(pc.binary_length(s), 0).to_numpy(zero_copy_only=False), CALL_BYTES):
+                lists.append(pa.array([e.ids for e in t.encode_batch(s.slice(a, b - a).fill_null("").to_pylist(), add_special_tokens=False)], pa.list_(pa.int32())))
+            yield pa.concat_arrays(lists)
 
-    @F.pandas_udf("string")
-    def decode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def decode(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         t = loaded()
         for s in parts:
-            yield pd.Series(t.decode_batch([[] if x is None else [int(i) for i in x] for x in s], skip_special_tokens=True))
+            texts = [pa.array([], pa.string())]
+            for a, b in spans(pc.fill_null(pc.list_value_length(s), 0).to_numpy(zero_copy_only=False), CALL_BYTES // 4):
+                texts.append(pa.array(t.decode_batch([x or [] for x in s.slice(a, b - a).to_pylist()], skip_special_tokens=True), pa.string()))
+            yield pa.concat_arrays(texts)
 
     return encode, decode
 
