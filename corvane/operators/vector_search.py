@@ -16,6 +16,8 @@ from corvane.functions.filters import matches
 
 #: Queries that are held against the store at a time.
 SEGMENT = 2048
+#: Scores that a task holds at a time.
+SCORES = 1 << 20
 
 
 def add(store: DataFrame, rows: DataFrame, key: str) -> DataFrame:
@@ -85,14 +87,22 @@ def top_k(queries: DataFrame, store: DataFrame, *, k: int = 5, metric: str = "co
             for b in batches:
                 if not b.num_rows or not len(ids):
                     continue
-                x = _matrix(b.column(b.num_columns - 1))
-                s = np.round(scores(q, _unit(x) if metric == "cosine" else x, metric), digits)
-                if allowed is not None:
-                    cells = b.column(n_kept).to_pylist()
-                    s[np.array([[c not in a for c in cells] for a in allowed])] = -np.inf
-                pairs = [(i, j) for i, j in best_of(s, b.column(0).to_pylist(), k) if s[i, j] > -np.inf]
-                at, rows = pa.array([i for i, _ in pairs], pa.int64()), pa.array([j for _, j in pairs], pa.int64())
-                yield pa.RecordBatch.from_arrays([ids.take(at), *(b.column(c).take(rows) for c in range(n_kept)), pa.array([float(s[i, j]) + 0.0 for i, j in pairs], pa.float64())], schema.names)
+                x, keys = _matrix(b.column(b.num_columns - 1)), b.column(0).to_pylist()
+                x = _unit(x) if metric == "cosine" else x
+                cells = None if allowed is None else b.column(n_kept).to_pylist()
+                at, rows, told = [], [], []
+                step = max(1, SCORES // b.num_rows)
+                for low in range(0, len(q), step):
+                    s = np.round(scores(q[low : low + step], x, metric), digits)
+                    if allowed is not None:
+                        s[np.array([[c not in a for c in cells] for a in allowed[low : low + step]])] = -np.inf
+                    for i, j in best_of(s, keys, k):
+                        if s[i, j] > -np.inf:
+                            at.append(low + i)
+                            rows.append(j)
+                            told.append(float(s[i, j]) + 0.0)
+                taken = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), *(b.column(c).take(taken) for c in range(n_kept)), pa.array(told, pa.float64())], schema.names)
 
         got = found.mapInArrow(near, schema)
         out = got if out is None else out.unionByName(got)
