@@ -4,8 +4,9 @@ A triple's canonical key tells exact duplicates. Its signature, 128 bits (which
 signatures that differ in at most `radius` bits. The first triple of a kind stays as the edge, later ones count into it: exact ones by
 key, close ones by the nearest edge that is earlier (least distance, then first position).
 
-The nearest edges are found by a multi-index: a signature is cut into PARTS parts, and two that differ in fewer bits than there are parts
-agree in one of them, so an edge has a row for each part, and a lookup reads the rows of its own parts. Three tables are kept in
+The nearest edges are found by a multi-index: a signature is cut into four groups of four bytes, and a part is three bytes of a group. Two signatures
+that differ in at most 7 bits agree in one of these 16 parts (`parted`), so an edge has a row for each part, and a lookup reads the rows of its own
+parts. Of n unrelated edges some n / 2^20 meet a form by chance, all parts together. Three tables are kept in
 buckets (`buckets.BucketTable`): forms by key, edges by key, parts by part. A batch reads and rewrites only the buckets that its keys
 and parts lie in, and batches that come in the order of positions give what one load gives. A form whose edge is known is never looked up
 again. Batches are numbered; a replay, or a batch that broke off between two tables and is run again, changes nothing that was done.
@@ -25,7 +26,8 @@ from corvane.operators.buckets import BucketTable
 from corvane.operators.triples import SPO, canonical_key, first_of_links
 from corvane.shared import Keep
 
-BITS, PARTS = 128, 8
+#: Signatures of BITS bits; those that differ in fewer than PARTS are found. A part is 24 bits of one of GROUPS groups.
+BITS, PARTS, GROUPS = 128, 8, 4
 FORM = "key string, edge string, pos long"
 PART = "part int, value int, edge string, signature binary, pos long"
 EDGE = "edge string, subject string, predicate string, object string, signature binary, pos long, frequency long, parts double, rated long, best struct<confidence:double,pos:long>, sources array<struct<pos:long,source:string>>"
@@ -54,10 +56,17 @@ def distance(a: str, b: str) -> Column:
 
 
 def parted(df: DataFrame) -> DataFrame:
-    """A row for each part of each signature."""
-    width = BITS // PARTS // 8
-    parts = F.array(*(F.struct(F.lit(k).alias("part"), F.conv(F.hex(F.substring("signature", 1 + k * width, width)), 16, 10).cast("int").alias("value")) for k in range(PARTS)))
-    return df.withColumn("__p", F.explode(parts)).select("*", "__p.part", "__p.value").drop("__p")
+    """A row for each part of each signature: in each GROUP of bits, all of its bytes but one.
+
+    Of fewer than PARTS differing bits one GROUP has one at most, which spoils one byte of it, so the part without that byte agrees.
+    """
+    wide = BITS // 8 // GROUPS
+    parts = []
+    for k in range(GROUPS):
+        for left in range(wide):
+            held = F.concat(*(F.substring("signature", 1 + k * wide + i, 1) for i in range(wide) if i != left))
+            parts.append(F.struct(F.lit(k * wide + left).alias("part"), F.conv(F.hex(held), 16, 10).cast("int").alias("value")))
+    return df.withColumn("__p", F.explode(F.array(*parts))).select("*", "__p.part", "__p.value").drop("__p")
 
 
 class TripleIndex:

@@ -209,3 +209,11 @@ def test_triples_of_equal_vectors_make_no_links(spark, recall):
     assert got == sorted(seen.values())
     assert {n for columns, n in sizes if columns == ["at", "other"]} == {0}
     assert len(triples.alike_terms(v, kept("alike"), 0.8, recall=recall).collect()) == 40 * 100
+
+
+def test_parts_are_rarely_shared_by_chance(spark):
+    """Unrelated signatures: parts of 24 bits, of which some n^2 / 2^21 pairs agree by chance, not n^2 / 2^14 as of eight parts of 16 bits."""
+    x = np.random.default_rng(2).integers(0, 256, (3000, 16), dtype=np.uint8)
+    p = triple_index.parted(written(spark.createDataFrame([(i, bytearray(r.tobytes())) for i, r in enumerate(x)], "i long, signature binary"), "signs")).select("i", "part", "value")
+    pairs = p.alias("a").join(p.alias("b"), ["part", "value"]).filter("a.i < b.i").count()
+    assert pairs < 40  # some 4 are expected; eight parts of 16 bits have 550
