@@ -11,12 +11,13 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import text as tx
-from corvane.functions.tokens import token_count
-from corvane.shared import byte_slices
+from corvane.functions.tokens import spans, token_count
 
 Piece = tuple[str, int, int]
 CHUNKS = "chunk_no int, text string, start_idx int, end_idx int, token_count int"
@@ -209,15 +210,22 @@ def chunked(df: DataFrame, chunker: Callable[[str], Iterator[Piece]], *, id_col:
     """A row per chunk: id, chunk_no, text, start_idx, end_idx, token_count, and the given columns of its row. A null or empty text has none."""
     extra = [c for c in metadata or [] if c not in (id_col, "id", "chunk_no", "text", "start_idx", "end_idx", "token_count")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in byte_slices(batches, "__text"):
-            rows = [(i, k, t, a, z, tokens(t), *more) for i, text, *more in b.itertuples(index=False) for k, (t, a, z) in enumerate(chunker(text))]
-            yield pd.DataFrame(rows, columns=["id", "chunk_no", "text", "start_idx", "end_idx", "token_count", *extra])
+    names = ["id", *(f.split()[0] for f in CHUNKS.split(", ")), *extra]
+    kinds = [pa.string() if f.split()[1] == "string" else pa.int64() if f.split()[1] in ("long", "bigint") else pa.int32() for f in CHUNKS.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for low, high in spans(pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False), 1 << 20):
+                part = b.slice(low, high - low)
+                rows = [(i, k, t, a, z, tokens(t)) for i, text in enumerate(part.column(1).to_pylist()) for k, (t, a, z) in enumerate(chunker(text))]
+                at = pa.array([r[0] for r in rows], pa.int64())
+                made = [pa.array([r[1 + c] for r in rows], kind) for c, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), *made, *(part.column(2 + c).take(at) for c in range(len(extra)))], names)
 
     kind = df.schema[id_col].dataType.simpleString()
     ready = df.filter(F.col(text_col) != "").select(F.col(id_col).alias("id"), F.col(text_col).alias("__text"), *extra)
     schema = ", ".join([f"id {kind}", CHUNKS, *(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in extra)])
-    return ready.mapInPandas(run, schema).withColumnRenamed("id", id_col)
+    return ready.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def timestamped(df: DataFrame, *, id_col: str, segments_col: str, max_tokens: int = 4000, overlap_tokens: int = 100) -> DataFrame:
