@@ -361,3 +361,25 @@ def test_settings_from_yaml(tmp_path):
     (tmp_path / "s.yaml").write_text("extraction:\n  retries: 7\n  dropped: [says]\n")
     assert ExtractionConfig.from_yaml(str(tmp_path / "s.yaml")).retries == 7
     assert describe(chunking.FixedLength(10, 2))["length_tokens"] == 10 and describe(hash_embedder(5))["dimension"] == 5
+
+
+def test_rounds_over_edges_carry_numbers(spark):
+    """Nodes are numbered from 1 in the order of their names, and joins on a bucketed column do not shuffle its table again."""
+    from corvane.shared import bucketed
+
+    t = spark.createDataFrame([("b", "r", "a"), ("b", "s", "a"), ("é", "r", "b"), ("c", "r", "c")], "subject string, predicate string, object string")
+    ids, edges = graph.numbered(t, kept("n"))
+    assert sorted(map(tuple, ids.collect())) == [(1, "a"), (2, "b"), (3, "c"), (4, "é")]
+    assert sorted(map(tuple, edges.collect())) == [(2, 1), (3, 3), (4, 2)]
+    dealt = bucketed(edges, "e", "src", 3, each=1)
+    joined = dealt.join(ids.hint("merge"), dealt.src == ids.id)
+    assert joined._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert joined.count() == 3 and bucketed(edges.limit(0), "none", "src", 0).count() == 0
+
+
+def test_communities_and_ranks_of_no_or_loose_edges(spark):
+    none = spark.createDataFrame([], "subject string, predicate string, object string")
+    assert graph.communities(none, kept("c")).count() == graph.page_rank(none, kept("r"), rounds=2).count() == 0
+    loop = spark.createDataFrame([("a", "r", "a")], none.schema)
+    assert [tuple(r) for r in graph.communities(loop, kept("c")).collect()] == [("a", "a")]
+    assert [tuple(r) for r in graph.page_rank(loop, kept("r"), rounds=2).collect()] == [("a", 1.0)]
