@@ -205,7 +205,12 @@ def alike_heads(rows: DataFrame, keep: Keep, threshold: float, *, recall: float
         bits = min(30, max(4, math.ceil(math.log2(max(2, n) / held))))
         same = (1 - math.acos(min(1.0, threshold)) / math.pi) ** bits
         bands = 1 if same >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - same))
-        told = keep(banded(rows, bits, bands, seed))
+        unlike = math.acos(min(1.0, threshold)) / math.pi
+        # a pair at the threshold differs in more sides of the sketch with a probability of some 1e-9
+        most = math.ceil(SKETCH * unlike + 6 * math.sqrt(SKETCH * unlike * (1 - unlike)))
+        if most <= SKETCH * 7 // 16:  # unrelated vectors differ in a half, give or take a thirty-second: one in 44 of them passes at most
+            return sketched_heads(rows, keep, threshold, bits=bits, bands=bands, most=most, block=block, seed=seed)
+        told = keep(banded(rows, bits, bands, seed).select("term", "bucket"))
         sizes = told.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
         met = told.join(sizes, "bucket").join(rows, "term").select("bucket", "term", "vector", "blocks")
     own = F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int")
@@ -247,8 +252,67 @@ def alike_heads(rows: DataFrame, keep: Keep, threshold: float, *, recall: float
     return found if recall is None else found.distinct()
 
 
+#: Sides of a sketch: a multiple of 64.
+SKETCH = 256
+
+
+def sketched_heads(rows: DataFrame, keep: Keep, threshold: float, *, bits: int, bands: int, most: int, block: int, seed: int) -> DataFrame:
+    """alike_heads by bands, where a bucket's terms stand with a sketch of 32 bytes: its pairs that differ in `most` sides or fewer meet their vectors, each once."""
+    told = keep(banded(rows, bits, bands, seed))
+    sizes = told.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    met = told.join(sizes, "bucket")
+    own = F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int")
+    met = met.select("bucket", "term", "sketch", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = met.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "term", "sketch").repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def told() -> pa.RecordBatch:
+            own = np.concatenate([np.asarray(b.column(3)) for b in held])
+            terms = pa.concat_arrays([b.column(4) for b in held])
+            x = np.frombuffer(b"".join(s for b in held for s in b.column(5).to_pylist()), np.uint64).reshape(len(own), -1)
+            a, b = np.flatnonzero(own == at[1]), np.flatnonzero(own == at[2])
+            hits = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            for k in range(0, len(a), 64):  # some rows at a time, so all pairs of two full blocks are never held
+                i, j = np.nonzero(np.bitwise_count(x[a[k : k + 64], None, :] ^ x[None, b, :]).sum(axis=2, dtype=np.int64) <= most)
+                hits.append((a[k + i], b[j]))
+            i, j = (np.concatenate(h) for h in zip(*hits, strict=True))
+            if at[1] == at[2]:
+                i, j = i[i < j], j[i < j]
+            return pa.RecordBatch.from_arrays([terms.take(pa.array(i)), terms.take(pa.array(j))], ["term", "other"])
+
+        for b in batches:
+            keys = np.stack([np.asarray(b.column(c), dtype=np.int64) for c in range(3)], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if i == j:
+                    continue
+                key = tuple(keys[i].tolist())
+                if held and key != at:
+                    yield told()
+                    held = []
+                at = key
+                held.append(b.slice(i, j - i))
+        if held:
+            yield told()
+
+    pairs = dealt.mapInArrow(near, "term string, other string").select(F.least("term", "other").alias("term"), F.greatest("term", "other").alias("other")).distinct()
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.asarray(b.column(c).flatten(), dtype=float).reshape(b.num_rows, -1) for c in (2, 3))
+            dots, sizes = (x * y).sum(axis=1), np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1))
+            yield b.select(["term", "other"]).filter(pa.array(dots / np.where(sizes > 0, sizes, 1) > threshold))
+
+    vectors = rows.select("term", F.col("vector").cast("array<double>").alias("vector"))
+    both = pairs.join(vectors.withColumnRenamed("vector", "__x"), "term").join(vectors.select(F.col("term").alias("other"), F.col("vector").alias("__y")), "other").select("term", "other", "__x", "__y")
+    found = keep(both.mapInArrow(verified, "term string, other string"))
+    return found.union(found.select(F.col("other"), F.col("term")))
+
+
 def banded(rows: DataFrame, bits: int, bands: int, seed: int) -> DataFrame:
-    """(term, bucket) of each band: the sides of `bits` random planes on which a term's vector lies. Vectors of zeros have none."""
+    """(term, bucket, sketch) of each band: the sides of `bits` random planes on which a term's vector lies, and those of SKETCH further ones. Vectors of zeros have none."""
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = None
@@ -256,12 +320,16 @@ def banded(rows: DataFrame, bits: int, bands: int, seed: int) -> DataFrame:
             x = np.asarray(b.column(1).flatten(), dtype=float).reshape(b.num_rows, -1)
             if planes is None:
                 planes = np.random.default_rng(seed).normal(size=(x.shape[1], bits * bands))
+                further = np.random.default_rng(seed + 1).normal(size=(x.shape[1], SKETCH))
             full = np.flatnonzero((x != 0).any(axis=1))
-            side = (x[full] @ planes > 0).reshape(len(full), bands, bits)
-            key = (side << np.arange(bits)).sum(axis=2) + (np.arange(bands) << bits)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(full, bands))), pa.array(key.ravel())], ["term", "bucket"])
-
-    return rows.select("term", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(told, "term string, bucket long")
+            for k in range(0, len(full), 1024):
+                some = full[k : k + 1024]
+                side = (x[some] @ planes > 0).reshape(len(some), bands, bits)
+                key = (side << np.arange(bits)).sum(axis=2) + (np.arange(bands) << bits)
+                sketch = pa.array([r.tobytes() for r in np.packbits(x[some] @ further > 0, axis=1)], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(some, bands))), pa.array(key.ravel()), sketch.take(pa.array(np.repeat(np.arange(len(some)), bands)))], ["term", "bucket", "sketch"])
+
+    return rows.select("term", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(told, "term string, bucket long, sketch binary")
 
 
 def first_of_links(links: DataFrame, keep: Keep, *, local: int = 100_000) -> DataFrame:

@@ -217,3 +217,22 @@ def test_parts_are_rarely_shared_by_chance(spark):
     p = triple_index.parted(written(spark.createDataFrame([(i, bytearray(r.tobytes())) for i, r in enumerate(x)], "i long, signature binary"), "signs")).select("i", "part", "value")
     pairs = p.alias("a").join(p.alias("b"), ["part", "value"]).filter("a.i < b.i").count()
     assert pairs < 40  # some 4 are expected; eight parts of 16 bits have 550
+
+
+def test_sketched_buckets(spark):
+    """Bands at a high threshold hand on sketches and no vectors, in blocks too, and find what the comparison of all pairs finds."""
+    r = np.random.default_rng(5)
+    base = r.normal(size=(40, 32))
+    rows = [(f"t{i}-{j}", (base[i] + 0.25 * r.normal(size=32)).tolist()) for i in range(40) for j in range(5)] + [("zero", [0.0] * 32), ("nan", [float("nan")] * 32)]
+    v = spark.createDataFrame(rows, "term string, vector array<double>").repartition(3)
+    wide = []
+
+    def counting(df):
+        wide.append("vector" in df.columns and "bucket" in df.columns)
+        return kept("sketched")(df)
+
+    exact, found = ({tuple(x) for x in triples.alike_heads(v, counting, 0.8, **o).collect()} for o in ({}, {"recall": 0.95}))
+    assert found <= exact and len(found) >= 0.95 * len(exact) > 600 and not any(wide)
+    assert {tuple(x) for x in triples.alike_heads(v, kept("blocks"), 0.8, recall=0.95, block=3).collect()} == found
+    told = triples.banded(v, 4, 3, 7)
+    assert told.columns == ["term", "bucket", "sketch"] and {len(x.sketch) for x in told.collect()} == {32}
