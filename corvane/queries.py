@@ -1150,7 +1150,7 @@ def text_files_and_totals(s, d):
     path = _folder(s, "texts")
     p = table(s, d, "pages").select("page_id", F.concat(F.lit("word "), F.col("page_id").cast("string"), F.lit("\n"), F.col("url")).alias("text"))
     files.write_texts(p.withColumn("__page", F.col("page_id")), path, headers={"page": "__page"}, text="text", key="page_id")
-    texts = s.read.text(f"{path}/*/*.txt", wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), "page_id=([0-9]+)", 1).alias("file"), F.rtrim(F.regexp_replace("value", files.COMMENT, ""), F.lit("\n")).alias("text"))
+    texts = s.read.text(path, wholetext=True, pathGlobFilter="*.txt", recursiveFileLookup=True).select(F.regexp_extract(F.col("_metadata.file_path"), "page_id=([0-9]+)", 1).alias("file"), F.rtrim(F.regexp_replace("value", files.COMMENT, ""), F.lit("\n")).alias("text"))
     return files.token_totals(texts).withColumnRenamed("file", "page_id")
 
 

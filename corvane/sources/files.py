@@ -80,7 +80,9 @@ def _per_key(df: DataFrame, path: str, mode: str, key: str | None, write) -> Non
     if key is None:
         write(df.write.mode(mode))
     else:
-        write(df.repartition(key).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(key))
+        # with a number of tasks, as adaptive execution would let one task write all folders of small records
+        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        write(df.repartition(n, key).write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(key))
 
 
 def write_graph_csv(t: DataFrame, nodes: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -57,3 +57,13 @@ def test_release_keeps_what_is_asked(spark):
     with pytest.raises(Exception, match="(?i)not exist|no such|FILE_NOT_EXIST"):
         a.count()
     shared.release(spark, since)
+
+
+def test_folders_of_keys_are_written_side_by_side(spark, tmp_path):
+    """Adaptive execution must not let one task write the small records of all keys."""
+    from corvane.sources import files
+
+    rows = spark.range(40).selectExpr("id", "'x' as text")
+    files.write_raw(rows, str(tmp_path / "raw"), "overwrite", key="id")
+    found = [p.name.split("-")[1] for p in (tmp_path / "raw").glob("id=*/part-*")]
+    assert len(found) == 40 and len(set(found)) > 1
