@@ -101,14 +101,9 @@ def canonical_key() -> Column:
 def merged(t: DataFrame, keep: Keep, sources: int = 10) -> DataFrame:
     """Triples (with confidence, source) merged by canonical key: frequency, harmonic mean confidence, best form, last sources by position.
 
-    Keys are computed once for each distinct form, as most triples repeat one; the rows then carry eight bytes of it.
+    A row's key is computed where the row is, once, so forms need not meet their rows in a join.
     """
-    forms = keep(t.select(*SPO).distinct().withColumn("key", canonical_key()))
-    named = forms.select(*(F.col(c).alias(f"__{c}") for c in SPO), "key")
-    same = F.lit(True)
-    for c in SPO:
-        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
-    keyed = keep(t.select(*SPO, "pos", "confidence", "source").join(named, same).select(*SPO, "pos", "confidence", "source", "key"))
+    keyed = keep(t.select(*SPO, "pos", "confidence", "source", canonical_key().alias("key")))
     agg = keyed.groupBy("key").agg(F.count("*").alias("frequency"), F.round(F.count("confidence") / F.sum(1 / F.col("confidence")), 6).alias("confidence"), F.max_by(F.struct(*SPO), F.struct("confidence", "pos")).alias("best"))
     last = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("pos")))  # keeps `sources` rows per key and task before the shuffle
     kept = keyed.select("key", "pos", "source").withColumn("__n", last).filter(F.col("__n") <= sources).groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "source"))), lambda x: x["source"]), ",").alias("sources"))

@@ -67,3 +67,17 @@ def test_folders_of_keys_are_written_side_by_side(spark, tmp_path):
     files.write_raw(rows, str(tmp_path / "raw"), "overwrite", key="id")
     found = [p.name.split("-")[1] for p in (tmp_path / "raw").glob("id=*/part-*")]
     assert len(found) == 40 and len(set(found)) > 1
+
+
+def test_merged_triples_are_kept_once_without_a_join(spark):
+    from corvane.operators import triples
+
+    plans = []
+
+    def keep(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return shared.kept("once")(df)
+
+    t = spark.createDataFrame([(1, "A", "r", "b", 0.5, "x"), (2, "a.", "r", "B", 1.0, "y"), (3, None, "r", "c", 1.0, "z")], "pos long, subject string, predicate string, object string, confidence double, source string")
+    got = sorted((r.frequency, r.subject, r.confidence, r.sources) for r in triples.merged(t, keep).collect() if r.subject)
+    assert got == [(2, "a.", 0.666667, "x,y")] and len(plans) == 1 and "Exchange" not in plans[0] and "Join" not in plans[0]
