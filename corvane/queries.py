@@ -1060,7 +1060,7 @@ def streaming_upsert(s, d):
 
 @query("WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS first FROM events), g AS (SELECT user_id, ts, sum(first) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS period FROM e) SELECT user_id, min(ts) AS start, max(ts) AS last, count(*) AS n FROM g GROUP BY user_id, period HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")
 def streaming_idle_periods(s, d):
-    """Users' periods of activity by keyed state and timers: four starts of one query, the second with a late copy of early events, the last with nothing new."""
+    """Users' periods of activity by session windows: four starts of one query, the second with a late copy of early events, the last with nothing new."""
     base = new_path(s, "periods")
     e = table(s, d, "events").select("user_id", "ts")
     low, high = e.agg(F.min("ts"), F.max("ts")).first()
@@ -1073,7 +1073,7 @@ def streaming_idle_periods(s, d):
         for part in parts:
             if part is not None:
                 part.write.mode("append").parquet(f"{base}/in")
-            found = keyed_state.activity(streaming.stream_table(s, f"{base}/in", e.schema, files=1000), key="user_id", time="ts", idle_seconds=6 * 3600, late="1 hour")
+            found = keyed_state.sessions(streaming.stream_table(s, f"{base}/in", e.schema, files=1000), key="user_id", time="ts", idle_seconds=6 * 3600, late="1 hour")
             found.writeStream.outputMode("append").format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     finally:
         for k, v in before.items():

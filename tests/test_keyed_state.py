@@ -2,8 +2,10 @@
 
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from corvane.streaming.keyed_state import Periods, joined
+from corvane.streaming.ingest import stream_table
+from corvane.streaming.keyed_state import Periods, joined, sessions
 
 
 def in_order(times, idle):
@@ -26,3 +28,19 @@ def test_any_order_and_any_batches(batches, idle):
 
 def test_ends_of_waits():
     assert Periods(5_000).ends((0, 1_000, 1)) == 6 and Periods(5_000).ends((0, 1_001, 1)) == 7
+
+
+def test_sessions_over_restarts(spark, tmp_path):
+    """Two starts, the second with a late copy: the periods that the watermark has closed, of a null key too, without a call of Python for each key."""
+    at = {k: [37 * (k + 1) * i % 2000 for i in range(30)] for k in range(200)}
+    rows = [(k if k else None, t) for k, times in at.items() for t in times]
+    made = spark.createDataFrame([*rows, (1, 5000)], "k long, s long").select("k", F.timestamp_seconds("s").alias("t"))
+    early = F.unix_seconds("t") < 1000
+    for part in (made.filter(early), made.filter(~early).union(made.filter(F.unix_seconds("t") < 300))):
+        part.write.mode("append").parquet(f"{tmp_path}/in")
+        found = sessions(stream_table(spark, f"{tmp_path}/in", made.schema, files=1000), key="k", time="t", idle_seconds=60, late="10 seconds")
+        assert "python" not in found._jdf.queryExecution().toString().lower()
+        found.writeStream.outputMode("append").format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    got = [(r.key, r.a, r.z, r.n) for r in spark.read.parquet(f"{tmp_path}/out").select("key", F.unix_seconds("start").alias("a"), F.unix_seconds("last").alias("z"), "n").collect()]
+    want = {(str(k) if k else None, *p) for k, times in at.items() for p in in_order(times, 60)}
+    assert sorted(map(str, got)) == sorted(map(str, want))
