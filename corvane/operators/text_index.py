@@ -28,6 +28,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.taskcontext import TaskContext
 
 from corvane.operators.retrieval import words_of
+from corvane.shared import arrow_batches
 
 BLOCK = 64
 #: Folders of an index, and shards whose rows share a file of a folder.
@@ -88,6 +89,7 @@ def write(docs: DataFrame, path: str, *, id_col: str, text_col: str, shard_docs:
                     held.append(b.slice(start, i + 1 - start))
                     yield shard()
                     held, n, words, start = [], 0, 0, i + 1
+                    pa.default_memory_pool().release_unused()
             if start < b.num_rows:
                 held.append(b.slice(start))
         if n:
@@ -97,7 +99,8 @@ def write(docs: DataFrame, path: str, *, id_col: str, text_col: str, shard_docs:
     schema = T.StructType([T.StructField("term", T.StringType()), T.StructField("shard", T.LongType()), T.StructField("docs", T.LongType()), T.StructField("words", T.LongType()), *(T.StructField(c, T.ArrayType(kinds.get(c, T.IntegerType()))) for c in LISTS)])
     out = found.mapInArrow(indexed, schema).withColumn("shard", F.col("shard") + base).withColumn("bucket", bucket_of(F.col("term")))
     dealt = out.repartition("bucket", F.shiftright("shard", 20), F.floor(F.col("shard") % (1 << 20) / TOGETHER)).sortWithinPartitions("bucket", "term", "shard")
-    dealt.write.mode(mode).partitionBy("bucket").parquet(path)
+    with arrow_batches(docs.sparkSession):
+        dealt.write.mode(mode).partitionBy("bucket").parquet(path)
 
 
 def bucket_of(term):

@@ -77,3 +77,19 @@ def test_odd_rows(spark):
     assert sorted(got) == [(1, "d"), (1, "e"), (1, "e")]
     empty = text_index.read(spark, indexed(spark, d.filter("doc_id = 'b'")))
     assert text_index.search(q, empty, key="doc_id", **NAMES).count() == 0 and text_index.search(q.limit(0), index, key="doc_id", **NAMES).count() == 0
+
+
+def small(batches):
+    for b in batches:
+        if b.nbytes > 6 << 20:
+            raise ValueError(f"a batch of {b.nbytes} bytes")
+        yield b
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    """30 MB of texts of one task come to Python a few MB at a time; the setting is put back."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    d = spark.range(3000).coalesce(1).select(F.col("id").alias("doc_id"), F.expr("repeat('word ', 2000)").alias("text")).mapInArrow(small, "doc_id long, text string")
+    index = text_index.read(spark, indexed(spark, d))
+    assert tuple(index.filter("term = 'word'").agg(F.sum("docs"), F.sum("words")).first()) == (3000, 6_000_000) and spark.conf.get(name) == before
