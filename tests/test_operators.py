@@ -383,3 +383,20 @@ def test_communities_and_ranks_of_no_or_loose_edges(spark):
     loop = spark.createDataFrame([("a", "r", "a")], none.schema)
     assert [tuple(r) for r in graph.communities(loop, kept("c")).collect()] == [("a", "a")]
     assert [tuple(r) for r in graph.page_rank(loop, kept("r"), rounds=2).collect()] == [("a", 1.0)]
+
+
+def test_one_call_ingest_in_bounded_batches(spark, tmp_path):
+    """30 MB of texts of one task come to Python a few MB at a time; the store is whole and the setting is put back."""
+
+    def small(batches):
+        for b in batches:
+            if b.nbytes > 6 << 20:
+                raise ValueError(f"a batch of {b.nbytes} bytes")
+            yield b
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.range(3000).coalesce(1).select("id", F.expr("repeat('word ', 2000)").alias("text")).mapInArrow(small, "id long, text string")
+    found = ingest.ingest_documents(docs, chunker="window", chunker_options={"max_tokens": 256, "overlap": 16}, embedder_options={"dim": 4}, path=str(tmp_path / "store"))
+    pieces = len(list(chunking.CharWindow(256, 16)("word " * 2000)))
+    assert found.count() == 3000 * pieces and spark.conf.get(name) == before
