@@ -131,13 +131,30 @@ def inner_rows(code: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
     return ((((code ^ (code >> np.uint32(15))) + node.astype(np.uint32) * _C) * _B) >> np.uint32(32 - bits)).astype(np.intp)
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
+#: Rows of exponents within this are raised as they stand; from others the largest is taken off first.
+SAFE = 60.0
+
+
+def _powers(z: np.ndarray) -> np.ndarray:
+    """z turned into powers of e, up to a factor by row; returns their sums."""
+    if len(z) and not (z.max() < SAFE and z.min() > -SAFE):
+        far = np.flatnonzero((np.abs(z) >= SAFE).any(axis=1))
+        z[far] -= z[far].max(axis=1, keepdims=True)
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    return z.sum(axis=1)
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    z /= _powers(z)[:, None]
     return z
 
 
+def _chosen(z: np.ndarray, branch: np.ndarray) -> np.ndarray:
+    """The softmax of each row at its branch."""
+    total = _powers(z)
+    return z[np.arange(len(z)), branch] / total
+
+
 def logs(shape: Shape, w: np.ndarray, ids: np.ndarray, back: np.ndarray) -> np.ndarray:
     """log10 probability of each token; of a rare one, that of the rare class."""
     outer, inner, bias, node_bias = shape.parts(w)
@@ -149,28 +166,70 @@ def logs(shape: Shape, w: np.ndarray, ids: np.ndarray, back: np.ndarray) -> np.n
         z = bias + outer.take(outer_rows(f[0], shape.outer_bits), axis=0)
         for x in f[1:]:
             z += outer.take(outer_rows(x, shape.outer_bits), axis=0)
-        own = _softmax(z)[np.arange(len(y)), cls].astype(np.float64)
+        own = _chosen(z, cls).astype(np.float64)
         for at, node, branch in shape.path(y, cls):
             if len(at):
                 z = node_bias.take(node, axis=0)
                 for x in f:
                     z += inner.take(inner_rows(x[at], node, shape.inner_bits), axis=0)
-                own[at] *= _softmax(z)[np.arange(len(at)), branch]
+                own[at] *= _chosen(z, branch)
         out[a : a + BLOCK] = np.log10(np.maximum(own, 1e-30))
     return out
 
 
+def sorted_rows(at: np.ndarray) -> np.ndarray:
+    """Places of row numbers below 2 ** 32 in their order, equal ones as they stand; 16 bits at a time, which numpy sorts by counting."""
+    order = np.argsort(at.astype(np.uint16), kind="stable")
+    if len(at) and at.max() >> 16:
+        order = order[np.argsort((at[order] >> 16).astype(np.uint16), kind="stable")]
+    return order
+
+
+def run_sums(d: np.ndarray, source: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """For each run of `count` places from `first` on: the sum of d's rows that `source` names there.
+
+    Runs are cut into groups of a few rows, groups into groups of more, so that all sums go over whole rows in numpy and in no long chain. Full
+    groups stand before the others, so that those with a k-th row are a slice.
+    """
+    out = np.empty((len(first), d.shape[1]), np.float32)
+    runs, fan = np.arange(len(first)), 2
+    while len(runs):
+        groups = -(-count // fan)
+        ends = np.cumsum(groups)
+        heads = ends - groups
+        before = (np.arange(ends[-1]) - np.repeat(heads, groups)) * fan
+        size = np.minimum(np.repeat(count, groups) - before, fan)
+        by = np.argsort((fan - size).astype(np.uint8), kind="stable")
+        start = (np.repeat(first, groups) + before)[by]
+        x = d.take(source[start], axis=0)
+        for k in range(1, fan):
+            n = np.count_nonzero(size > k)
+            x[:n] += d.take(source[start[:n] + k], axis=0)
+        place = np.empty(len(by), np.intp)
+        place[by] = np.arange(len(by))
+        done = groups == 1
+        out[runs[done]] = x.take(place[heads[done]], axis=0)
+        first, count, runs = heads[~done], groups[~done], runs[~done]
+        d, source, fan = x, place, min(2 * fan, 16)
+    return out
+
+
 def _step(w: np.ndarray, g2: np.ndarray, rows: list[np.ndarray], d: np.ndarray, rate: float) -> None:
-    """One adaptive gradient step of the rows that the tokens of a block use; d: gradient by token. Sums go column by column, in the tokens' order."""
+    """One adaptive gradient step of the rows that the tokens of a block use; d: gradient by token. A row's tokens are summed in a fixed order."""
     at = np.concatenate(rows)
-    place = np.bincount(at, minlength=len(w))
-    used = np.flatnonzero(place)
-    place[used] = np.arange(len(used))
-    at, g = place[at], np.empty((len(used), d.shape[1]), np.float32)
-    for c, v in enumerate(np.ascontiguousarray(d.T, dtype=np.float64)):
-        g[:, c] = np.bincount(at, weights=np.tile(v, len(rows)), minlength=len(used))
-    g2[used] = new = g2.take(used, axis=0) + g * g
-    w[used] -= np.float32(rate) * g / np.sqrt(new + np.float32(1e-6))
+    order = sorted_rows(at)
+    at = at[order]
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    used, count = at[first], np.diff(first, append=len(at))
+    g = run_sums(d, order % len(d), first, count)
+    new = g2.take(used, axis=0)
+    new += g * g
+    g2[used] = new
+    new += np.float32(1e-6)
+    np.sqrt(new, out=new)
+    g *= np.float32(rate)
+    g /= new
+    w[used] = w.take(used, axis=0) - g
 
 
 class Learner:
