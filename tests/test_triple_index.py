@@ -238,7 +238,7 @@ def test_sketched_buckets(spark):
     assert told.columns == ["term", "bucket", "sketch"] and {len(x.sketch) for x in told.collect()} == {32}
 
 
-@pytest.mark.parametrize("name", ["near_duplicate_relations"])
+@pytest.mark.parametrize("name", ["near_duplicate_relations", "banded_relations"])
 def test_unlike_names_have_unlike_vectors(spark, tmp_path, name):
     """The vectors of customer#40575_ and customer#73539_ by CRC-32 had a cosine of 0.809, so customers of one were dropped for those of the other."""
     import duckdb
