@@ -1,5 +1,6 @@
 """Bucket tables, the fold by position, and incremental triple merging against one load and a sequential version."""
 
+import os
 import random
 from collections import defaultdict
 
@@ -256,3 +257,43 @@ def test_unlike_names_have_unlike_vectors(spark, tmp_path, name):
         c.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
     want = sorted(c.sql(SQL[name]).fetchall())
     assert sorted(tuple(r) for r in QUERIES[name](spark, str(tmp_path)).select("pos", "subject", "predicate", "object").collect()) == want
+
+
+@pytest.mark.parametrize("radius", [7, 2])
+def test_near_signatures(spark, radius):
+    """Pairs of new signatures, and of new and stored ones, by parts told in tasks against all pairs; stored ones do not meet each other."""
+    r = np.random.default_rng(radius)
+    x = np.repeat(r.integers(0, 256, (60, 16), dtype=np.uint8), 5, axis=0)
+    for row in x:
+        for k in r.choice(128, size=r.integers(0, 6), replace=False):
+            row[k // 8] ^= 1 << (k % 8)
+    x = np.unique(x, axis=0)[r.permutation(len(np.unique(x, axis=0)))]
+    new, old = (spark.createDataFrame([(bytearray(v.tobytes()),) for v in some], "signature binary") for some in (x[: len(x) // 2], x[len(x) // 2 :]))
+    apart = np.bitwise_count(x[:, None] ^ x[None]).sum(axis=2)
+    want = {(frozenset((i, j)), j >= len(x) // 2, int(apart[i, j])) for i in range(len(x) // 2) for j in range(i + 1, len(x)) if apart[i, j] <= radius}
+    at = {v.tobytes(): i for i, v in enumerate(x)}
+    got = [(at[bytes(p.a)], at[bytes(p.b)], p.stored, p.far) for p in triple_index.near_signatures(new, old, radius, partitions=3).collect()]
+    assert all(a < len(x) // 2 and (b >= len(x) // 2) == stored for a, b, stored, _ in got)
+    assert len(got) == len(want) > 20 and {(frozenset((a, b)), stored, far) for a, b, stored, far in got} == want
+    assert triple_index.near_signatures(new.limit(0), old, radius, partitions=2).count() == 0
+
+
+def test_a_merge_keeps_no_row_for_each_part(spark):
+    """Where few forms are alike, tables of a batch have a row for each triple at most, not 16 for each form, and are gone after it."""
+    from corvane.queries import _by_stem
+
+    rows = [(i, f"supplier {i % 50}", "supplies", f"part {i}", 0.5, "s") for i in range(400)]
+    path, sizes, paths = new_path(spark, "lean"), [], []
+
+    def counting(df):
+        out = written(df, "lean-batch")
+        sizes.append(out.count())
+        paths.append(os.path.dirname(out.inputFiles()[0].removeprefix("file://")) if sizes[-1] else "")
+        return out
+
+    index = triple_index.TripleIndex(spark, path, _by_stem, counting, buckets=4)
+    for n in range(2):
+        index.merge(spark.createDataFrame(rows[200 * n : 200 * n + 200], SCHEMA), n)
+    assert len(sizes) > 10 and max(sizes) <= 200
+    assert any(paths) and not any(os.path.exists(p) for p in paths if p)
+    assert sorted(os.listdir(path)) == ["edges", "forms"]
