@@ -160,16 +160,21 @@ def merged_extractions(nlp: DataFrame, llm: DataFrame, least: float = 0.7) -> Da
     return rows.groupBy(*SPO).agg(F.min(F.struct("origin", "pos")).alias("x")).select("x.origin", "x.pos", *SPO)
 
 
-def vector_heads(vectors: DataFrame, keep: Keep, threshold: float) -> DataFrame:
-    """(term, vector, head) of distinct terms. Terms of one vector are alike to the same terms and to each other, so the smallest of them, their head,
-    stands for all. A vector without a finite length above 0 is alike to nothing, and no vector is to its equal from a threshold of 1 on: such terms are their own heads.
+def vector_heads(vectors: DataFrame, keep: Keep, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(term, head) of distinct terms, and (term, vector) of heads. Terms of one vector are alike to the same terms and to each other, so the smallest of them,
+    their head, stands for all. A vector without a finite length above 0 is alike to nothing, and no vector is to its equal from a threshold of 1 on: such
+    terms are their own heads. Of several vectors of a term the least counts. vectors: a written table; only digests of its vectors are dealt by term.
     """
-    rows = vectors.filter(F.col("term").isNotNull() & F.col("vector").isNotNull()).groupBy("term").agg(F.min("vector").alias("vector"))
+    rows = vectors.filter(F.col("term").isNotNull() & F.col("vector").isNotNull())
+    many = keep(rows.groupBy("term").agg(F.count("*").alias("n")).filter("n > 1").select("term"))
+    if not many.isEmpty():
+        rows = rows.join(many, "term", "left_anti").unionByName(rows.join(many, "term", "left_semi").groupBy("term").agg(F.min("vector").alias("vector")))
     size = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     stands = (size > 0) & (size < float("inf")) if threshold < 1 - 1e-9 else F.lit(False)
-    rows = keep(rows.withColumn("digest", F.when(stands, F.sha2(F.array_join("vector", ","), 256))))
-    heads = rows.filter("digest is not null").groupBy("digest").agg(F.min("term").alias("head"))
-    return keep(rows.join(heads, "digest", "left").select("term", "vector", F.coalesce("head", "term").alias("head")))
+    told = keep(rows.select("term", F.when(stands, F.unhex(F.sha2(F.array_join("vector", ","), 256))).alias("digest")))
+    heads = told.filter("digest is not null").groupBy("digest").agg(F.min("term").alias("head"))
+    headed = keep(told.join(heads, "digest", "left").select("term", F.coalesce("head", "term").alias("head")))
+    return headed, rows.select("term", "vector").join(keep(headed.filter("term = head").select("term")), "term", "left_semi")
 
 
 def alike_terms(vectors: DataFrame, keep: Keep, threshold: float, *, recall: float | None = None, block: int = 16384, held: int = 64, seed: int = 7) -> DataFrame:
@@ -177,8 +182,8 @@ def alike_terms(vectors: DataFrame, keep: Keep, threshold: float, *, recall: flo
 
     Heads (`vector_heads`) are compared as in `alike_heads`, and their alike pairs are told for all terms that they stand for.
     """
-    rows = vector_heads(vectors, keep, threshold)
-    near = alike_heads(rows.filter("term = head").select("term", "vector"), keep, threshold, recall=recall, block=block, held=held, seed=seed)
+    rows, heads = vector_heads(keep(vectors), keep, threshold)
+    near = alike_heads(heads, keep, threshold, recall=recall, block=block, held=held, seed=seed)
     both = near.unionByName(rows.filter("term = head").select("term", F.col("term").alias("other")))
     side = lambda c: rows.select(F.col("term").alias(f"__{c}"), F.col("head").alias(c))
     return both.join(side("term"), "term").join(side("other"), "other").select(F.col("__term").alias("term"), F.col("__other").alias("other"))
@@ -187,15 +192,14 @@ def alike_terms(vectors: DataFrame, keep: Keep, threshold: float, *, recall: flo
 def alike_heads(rows: DataFrame, keep: Keep, threshold: float, *, recall: float | None = None, block: int = 16384, held: int = 64, seed: int = 7) -> DataFrame:
     """(term, other) of terms, each once with its vector, whose cosine is above the threshold, both ways; none with itself.
 
-    Without `recall` all pairs are found: terms are dealt into blocks by hash and each pair of blocks is one matrix product in a task. With it,
-    only terms that share a bucket are compared: random planes cut the space, and in each of several bands the sides of some planes are a bucket.
+    Without `recall` all pairs are found (`blocked_heads`). With it, only terms that share a bucket are compared: random planes cut the space, and in each of several bands the sides of some planes are a bucket.
     There are so many planes that an unrelated term meets about `held` others in a band, and so many bands that a pair at the threshold is found
     with the probability `recall`, pairs above it with a higher one. Buckets larger than a block are compared block by block. Either way tasks
     return alike pairs only, verified by the cosine itself. Vectors of zeros are alike to nothing but themselves.
     """
-    n = rows.count()
+    n, wide = rows.agg(F.count("*"), F.max(F.size("vector"))).first()
     if recall is None:
-        met = rows.select(F.lit(0).cast("long").alias("bucket"), "term", "vector", F.lit(max(1, -(-n // block))).alias("blocks"))
+        return blocked_heads(rows, keep, threshold, blocks=max(1, -(-n // min(block, max(1, BLOCK_BYTES // (8 * max(1, wide or 1)))))))
     else:
         bits = min(30, max(4, math.ceil(math.log2(max(2, n) / held))))
         same = (1 - math.acos(min(1.0, threshold)) / math.pi) ** bits
@@ -243,8 +247,60 @@ def alike_heads(rows: DataFrame, keep: Keep, threshold: float, *, recall: float
         if terms:
             yield told()
 
-    found = dealt.mapInArrow(near, "term string, other string")
-    return found if recall is None else found.distinct()
+    return dealt.mapInArrow(near, "term string, other string").distinct()
+
+
+#: A block of vectors, which is one row of a table, has so many bytes at most.
+BLOCK_BYTES = 16 << 20
+
+
+def blocked_heads(rows: DataFrame, keep: Keep, threshold: float, *, blocks: int) -> DataFrame:
+    """alike_heads of all pairs: terms are dealt into blocks by hash, a block is written once as one row, and each pair of blocks is one matrix product in a task.
+
+    Pairs of blocks meet by replication: a task reads the two blocks where they lie, so the disk holds each block and not each pair. The number of
+    products is the square of the number of blocks. Products in single precision propose pairs, and the cosine in double precision decides.
+    """
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, terms, parts = None, [], []
+        for b in batches:
+            if b.num_rows:
+                own = b.column(0)[0].as_py()
+                terms += b.column(1).to_pylist()
+                x = np.asarray(b.column(2).flatten(), dtype=float).reshape(b.num_rows, -1)
+                n = np.sqrt((x * x).sum(axis=1, keepdims=True))
+                parts.append(x / np.where(n > 0, n, 1))
+        if terms:
+            x = np.concatenate(parts)
+            yield pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), pa.array([terms], pa.list_(pa.string())), pa.array([x.tobytes()], pa.binary())], ["block", "terms", "x"])
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                one, two, terms, others = batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), batch.column(2)[k].values, batch.column(3)[k].values
+                x, y = (np.frombuffer(batch.column(c)[k].as_buffer(), np.float64).reshape(n, -1) for c, n in ((4, len(terms)), (5, len(others))))
+                least = threshold - 1e-6 * max(64, x.shape[1])
+                a, b = x.astype(np.float32), y.astype(np.float32)
+                for u in range(0, len(a), 512):  # some rows at a time, so the product of two full blocks is never held
+                    for v in range(0, len(b), 4096):
+                        near = np.flatnonzero(a[u : u + 512] @ b[v : v + 4096].T > least)
+                        for w in range(0, len(near), 8192):
+                            i, j = np.divmod(near[w : w + 8192], min(4096, len(b) - v))
+                            i, j = i + u, j + v
+                            hit = (x[i] * y[j]).sum(axis=1) > threshold
+                            if one == two:
+                                hit &= i < j
+                            i, j = pa.array(i[hit]), pa.array(j[hit])
+                            found = [terms.take(i), others.take(j)]
+                            yield pa.RecordBatch.from_arrays(found, ["term", "other"])
+                            yield pa.RecordBatch.from_arrays(found[::-1], ["term", "other"])
+
+    own = F.pmod(F.xxhash64("term"), F.lit(blocks)).cast("int")
+    dealt = rows.select(own.alias("block"), "term", F.col("vector").cast("array<double>").alias("vector")).repartitionById(blocks, "block")
+    held = keep(dealt.mapInArrow(packed, "block int, terms array<string>, x binary"))
+    one, two = (held.select(F.col("block").alias(c), F.col("terms").alias(f"terms_{c}"), F.col("x").alias(f"x_{c}")).repartitionById(blocks, c) for c in ("low", "high"))
+    pairs = one.join(two.hint("shuffle_replicate_nl"), F.col("low") <= F.col("high")).select("low", "high", "terms_low", "terms_high", "x_low", "x_high")
+    return pairs.mapInArrow(near, "term string, other string")
 
 
 #: Sides of a sketch: a multiple of 64.
@@ -377,20 +433,21 @@ def near_duplicates_dropped(t: DataFrame, vectors: DataFrame, keep: Keep, *, ent
     """
     low = [f"l_{c}" for c in SPO]
     heads = [f"h_{c}" for c in SPO]
-    rows = t.select("pos", *SPO, *(F.lower(c).alias(n) for c, n in zip(SPO, low, strict=True)))
-    first = rows.groupBy(*low).agg(F.min(F.struct("pos", *SPO)).alias("x")).select("x.*", *low)
-    first = keep(first.withColumn("at", F.struct("pos", *low)))  # positions may repeat
-    ends = first.select(F.col("l_subject").alias("term")).union(first.select("l_object"))
+    rows = keep(t.select("pos", *SPO))
+    ends = rows.select(F.lower("subject").alias("term")).union(rows.select(F.lower("object")))
     vectors = keep(vectors)  # computed once a term: behind a plain select Spark would drop a distinct that made the terms
     near = {}
-    for kind, used, threshold in (("end", ends, entity_threshold), ("name", first.select(F.col("l_predicate").alias("term")), relation_threshold)):
-        told = vector_heads(vectors.join(used.distinct(), "term", "left_semi"), keep, threshold)
-        near[kind] = told.select("term", "head"), keep(alike_heads(told.filter("term = head").select("term", "vector"), keep, threshold, recall=recall))
+    for kind, used, threshold in (("end", ends, entity_threshold), ("name", rows.select(F.lower("predicate").alias("term")), relation_threshold)):
+        # written first, so a small set is broadcast and no vector dealt out
+        told, leads = vector_heads(vectors.join(keep(used.distinct()), "term", "left_semi"), keep, threshold)
+        near[kind] = told, keep(alike_heads(leads, keep, threshold, recall=recall))
     of = lambda c: near["name" if c == "predicate" else "end"]
-    headed = first
+    headed = rows
     for c, n, h in zip(SPO, low, heads, strict=True):
-        headed = headed.join(of(c)[0].select(F.col("term").alias(n), F.col("head").alias(h)), n, "left").withColumn(h, F.coalesce(h, n))
-    lead = keep(headed.groupBy(*heads).agg(F.min(F.struct("at", *SPO)).alias("x")).select("x.*", *heads))
+        # a row that shuffles carries its terms once; lower case is told again where it is wanted
+        headed = headed.join(of(c)[0].select(F.col("term").alias(n), F.col("head").alias(h)), F.lower(c) == F.col(n), "left").drop(n).withColumn(h, F.coalesce(h, F.lower(c)))
+    at = F.struct("pos", *(F.lower(c).alias(n) for c, n in zip(SPO, low, strict=True)))  # positions may repeat
+    lead = keep(headed.groupBy(*heads).agg(F.min(F.struct(at.alias("at"), *SPO)).alias("x")).select("x.*", *heads))
     met, any_ = lead.select("at", *heads), F.lit(False)
     for c, h in zip(SPO, heads, strict=True):
         others = of(c)[1].groupBy(F.col("term").alias(h)).agg(F.collect_list("other").alias(f"m_{c}"))

@@ -297,3 +297,26 @@ def test_a_merge_keeps_no_row_for_each_part(spark):
     assert len(sizes) > 10 and max(sizes) <= 200
     assert any(paths) and not any(os.path.exists(p) for p in paths if p)
     assert sorted(os.listdir(path)) == ["edges", "forms"]
+
+
+def test_blocks_are_written_once(spark):
+    """All pairs in blocks: no vector is copied for each block that it meets, and the pairs are those of one product."""
+    r = np.random.default_rng(6)
+    x = np.concatenate([np.repeat(r.normal(size=(60, 16)), 4, axis=0) + 0.3 * r.normal(size=(240, 16)), np.zeros((2, 16)), np.full((1, 16), np.nan)])
+    v = spark.createDataFrame([(f"t{i}", row.tolist()) for i, row in enumerate(x)], "term string, vector array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True).clip(1e-300)
+    want = {(f"t{i}", f"t{j}") for i, j in zip(*np.nonzero(u @ u.T > 0.8), strict=True) if i != j}
+    sizes = []
+
+    def counting(df):
+        out = written(df, "blocks")
+        sizes.append(out.count())
+        return out
+
+    found = triples.alike_heads(v, counting, 0.8, block=50)
+    rows = [tuple(p) for p in found.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want and len(want) > 300
+    assert sizes == [5] and "explode" not in found._jdf.queryExecution().executedPlan().toString()
+    # a term of several vectors has the least of them, one that comes twice counts once
+    t = spark.createDataFrame([("a", [1.0, 0.0]), ("a", [0.0, 1.0]), ("b", [0.0, 2.0]), ("b", [0.0, 2.0]), ("c", [0.0, 2.0])], "term string, vector array<double>")
+    assert sorted(tuple(p) for p in triples.alike_terms(t, counting, 0.8).collect()) == [("a", "a"), ("a", "b"), ("a", "c"), ("b", "a"), ("b", "b"), ("b", "c"), ("c", "a"), ("c", "b"), ("c", "c")]
