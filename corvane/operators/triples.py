@@ -160,21 +160,27 @@ def merged_extractions(nlp: DataFrame, llm: DataFrame, least: float = 0.7) -> Da
     return rows.groupBy(*SPO).agg(F.min(F.struct("origin", "pos")).alias("x")).select("x.origin", "x.pos", *SPO)
 
 
-def vector_heads(vectors: DataFrame, keep: Keep, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(term, head) of distinct terms, and (term, vector) of heads. Terms of one vector are alike to the same terms and to each other, so the smallest of them,
-    their head, stands for all. A vector without a finite length above 0 is alike to nothing, and no vector is to its equal from a threshold of 1 on: such
-    terms are their own heads. Of several vectors of a term the least counts. vectors: a written table; only digests of its vectors are dealt by term.
-    """
-    rows = vectors.filter(F.col("term").isNotNull() & F.col("vector").isNotNull())
+def digests(vectors: DataFrame, keep: Keep) -> tuple[DataFrame, DataFrame]:
+    """(term, digest) of distinct terms, and (term, vector), of several vectors of a term the least. A digest is null unless the vector has a finite length above 0."""
+    rows = vectors.filter(F.col("term").isNotNull() & F.col("vector").isNotNull()).select("term", "vector")
     many = keep(rows.groupBy("term").agg(F.count("*").alias("n")).filter("n > 1").select("term"))
     if not many.isEmpty():
         rows = rows.join(many, "term", "left_anti").unionByName(rows.join(many, "term", "left_semi").groupBy("term").agg(F.min("vector").alias("vector")))
     size = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    stands = (size > 0) & (size < float("inf")) if threshold < 1 - 1e-9 else F.lit(False)
-    told = keep(rows.select("term", F.when(stands, F.unhex(F.sha2(F.array_join("vector", ","), 256))).alias("digest")))
+    stands = (size > 0) & (size < float("inf"))
+    return keep(rows.select("term", F.when(stands, F.unhex(F.sha2(F.array_join("vector", ","), 256))).alias("digest"))), rows
+
+
+def vector_heads(told: DataFrame, rows: DataFrame, keep: Keep, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(term, head) of distinct terms, and (term, vector) of heads, from `digests`. Terms of one vector are alike to the same terms and to each other, so the
+    smallest of them, their head, stands for all. A vector without a finite length above 0 is alike to nothing, and no vector is to its equal from a
+    threshold of 1 on: such terms are their own heads. Only digests are dealt by term, and vectors of heads alone are handed on.
+    """
+    if threshold >= 1 - 1e-9:
+        told = told.withColumn("digest", F.lit(None).cast("binary"))
     heads = told.filter("digest is not null").groupBy("digest").agg(F.min("term").alias("head"))
     headed = keep(told.join(heads, "digest", "left").select("term", F.coalesce("head", "term").alias("head")))
-    return headed, rows.select("term", "vector").join(keep(headed.filter("term = head").select("term")), "term", "left_semi")
+    return headed, rows.join(keep(headed.filter("term = head").select("term")), "term", "left_semi")
 
 
 def alike_terms(vectors: DataFrame, keep: Keep, threshold: float, *, recall: float | None = None, block: int = 16384, held: int = 64, seed: int = 7) -> DataFrame:
@@ -182,7 +188,7 @@ def alike_terms(vectors: DataFrame, keep: Keep, threshold: float, *, recall: flo
 
     Heads (`vector_heads`) are compared as in `alike_heads`, and their alike pairs are told for all terms that they stand for.
     """
-    rows, heads = vector_heads(keep(vectors), keep, threshold)
+    rows, heads = vector_heads(*digests(keep(vectors), keep), keep, threshold)
     near = alike_heads(heads, keep, threshold, recall=recall, block=block, held=held, seed=seed)
     both = near.unionByName(rows.filter("term = head").select("term", F.col("term").alias("other")))
     side = lambda c: rows.select(F.col("term").alias(f"__{c}"), F.col("head").alias(c))
@@ -436,10 +442,10 @@ def near_duplicates_dropped(t: DataFrame, vectors: DataFrame, keep: Keep, *, ent
     rows = keep(t.select("pos", *SPO))
     ends = rows.select(F.lower("subject").alias("term")).union(rows.select(F.lower("object")))
     vectors = keep(vectors)  # computed once a term: behind a plain select Spark would drop a distinct that made the terms
+    marks, of_term = digests(vectors, keep)
     near = {}
     for kind, used, threshold in (("end", ends, entity_threshold), ("name", rows.select(F.lower("predicate").alias("term")), relation_threshold)):
-        # written first, so a small set is broadcast and no vector dealt out
-        told, leads = vector_heads(vectors.join(keep(used.distinct()), "term", "left_semi"), keep, threshold)
+        told, leads = vector_heads(marks.join(used.distinct(), "term", "left_semi"), of_term, keep, threshold)
         near[kind] = told, keep(alike_heads(leads, keep, threshold, recall=recall))
     of = lambda c: near["name" if c == "predicate" else "end"]
     headed = rows
