@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from corvane.shared import bucketed, running
@@ -36,7 +36,7 @@ def connected_components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame
 
 def nodes_of(t: DataFrame, types: DataFrame | None = None) -> DataFrame:
     """(node, type): all ends of triples; a node without a known type is INFERRED."""
-    nodes = t.select(F.col("subject").alias("node")).union(t.select("object")).distinct()
+    nodes = t.select(F.explode(F.array("subject", "object")).alias("node")).distinct()
     if types is None:
         return nodes.withColumn("type", F.lit("INFERRED"))
     return nodes.join(types, "node", "left").withColumn("type", F.coalesce("type", F.lit("INFERRED")))
@@ -86,23 +86,26 @@ def page_rank(t: DataFrame, keep: Callable[[DataFrame], DataFrame], *, rounds: i
     """(node, rank) over distinct edges; the mass of nodes without edges out is dealt to all.
 
     Rounds end when ranks move by less than tolerance a node in sum (looked at every few rounds), or after the given number;
-    tolerance 0 takes them all.
+    tolerance 0 takes them all. keep: writes a table at once and reads it again.
     """
     ids, edges = numbered(t, keep)
     edges = bucketed(edges, "edges", "src", edges.count())
     out = edges.groupBy("src").agg(F.count("*").alias("out"))
     nodes = keep(ids.join(out, F.col("id") == F.col("src"), "left").select("id", "out"))
-    n = nodes.count()
-    ranks = nodes.select("id", "out", F.lit(1.0 / max(1, n)).alias("rank"), F.lit(0.0).alias("was"))
+    n, loose = nodes.agg(F.count("*"), F.count_if(F.isnull("out")) / F.greatest(F.lit(1), F.count("*"))).first()
+    ranks = nodes.withColumn("rank", F.lit(1.0 / max(1, n)))
+    # what the next round asks of all ranks is summed as they are written, not by reading them again
+    asked = [F.sum(F.when(F.isnull("out"), F.col("rank"))).alias("loose")] + ([F.sum(F.abs(F.col("rank") - F.col("was"))).alias("moved")] if tolerance else [])
     for k in range(rounds):
-        given = edges.join(ranks.select(F.col("id").alias("src"), (F.col("rank") / F.col("out")).alias("share")), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("got"))
-        loose = ranks.filter("out is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose"))
-        old = ranks.select("id", "out", F.col("rank").alias("was"))
-        ranks = old.join(given, "id", "left").crossJoin(F.broadcast(loose)).select("id", "out", (F.lit((1 - damping) / max(1, n)) + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / max(1, n))).alias("rank"), "was")
-        ranks = keep(ranks)  # each round reads the last one three times
-        if tolerance and k % every == every - 1:
-            if ranks.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] < n * tolerance:
-                break
+        shares = ranks.filter("out is not null").select(F.col("id").alias("src"), (F.col("rank") / F.col("out")).alias("share"))
+        given = edges.join(shares, "src").groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("got"))
+        old = ranks.select("id", "out", *([F.col("rank").alias("was")] if tolerance else []))
+        rank = F.lit((1 - damping) / max(1, n)) + damping * (F.coalesce("got", F.lit(0.0)) + F.lit(loose / max(1, n)))
+        sums = Observation()
+        ranks = keep(old.join(given, "id", "left").select(*old.columns, rank.alias("rank")).observe(sums, *asked))
+        loose = sums.get["loose"] or 0.0
+        if tolerance and k % every == every - 1 and (sums.get["moved"] or 0.0) < n * tolerance:
+            break
     return ranks.join(ids, "id").select(F.col("name").alias("node"), F.round("rank", 9).alias("rank"))
 
 

@@ -400,3 +400,33 @@ def test_one_call_ingest_in_bounded_batches(spark, tmp_path):
     found = ingest.ingest_documents(docs, chunker="window", chunker_options={"max_tokens": 256, "overlap": 16}, embedder_options={"dim": 4}, path=str(tmp_path / "store"))
     pieces = len(list(chunking.CharWindow(256, 16)("word " * 2000)))
     assert found.count() == 3000 * pieces and spark.conf.get(name) == before
+
+
+def test_ranks_read_each_table_once_for_each_use(spark, tmp_path):
+    """Ends come from one scan of the triples; a round scans the edges once and the ranks twice; ranks equal those by hand."""
+    rows = [("a", "r", "b"), ("a", "s", "b"), ("b", "r", "c"), ("c", "r", "c"), ("d", "r", "c"), ("d", "r", None), (None, "r", "e"), (None, "r", None)]
+    spark.createDataFrame(rows * 2, "subject string, predicate string, object string").write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+    scans = lambda df: df._jdf.queryExecution().executedPlan().toString().count("FileScan parquet")
+    assert scans(graph.nodes_of(t)) == 1
+    assert sorted(map(tuple, graph.nodes_of(t).collect()), key=str) == sorted([(x, "INFERRED") for x in (None, *"abcde")], key=str)
+    read = []
+
+    def keep(df):
+        if "rank" in df.columns:
+            read.append(scans(df))
+        return kept("r")(df)
+
+    names, edges = [None, *"abcde"], {(s, o) for s, _, o in rows if s and o}
+    rank = {x: 1 / len(names) for x in names}
+    for _ in range(3):
+        loose = sum(v for x, v in rank.items() if not any(s == x for s, _ in edges))
+        rank = {x: 0.15 / len(names) + 0.85 * (sum(rank[s] / sum(a == s for a, _ in edges) for s, o in edges if o == x) + loose / len(names)) for x in names}
+    got = {r.node: r["rank"] for r in graph.page_rank(t, keep, rounds=3, tolerance=0).collect()}
+    assert got.keys() == rank.keys() and all(abs(got[x] - rank[x]) < 1e-8 for x in names)
+    assert read == [3, 3, 3]
+    read.clear()
+    graph.page_rank(t, keep, rounds=40, every=2, tolerance=1e-3)
+    assert len(read) % 2 == 0 and len(read) < 40
+    none = t.limit(0)
+    assert graph.page_rank(none, kept("r"), rounds=5).count() == 0
