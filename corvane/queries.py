@@ -23,7 +23,7 @@ from corvane.plans import ingest
 from corvane.plans.registry import Registry
 from corvane.plans.sql_functions import register_chunkers
 from corvane.shared import kept as keep
-from corvane.shared import new_path
+from corvane.shared import listing_tasks, new_path
 from corvane.sources import files
 from corvane.sources.files import check_source, query_source, table
 from corvane.streaming import ingest as streaming
@@ -1153,7 +1153,11 @@ def text_files_and_totals(s, d):
     path = _folder(s, "texts")
     p = table(s, d, "pages").select("page_id", F.concat(F.lit("word "), F.col("page_id").cast("string"), F.lit("\n"), F.col("url")).alias("text"))
     files.write_texts(p.withColumn("__page", F.col("page_id")), path, headers={"page": "__page"}, text="text", key="page_id")
-    texts = s.read.text(path, wholetext=True, pathGlobFilter="*.txt", recursiveFileLookup=True).select(F.regexp_extract(F.col("_metadata.file_path"), "page_id=([0-9]+)", 1).alias("file"), F.rtrim(F.regexp_replace("value", files.COMMENT, ""), F.lit("\n")).alias("text"))
+    with listing_tasks(s):
+        found = s.read.text(path, wholetext=True, pathGlobFilter="*.txt", recursiveFileLookup=True)
+    texts = found.select(F.regexp_extract(F.col("_metadata.file_path"), "page_id=([0-9]+)", 1).alias("file"), F.rtrim(F.regexp_replace("value", files.COMMENT, ""), F.lit("\n")).alias("text"))
+    # in as many tasks as wrote them: each file counts as 4 MB to Spark, so by itself it would start a task for every few
+    texts = texts.coalesce(int(s.conf.get("spark.sql.shuffle.partitions")))
     return files.token_totals(texts).withColumnRenamed("file", "page_id")
 
 

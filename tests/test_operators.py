@@ -430,3 +430,26 @@ def test_ranks_read_each_table_once_for_each_use(spark, tmp_path):
     assert len(read) % 2 == 0 and len(read) < 40
     none = t.limit(0)
     assert graph.page_rank(none, kept("r"), rounds=5).count() == 0
+
+
+def test_many_small_files_are_listed_and_read_in_few_tasks(spark, tmp_path):
+    """100 files of texts: no stage has a task for each folder or for a few files, and the settings are as before."""
+    from corvane.queries import QUERIES
+
+    rows = [(i, None if i == 7 else f"http://x/{'y' * i}", "") for i in range(100)] + [(8, "http://x/again", "")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.sparkContext.setJobGroup("texts", "texts")
+    try:
+        found = QUERIES["text_files_and_totals"](spark, str(tmp_path))
+        got = {r.page_id: r.tokens for r in found.collect()}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    text = {i: "" if u is None else f"word {i}\n{u}" for i, u, _ in rows[:100]}
+    want = {str(i): len(x) // 4 for i, x in text.items()} | {"8": (len(text[8]) + 1 + len("word 8\nhttp://x/again")) // 4}
+    assert got == want | {None: sum(want.values())}
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(k) for job in tracker.getJobIdsForGroup("texts") for k in tracker.getJobInfo(job).stageIds]
+    assert len(stages) > 2 and max(x.numTasks for x in stages if x) <= 4
+    assert "Coalesce 4" in found._jdf.queryExecution().executedPlan().toString() and spark.conf.get(name) == before
